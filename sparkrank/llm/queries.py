@@ -6,6 +6,7 @@ from sparkrank.llm.language_id import op6_language_id
 from sparkrank.llm.packing import op5_best_fit_packing
 from sparkrank.llm.quality_classifier import op9_quality_classifier
 from sparkrank.llm.quality_rules import OP4_SQL, op4_quality_rules
+from sparkrank.llm.simhash import op7_simhash_neardedup
 from sparkrank.llm.token_counts import op8_token_counts
 from sparkrank.llm.toxicity import op2_toxicity
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_language_id": op6_language_id,
+    "op7_simhash_neardedup": op7_simhash_neardedup,
     "op8_token_counts": op8_token_counts,
     "op9_quality_classifier": op9_quality_classifier,
 }
