@@ -7,10 +7,12 @@ from sparkrank.llm.packing import op5_best_fit_packing
 from sparkrank.llm.quality_classifier import op9_quality_classifier
 from sparkrank.llm.quality_rules import OP4_SQL, op4_quality_rules
 from sparkrank.llm.simhash import op7_simhash_neardedup
+from sparkrank.llm.suffix_dedup import OP1_SQL, op1_suffix_array_dedup
 from sparkrank.llm.token_counts import op8_token_counts
 from sparkrank.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_toxicity": op2_toxicity,
     "op4_quality_rules": op4_quality_rules,
     "op5_best_fit_packing": op5_best_fit_packing,
@@ -20,4 +22,4 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
 }
 
-SQL = {"op4_quality_rules": OP4_SQL}
+SQL = {"op1_suffix_array_dedup": OP1_SQL, "op4_quality_rules": OP4_SQL}
