@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from sparkrank.llm.language_id import op6_language_id
 from sparkrank.llm.packing import op5_best_fit_packing
+from sparkrank.llm.paragraph_dedup import op10_paragraph_dedup
 from sparkrank.llm.quality_classifier import op9_quality_classifier
 from sparkrank.llm.quality_rules import OP4_SQL, op4_quality_rules
 from sparkrank.llm.simhash import op7_simhash_neardedup
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_simhash_neardedup": op7_simhash_neardedup,
     "op8_token_counts": op8_token_counts,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_paragraph_dedup": op10_paragraph_dedup,
 }
 
 SQL = {"op1_suffix_array_dedup": OP1_SQL, "op4_quality_rules": OP4_SQL}
