@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sparkrank.llm.decontamination import OP3_SQL, op3_decontamination
 from sparkrank.llm.language_id import op6_language_id
 from sparkrank.llm.packing import op5_best_fit_packing
 from sparkrank.llm.paragraph_dedup import op10_paragraph_dedup
@@ -15,6 +16,7 @@ from sparkrank.llm.toxicity import op2_toxicity
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_toxicity": op2_toxicity,
+    "op3_decontamination": op3_decontamination,
     "op4_quality_rules": op4_quality_rules,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_language_id": op6_language_id,
@@ -24,4 +26,4 @@ QUERIES = {
     "op10_paragraph_dedup": op10_paragraph_dedup,
 }
 
-SQL = {"op1_suffix_array_dedup": OP1_SQL, "op4_quality_rules": OP4_SQL}
+SQL = {"op1_suffix_array_dedup": OP1_SQL, "op3_decontamination": OP3_SQL, "op4_quality_rules": OP4_SQL}
