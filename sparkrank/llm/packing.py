@@ -35,8 +35,8 @@ from sparkrank.llm.common import ddl, documents, texts, written
 
 SIZE = 2048
 END_ID = 0
-#: Pieces of one length are ranked within this many pieces on average at a time.
-RANKED_AT_ONCE = 50_000
+#: A length with more pieces than this is salted; so many are ranked at a time on average.
+RANKED_AT_ONCE = 1_000
 
 PIECES = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
 
@@ -186,8 +186,8 @@ def pack(placed: DataFrame, size: int = SIZE) -> DataFrame:
     """Adds sequence_id and offset to a table of pieces (see :func:`pieces`), which is read twice."""
     counts = {r["length"]: r["count"] for r in placed.groupBy("length").count().collect()}  # at most ``size`` rows
     plan = plan_packing(counts, size)
-    salts = max(1, sum(counts.values()) // RANKED_AT_ONCE)
-    salted = placed.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    salts = F.lit([-(-counts.get(n, 1) // RANKED_AT_ONCE) for n in range(size + 1)])
+    salted = placed.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.element_at(salts, (F.col("length") + 1).cast("int"))).cast("int"))
     sums = salted.groupBy("length", "_salt").count()
     before = sums.select("length", "_salt", (F.sum("count").over(Window.partitionBy("length").orderBy("_salt")) - F.col("count")).alias("_before"))
     within = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
