@@ -54,13 +54,13 @@ def _seeds(df: DataFrame, at: str, *keep: str) -> DataFrame:
     return rows.withColumn(at, place)
 
 
-def decontamination(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
+def decontamination(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", broadcast_limit: int = BROADCAST_LIMIT, id_col: str = "doc_id") -> DataFrame:
     """A row per contaminated document and item: doc_id, item_id, n_words (of the item), n_matched, first_word
     (place in the document of the item's first word; negative if the item begins before the document)."""
     items = benchmark.select(F.col(item_col).alias("item_id"), words(F.coalesce(F.col(item_text_col), F.lit(""))).alias("words")).distinct()
     seeds = _seeds(items, "item_at", "item_id").select("seed", "item_id", "item_at", F.col("words").alias("item_words"))
     small = seeds.limit(broadcast_limit + 1).count() <= broadcast_limit
-    hits = _seeds(texts(docs).select("doc_id", words(F.col("text")).alias("words")), "at", "doc_id")
+    hits = _seeds(texts(docs, id_col).select("doc_id", words(F.col("text")).alias("words")), "at", "doc_id")
     met = hits.join(F.broadcast(seeds) if small else seeds, "seed")
     first = F.col("at") - F.col("item_at")
     n = F.size("item_words")

@@ -152,5 +152,24 @@ def language_id(docs: DataFrame) -> DataFrame:
     return identify(docs, learn(docs))
 
 
+def determined(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose language can be told; nothing goes while there is nothing to learn from."""
+    prototypes = learn(docs)
+    if not prototypes:
+        return docs
+    names, matrix = list(prototypes), np.stack(list(prototypes.values()), axis=1)
+
+    def run(batches):
+        letters = Letters()
+        for batch in batches:
+            lang = [UNDETERMINED] * batch.num_rows
+            for place, v in letters.bundles([t or "" for t in batch.column(text_col).to_pylist()]):
+                for p, at in zip(place, (v @ matrix).argmax(axis=1).tolist(), strict=True):
+                    lang[p] = names[at]
+            yield batch.filter(pa.array([x != UNDETERMINED for x in lang], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(documents(spark, sf_dir))

@@ -216,6 +216,8 @@ def cleaned(docs: DataFrame, gone: DataFrame, text_col: str = "text") -> DataFra
     """``docs`` with the removed paragraphs cut out of the text; same rows and columns."""
     spans = gone.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
 
+    names = docs.columns
+
     def cut(batches):
         for batch in batches:
             out = []
@@ -227,8 +229,8 @@ def cleaned(docs: DataFrame, gone: DataFrame, text_col: str = "text") -> DataFra
                         at = s["end"]
                     text = b"".join([*parts, raw[at:]]).decode()
                 out.append(text)
-            columns = [pa.array(out, pa.string()) if name == text_col else batch.column(name) for name in docs.columns]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            columns = [pa.array(out, pa.string()) if name == text_col else batch.column(name) for name in names]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     joined = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("_hash")), "left")
     return joined.select(*docs.columns, "_spans").mapInArrow(cut, docs.schema)

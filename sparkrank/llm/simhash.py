@@ -24,7 +24,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkrank.llm.common import ddl, documents, per_batch, texts, written
@@ -34,7 +34,7 @@ SHINGLE, SEED, DISTANCE = 4, 42, 4
 WIDTHS = (13, 13, 13, 13, 12)
 #: From so many distinct fingerprints on, keys hold three segments.
 LONG_CHAIN_FROM = 50_000_000
-FINGERPRINTS = {"doc_id": pa.int64(), "fp": pa.int64()}
+FINGERPRINTS = {"doc_id": pa.int64(), "fp": pa.int64(), "text_hash": pa.int64()}
 _ALL = (1 << 64) - 1
 
 
@@ -55,10 +55,13 @@ def fingerprint(text: str) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp), the fingerprint's bits as a signed long."""
+    """(doc_id, fp, text_hash): the fingerprint's bits as a signed long, and the hash that tells texts of one id apart."""
+    import xxhash
 
     def run(ids, whole):
-        return ids, np.array([fingerprint(t) for t in whole], dtype=np.uint64).view(np.int64)
+        fps = np.array([fingerprint(t) for t in whole], dtype=np.uint64)
+        hashes = np.array([xxhash.xxh64_intdigest(t.encode(), SEED) for t in whole], dtype=np.uint64)
+        return ids, fps.view(np.int64), hashes.view(np.int64)
 
     return texts(docs).mapInArrow(per_batch(run, FINGERPRINTS), ddl(FINGERPRINTS))
 
@@ -166,16 +169,33 @@ def links(fps: DataFrame, chain: int = 2) -> DataFrame:
     return dealt.mapInArrow(meet, "a long, b long").distinct()
 
 
+def grouped(fps: DataFrame) -> DataFrame:
+    """(fp, node) for each distinct fingerprint: the smallest fingerprint (as a signed long) in its reach."""
+    distinct = fps.select("fp").distinct()
+    chain = 2 if distinct.count() < LONG_CHAIN_FROM else 3
+    found = components(links(distinct, chain))
+    return distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", F.coalesce("component", "fp").alias("node"))
+
+
 def simhash_components(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id in reach)."""
     fps = written(fingerprints(docs), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    chain = 2 if distinct.count() < LONG_CHAIN_FROM else 3
-    found = components(links(distinct, chain))
-    by_fp = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
-    least = by_fp.groupBy("c").agg(F.min("least").alias("component_id"))
-    of_fp = by_fp.join(least, "c").select("fp", "component_id")
-    return fps.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of_fp = grouped(fps).join(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp")
+    least = of_fp.groupBy("node").agg(F.min("least").alias("component_id"))
+    named = of_fp.join(least, "node").select("fp", "component_id")
+    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """One row of ``docs``, all columns, of each group of near copies: that with the smallest id, nulls last."""
+    fps = written(fingerprints(docs.select("doc_id", F.col(text_col).alias("text"))), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
+    of_fp = grouped(fps).join(fps.groupBy("fp").agg(first.alias("first")), "fp")
+    winners = of_fp.groupBy("node").agg(F.min("first").alias("w")).select(F.col("w.doc_id").alias("_id"), F.col("w.text_hash").alias("_hash")).distinct()
+    own = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    kept = docs.join(winners, docs["doc_id"].eqNullSafe(F.col("_id")) & (own == F.col("_hash")))
+    again = Window.partitionBy("_id", "_hash").orderBy("_id")
+    return kept.withColumn("_again", F.row_number().over(again)).where("_again = 1").select(*docs.columns)
 
 
 def op7_simhash_neardedup(spark: SparkSession, sf_dir: str) -> DataFrame:
