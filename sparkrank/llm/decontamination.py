@@ -30,28 +30,17 @@ BROADCAST_LIMIT = 100_000
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-
-
-def _seed_lists(hashes: Column) -> Column:
-    """Seeds of all places under the first mask, then those of all places under the second, and so on."""
-
-    def under(mask: int) -> Column:
-        last = F.size(hashes) - (MASKS[mask][-1] + 1)
-        return F.transform(F.sequence(F.lit(0), last), lambda at: F.xxhash64(F.lit(mask), *[F.get(hashes, at + place) for place in MASKS[mask]]))
-
-    return F.concat(*map(under, range(len(MASKS))))
+    return F.split(F.trim(F.lower(text), F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+")
 
 
 def _seeds(df: DataFrame, at: str, *keep: str) -> DataFrame:
-    """A row per place and mask of texts of at least SPAN words."""
-    hashed = df.where(F.size("words") >= SPAN).select(*keep, "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    rows = hashed.select(*keep, "words", F.posexplode(_seed_lists(F.col("hashes"))).alias("pos", "seed"))
-    place, before = F.col("pos"), F.lit(0)
-    for mask in MASKS[:-1]:
-        before = before + F.size("words") - mask[-1]
-        place = F.when(F.col("pos") >= before, F.col("pos") - before).otherwise(place)
-    return rows.withColumn(at, place)
+    """A row per place and mask of texts of at least SPAN words. Places are unfolded before they are hashed, so
+    that hashing and the join that follows are compiled with the scan; the arrays are never copied per row."""
+    hashed = df.select(*keep, "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    # The outer form infers no filter on the array's size, which would split and hash every text once more.
+    places = hashed.select(*keep, "words", "hashes", F.posexplode_outer("hashes").alias(at, "_h"))
+    seeds = [F.when((F.size("hashes") >= SPAN) & (F.col(at) + mask[-1] < F.size("hashes")), F.xxhash64(F.lit(m), *[F.get("hashes", F.col(at) + place) for place in mask])) for m, mask in enumerate(MASKS)]
+    return places.select(*keep, "words", at, F.explode(F.array(*seeds)).alias("seed")).where("seed is not null")
 
 
 def decontamination(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", broadcast_limit: int = BROADCAST_LIMIT, id_col: str = "doc_id") -> DataFrame:
@@ -66,9 +55,11 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, item_col: str = "item
     n = F.size("item_words")
     # Words of the document at the item's places; nulls where it has none.
     beside = F.concat(F.array_repeat(F.lit(None).cast("string"), F.greatest(-first, F.lit(0))), F.slice("words", F.greatest(first, F.lit(0)) + 1, F.greatest(n + F.least(first, F.lit(0)), F.lit(0))))
-    same = F.aggregate(F.zip_with("item_words", beside, lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    matched = met.select("doc_id", "item_id", n.alias("n_words"), same.alias("n_matched"), first.alias("first_word")).where(F.col("n_matched") >= SIMILARITY * F.col("n_words"))
-    best = matched.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_matched", (-F.col("first_word")).alias("back"), "n_words")).alias("b"))
+    same = F.aggregate(F.zip_with("item_words", "beside", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
+    lined = met.select("doc_id", "item_id", first.alias("first_word"), "item_words", beside.alias("beside"))
+    matched = lined.select("doc_id", "item_id", F.size("item_words").alias("n_words"), same.alias("n_matched"), "first_word")
+    # The threshold comes after the aggregate: before it, it would become a condition of the join, which would then not be compiled.
+    best = matched.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_matched", (-F.col("first_word")).alias("back"), "n_words")).alias("b")).where(F.col("b.n_matched") >= SIMILARITY * F.col("b.n_words"))
     return best.select("doc_id", "item_id", F.col("b.n_words").cast("long").alias("n_words"), F.col("b.n_matched").cast("long").alias("n_matched"), (-F.col("b.back")).cast("long").alias("first_word"))
 
 
