@@ -20,12 +20,15 @@ def prefix_hashes(values: np.ndarray, multiplier: int) -> tuple[np.ndarray, np.n
     powers = np.full(n + 1, np.uint64(multiplier))
     powers[0] = 1
     np.multiply.accumulate(powers, out=powers)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * powers[:n], out=sums[1:])
-    inverse = np.full(n + 1, np.uint64(pow(multiplier, -1, 1 << 64)))
-    inverse[0] = 1
-    np.multiply.accumulate(inverse, out=inverse)
-    return sums, inverse
+    sums = np.empty(n + 1, np.uint64)
+    sums[0], sums[1:] = 0, values
+    sums[1:] += np.uint64(1)
+    sums[1:] *= powers[:n]
+    np.cumsum(sums, out=sums)
+    powers.fill(pow(multiplier, -1, 1 << 64))
+    powers[0] = 1
+    np.multiply.accumulate(powers, out=powers)
+    return sums, powers
 
 
 def _smaller(s: np.ndarray) -> np.ndarray:
@@ -172,23 +175,23 @@ def permuted_prefixes(data: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.
     others are compared, eight bytes at a time.
     """
     n = len(data)
-    phi = np.empty(n, np.int64)
+    phi = np.empty(n, np.int32)
     phi[sa[1:]] = sa[:-1]
     phi[sa[0]] = -1
-    here = np.arange(n)
+    here = np.arange(n, dtype=np.int32)
     direct = (here == 0) | (phi <= 0)
     direct |= data[np.maximum(here, 1) - 1] != data[np.maximum(phi, 1) - 1]
     own = np.flatnonzero(direct & (phi >= 0))
     padded = np.zeros(n + 8, np.uint8)
     padded[:n] = data
     eight = np.ndarray(n + 1, "<u8", padded.tobytes(), strides=(1,))
-    length = np.zeros(n, np.int64)
-    a, b, todo = own.copy(), phi[own], own
+    length = np.zeros(n, np.int32)
+    a, b, todo = own.astype(np.int64), phi[own].astype(np.int64), own
     while len(todo):
         differ = eight[np.minimum(a, n)] ^ eight[np.minimum(b, n)]
         low = differ & (~differ + np.uint64(1))
         same = np.where(differ == 0, 8, np.bitwise_count(low - np.uint64(1)) // 8)
-        length[todo] += same
+        length[todo] += same.astype(np.int32)
         on = (differ == 0) & (np.maximum(a, b) + 8 <= n)
         todo, a, b = todo[on], a[on] + 8, b[on] + 8
     length = np.where(phi >= 0, np.minimum(length, n - np.maximum(here, phi)), 0)

@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from sparkrank.llm.common import ddl, texts, written
 
-UNIT_BYTES = 8 << 20
+UNIT_BYTES = 4 << 20
 #: Bytes of text whose keys meet in one bucket.
-BUCKET_BYTES = 48 << 20
+BUCKET_BYTES = 12 << 20
 KEY_BITS = 56
 UNIT = pa.schema([("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("blob", pa.binary()), ("n_bytes", pa.int64())])
 SEPARATOR = 0xFF  # in no UTF-8 text
