@@ -1,0 +1 @@
+"""Nothing here streams: every input of this engine is a bounded table, and no operator keeps state over time."""
