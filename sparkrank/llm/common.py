@@ -1,40 +1,19 @@
-"""Helpers shared by the training-data operators: storage for cut lineage, Arrow plumbing, columns."""
+"""Helpers shared by the training-data operators: Arrow plumbing, columns, folds; lineage is cut as elsewhere."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkrank.plans.lineage import shared_dir, written  # noqa: F401
+
 #: A word of the contracts: a run of characters other than the six ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor shares: ``spark.checkpoint.dir``; a local one only if the session names none."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    where = getattr(spark, "_sparkrank_dir", None)
-    if where is None:
-        where = spark._sparkrank_dir = "file://" + tempfile.mkdtemp(prefix="sparkrank-")
-    return where
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes ``df`` to the shared folder and returns a scan of what was written."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) alone, a null text as an empty one; other columns can't clash with an operator's own."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
