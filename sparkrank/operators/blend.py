@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkrank.operators.folds import stratified_subsample
-from sparkrank.operators.ranking import average_ranks, ranked_models, roc_auc, sums_before
+from sparkrank.operators.ranking import UNIT, average_ranks, ranked_models, roc_auc, sums_before
+from sparkrank.plans.lineage import written
 
 
 def weighted(models: dict[str, float]) -> Column:
@@ -24,7 +25,7 @@ def fold_gains(df: DataFrame, id_col: str, label: str, fold: str, base: str, oth
     """(fold, base_auc, blend_auc, gain) of (1 - weight) * rank(base) + weight * rank(other)."""
     keys = [id_col, label, fold]
     ranked = ranked_models(df, keys, [base, other]).select(*keys, F.col(base).alias("base"), weighted({base: 1 - weight, other: weight}).alias("blend"))
-    auc = roc_auc(ranked.unpivot(keys, ["base", "blend"], "kind", "score"), label, "score", [fold, "kind"])
+    auc = roc_auc(ranked.unpivot(keys, ["base", "blend"], "kind", "score"), label, "score", [fold, "kind"], UNIT)
     wide = auc.groupBy(fold).agg(F.max(F.when(F.col("kind") == "base", F.col("auc"))).alias("base_auc"), F.max(F.when(F.col("kind") == "blend", F.col("auc"))).alias("blend_auc"))
     return wide.select(fold, "base_auc", "blend_auc", (F.col("blend_auc") - F.col("base_auc")).alias("gain"))
 
@@ -36,7 +37,7 @@ def candidate_scores(ranked: DataFrame, label: str, models: list[str], chosen: d
     kept = F.coalesce(*[F.when(F.col(round_col) == r, weighted(c) if c else F.lit(0.0)) for r, c in chosen.items()])
     rows = ranked.where(F.col(round_col).isin(list(chosen)))
     rows = rows.select(round_col, label, *[((kept + F.col(m)) / (total + 1)).alias(m) for m in models])
-    return roc_auc(rows.unpivot([round_col, label], models, "model", "score"), label, "score", [round_col, "model"]).select(round_col, "model", "auc")
+    return roc_auc(rows.unpivot([round_col, label], models, "model", "score"), label, "score", [round_col, "model"], UNIT).select(round_col, "model", "auc")
 
 
 def greedy_rounds(ranked: DataFrame, label: str, models: list[str], rounds: list[int], steps: int = 40, gain: float = 1e-6) -> dict[int, tuple[dict[str, float], list[tuple[int, str, float]]]]:
@@ -95,9 +96,9 @@ def reorder(df: DataFrame, base: str, local: str, weight: float, row: str, insid
     """Re-orders ``base`` inside a subset (where ``inside``, or where ``local`` isn't missing): the subset keeps the
     same base values, dealt out by (1 - weight) * rank(base) + weight * rank(local), ties by ``row``. Other rows stay."""
     chosen = F.col(local).isNotNull() if inside is None else inside
-    own = df.where(chosen).select(F.col(row).alias("_row"), F.col(base).alias("_base"), F.col(local).alias("_local"))
+    own = written(df.where(chosen).select(F.col(row).alias("_row"), F.col(base).alias("_base"), F.col(local).alias("_local")), "subset")
     mixed = average_ranks(average_ranks(own, "_base", name="_rb", bins=bins), "_local", name="_rl", bins=bins)
-    mixed = mixed.select("_row", "_base", ((1.0 - weight) * F.col("_rb") + weight * F.col("_rl")).alias("_order"))
+    mixed = written(mixed.select("_row", "_base", ((1.0 - weight) * F.col("_rb") + weight * F.col("_rl")).alias("_order")), "order")
     places = _positions(mixed, "_order", "_row", bins).select("_row", F.col("_place").alias("_p"))
     values = _positions(mixed, "_base", "_row", bins).select(F.col("_base").alias("_value"), F.col("_place").alias("_q"))
     moved = places.join(values, F.col("_p") == F.col("_q")).select("_row", "_value")
@@ -115,7 +116,7 @@ def _positions(df: DataFrame, order: str, tie: str, bins: int) -> DataFrame:
 def reorder_bands(df: DataFrame, base: str, bands: list[tuple[str, float]], row: str) -> DataFrame:
     """One band (column of local scores, missing outside, and its weight) after another."""
     for local, weight in bands:
-        df = reorder(df, base, local, weight, row)
+        df = written(reorder(df, base, local, weight, row), "band")
     return df
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sparkrank.operators.blend import average_predictions
 from sparkrank.operators.stack import scaled
+from sparkrank.plans.lineage import written
 
 FOLD_STEP = 1009
 
@@ -71,6 +72,7 @@ def fit_predict(model: str, train: DataFrame, others: list[DataFrame], keys: lis
 def out_of_fold(experiment: Experiment, train: DataFrame, test: DataFrame | None, id_col: str, columns: list[str], label: str, fold: str = "fold") -> tuple[DataFrame, DataFrame | None, list[tuple[str, float]]]:
     """Out-of-fold scores of ``train`` (mean over seeds), scores of ``test`` (mean over seeds and folds) and mean
     importances. One fit per seed and fold."""
+    train = written(train.select(id_col, label, fold, *columns), "train")
     folds = sorted(r[fold] for r in train.select(fold).distinct().collect())  # a row per fold
     valid_parts, test_parts, weights = [], [], {}
     for seed in experiment.seeds:

@@ -14,14 +14,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS = 64
+#: Marks for what is spread over 0 to 1, like percentile ranks and their means: no pass is needed to find them.
+UNIT = [k / BINS for k in range(1, BINS)]
 INF = float("inf")
 
 
-def binned(df: DataFrame, order: str, bins: int = BINS) -> DataFrame:
-    """Adds ``_bin``, increasing with ``order`` (numeric, not null)."""
-    if bins <= 1:
+def binned(df: DataFrame, order: str, bins: int | list[float] = BINS) -> DataFrame:
+    """Adds ``_bin``, increasing with ``order`` (numeric, not null). ``bins`` is their number, or the marks between."""
+    if bins == 1:
         return df.withColumn("_bin", F.lit(0.0))
-    marks = df.agg(F.percentile_approx(F.col(order).cast("double"), [k / bins for k in range(1, bins)], 1000)).first()[0] or []
+    marks = bins if isinstance(bins, list) else df.agg(F.percentile_approx(F.col(order).cast("double"), [k / bins for k in range(1, bins)], 1000)).first()[0] or []
     splits = [-INF, *sorted(set(marks) - {-INF, INF}), INF]
     if len(splits) < 3:
         return df.withColumn("_bin", F.lit(0.0))
@@ -29,7 +31,7 @@ def binned(df: DataFrame, order: str, bins: int = BINS) -> DataFrame:
     return Bucketizer(splits=splits, inputCol="_bin_by", outputCol="_bin", handleInvalid="keep").transform(keyed).drop("_bin_by")
 
 
-def sums_before(df: DataFrame, groups: list[str], order: str, values: list[str], bins: int = BINS) -> DataFrame:
+def sums_before(df: DataFrame, groups: list[str], order: str, values: list[str], bins: int | list[float] = BINS) -> DataFrame:
     """Adds ``before_<v>``: the sum of v over the group's rows with a smaller ``order``. One row per group and order."""
     rows = binned(df, order, bins)
     totals = rows.groupBy(*groups, "_bin").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
@@ -41,7 +43,7 @@ def sums_before(df: DataFrame, groups: list[str], order: str, values: list[str],
     return joined.select(*df.columns, *[(F.coalesce(F.sum(v).over(inside), F.lit(0)) + F.col(f"_s_{v}")).alias(f"before_{v}") for v in values])
 
 
-def average_ranks(df: DataFrame, score: str, groups: list[str] | None = None, percentile: bool = True, name: str = "rank", bins: int = BINS) -> DataFrame:
+def average_ranks(df: DataFrame, score: str, groups: list[str] | None = None, percentile: bool = True, name: str = "rank", bins: int | list[float] = BINS) -> DataFrame:
     """Adds the average rank of ``score`` within the groups, divided by the number of scores if ``percentile``.
     Missing scores have no rank and don't count."""
     groups = groups or []
@@ -67,7 +69,7 @@ def nullable_percentiles(df: DataFrame, score: str, name: str = "rank", middle:
     return average_ranks(df, score, name=name).withColumn(name, F.coalesce(name, F.lit(middle)))
 
 
-def roc_auc(df: DataFrame, label: str, score: str, groups: list[str] | None = None, bins: int = BINS) -> DataFrame:
+def roc_auc(df: DataFrame, label: str, score: str, groups: list[str] | None = None, bins: int | list[float] = BINS) -> DataFrame:
     """(groups, auc, positives, negatives): exact, ties count half; NULL where a class is absent. Rows are first
     counted by score, so what follows depends on the number of distinct scores. Scores must be finite."""
     groups = groups or []
@@ -86,7 +88,7 @@ def wide_scores(df: DataFrame, keys: list[str], models: list[str], variable: str
     return df.groupBy(*keys).pivot(variable, models).agg(F.first(value))
 
 
-def ranked_models(df: DataFrame, keys: list[str], models: list[str], groups: list[str] | None = None, bins: int = BINS) -> DataFrame:
+def ranked_models(df: DataFrame, keys: list[str], models: list[str], groups: list[str] | None = None, bins: int | list[float] = BINS) -> DataFrame:
     """Every model's score replaced by its percentile rank (within the groups)."""
     long = long_scores(df, keys, models)
     return wide_scores(average_ranks(long, "score", [*(groups or []), "model"], bins=bins), keys, models)

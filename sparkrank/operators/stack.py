@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkrank.functions.scalar import logit
 from sparkrank.operators.ranking import roc_auc
+from sparkrank.plans.lineage import written
 
 
 def as_logits(df: DataFrame, models: list[str]) -> DataFrame:
@@ -69,7 +70,7 @@ def scaled(train: DataFrame, others: list[DataFrame], columns: list[str]) -> lis
     return [df.withColumns(by) for df in (train, *others)]
 
 
-def fit_logistic(df: DataFrame, columns: list[str], label: str, c: float = 1.0, iterations: int = 200, tolerance: float = 1e-8):
+def fit_logistic(df: DataFrame, columns: list[str], label: str, c: float = 1.0, iterations: int = 100, tolerance: float = 1e-7):
     """The optimum of ||w||^2 / 2 + c * (sum of logistic losses); the intercept isn't penalised."""
     ready = VectorAssembler(inputCols=columns, outputCol="_x").transform(df.select(*columns, F.col(label).cast("double").alias("_y"))).select("_x", "_y").persist()
     try:
@@ -86,6 +87,7 @@ def predict(model, df: DataFrame, keys: list[str], columns: list[str], name: str
 
 def cross_fitted(df: DataFrame, keys: list[str], columns: list[str], label: str, fold: str = "fold", c: float = 1.0, scale: bool = True) -> DataFrame:
     """Out-of-fold scores: one fit per fold on the rows of the others (scaled by them if asked for)."""
+    df = written(df.select(*dict.fromkeys([*keys, *columns, label, fold])), "stack")
     folds = sorted(r[fold] for r in df.select(fold).distinct().collect())  # a row per fold
     parts = []
     for k in folds:

@@ -535,7 +535,7 @@ def regime_design(spark, sf):
     return rounded(rounded(d.select("id", "m1", "m1_complete", "m2_severe", "m3_disagreement", "logit_mean", "logit_std", "logit_range", "complete", "severe"), "m1", "m1_complete", "m2_severe", "logit_mean", "logit_std", "logit_range"), "m3_disagreement", digits=5)
 
 
-@query(f"with {_Z} select z.id, round(list_sort([m1, m2, m3, m4])[1] * 0.25 + list_sort([m1, m2, m3, m4])[2] * 0.75, 6) as logit_q25, round((list_sort([m1, m2, m3, m4])[2] + list_sort([m1, m2, m3, m4])[3]) / 2, 6) as logit_q50, round(list_sort([m1, m2, m3, m4])[3] * 0.75 + list_sort([m1, m2, m3, m4])[4] * 0.25, 6) as logit_q75, (case when x1 is null then 1.0 else 0.0 end)::double as missing_count from z join obs on z.id = obs.id")
+@query(f"with {_Z} select id, round(list_sort([m1, m2, m3, m4])[1] * 0.25 + list_sort([m1, m2, m3, m4])[2] * 0.75, 6) as logit_q25, round((list_sort([m1, m2, m3, m4])[2] + list_sort([m1, m2, m3, m4])[3]) / 2, 6) as logit_q50, round(list_sort([m1, m2, m3, m4])[3] * 0.75 + list_sort([m1, m2, m3, m4])[4] * 0.25, 6) as logit_q75, (case when x1 is null then 1.0 else 0.0 end)::double as missing_count from (select z.*, obs.x1 from z join obs on z.id = obs.id)")
 def meta_design_quantiles(spark, sf):
     d = stack.quantile_design(stack.as_logits(obs(spark, sf), MODELS), ["id"], MODELS, ["x1"])
     return rounded(d.select("id", "logit_q25", "logit_q50", "logit_q75", "missing_count"), "logit_q25", "logit_q50", "logit_q75")
