@@ -19,6 +19,12 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def free_name(taken: list[str]) -> str:
+    """A column name that isn't taken."""
+    low = {c.lower() for c in taken}
+    return next(n for k in range(len(taken) + 1) if (n := f"_own{k}") not in low)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

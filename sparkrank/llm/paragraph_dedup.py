@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkrank.llm.common import documents, written
+from sparkrank.llm.common import documents, free_name, written
 from sparkrank.llm.components import components
 from sparkrank.llm.suffix_array import prefix_hashes
 from sparkrank.llm.suffix_dedup import _mixed, _slices
@@ -221,7 +221,7 @@ def cleaned(docs: DataFrame, gone: DataFrame, text_col: str = "text") -> DataFra
     def cut(batches):
         for batch in batches:
             out = []
-            for text, spans in zip(batch.column(text_col).to_pylist(), batch.column("_spans").to_pylist(), strict=True):
+            for text, spans in zip(batch.column(text_col).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
                 if spans:
                     raw, at, parts = text.encode(), 0, []
                     for s in spans:
@@ -232,8 +232,8 @@ def cleaned(docs: DataFrame, gone: DataFrame, text_col: str = "text") -> DataFra
             columns = [pa.array(out, pa.string()) if name == text_col else batch.column(name) for name in names]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("_hash")), "left")
-    return joined.select(*docs.columns, "_spans").mapInArrow(cut, docs.schema)
+    joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans["_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == spans["_hash"]), "left")
+    return joined.select(*[docs[c] for c in docs.columns], spans["_spans"].alias(free_name(docs.columns))).mapInArrow(cut, docs.schema)
 
 
 def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkrank.llm.common import ddl, documents, per_batch, texts, written
+from sparkrank.llm.common import ddl, documents, free_name, per_batch, texts, written
 from sparkrank.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -193,9 +193,10 @@ def one_of_each(docs: DataFrame, text_col: str = "text") -> DataFrame:
     of_fp = grouped(fps).join(fps.groupBy("fp").agg(first.alias("first")), "fp")
     winners = of_fp.groupBy("node").agg(F.min("first").alias("w")).select(F.col("w.doc_id").alias("_id"), F.col("w.text_hash").alias("_hash")).distinct()
     own = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
-    kept = docs.join(winners, docs["doc_id"].eqNullSafe(F.col("_id")) & (own == F.col("_hash")))
-    again = Window.partitionBy("_id", "_hash").orderBy("_id")
-    return kept.withColumn("_again", F.row_number().over(again)).where("_again = 1").select(*docs.columns)
+    kept = docs.join(winners, docs["doc_id"].eqNullSafe(winners["_id"]) & (own == winners["_hash"]))
+    again = F.row_number().over(Window.partitionBy(winners["_id"], winners["_hash"]).orderBy(winners["_id"]))
+    once = kept.select(*[docs[c] for c in docs.columns], again.alias(name := free_name(docs.columns)))
+    return once.where(F.col(name) == 1).drop(name)
 
 
 def op7_simhash_neardedup(spark: SparkSession, sf_dir: str) -> DataFrame:
