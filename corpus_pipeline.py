@@ -37,7 +37,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that hold a benchmark item go. They are told by id and text, so ids may be null or repeat."""
     key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
     found = decontamination(docs.select(key.alias("key"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="key")
-    return docs.join(found.select(F.col("doc_id").alias("_key")).distinct(), key == F.col("_key"), "left_anti")
+    keys = found.select(F.col("doc_id").alias("_key")).distinct()
+    return docs.join(keys, F.xxhash64(docs["doc_id"], F.coalesce(docs["text"], F.lit(""))) == keys["_key"], "left_anti")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
