@@ -31,7 +31,7 @@ from sparkrank.llm.quality_classifier import training_rows
 
 BITS = 20
 SAMPLE, UNLABELLED = 3000, 3
-EPOCHS, BATCHES, STEP, DECAY, LEAST = 30, 12, 0.15, 1e-4, 4.0
+EPOCHS, BATCHES, STEP, DECAY, LEAST = 30, 12, 0.15, 1e-4, 6.0
 #: Word beginnings of so many characters are features beside the whole word.
 BEGINNINGS = (4, 5)
 SCORES = {"doc_id": pa.int64(), "held_out": pa.bool_(), "score": pa.float64(), "predicted": pa.int32()}
@@ -128,7 +128,7 @@ def fit(positive: list[str], unlabelled: list[str], prior: float, bits: int = BI
     # Between the bulk of the unlabelled texts and the weaker of the positives that stand out from it.
     bulk = np.quantile(u.dot(w) + b, max(0.0, 1 - 2 * prior))
     above = (sp := p.dot(w) + b)[sp > bulk + 1e-6]
-    cut = bulk + 0.6 * (np.quantile(above, 0.2) - bulk) if len(above) else bulk + 1
+    cut = bulk + 0.5 * (np.quantile(above, 0.2) - bulk) if len(above) else bulk + 1
     whole = np.zeros(1 << bits, np.float32)
     whole[vocabulary] = w
     return whole, float(b - cut)
