@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import base64
 import bisect
-import heapq
 import re
 import zlib
 
@@ -178,7 +177,8 @@ def plan_packing(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, in
                     put(n, 1, first + whole, size - gap + k * n)
                 if rest:
                     add(gap - rest * n, first + whole, 1)
-                add(gap, first + whole + bool(rest), many - whole - bool(rest)) if many > whole + bool(rest) else None
+                if many > whole + bool(rest):
+                    add(gap, first + whole + bool(rest), many - whole - bool(rest))
     return plan
 
 

@@ -150,7 +150,7 @@ def with_shared(table: DataFrame, keys: Callable[[Unit], tuple], fn: Callable[[i
         either = marks[order]
         run = np.append(0, np.cumsum(~same))  # number of the distinct key
         shared = np.zeros(run[-1] + 1, bool)
-        np.logical_or.at(shared, run[either], True) if either.any() else None
+        shared[run[either]] = True
         shared[run[1:][same]] = True
         flags = np.zeros(len(k), bool)
         flags[order] = shared[run]
