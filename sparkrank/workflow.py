@@ -27,6 +27,8 @@ class Run:
         self.out = tree["output"]["directory"]
         data = tree["data"]
         self.train, self.test, self.sample = tables.load_tables(spark, data["train_path"], data["test_path"], data.get("sample_path"), data["schema"], self.id, self.target)
+        # Files are parsed and numbered once.
+        self.train, self.test = written(self.train, "train"), written(self.test, "test")
         features = tree.get("features", {})
         self.columns = [c for c in views.feature_columns(self.train, self.id, self.target, features.get("drop_columns"), features.get("use_id", False)) if c != "row_pos"]
 
