@@ -202,10 +202,14 @@ def removals(docs: DataFrame) -> DataFrame:
     sets = classes.join(met.select("cls").distinct(), "cls", "left_semi").select("cls", "shingles").dropDuplicates(["cls"])
     links = met.join(sets, "cls").select("key", "cls", "shingles").repartition("key").sortWithinPartitions("key", "cls").mapInArrow(_linked, "a long, b long")
     clusters = components(links)
-    named = found.drop("bands", "shingles").join(clusters.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("cluster_id", F.coalesce("component", "cls"))
+    # Who keeps what is settled by class, of which copies are one; only the last join meets every paragraph, and its
+    # large side comes straight from a shuffle, so a class that very many documents share can be split there.
     order = F.coalesce("doc_id", F.lit(LAST))
-    keeper = named.groupBy("cluster_id").agg(F.min(order).alias("kept_doc_id"))
-    gone = named.join(keeper, "cluster_id").where(order > F.col("kept_doc_id"))
+    least = found.groupBy("cls").agg(F.min(order).alias("least"))
+    named = least.join(clusters.select(F.col("node").alias("cls"), "component"), "cls", "left").select("cls", "least", F.coalesce("component", "cls").alias("cluster_id"))
+    keeper = named.groupBy("cluster_id").agg(F.min("least").alias("kept_doc_id"))
+    by_class = named.join(keeper, "cluster_id").select("cls", "cluster_id", "kept_doc_id")
+    gone = found.drop("bands", "shingles").join(by_class, "cls").where(order > F.col("kept_doc_id"))
     by_doc = Window.partitionBy("doc_id", "text_hash").orderBy("para")
     runs = gone.distinct().withColumn("_run", F.col("para") - F.row_number().over(by_doc))
     words = F.sum("n_words").over(Window.partitionBy("doc_id", "text_hash", "_run"))
