@@ -85,7 +85,7 @@ def predict(model, df: DataFrame, keys: list[str], columns: list[str], name: str
     return out.select(*keys, F.get(vector_to_array(model.getProbabilityCol()), 1).alias(name))
 
 
-def cross_fitted(df: DataFrame, keys: list[str], columns: list[str], label: str, fold: str = "fold", c: float = 1.0, scale: bool = True) -> DataFrame:
+def cross_fitted(df: DataFrame, keys: list[str], columns: list[str], label: str, fold: str = "fold", c: float = 1.0, scale: bool = True, iterations: int = 100) -> DataFrame:
     """Out-of-fold scores: one fit per fold on the rows of the others (scaled by them if asked for)."""
     df = written(df.select(*dict.fromkeys([*keys, *columns, label, fold])), "stack")
     folds = sorted(r[fold] for r in df.select(fold).distinct().collect())  # a row per fold
@@ -94,7 +94,7 @@ def cross_fitted(df: DataFrame, keys: list[str], columns: list[str], label: str,
         train, valid = df.where(F.col(fold) != k), df.where(F.col(fold) == k)
         if scale:
             train, valid = scaled(train, [valid], columns)
-        parts.append(predict(fit_logistic(train, columns, label, c), valid, keys, columns))
+        parts.append(predict(fit_logistic(train, columns, label, c, iterations), valid, keys, columns))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -113,11 +113,11 @@ def final_logistic(train: DataFrame, test: DataFrame, keys: list[str], columns:
     return predict(model, test, keys, columns), weights
 
 
-def best_of_grid(df: DataFrame, keys: list[str], columns: list[str], label: str, grid: list[float], fold: str = "fold", scale: bool = True) -> tuple[float, float, DataFrame]:
+def best_of_grid(df: DataFrame, keys: list[str], columns: list[str], label: str, grid: list[float], fold: str = "fold", scale: bool = True, iterations: int = 100) -> tuple[float, float, DataFrame]:
     """(c, auc, out-of-fold scores) of the best c; the first one wins ties."""
     best = None
     for c in grid:
-        scores = cross_fitted(df, [*keys, label], columns, label, fold, c, scale)
+        scores = cross_fitted(df, [*keys, label], columns, label, fold, c, scale, iterations)
         auc = roc_auc(scores, label, "score").first()["auc"]
         if best is None or auc > best[1]:
             best = c, auc, scores

@@ -550,7 +550,7 @@ def logistic_stack(spark, sf):
 @query()
 def regime_stack(spark, sf):
     d = stack.regime_design(_logits(spark, sf, train), ["id", "y", "fold"], MODELS, "missing").persist()
-    _, _, scores = stack.best_of_grid(d, ["id"], [c for c in d.columns if c not in ("id", "y", "fold")], "y", [0.1, 1.0])
+    _, _, scores = stack.best_of_grid(d, ["id"], [c for c in d.columns if c not in ("id", "y", "fold")], "y", [0.1, 1.0], iterations=30)
     return rounded(scores, "score")
 
 
