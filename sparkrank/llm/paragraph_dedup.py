@@ -209,7 +209,7 @@ def removals(docs: DataFrame) -> DataFrame:
     named = least.join(clusters.select(F.col("node").alias("cls"), "component"), "cls", "left").select("cls", "least", F.coalesce("component", "cls").alias("cluster_id"))
     keeper = named.groupBy("cluster_id").agg(F.min("least").alias("kept_doc_id"))
     by_class = named.join(keeper, "cluster_id").select("cls", "cluster_id", "kept_doc_id")
-    gone = found.drop("bands", "shingles").join(by_class, "cls").where(order > F.col("kept_doc_id"))
+    gone = found.drop("bands", "shingles").join(by_class, "cls").where(order > F.col("kept_doc_id")).drop("cls").repartition("doc_id", "text_hash")
     by_doc = Window.partitionBy("doc_id", "text_hash").orderBy("para")
     runs = gone.distinct().withColumn("_run", F.col("para") - F.row_number().over(by_doc))
     words = F.sum("n_words").over(Window.partitionBy("doc_id", "text_hash", "_run"))
