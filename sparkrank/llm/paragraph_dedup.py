@@ -32,7 +32,8 @@ from sparkrank.llm.units import Unit, units, with_shared
 
 SHINGLE, SIMILARITY = 5, 0.8
 RECALL = 0.998
-MIN_RUN = 12
+#: A lone short line that many documents share is no passage; what goes must have so many words in a row.
+MIN_RUN = 20
 CHUNK = 1 << 20
 LAST = np.iinfo(np.int64).max
 FOUND = {"doc_id": pa.int64(), "text_hash": pa.int64(), "para": pa.int64(), "start": pa.int64(), "end": pa.int64(), "n_words": pa.int64(), "cls": pa.int64(), "bands": pa.list_(pa.int64()), "shingles": pa.binary()}
