@@ -417,7 +417,7 @@ _DIM = 64
 def _vectors(spark, sf):
     e = table(spark, sf, "embeddings")
     flat = e.select(F.col("vec_id").cast("long").alias("vec_id"), (F.col("label") < 5).cast("int").alias("y"), *[F.get("embedding", k).cast("double").alias(f"e{k}") for k in range(_DIM)])
-    return flat.where("vec_id < 400"), flat.where("vec_id >= 400 and vec_id < 1400")
+    return flat.where("vec_id < 400"), flat.where("vec_id >= 400")
 
 
 _KNN = """e as (select vec_id, case when label < 5 then 1 else 0 end as y, list_transform(embedding, lambda v: v::double) as v from embeddings), p as (select * from e where vec_id < 400), q as (select vec_id, v from e where vec_id >= 400 and vec_id < 1400),
