@@ -569,7 +569,7 @@ def _small(spark, sf):
 @query()
 def gbt_oof(spark, sf):
     d = _small(spark, sf).persist()
-    scores, _, _ = models.out_of_fold(models.Experiment("gbt", "gbt", params={"maxIter": 3, "maxDepth": 3}), d.where("fold < 2"), None, "id", [c for c in d.columns if c not in ("id", "y", "fold")], "y")
+    scores, _, _ = models.out_of_fold(models.Experiment("gbt", "gbt"), d, None, "id", [c for c in d.columns if c not in ("id", "y", "fold")], "y")
     return rounded(scores, "score")
 
 

@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 
 from sparkrank import queries
+from sparkrank.fixtures import train
+from sparkrank.operators import models
 
 
 @pytest.fixture
@@ -31,3 +33,12 @@ def test_knn_queries_answer_every_vector(spark, vectors):
         assert [features[i][c] for c in ("label_mean_5", "label_weighted_5", "distance_mean_5", "distance_min")] == pytest.approx(wanted, abs=1e-6)
         zero, one = (gap[y[parent] == c].min() for c in (0, 1))
         assert [margins[i][c] for c in ("distance_class_0", "distance_class_1", "distance_margin")] == pytest.approx([zero, one, zero - one], abs=1e-6)
+
+
+def test_gbt_oof_scores_every_train_row_with_the_operators_parameters(spark, sf, monkeypatch):
+    used = []
+    estimator = models._estimator
+    monkeypatch.setattr(models, "_estimator", lambda model, params, *a: used.append(params) or estimator(model, params | {"maxIter": 1, "maxDepth": 1}, *a))
+    scored = [r["id"] for r in queries.gbt_oof(spark, sf).collect()]
+    assert sorted(scored) == sorted(r["id"] for r in train(spark, sf).select("id").collect())
+    assert used == [{}] * 5
