@@ -93,12 +93,13 @@ def out_of_fold(experiment: Experiment, train: DataFrame, test: DataFrame | None
     return union(valid_parts), union(test_parts) if test_parts else None, sorted(weights.items(), key=lambda r: (-r[1], r[0]))
 
 
-def adversarial_scores(train: DataFrame, test: DataFrame, id_col: str, columns: list[str], rows: int = 100_000, folds: int = 3, seed: int = 42) -> DataFrame:
+def adversarial_scores(train: DataFrame, test: DataFrame, id_col: str, columns: list[str], rows: int | None = 100_000, folds: int = 3, seed: int = 42) -> DataFrame:
     """(id, came_from_test, score): out-of-fold scores of a forest that tells test rows from train rows, over at most
-    ``rows`` of each. An AUC near one half says that they are alike."""
+    ``rows`` of each (None: all). An AUC near one half says that they are alike."""
     from sparkrank.operators.folds import exact_sample, stratified_folds
 
-    parts = [exact_sample(df.select(id_col, *columns), id_col, rows, seed).withColumn("came_from_test", F.lit(k)) for k, df in enumerate((train, test))]
+    own = [df.select(id_col, *columns) for df in (train, test)]
+    parts = [(df if rows is None else exact_sample(df, id_col, rows, seed)).withColumn("came_from_test", F.lit(k)) for k, df in enumerate(own)]
     both = stratified_folds(parts[0].unionByName(parts[1]), id_col, "came_from_test", folds, seed)
     scores, _, _ = out_of_fold(Experiment("adversarial", "forest", seeds=(seed,)), both, None, id_col, columns, "came_from_test")
     return both.select(id_col, "came_from_test").join(scores, id_col)

@@ -576,7 +576,7 @@ def gbt_oof(spark, sf):
 @query()
 def adversarial_auc(spark, sf):
     d = encode.encoded(obs(spark, sf).select("id", "split", "x1", "m1"), ["id", "split"], ["x1"])
-    both = models.adversarial_scores(d.where("split = 'train'"), d.where("split = 'test'"), "id", ["x1", "x1__missing"], rows=3000)
+    both = models.adversarial_scores(d.where("split = 'train'"), d.where("split = 'test'"), "id", ["x1", "x1__missing"], rows=None)
     return rounded(ranking.roc_auc(both, "came_from_test", "score"), "auc")
 
 

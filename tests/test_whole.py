@@ -42,3 +42,12 @@ def test_gbt_oof_scores_every_train_row_with_the_operators_parameters(spark, sf,
     scored = [r["id"] for r in queries.gbt_oof(spark, sf).collect()]
     assert sorted(scored) == sorted(r["id"] for r in train(spark, sf).select("id").collect())
     assert used == [{}] * 5
+
+
+def test_adversarial_auc_judges_every_row(spark, tmp_path, monkeypatch):
+    estimator = models._estimator
+    monkeypatch.setattr(models, "_estimator", lambda model, params, *a: estimator(model, params | {"numTrees": 1, "maxDepth": 1}, *a))
+    orders = spark.range(1, 11001).selectExpr("id as o_orderkey", "'F' as o_orderstatus", "cast(id % 97 as double) as o_totalprice", "'1-URGENT' as o_orderpriority")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    row = queries.adversarial_auc(spark, str(tmp_path)).first()
+    assert sorted(v for c, v in row.asDict().items() if c != "auc") == [3300, 7700] and 0.4 < row["auc"] < 0.6
