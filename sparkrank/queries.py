@@ -478,13 +478,13 @@ def greedy_step_candidates(spark, sf):
 
 @query()
 def greedy_rank_weights(spark, sf):
-    weights, _ = blend.greedy_weights(obs(spark, sf).select("id", "y", *MODELS), "id", "y", MODELS, steps=6)
+    weights, _ = blend.greedy_weights(obs(spark, sf).select("id", "y", *MODELS), "id", "y", MODELS)
     return spark.createDataFrame([(m, float(weights.get(m, 0.0))) for m in MODELS], "model string, weight double")
 
 
 @query()
 def stable_rank_weights(spark, sf):
-    return blend.stable_weights(obs(spark, sf).select("id", "y", *MODELS), "id", "y", MODELS, rounds=3, cap=4000, steps=3)
+    return blend.stable_weights(obs(spark, sf).select("id", "y", *MODELS), "id", "y", MODELS)
 
 
 @query("""with w as (select * from (values (0, 'a', 0.5::double), (1, 'a', 0.25), (2, 'a', 1.0), (0, 'b', 0.5), (1, 'b', 0.75), (2, 'b', 0.0), (0, 'c', 0.0), (1, 'c', 0.0), (2, 'c', 0.0)) t(round, model, weight)),

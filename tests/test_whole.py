@@ -5,7 +5,7 @@ import pytest
 
 from sparkrank import queries
 from sparkrank.fixtures import train
-from sparkrank.operators import models
+from sparkrank.operators import blend, models
 
 
 @pytest.fixture
@@ -51,3 +51,17 @@ def test_adversarial_auc_judges_every_row(spark, tmp_path, monkeypatch):
     orders.write.parquet(f"{tmp_path}/orders.parquet")
     row = queries.adversarial_auc(spark, str(tmp_path)).first()
     assert sorted(v for c, v in row.asDict().items() if c != "auc") == [3300, 7700] and 0.4 < row["auc"] < 0.6
+
+
+def test_rank_weights_are_searched_with_the_operators_defaults(spark, sf, monkeypatch):
+    searched, sampled = [], []
+    sample = blend.stratified_subsample
+
+    def rounds(ranked, label, names, rounds, steps, gain):
+        searched.append((rounds, steps, gain))
+        return {r: ({"m1": 1.0}, []) for r in rounds}
+
+    monkeypatch.setattr(blend, "greedy_rounds", rounds)
+    monkeypatch.setattr(blend, "stratified_subsample", lambda df, id_col, label, share, cap, rounds, seed: sampled.append((share, cap, rounds)) or sample(df, id_col, label, share, cap, rounds, seed))
+    assert queries.greedy_rank_weights(spark, sf).count() == queries.stable_rank_weights(spark, sf).count() == 4
+    assert searched == [([0], 40, 1e-6), (list(range(25)), 40, 1e-6)] and sampled == [(0.8, 120_000, 25)]
