@@ -58,5 +58,5 @@ def per_batch(fn, names: dict[str, pa.DataType]):
 
 
 def ddl(names: dict[str, pa.DataType]) -> str:
-    kinds = {pa.int64(): "long", pa.int32(): "int", pa.float64(): "double", pa.string(): "string", pa.bool_(): "boolean", pa.binary(): "binary", pa.list_(pa.int64()): "array<long>", pa.list_(pa.int32()): "array<int>"}
+    kinds = {pa.int64(): "long", pa.int32(): "int", pa.float64(): "double", pa.string(): "string", pa.bool_(): "boolean", pa.binary(): "binary", pa.list_(pa.int64()): "array<long>", pa.list_(pa.int32()): "array<int>", pa.list_(pa.int16()): "array<short>"}
     return ", ".join(f"{n} {kinds[t]}" for n, t in names.items())

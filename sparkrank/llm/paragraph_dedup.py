@@ -10,7 +10,8 @@ stand, but for the first and last one. Paragraphs of fewer than five words are n
 2. Equal paragraphs are one class. Classes that collide in a band are verified by the exact Jaccard similarity
    of their shingle sets; a band's group yields a spanning forest of its links, never its pairs.
 3. Components of classes are clusters. A cluster's paragraphs stay in the document with the smallest id and go
-   from all others, if with their removed neighbours they make at least ``MIN_RUN`` words.
+   from all others, if the repeat has at least ``MIN_RUN`` words: removed neighbours, and the words around them that
+   match those around the kept paragraph one by one (a passage's first and last words stand in the host's sentences).
 
 Null and empty texts have no paragraphs. Equal ids (repeated rows) are one document to each other: nothing goes
 because of them. A null id counts as larger than all others. Other columns are ignored by the search and kept
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkrank.llm.common import documents, free_name, written
@@ -32,11 +33,13 @@ from sparkrank.llm.units import Unit, units, with_shared
 
 SHINGLE, SIMILARITY = 5, 0.8
 RECALL = 0.998
-#: A lone short line that many documents share is no passage; what goes must have so many words in a row.
+#: A lone short line that many documents share is no passage; the repeat must have so many words in a row.
 MIN_RUN = 20
+#: Words beyond ``MIN_RUN`` that a paragraph and its surroundings on one side have: a similar paragraph may be longer.
+SLACK = 4
 CHUNK = 1 << 20
 LAST = np.iinfo(np.int64).max
-FOUND = {"doc_id": pa.int64(), "text_hash": pa.int64(), "para": pa.int64(), "start": pa.int64(), "end": pa.int64(), "n_words": pa.int64(), "cls": pa.int64(), "bands": pa.list_(pa.int64()), "shingles": pa.binary()}
+FOUND = {"doc_id": pa.int64(), "text_hash": pa.int64(), "para": pa.int64(), "start": pa.int64(), "end": pa.int64(), "n_words": pa.int64(), "cls": pa.int64(), "before": pa.list_(pa.int16()), "after": pa.list_(pa.int16()), "bands": pa.list_(pa.int64()), "shingles": pa.binary()}
 
 
 def tuned(similarity: float = SIMILARITY, recall: float = RECALL, rows: int = 2) -> tuple[int, int]:
@@ -120,6 +123,25 @@ def paragraphs(unit: Unit) -> tuple[np.ndarray, ...]:
     return keys.ravel(), np.repeat(row, BANDS), row, start, end, words, count, cls, shingles
 
 
+def _around(data: np.ndarray, lo: int, start: int, end: int, hi: int, n: int) -> tuple[list[int], list[int]]:
+    """Hashes (16 bits, A-Z lowered) of up to ``n`` words before and after a paragraph of the text at ``lo`` to ``hi``,
+    the nearest first."""
+    import xxhash
+
+    def words(size: int) -> tuple[list[bytes], list[bytes]]:
+        left, right = max(lo, start - size), min(hi, end + size)
+        before, after = data[left:start].tobytes().split(), data[end:right].tobytes().split()
+        # A word that the window cuts isn't known.
+        return before[::-1][: len(before) - (left > lo and len(before) > 0)], after[: len(after) - (right < hi and len(after) > 0)]
+
+    size = 16 * n
+    before, after = words(size) if n > 0 else ([], [])
+    while n > 0 and (len(before) < n and start - size > lo or len(after) < n and end + size < hi):
+        size *= 4
+        before, after = words(size)
+    return tuple([(xxhash.xxh32_intdigest(w.lower()) & 0xFFFF) - 0x8000 for w in side[:n]] for side in (before, after))
+
+
 def _candidates(number, unit, shared, found):
     import xxhash
 
@@ -139,7 +161,7 @@ def _candidates(number, unit, shared, found):
         c = int(cls[k])
         first = c not in sent
         sent.add(c)
-        rows.append((unit.doc_ids[r], hashes[r], int(para[k]), int(start[k] - unit.starts[r]), int(end[k] - unit.starts[r]), int(words[k]), c - (1 << 64) if c >> 63 else c, keys[k][shared[k]].view(np.int64).tolist() if first else None, np.unique(shingles[firsts[k] : firsts[k] + count[k]]).tobytes() if first else None))
+        rows.append((unit.doc_ids[r], hashes[r], int(para[k]), int(start[k] - unit.starts[r]), int(end[k] - unit.starts[r]), int(words[k]), c - (1 << 64) if c >> 63 else c, *_around(unit.data, int(unit.starts[r]), int(start[k]), int(end[k]), int(unit.starts[r] + unit.lengths[r]), MIN_RUN + SLACK - int(words[k])), keys[k][shared[k]].view(np.int64).tolist() if first else None, np.unique(shingles[firsts[k] : firsts[k] + count[k]]).tobytes() if first else None))
     for lo in range(0, len(rows), 20_000):
         yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows[lo : lo + 20_000], strict=True), FOUND.values(), strict=True)], schema=pa.schema(list(FOUND.items())))
 
@@ -213,8 +235,29 @@ def removals(docs: DataFrame) -> DataFrame:
     gone = found.drop("bands", "shingles").join(by_class, "cls").where(order > F.col("kept_doc_id")).drop("cls").repartition("doc_id", "text_hash")
     by_doc = Window.partitionBy("doc_id", "text_hash").orderBy("para")
     runs = gone.distinct().withColumn("_run", F.col("para") - F.row_number().over(by_doc))
-    words = F.sum("n_words").over(Window.partitionBy("doc_id", "text_hash", "_run"))
-    return runs.withColumn("_words", words).where(F.col("_words") >= MIN_RUN).select("doc_id", "text_hash", "para", "start", "end", "n_words", "cluster_id", "kept_doc_id")
+    whole = Window.partitionBy("doc_id", "text_hash", "_run")
+    ends = {"_words": F.sum("n_words").over(whole), "_first": F.col("para") == F.min("para").over(whole), "_last": F.col("para") == F.max("para").over(whole)}
+    runs = written(runs.withColumns(ends), "runs")
+    # Where a run is short, the words around its first and last paragraph are held against each kept occurrence.
+    short = runs.where((F.col("_words") < MIN_RUN) & (F.col("_first") | F.col("_last")))
+    asked = by_class.join(short.select("cluster_id").distinct(), "cluster_id", "left_semi")
+    kept = found.where((F.size("before") > 0) | (F.size("after") > 0)).select("cls", order.alias("_order"), "before", "after").join(asked, "cls")
+    kept = kept.where(F.col("_order") == F.col("kept_doc_id")).select("cluster_id", F.col("before").alias("_before"), F.col("after").alias("_after")).distinct()
+    more = F.when(F.col("_first"), _matching("before", "_before")).otherwise(0) + F.when(F.col("_last"), _matching("after", "_after")).otherwise(0)
+    # A null id or hash can't be a key of these joins as it stands.
+    key = F.struct(order.alias("d"), F.col("text_hash").alias("h"), F.col("_run").alias("r"))
+    best = short.join(kept, "cluster_id").groupBy(key.alias("_key"), "para", "_words").agg(F.max(more).alias("_more"))
+    longer = best.groupBy("_key").agg((F.max("_words") + F.sum("_more")).alias("_n")).where(F.col("_n") >= MIN_RUN)
+    names = ["doc_id", "text_hash", "para", "start", "end", "n_words", "cluster_id", "kept_doc_id"]
+    extended = runs.where(F.col("_words") < MIN_RUN).withColumn("_key", key).join(longer, "_key", "left_semi")
+    return runs.where(F.col("_words") >= MIN_RUN).select(*names).unionByName(extended.select(*names))
+
+
+def _matching(a: str, b: str) -> Column:
+    """How many of the first words of two lists are the same."""
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    other = F.array_position(same, False)
+    return F.when(other > 0, other - 1).otherwise(F.size(same))
 
 
 def cleaned(docs: DataFrame, gone: DataFrame, text_col: str = "text") -> DataFrame:
