@@ -5,7 +5,7 @@ import pytest
 
 from sparkrank import queries
 from sparkrank.fixtures import train
-from sparkrank.llm import paragraph_dedup
+from sparkrank.llm import paragraph_dedup, quality_classifier
 from sparkrank.operators import blend, models
 
 
@@ -90,3 +90,7 @@ def test_words_around_a_paragraph_stay_in_its_text():
     assert (len(before), len(after)) == (3, 2)
     assert paragraph_dedup._around(data, lo, start, start + 10, hi, 1) == (before[:1], after[:1])
     assert paragraph_dedup._around(data, lo, start, start + 10, hi, 0) == ([], [])
+
+
+def test_shape_reads_the_whole_word():
+    assert quality_classifier.shape("ab1" * 100 + "-X9") != quality_classifier.shape("ab1" * 100 + "+x")
