@@ -2,17 +2,27 @@
 
 Suffixes are classified as S (smaller than the next one) or L (larger). The leftmost S suffixes of each run
 (LMS) are sorted; all others follow from them by induction: scanning the array from left to right puts each
-L suffix at the head of its first byte's bucket, scanning from right to left each S suffix at its tail. A
-bucket is scanned in waves: everything known of it induces at once; what that adds to the bucket itself is
-the next wave. Induction from unsorted LMS suffixes sorts the LMS *substrings*, whose ranks spell a reduced
-text. Its alphabet is about as large as the reduced text is long, so there are no buckets left to vectorise
-over; the recursion on it sorts its suffixes by doubling the ranked length for the ones that still tie.
+L suffix at the head of its first value's bucket, scanning from right to left each S suffix at its tail.
+Induction from unsorted LMS suffixes sorts the LMS *substrings*; equal ones, compared value by value, get one
+name, and the names spell a reduced text of at most half the length. Its suffixes are sorted by the same
+procedure, level by level, until all names differ.
+
+A scan goes through batches of neighbouring buckets. A batch ends before the first bucket that a suffix of the
+batch itself would induce into, so what it holds is complete when its turn comes and induces at once. A text
+of ``k`` values needs about the square root of ``k`` batches, so the large alphabets of reduced texts are no
+slower than bytes. A bucket that induces into itself (repeated values) is scanned in waves.
+
+Arrays are of 32 bits: about 35 bytes a byte of text at most, with what the common prefixes take.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Values compared at a time.
+BLOCK = 1 << 18
+_ZERO = np.zeros(1, np.int64)
+
 
 def prefix_hashes(values: np.ndarray, multiplier: int) -> tuple[np.ndarray, np.ndarray]:
     """(P, R): the hash of values[a:b] is (P[b] - P[a]) * R[a] modulo 2**64."""
@@ -38,101 +48,165 @@ def _smaller(s: np.ndarray) -> np.ndarray:
     return np.repeat(kind, np.diff(ends, prepend=-1))
 
 
+def _batches(limit: np.ndarray, sigma: int) -> np.ndarray:
+    """Ends of the batches from bucket 0 on. ``limit[c]``: the largest bucket below or at ``c`` that induces into it."""
+    ends, begin = [], 0
+    for c, least in enumerate(limit.tolist()):
+        if least >= begin and c > begin:  # c waits for a bucket of this batch
+            ends.append(c)
+            begin = c
+        if least == c:  # it waits for itself: alone, and scanned in waves
+            ends.append(c + 1)
+            begin = c + 1
+    if begin < sigma:
+        ends.append(sigma)
+    return np.array(ends)
+
+
+def _nearest(at: np.ndarray, by: np.ndarray, sigma: int) -> np.ndarray:
+    """Of each bucket, the largest of those that induce into it (``at[k]`` is induced by ``by[k]``); -1 for none."""
+    if sigma <= 512:
+        seen = np.zeros((sigma, sigma), bool)
+        seen[at, by] = True
+        return np.where(seen.any(axis=1), sigma - 1 - np.argmax(seen[:, ::-1], axis=1), -1)
+    nearest = np.full(sigma, -1, np.int64)
+    np.maximum.at(nearest, at, by)
+    return nearest
+
+
+def _order(values: np.ndarray) -> np.ndarray:
+    """Stable order of small whole numbers."""
+    if values.dtype.itemsize <= 2:
+        return np.argsort(values, kind="stable")
+    keys = values.astype(np.int64) << 32
+    keys |= np.arange(len(values))
+    keys.sort()
+    keys &= 0xFFFFFFFF
+    return keys
+
+
 class _Text:
     def __init__(self, s: np.ndarray, sigma: int):
         self.s, self.n, self.sigma = s, len(s), sigma
-        self.is_s = _smaller(s)
+        is_s = _smaller(s)
         is_lms = np.zeros(self.n, bool)
-        is_lms[1:] = self.is_s[1:] & ~self.is_s[:-1]
+        is_lms[1:] = is_s[1:] & ~is_s[:-1]
         self.is_lms, self.lms = is_lms, np.flatnonzero(is_lms).astype(np.int32)
-        # What precedes suffix i: twice its byte, plus one if it is S; nothing precedes suffix 0.
-        before = np.empty(self.n, np.int16)
-        before[1:] = 2 * s[:-1] + self.is_s[:-1]
-        before[0] = -1
-        self.before = before
-        self.ends = np.cumsum(np.bincount(s, minlength=sigma))
-        self.starts = self.ends - np.bincount(s, minlength=sigma)
+        # What precedes suffix i: twice its value, plus one if it is S. Nothing precedes suffix 0, as which empty places (-1) are read.
+        self.before = np.empty(self.n, s.dtype)
+        self.before[1:] = 2 * s[:-1] + is_s[:-1]
+        counts = np.bincount(s, minlength=sigma)
+        self.ends = np.cumsum(counts)
+        self.starts = self.ends - counts
+        left, right = np.flatnonzero(~is_s), np.flatnonzero(is_s[:-1])
+        self.left = _batches(_nearest(s[left], s[left + 1], sigma), sigma)
+        self.right = _batches(_nearest(sigma - 1 - s[right], sigma - 1 - s[right + 1], sigma), sigma)
 
     def induce(self, seeds: np.ndarray) -> np.ndarray:
         """The suffix array that follows from the LMS suffixes in the order of ``seeds``."""
-        sa = np.full(self.n, -1, np.int32)
-        by_byte = np.argsort(self.s[seeds].astype(np.uint16), kind="stable")
-        seeds = seeds[by_byte]
-        cuts = np.searchsorted(self.s[seeds], np.arange(self.sigma + 1))
-        head = self.starts.copy()
-        for c in range(self.sigma):
-            at = int(self.starts[c])
-            while at < head[c]:
-                wave, at = sa[at : head[c]], int(head[c])
-                self._put_left(sa, head, wave)
-            if cuts[c + 1] > cuts[c]:
-                self._put_left(sa, head, seeds[cuts[c] : cuts[c + 1]])
-        tail, heads = self.ends.copy(), head
-        for c in range(self.sigma - 1, -1, -1):
-            at = int(self.ends[c])
-            if c == self.s[-1]:
-                tail[c] -= 1
-                sa[tail[c]] = self.n - 1  # the sentinel, which nothing induces
-            while at > tail[c]:
-                wave, at = sa[tail[c] : at][::-1], int(tail[c])
-                self._put_right(sa, tail, wave)
-            if heads[c] > self.starts[c]:
-                self._put_right(sa, tail, sa[self.starts[c] : heads[c]][::-1])
+        s, sa = self.s, np.full(self.n, -1, np.int32)
+        value = s[seeds]
+        order = _order(value)
+        value = value[order]
+        # The seeds at the tails of their buckets, in their order.
+        many = np.bincount(value, minlength=self.sigma)
+        at = (self.ends - np.cumsum(many)).take(value) + np.arange(len(value))
+        sa[at] = seeds[order]
+        head, begin = self.starts.copy(), 0
+        self.before[0] = -1
+        for end in self.left.tolist():
+            lo, hi = int(self.starts[begin]), int(self.ends[end - 1])
+            if end == begin + 1 and hi > lo:
+                reached = lo
+                while reached < head[begin]:  # waves: what a wave adds to its own bucket is the next one
+                    wave, reached = sa[reached : head[begin]], int(head[begin])
+                    self._put(sa, head, wave, 1)
+                lo = max(reached, hi - int(many[begin]))
+            if hi > lo:
+                self._put(sa, head, sa[lo:hi], 1)
+            begin = end
+        sa[at] = -1
+        tail, begin = self.ends.copy(), 0
+        last = self.n - 1  # the sentinel, which nothing induces
+        tail[s[last]] -= 1
+        sa[tail[s[last]]] = last
+        self.before[0] = -2
+        for end in self.right.tolist():
+            low, high = self.sigma - end, self.sigma - 1 - begin
+            lo, hi = int(self.starts[low]), int(self.ends[high])
+            if end == begin + 1 and hi > lo:
+                reached = hi
+                while reached > tail[low]:
+                    wave, reached = sa[tail[low] : reached][::-1], int(tail[low])
+                    self._put(sa, tail, wave, -1)
+                hi = min(reached, int(head[low]))
+            if hi > lo:
+                self._put(sa, tail, sa[lo:hi][::-1], -1)
+            begin = end
         return sa
 
-    def _put_left(self, sa, head, wave) -> None:
-        code = self.before[wave]
-        keep = (code >= 0) & (code & 1 == 0)
-        if not keep.any():
-            return
-        byte, place = code[keep] >> 1, wave[keep] - 1
-        counts = np.bincount(byte, minlength=self.sigma)
-        order = np.argsort(byte.astype(np.uint16), kind="stable")
-        byte = byte[order]
-        first = np.cumsum(counts) - counts
-        sa[(head - first)[byte] + np.arange(len(byte))] = place[order]
-        head += counts
-
-    def _put_right(self, sa, tail, wave) -> None:
-        code = self.before[wave]
-        keep = code & 1 == 1
-        keep &= code >= 0
-        if not keep.any():
+    def _put(self, sa: np.ndarray, edge: np.ndarray, wave: np.ndarray, way: int) -> None:
+        """Puts what stands before the suffixes of a wave at the edges of its buckets: L suffixes (way 1) from the
+        heads on, S suffixes (way -1) from the tails back."""
+        code = self.before.take(wave, mode="clip")
+        keep = np.flatnonzero((code & 1) == (way < 0))
+        if not len(keep):
             return
-        byte, place = code[keep] >> 1, wave[keep] - 1
-        counts = np.bincount(byte, minlength=self.sigma)
-        order = np.argsort(byte.astype(np.uint16), kind="stable")
-        byte = byte[order]
-        first = np.cumsum(counts) - counts
-        sa[(tail - 1 + first)[byte] - np.arange(len(byte))] = place[order]
-        tail -= counts
-
-
-def _sorted_reduced(names: np.ndarray) -> np.ndarray:
-    """Ranks of the suffixes of the reduced text, all different."""
-    n = len(names)
-    order = np.argsort(names, kind="stable")
-    ordered = names[order]
-    fresh = np.append(True, ordered[1:] != ordered[:-1])
-    start = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    rank = np.empty(n, np.int64)
-    rank[order] = start
-    tied = order[~(fresh & np.append(fresh[1:], True))]
-    step = 1
-    while len(tied):
-        ahead = tied + step
-        second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        key = (rank[tied].astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64)
-        order = np.argsort(key, kind="stable")
-        tied, key = tied[order], key[order]
-        first = key >> np.uint64(32)
-        fresh = np.append(True, key[1:] != key[:-1])
-        places = np.arange(len(tied))
-        group = np.maximum.accumulate(np.where(np.append(True, first[1:] != first[:-1]), places, 0))
-        rank[tied] = first.astype(np.int64) + np.maximum.accumulate(np.where(fresh, places, 0)) - group
-        tied = tied[~(fresh & np.append(fresh[1:], True))]
-        step *= 2
-    return rank
+        value = code.take(keep) >> 1
+        order = _order(value)
+        value, place = value.take(order), wave.take(keep.take(order))
+        place -= 1
+        first = np.flatnonzero(value[1:] != value[:-1]) + 1
+        first = np.concatenate([_ZERO, first])
+        counts = np.diff(first, append=len(value))
+        buckets = value.take(first)
+        at = edge.take(buckets)
+        edge[buckets] = at + way * counts
+        sa[np.repeat(at - (way < 0) - way * first, counts) + way * np.arange(len(value))] = place
+
+    def rank(self, order: np.ndarray) -> np.ndarray:
+        """The numbers of LMS suffixes from the left on."""
+        number = np.empty(self.n, np.int32)
+        number[self.lms] = np.arange(len(self.lms), dtype=np.int32)
+        return number.take(order)
+
+    def names(self, order: np.ndarray) -> np.ndarray:
+        """Of the LMS substrings in their order: numbers that are equal for equal ones. A substring reaches to the
+        next LMS suffix, included; equal values up to there are of equal types."""
+        until = np.empty(len(self.lms), np.int32)
+        until[:-1], until[-1] = self.lms[1:] + 1, self.n
+        length = until[self.rank(order)] - order
+        fresh = np.append(True, length[1:] != length[:-1])
+        same = np.flatnonzero(~fresh)
+        ends = np.cumsum(length[same], dtype=np.int64)
+        lo = 0
+        while lo < len(same):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BLOCK, "right")))
+            own, sizes = same[lo:hi], length[same[lo:hi]]
+            offset = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            equal = self.s.take(np.repeat(order[own - 1], sizes) + offset) == self.s.take(np.repeat(order[own], sizes) + offset)
+            fresh[own] = ~np.logical_and.reduceat(equal, np.cumsum(sizes) - sizes)
+            lo = hi
+        return np.cumsum(fresh, dtype=np.int32) - 1
+
+
+def _induced(s: np.ndarray, sigma: int) -> np.ndarray:
+    """The suffix array of a text whose last value is its unique smallest one."""
+    text = _Text(s, sigma)
+    seeds = text.lms
+    if len(seeds) > 1:
+        by_substring = text.induce(seeds)
+        by_substring = by_substring.compress(text.is_lms.take(by_substring))
+        names = text.names(by_substring)
+        many = int(names[-1]) + 1
+        if many == len(seeds):
+            seeds = by_substring
+        else:
+            reduced = np.empty(len(seeds), np.int32)
+            reduced[text.rank(by_substring)] = names
+            del by_substring, names
+            seeds = seeds[_induced(reduced, many)]
+    return text.induce(seeds)
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
@@ -143,29 +217,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     s[:-1] = data
     s[:-1] += 1
     s[-1] = 0
-    text = _Text(s, 257)
-    lms = text.lms
-    if len(lms) > 1:
-        by_substring = text.induce(lms)
-        by_substring = by_substring[text.is_lms[by_substring]]
-        # An LMS substring reaches to the next one, included; equal ones follow each other and get one name.
-        sums, inverse = prefix_hashes(s, 0x9E3779B97F4A7C15)
-        until = np.full(text.n, text.n, np.int64)
-        until[lms[:-1]] = lms[1:] + 1
-        ends = until[by_substring]
-        marks = (sums[ends] - sums[by_substring]) * inverse[by_substring]
-        lengths = ends - by_substring
-        fresh = np.append(True, (marks[1:] != marks[:-1]) | (lengths[1:] != lengths[:-1]))
-        names = np.empty(text.n, np.int32)
-        names[by_substring] = np.cumsum(fresh) - 1
-        if fresh.all():
-            seeds = by_substring
-        else:
-            seeds = np.empty(len(lms), np.int32)
-            seeds[_sorted_reduced(names[lms])] = lms
-    else:
-        seeds = lms
-    return text.induce(seeds)[1:]
+    return _induced(s, 257)[1:]
 
 
 def permuted_prefixes(data: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,22 +230,27 @@ def permuted_prefixes(data: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.
     phi = np.empty(n, np.int32)
     phi[sa[1:]] = sa[:-1]
     phi[sa[0]] = -1
-    here = np.arange(n, dtype=np.int32)
-    direct = (here == 0) | (phi <= 0)
-    direct |= data[np.maximum(here, 1) - 1] != data[np.maximum(phi, 1) - 1]
-    own = np.flatnonzero(direct & (phi >= 0))
+    direct = phi <= 0
+    direct[0] = True
+    direct[1:] |= data[:-1] != data.take(phi[1:] - 1, mode="clip")
+    todo = np.flatnonzero(direct & (phi >= 0)).astype(np.int32)
     padded = np.zeros(n + 8, np.uint8)
     padded[:n] = data
-    eight = np.ndarray(n + 1, "<u8", padded.tobytes(), strides=(1,))
-    length = np.zeros(n, np.int32)
-    a, b, todo = own.astype(np.int64), phi[own].astype(np.int64), own
+    eight = np.ndarray(n + 1, "<u8", padded.data, strides=(1,))
+    reach = np.zeros(n, np.int32)
+    a, b = todo, phi[todo]
     while len(todo):
-        differ = eight[np.minimum(a, n)] ^ eight[np.minimum(b, n)]
+        differ = eight.take(a, mode="clip") ^ eight.take(b, mode="clip")
         low = differ & (~differ + np.uint64(1))
         same = np.where(differ == 0, 8, np.bitwise_count(low - np.uint64(1)) // 8)
-        length[todo] += same.astype(np.int32)
+        reach[todo] += same.astype(np.int32)
         on = (differ == 0) & (np.maximum(a, b) + 8 <= n)
         todo, a, b = todo[on], a[on] + 8, b[on] + 8
-    length = np.where(phi >= 0, np.minimum(length, n - np.maximum(here, phi)), 0)
-    reach = np.where(direct, length + here, 0)
-    return np.maximum(np.maximum.accumulate(reach) - here, 0), phi
+    here = np.arange(n, dtype=np.int32)
+    np.minimum(reach, n - np.maximum(here, phi), out=reach)
+    reach[phi < 0] = 0
+    reach += here
+    reach[~direct] = 0
+    np.maximum.accumulate(reach, out=reach)
+    reach -= here
+    return np.maximum(reach, 0, out=reach), phi
