@@ -5,7 +5,8 @@ Suffixes are classified as S (smaller than the next one) or L (larger). The left
 L suffix at the head of its first value's bucket, scanning from right to left each S suffix at its tail.
 Induction from unsorted LMS suffixes sorts the LMS *substrings*; equal ones, compared value by value, get one
 name, and the names spell a reduced text of at most half the length. Its suffixes are sorted by the same
-procedure, level by level, until all names differ.
+procedure, level by level, until all names differ; names that already do are left out but for the first after
+one that doesn't.
 
 A scan goes through batches of neighbouring buckets. A batch ends before the first bucket that a suffix of the
 batch itself would induce into, so what it holds is complete when its turn comes and induces at once. A text
@@ -198,14 +199,24 @@ def _induced(s: np.ndarray, sigma: int) -> np.ndarray:
         by_substring = text.induce(seeds)
         by_substring = by_substring.compress(text.is_lms.take(by_substring))
         names = text.names(by_substring)
-        many = int(names[-1]) + 1
-        if many == len(seeds):
-            seeds = by_substring
-        else:
-            reduced = np.empty(len(seeds), np.int32)
-            reduced[text.rank(by_substring)] = names
-            del by_substring, names
-            seeds = seeds[_induced(reduced, many)]
+        tied = np.bincount(names).take(names) > 1
+        if tied.any():
+            # A name that occurs once ends every comparison, so what follows it up to the next tied one is left out.
+            number = text.rank(by_substring)
+            reduced, again = np.empty(len(seeds), np.int32), np.empty(len(seeds), bool)
+            reduced[number], again[number] = names, tied
+            keep = again.copy()
+            keep[1:] |= again[:-1]
+            keep[-1] = True  # the sentinel
+            kept = np.flatnonzero(keep)
+            reduced = reduced.take(kept)
+            dense = np.zeros(int(names[-1]) + 1, np.int32)
+            dense[reduced] = 1
+            np.cumsum(dense, out=dense)
+            del names, number, keep
+            order = kept.take(_induced(dense.take(reduced) - 1, int(dense[-1])))
+            by_substring[tied] = seeds.take(order.compress(again.take(order)))
+        seeds = by_substring
     return text.induce(seeds)
 
 
