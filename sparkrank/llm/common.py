@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import zlib
 
 import pyarrow as pa
@@ -57,6 +59,27 @@ def per_batch(fn, names: dict[str, pa.DataType]):
     return run
 
 
+def task_memory(spark: SparkSession) -> int:
+    """Bytes of an executor's heap for each task that it runs at a time; 1 GB a task where the session doesn't say."""
+    conf = spark.sparkContext.getConf()
+    local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+    given = re.fullmatch(r"(\d+)([bkmgt]?)b?", (conf.get("spark.driver.memory" if local else "spark.executor.memory", None) or "").strip().lower())
+    if not given:
+        return 1 << 30
+    size = int(given[1]) << {"b": 0, "k": 10, "m": 20, "": 20, "g": 30, "t": 40}[given[2]]
+    cores = conf.get("spark.executor.cores", None) or (re.findall(r"local-cluster\[\d+,\s*(\d+)", spark.sparkContext.master) or [None])[0]
+    return size // max(1, spark.sparkContext.defaultParallelism if local else int(cores or 1))
+
+
+def give_back() -> None:
+    """Returns a worker's free memory to the system, where the C library can. Idle workers otherwise keep what their
+    largest group took beside those that work."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def ddl(names: dict[str, pa.DataType]) -> str:
     kinds = {pa.int64(): "long", pa.int32(): "int", pa.float64(): "double", pa.string(): "string", pa.bool_(): "boolean", pa.binary(): "binary", pa.list_(pa.int64()): "array<long>", pa.list_(pa.int32()): "array<int>", pa.list_(pa.int16()): "array<short>"}
     return ", ".join(f"{n} {kinds[t]}" for n, t in names.items())

@@ -142,7 +142,7 @@ def _around(data: np.ndarray, lo: int, start: int, end: int, hi: int, n: int) ->
     return tuple([(xxhash.xxh32_intdigest(w.lower()) & 0xFFFF) - 0x8000 for w in side[:n]] for side in (before, after))
 
 
-def _candidates(number, unit, shared, found):
+def _candidates(number, unit, shared, _, found):
     import xxhash
 
     _, _, row, start, end, words, count, cls, shingles = found

@@ -7,15 +7,19 @@ with a smaller doc_id; strings are judged on the input and never cross documents
    the same one form a run. Equal strings have equal minimizers, so a run whose minimizer no second document
    has holds nothing to remove (:func:`sparkrank.llm.units.with_shared`).
 2. Shards. The texts of the other runs go to shards by minimizer, each distinct text of a unit once, with the
-   unit's smallest doc_id that has it. Thousands of copies are thus a few rows, and equal strings meet.
+   unit's smallest doc_id that has it. Thousands of copies are thus a few rows, and equal strings meet. A run
+   has some 50 bytes more than strings, so there are as many shards as keep what a shard is *sent* small. A
+   minimizer that occurs over ``HOT`` times, in as many contexts perhaps, is no longer a key: its strings go to
+   shards one by one, each by a hash of its own 50 bytes.
 3. Suffix arrays. A shard induces the suffix array of its distinct texts and computes permuted common prefixes
    (:mod:`sparkrank.llm.suffix_array`). Strings that share 50 bytes are neighbours there; the least doc_id of
    each such group is every string's answer.
 4. Answers go back to the units, which remove what a smaller id also has.
 
-Null and empty texts have 0 bytes. Equal ids (repeated rows) never remove from each other; a null id counts as
-larger than all others, and null ids never remove from each other. Each input row gives one row. Other columns
-are ignored.
+Null and empty texts have 0 bytes. Equal ids (repeated rows) never remove from each other, so ties keep all; a
+null id counts as larger than all others, and null ids never remove from each other. Each input row gives one
+row, an empty table none. Very long texts are treated whole (a text longer than a unit is a unit of its own,
+hashed in blocks). Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,14 +32,19 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrank.llm.common import documents
+from sparkrank.llm.common import documents, give_back
 from sparkrank.llm.suffix_array import permuted_prefixes, prefix_hashes, suffix_array
-from sparkrank.llm.units import SEPARATOR, Unit, beside, units, with_shared
+from sparkrank.llm.units import SEPARATOR, UNIT_BYTES, Unit, beside, unit_size, units, with_shared
 
 LENGTH, GRAM = 50, 20
 CHUNK = 1 << 19
 PART = 32
-SHARD_BYTES = 1 << 20
+#: Bytes that a shard is sent on average at most, for units of UNIT_BYTES; larger units come with larger shards.
+SHARD_BYTES = 8 << 20
+#: Bytes sent for a byte of text if all of it is shared: a run has 16 strings on average.
+SPREAD = 4
+#: From so many occurrences on, a minimizer's strings are dealt one by one.
+HOT = 1 << 15
 LAST = np.iinfo(np.int64).max
 DEDUPED = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()}
 WHOLE = DEDUPED | {"spans": pa.list_(pa.int64()), "kept": pa.binary()}
@@ -103,34 +112,65 @@ def _slices(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths - starts, lengths)
 
 
+def single_strings(unit: Unit, start: np.ndarray, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, run, start) of every string of the given runs."""
+    run = np.repeat(np.arange(len(start)), strings)
+    first = _slices(start, strings)
+    marks = np.empty(len(first), np.uint64)
+    block = CHUNK // LENGTH
+    for lo in range(0, len(first), block):
+        data = unit.data[(first[lo : lo + block, None] + np.arange(LENGTH)).ravel()]
+        sums, inverse = prefix_hashes(data, _B)
+        edge = np.arange(0, len(data), LENGTH)
+        marks[lo : lo + block] = _mixed((sums[edge + LENGTH] - sums[edge]) * inverse[edge] + np.uint64(1))
+    return marks, run, first
+
+
+def all_runs(unit: Unit, found: tuple, crowded: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The runs, those of crowded minimizers string by string with hashes of their own as keys."""
+    if not crowded.any():
+        return found
+    mark, run, start = single_strings(unit, found[2][crowded], found[3][crowded])
+    ones = np.ones(len(mark), np.int64)
+    single = (_mixed(mark), found[1][crowded][run], start, ones, mark)
+    return tuple(np.concatenate([x[~crowded], y]) for x, y in zip(found, single, strict=True))
+
+
 def smallest_ids(data: np.ndarray, starts: np.ndarray, strings: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """For the 50-byte strings of each text (one text after another), the least id of a text with that string."""
+    known, rank = np.unique(ids, return_inverse=True)
     sa = suffix_array(data)
-    common, _ = permuted_prefixes(data, sa)
-    places = _slices(starts, strings)
-    owner = np.full(len(data), LAST, np.int64)
-    owner[places] = np.repeat(ids, strings)
-    fresh = common[sa] < LENGTH
+    fresh = permuted_prefixes(data, sa)[0].take(sa) < LENGTH
     fresh[0] = True
-    least = np.minimum.reduceat(owner[sa], np.flatnonzero(fresh))
-    answer = np.empty(len(data), np.int64)
-    answer[sa] = least[np.cumsum(fresh) - 1]
-    return answer[places]
+    places = _slices(starts, strings)
+    owner = np.full(len(data), len(known), np.int32)
+    owner[places] = np.repeat(rank.astype(np.int32), strings)
+    least = np.minimum.reduceat(owner.take(sa), np.flatnonzero(fresh))
+    owner[sa] = least.take(np.cumsum(fresh, dtype=np.int32) - 1)
+    return known.take(owner.take(places))
 
 
-def suffix_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, with_text: bool = False, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; ``with_text`` adds the removed ``spans``
     (start, end, start, end, ... in bytes) and the ``kept`` bytes."""
     table = units(docs)
     total = table.agg(F.sum("n_bytes")).first()[0] or 0
-    shards = max(1, -(-total // SHARD_BYTES))
-    packets = {"shard": pa.int64(), "unit": pa.int64(), "n": pa.int64(), "n_bytes": pa.int64(), "packet": pa.binary()}
+    shards = max(1, -(-SPREAD * total // (SHARD_BYTES * unit_size(docs.sparkSession) // UNIT_BYTES)))
+    packets = {"shard": pa.int64(), "unit": pa.int64(), "n": pa.int64(), "n_bytes": pa.int64(), "head": pa.binary(), "packet": pa.binary()}
     packet_schema = pa.schema(list(packets.items()))
 
-    def send(number, unit, shared, found):
-        key, row, start, strings, mark = (x[shared] for x in found)
-        if not len(key):
+    def sent_packet(shard, number, n, n_bytes, head, packet):
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((shard, number, n, n_bytes, head, packet), packets.values(), strict=True)], schema=packet_schema)
+
+    def send(number, unit, shared, crowded, found):
+        if not shared.any():
             return
+        crowded = crowded[shared]
+        found = tuple(x[shared] for x in found)
+        if crowded.any():  # a note to the unit itself, so that it deals with the same strings later
+            keys = np.unique(found[0][crowded])
+            yield sent_packet(number % shards, number, 0, 0, _zip(keys), len(keys).to_bytes(8, "little"))
+        key, row, start, strings, mark = all_runs(unit, found, crowded)
         order = np.lexsort((_ids(unit)[row], mark))
         first = np.append(True, mark[order][1:] != mark[order][:-1])
         pick = order[first]  # of each distinct text the run in the document with the smallest id
@@ -141,28 +181,51 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
             at = pick[own]
             lengths = strings[at] + LENGTH - 1
             text = unit.data[_slices(start[at], lengths)]
-            yield pa.RecordBatch.from_arrays([pa.array([int(shard[own[0]])]), pa.array([number]), pa.array([len(at)]), pa.array([len(text)]), pa.array([_zip(mark[at], ids[own], strings[at], text)], pa.binary())], schema=packet_schema)
+            yield sent_packet(int(shard[own[0]]), number, len(at), len(text), _zip(mark[at], ids[own], strings[at].astype(np.int32)), _zip(text))
 
     def answer(group: pa.Table) -> pa.Table:
         group = group.sort_by("unit")
-        marks, ids, strings, data, sizes = [], [], [], [], group.column("n").to_pylist()
-        for n, n_bytes, packet in zip(sizes, group.column("n_bytes").to_pylist(), group.column("packet").to_pylist(), strict=True):
-            raw = _unzip(packet, 24 * n + n_bytes)
+        note = np.asarray(group.column("n")) == 0
+        notes = group.filter(pa.array(note))
+        group = group.filter(pa.array(~note))
+        out = [(u, -1, int.from_bytes(n, "little"), k) for u, k, n in zip(*(notes.column(c).to_pylist() for c in ("unit", "head", "packet")), strict=True)]
+        if group.num_rows:
+            out += settled(group)
+        columns = zip(*out, strict=True)
+        give_back()
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("unit", "n", "n_pieces", "packet"), columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)})
+
+    def settled(group: pa.Table) -> list[tuple]:
+        marks, ids, strings, sizes = [], [], [], group.column("n").to_pylist()
+        for n, head in zip(sizes, group.column("head").to_pylist(), strict=True):
+            raw = _unzip(head, 20 * n)
             marks.append(np.frombuffer(raw, "<u8", n))
             ids.append(np.frombuffer(raw, "<i8", n, 8 * n))
-            strings.append(np.frombuffer(raw, "<i8", n, 16 * n))
-            data.append(np.frombuffer(raw, np.uint8, n_bytes, 24 * n))
-        marks, ids, strings, data = (np.concatenate(x) for x in (marks, ids, strings, data))
+            strings.append(np.frombuffer(raw, "<i4", n, 16 * n))
+        marks, ids, strings = (np.concatenate(x) for x in (marks, ids, strings))
         distinct, first, which = np.unique(marks, return_index=True, return_inverse=True)
+        del marks
         least = np.full(len(distinct), LAST)
         np.minimum.at(least, which, ids)
-        own = strings[first]
+        own = strings[first].astype(np.int64)
         lengths = own + LENGTH - 1
-        begin = (np.cumsum(strings + LENGTH - 1) - (strings + LENGTH - 1))[first]
         text = np.full(int(lengths.sum()) + len(distinct), SEPARATOR, np.uint8)
         starts = np.cumsum(lengths + 1) - (lengths + 1)
-        text[_slices(starts, lengths)] = data[_slices(begin, lengths)]
+        # One packet's text at a time; of equal ones the first is taken.
+        from_first = np.zeros(len(which), bool)
+        from_first[first] = True
+        begin = 0
+        for n, n_bytes, packet in zip(sizes, group.column("n_bytes").to_pylist(), group.column("packet"), strict=True):
+            mine = np.flatnonzero(from_first[begin : begin + n])
+            if len(mine):
+                data = np.frombuffer(_unzip(packet.as_py(), n_bytes), np.uint8)
+                size = strings[begin : begin + n].astype(np.int64) + LENGTH - 1
+                at = (np.cumsum(size) - size)[mine]
+                to = which[begin + mine]
+                text[_slices(starts[to], size[mine])] = data[_slices(at, size[mine])]
+            begin += n
         found = smallest_ids(text, starts, own, least)
+        del text
         # Runs of equal answers within each text.
         text_starts = np.cumsum(own) - own
         edge = np.append(True, found[1:] != found[:-1])
@@ -171,14 +234,15 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
         length, value = np.diff(np.append(edges, len(found))), found[edges]
         pieces = np.add.reduceat(edge.astype(np.int64), text_starts)
         piece_starts = np.cumsum(pieces) - pieces
-        out, ends = [], np.cumsum(sizes)
-        for e, n in zip(ends, sizes, strict=True):
-            mine = which[e - n : e]
+        out, begin = [], 0
+        for number, n in zip(group.column("unit").to_pylist(), sizes, strict=True):
+            mine = which[begin : begin + n]
             at = _slices(piece_starts[mine], pieces[mine])
-            out.append((len(mine), len(at), _zip(distinct[mine], pieces[mine], length[at], value[at])))
-        return pa.table({"unit": group.column("unit"), "n": pa.array([x[0] for x in out], pa.int64()), "n_pieces": pa.array([x[1] for x in out], pa.int64()), "packet": pa.array([x[2] for x in out], pa.binary())})
+            out.append((number, n, len(at), _zip(distinct[mine], pieces[mine].astype(np.int32), length[at].astype(np.int32), value[at])))
+            begin += n
+        return out
 
-    sent = with_shared(table, runs, send, packets)
+    sent = with_shared(table, runs, send, packets, hot)
     answers = sent.groupBy("shard").applyInArrow(answer, "unit long, n long, n_pieces long, packet binary")
     names = WHOLE if with_text else DEDUPED
     schema = pa.schema(list(names.items()))
@@ -186,27 +250,36 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     def remove(left: pa.Table, right: pa.Table):
         unit = Unit(*(left.column(c)[0].as_py() for c in ("doc_ids", "lengths", "blob")))
         gone = np.zeros(len(unit.data) + 1, np.int32)
+        note = np.asarray(right.column("n")) < 0
+        notes, right = right.filter(pa.array(note)), right.filter(pa.array(~note))
         if right.num_rows:
-            _, row, start, _, mark = runs(unit)
+            found = runs(unit)
+            crowded = np.zeros(len(found[0]), bool)
+            for n, packet in zip(notes.column("n_pieces").to_pylist(), notes.column("packet").to_pylist(), strict=True):
+                crowded |= np.isin(found[0], np.frombuffer(_unzip(packet, 8 * n), "<u8"))
+            _, row, start, _, mark = all_runs(unit, found, crowded)
+            del found
             parts = []
             for n, p, packet in zip(right.column("n").to_pylist(), right.column("n_pieces").to_pylist(), right.column("packet").to_pylist(), strict=True):
-                raw = _unzip(packet, 16 * (n + p))
-                parts.append((np.frombuffer(raw, "<u8", n), np.frombuffer(raw, "<i8", n, 8 * n), np.frombuffer(raw, "<i8", p, 16 * n), np.frombuffer(raw, "<i8", p, 16 * n + 8 * p)))
+                raw = _unzip(packet, 12 * (n + p))
+                parts.append((np.frombuffer(raw, "<u8", n), np.frombuffer(raw, "<i4", n, 8 * n), np.frombuffer(raw, "<i4", p, 12 * n), np.frombuffer(raw, "<i8", p, 12 * n + 4 * p)))
             known, pieces, length, value = (np.concatenate(x) for x in zip(*parts, strict=True))
+            del parts
             order = np.argsort(known)
-            piece_starts = (np.cumsum(pieces) - pieces)[order]
-            known, pieces = known[order], pieces[order]
+            piece_starts = (np.cumsum(pieces, dtype=np.int64) - pieces)[order]
+            known, pieces = known[order], pieces[order].astype(np.int64)
             at = np.minimum(np.searchsorted(known, mark), len(known) - 1)
             hit = known[at] == mark
             at, row, start = at[hit], row[hit], start[hit]
             own = _slices(piece_starts[at], pieces[at])
             run = np.repeat(np.arange(len(at)), pieces[at])
-            offset = np.cumsum(length[own]) - length[own]
+            length, value = length[own].astype(np.int64), value[own]
+            offset = np.cumsum(length) - length
             offset -= np.repeat(offset[np.cumsum(pieces[at]) - pieces[at]], pieces[at]) if len(at) else 0
             begin = start[run] + offset
-            smaller = value[own] < _ids(unit)[row[run]]
+            smaller = value < _ids(unit)[row[run]]
             np.add.at(gone, begin[smaller], 1)
-            np.subtract.at(gone, (begin + length[own] + LENGTH - 1)[smaller], 1)
+            np.subtract.at(gone, (begin + length + LENGTH - 1)[smaller], 1)
         mask = np.cumsum(gone[:-1], dtype=np.int32) > 0
         out = []
         for doc_id, a, n in zip(unit.doc_ids, unit.starts.tolist(), unit.lengths.tolist(), strict=True):
@@ -216,6 +289,7 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
             edges = np.flatnonzero(np.diff(own.astype(np.int8), prepend=0, append=0)) if removed else ()
             out.append((doc_id, n, removed, len(edges) // 2, hashlib.sha256(kept).hexdigest(), *((list(edges), kept) if with_text else ())))
         yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), names.values(), strict=True)], schema=schema)
+        give_back()
 
     return beside(table, answers, remove, names)
 

@@ -85,6 +85,20 @@ def test_suffix_dedup(corpus, awkward):
     assert len(full["spans"]) == 2 * full["n_spans"] and len(full["kept"]) == full["n_bytes"] - full["n_removed"]
 
 
+def test_suffix_dedup_deals_crowded_minimizers_string_by_string(spark, corpus):
+    df, rows = corpus
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert sorted(str(tuple(r)) for r in suffix_dedup.suffix_dedup(df, hot=2).select(*names).collect()) == brute_dedup(rows)
+    # One passage, too short to be removed by itself, in 20,000 contexts; every tenth context has a copy.
+    rng = random.Random(8)
+    hot = "a passage of just thirty bytes"
+    made = []
+    for k in range(20_000):
+        made.append((k, f"{made[k - 1][1]}" if k % 10 == 1 else f"{rng.getrandbits(60):x} {hot} {rng.getrandbits(60):x}"))
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(made, "doc_id long, text string"), hot=100).select("doc_id", "n_bytes", "n_removed").collect()
+    assert len(got) == len(made) and all(r["n_removed"] == (r["n_bytes"] if r["doc_id"] % 10 == 1 else 0) for r in got)
+
+
 def test_simhash(corpus, awkward):
     _, rows = corpus
     prints = [(i, simhash.fingerprint(t or "")) for i, t in rows]
