@@ -2,65 +2,121 @@
 
 Words are lower-cased runs without white space. A spaced seed is a mask over consecutive words that ignores
 some places, so a hash of the others still matches if an ignored word was substituted. Every window of a
-document and of a benchmark item is hashed under each mask; windows with equal hashes put the item beside
-the document on one diagonal. There the item's words are compared with the document's: it contaminates the
-document if at least ``SIMILARITY`` of its words are the same at their places.
+document and of a benchmark item is hashed under each mask (an item shorter than the longest mask as a whole
+besides); windows with equal hashes put the item beside the document on one diagonal.
 
-The windows of a benchmark are counted; up to ``BROADCAST_LIMIT`` of them are broadcast, so documents are read
-once and not shuffled, and more are joined by hash with a shuffle. Both give the same rows. Items shorter than the longest mask (seven words) are not searched for: they prove nothing.
+Around such hits the item's words are compared with the document's. On a diagonal, words that are the same at
+their places form overlaps: at most two other words in a row may stand between them, and an overlap has at
+least ``OVERLAP`` of them and ``SIMILARITY`` of its length. The item contaminates the document if
 
-Null and empty texts, null items and empty tables give no rows. Repeated rows and ties (several diagonals)
-give one row per (doc_id, item_id) with the best match. Rows without doc_id give rows without one. Other
-columns are ignored.
+* ``SIMILARITY`` of its words are the same on one diagonal,
+* or stand in overlaps on any of its diagonals (a word put in or left out moves what follows to another one),
+* or one overlap has ``PASSAGE`` words, whatever the item's length.
+
+Seeds are (hash, item, place) alone; hits are told apart by diagonal before any text is compared, and only
+documents with hits are read again. The benchmark's seeds are broadcast up to ``BROADCAST_LIMIT`` rows of 24
+bytes, its words and the keys of documents with hits up to as many rows and ``BROADCAST_BYTES``; beyond, the
+joins shuffle. All ways give the same rows.
+
+Seeds find any item of 13 words or more within its fifth of substitutions but for rare patterns; of ten to twelve
+words a few in a hundred are missed, and items of under seven words are found verbatim or where five of their
+words follow each other.
+
+Null and empty texts, null items and empty tables give no rows. Texts and items of any length are compared
+whole. Repeated rows and ties (several diagonals) give one row per (doc_id, item_id) with the best match. Rows
+without doc_id give rows without one; items without item_id likewise. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkrank.llm.common import documents, texts
+from sparkrank.llm.common import documents, texts, written
 
 #: Places of each mask that count.
-MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 4, 6))
+MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 4, 6), (0, 1, 2, 3, 4))
 SPAN = max(m[-1] for m in MASKS) + 1
 SIMILARITY = 0.8
-#: Windows of the benchmark that are broadcast at most; each has its item's words, some hundred bytes.
-BROADCAST_LIMIT = 100_000
+#: Equal words that an overlap has at least, and that make one a passage of its own.
+OVERLAP, PASSAGE = 5, 50
+#: Places from one equal word of an overlap to the next at most.
+STEP = 3
+#: Rows and bytes of text that are broadcast at most.
+BROADCAST_LIMIT, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
 def words(text: Column) -> Column:
     return F.split(F.trim(F.lower(text), F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+")
 
 
-def _seeds(df: DataFrame, at: str, *keep: str) -> DataFrame:
-    """A row per place and mask of texts of at least SPAN words. Places are unfolded before they are hashed, so
-    that hashing and the join that follows are compiled with the scan; the arrays are never copied per row."""
-    hashed = df.select(*keep, "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+def _seeds(df: DataFrame, at: str, masks: list[tuple[int, ...]], whole: bool, *keep: str) -> DataFrame:
+    """A row per place and mask. ``whole``: masks longer than those of ``MASKS`` are for texts of just their length.
+    Places are unfolded before they are hashed, so that hashing and the join that follows are compiled with the
+    scan; the arrays are never copied per row."""
+    hashed = df.select(*keep, F.transform("words", lambda w: F.xxhash64(w)).alias("_hashes"))
     # The outer form infers no filter on the array's size, which would split and hash every text once more.
-    places = hashed.select(*keep, "words", "hashes", F.posexplode_outer("hashes").alias(at, "_h"))
-    seeds = [F.when((F.size("hashes") >= SPAN) & (F.col(at) + mask[-1] < F.size("hashes")), F.xxhash64(F.lit(m), *[F.get("hashes", F.col(at) + place) for place in mask])) for m, mask in enumerate(MASKS)]
-    return places.select(*keep, "words", at, F.explode(F.array(*seeds)).alias("seed")).where("seed is not null")
+    places = hashed.select(*keep, "_hashes", F.posexplode_outer("_hashes").alias(at, "_h"))
+    n = F.size("_hashes")
+    seeds = []
+    for m, mask in enumerate(masks):
+        fits = n == len(mask) if whole and m >= len(MASKS) else F.col(at) + mask[-1] < n
+        seeds.append(F.when((n > 0) & fits, F.xxhash64(F.lit(m), *[F.get("_hashes", F.col(at) + place) for place in mask])))
+    return places.select(*keep, at, F.explode(F.array(*seeds)).alias("seed")).where("seed is not null")
+
+
+def _small(df: DataFrame, limit: int) -> bool:
+    return df.limit(limit + 1).count() <= limit
+
+
+def _hint(df: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(df) if small else df
 
 
 def decontamination(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", broadcast_limit: int = BROADCAST_LIMIT, id_col: str = "doc_id") -> DataFrame:
-    """A row per contaminated document and item: doc_id, item_id, n_words (of the item), n_matched, first_word
-    (place in the document of the item's first word; negative if the item begins before the document)."""
-    items = benchmark.select(F.col(item_col).alias("item_id"), words(F.coalesce(F.col(item_text_col), F.lit(""))).alias("words")).distinct()
-    seeds = _seeds(items, "item_at", "item_id").select("seed", "item_id", "item_at", F.col("words").alias("item_words"))
-    small = seeds.limit(broadcast_limit + 1).count() <= broadcast_limit
-    hits = _seeds(texts(docs, id_col).select("doc_id", words(F.col("text")).alias("words")), "at", "doc_id")
-    met = hits.join(F.broadcast(seeds) if small else seeds, "seed")
-    first = F.col("at") - F.col("item_at")
-    n = F.size("item_words")
-    # Words of the document at the item's places; nulls where it has none.
-    beside = F.concat(F.array_repeat(F.lit(None).cast("string"), F.greatest(-first, F.lit(0))), F.slice("words", F.greatest(first, F.lit(0)) + 1, F.greatest(n + F.least(first, F.lit(0)), F.lit(0))))
-    same = F.aggregate(F.zip_with("item_words", "beside", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    lined = met.select("doc_id", "item_id", first.alias("first_word"), "item_words", beside.alias("beside"))
-    matched = lined.select("doc_id", "item_id", F.size("item_words").alias("n_words"), same.alias("n_matched"), "first_word")
-    # The threshold comes after the aggregate: before it, it would become a condition of the join, which would then not be compiled.
-    best = matched.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_matched", (-F.col("first_word")).alias("back"), "n_words")).alias("b")).where(F.col("b.n_matched") >= SIMILARITY * F.col("b.n_words"))
-    return best.select("doc_id", "item_id", F.col("b.n_words").cast("long").alias("n_words"), F.col("b.n_matched").cast("long").alias("n_matched"), (-F.col("b.back")).cast("long").alias("first_word"))
+    """A row per contaminated document and item: doc_id, item_id, n_words (of the item), n_matched (its words found,
+    on one diagonal or in overlaps, whichever are more), n_longest (equal words of the longest overlap) and
+    first_word (place in the document of the item's first word on the best diagonal; negative if the item begins
+    before the document)."""
+    return _found(texts(docs, id_col), benchmark.select(F.col(item_col).alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("_text")), broadcast_limit)
+
+
+def _found(own: DataFrame, benchmark: DataFrame, limit: int) -> DataFrame:
+    items = benchmark.select("item_id", words(F.col("_text")).alias("words")).where("size(words) > 1 or words[0] <> ''").distinct().withColumn("_item", F.xxhash64("item_id", "words"))
+    # Lengths under the longest mask: six at most.
+    short = sorted(r[0] for r in items.where(F.size("words") < SPAN).select(F.size("words")).distinct().collect())
+    masks = [*MASKS, *(tuple(range(n)) for n in short)]
+    seeds = _seeds(items, "_item_at", masks, True, "_item").select("seed", "_item", "_item_at").distinct()
+    keyed = own.select("doc_id", "text", F.xxhash64("text").alias("_hash"))
+    placed = _seeds(keyed.select("doc_id", "_hash", words(F.col("text")).alias("words")), "_at", masks, False, "doc_id", "_hash")
+    met = placed.join(_hint(seeds, _small(seeds, limit)), "seed")
+    hits = written(met.select("doc_id", "_hash", "_item", (F.col("_at") - F.col("_item_at")).alias("_first")).distinct(), "hits")
+
+    # Documents with hits are few; their keys pick them before any text is shuffled. Null ids are keys as well.
+    keys = hits.select(F.struct("doc_id", "_hash").alias("_key")).distinct()
+    picked = keyed.withColumn("_key", F.struct("doc_id", "_hash")).join(_hint(keys, _small(keys, limit)), "_key", "left_semi")
+    split = picked.select("_key", words(F.col("text")).alias("_words")).distinct()
+    item_bytes = benchmark.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    lined = hits.withColumn("_key", F.struct("doc_id", "_hash")).join(_hint(items, item_bytes <= BROADCAST_BYTES and _small(items, limit)), "_item").join(split, "_key")
+    n = F.size("words")
+    equal = F.filter(F.sequence(F.lit(0), n - 1), lambda j: F.get("words", j) == F.get("_words", j + F.col("_first")))
+    same = lined.select("_key", "_item", "item_id", n.alias("_n"), "_first", equal.alias("_equal"))
+
+    whole = same.groupBy("_key", "_item").agg(F.max(F.struct(F.size("_equal").alias("m"), (-F.col("_first")).alias("back"))).alias("_best"), F.max("_n").alias("_n"), F.max("item_id").alias("item_id"))
+    # Overlaps: equal words with few others between them, numbered along their diagonal.
+    along = Window.partitionBy("_key", "_item", "_first").orderBy("_j")
+    rows = same.select("_key", "_item", "_first", F.explode("_equal").alias("_j"))
+    rows = rows.withColumn("_new", F.when(F.col("_j") - F.lag("_j").over(along) <= STEP, 0).otherwise(1)).withColumn("_overlap", F.sum("_new").over(along))
+    overlap = Window.partitionBy("_key", "_item", "_first", "_overlap")
+    rows = rows.withColumns({"_m": F.count("*").over(overlap), "_length": F.max("_j").over(overlap) - F.min("_j").over(overlap) + 1})
+    rows = rows.where((F.col("_m") >= OVERLAP) & (F.col("_m") >= SIMILARITY * F.col("_length")))
+    joined = rows.groupBy("_key", "_item").agg(F.count_distinct("_j").alias("_covered"), F.max("_m").alias("_longest"))
+    both = whole.join(joined, ["_key", "_item"], "left")
+    matched, longest = F.greatest(F.col("_best.m").cast("long"), F.coalesce("_covered", F.lit(0))), F.coalesce("_longest", F.lit(0))
+    kept = both.select(F.col("_key.doc_id").alias("doc_id"), "item_id", F.col("_n").cast("long").alias("n_words"), matched.alias("n_matched"), longest.alias("n_longest"), (-F.col("_best.back")).cast("long").alias("first_word"))
+    kept = kept.where((F.col("n_matched") >= SIMILARITY * F.col("n_words")) | (F.col("n_longest") >= PASSAGE))
+    best = kept.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_matched", "n_longest", (-F.col("first_word")).alias("back"), "n_words")).alias("b"))
+    return best.select("doc_id", "item_id", "b.n_words", "b.n_matched", "b.n_longest", (-F.col("b.back")).alias("first_word"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,19 +124,29 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = r"""
-with i0 as (select item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') as iw from benchmark),
-i as (select item_id, iw, len(iw) as n from i0 where len(iw) >= 7),
-d0 as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') as dw from documents),
-d as (select doc_id, dw from d0 where len(dw) >= 7),
-ia as (select item_id, unnest(range(1, n - 4)) as p, iw from i),
-da as (select doc_id, unnest(range(1, len(dw) - 4)) as p, dw from d),
-ik as (select item_id, p, 'a' || iw[p] || ' ' || iw[p+1] || ' ' || iw[p+2] || ' ' || iw[p+4] || ' ' || iw[p+5] as k from ia
-  union all select item_id, p, 'b' || iw[p] || ' ' || iw[p+1] || ' ' || iw[p+3] || ' ' || iw[p+4] || ' ' || iw[p+6] from ia where p + 6 <= len(iw)),
-dk as (select doc_id, p, 'a' || dw[p] || ' ' || dw[p+1] || ' ' || dw[p+2] || ' ' || dw[p+4] || ' ' || dw[p+5] as k from da
-  union all select doc_id, p, 'b' || dw[p] || ' ' || dw[p+1] || ' ' || dw[p+3] || ' ' || dw[p+4] || ' ' || dw[p+6] from da where p + 6 <= len(dw)),
-c as (select distinct dk.doc_id, ik.item_id, dk.p - ik.p as f from dk join ik on dk.k = ik.k),
-m as (select c.doc_id, c.item_id, c.f, i.n, len(list_filter(range(1, i.n + 1), lambda j: j + c.f >= 1 and i.iw[j] = d.dw[j + c.f])) as s
-  from c join i on c.item_id = i.item_id join d on c.doc_id = d.doc_id),
-r as (select *, row_number() over (partition by doc_id, item_id order by s desc, f) as rn from m where s >= 0.8 * n)
-select doc_id, item_id, n::bigint as n_words, s::bigint as n_matched, f::bigint as first_word from r where rn = 1
+with i0 as (select distinct item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') as iw from benchmark),
+i as (select row_number() over () as r, item_id, iw, len(iw) as n from i0 where len(iw) > 0),
+d0 as (select distinct doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') as dw from documents),
+d as (select row_number() over () as t, doc_id, dw from d0 where len(dw) > 0),
+ia as (select r, n, unnest(range(1, n + 1)) as p, iw as w from i),
+da as (select t, len(dw) as n, unnest(range(1, len(dw) + 1)) as p, dw as w from d),
+short as (select distinct n as k from i where n < 7),
+ik as (select r, p, 'a' || w[p] || ' ' || w[p+1] || ' ' || w[p+2] || ' ' || w[p+4] || ' ' || w[p+5] as k from ia where p + 5 <= n
+  union all select r, p, 'b' || w[p] || ' ' || w[p+1] || ' ' || w[p+3] || ' ' || w[p+4] || ' ' || w[p+6] from ia where p + 6 <= n
+  union all select r, p, 'c' || array_to_string(w[p:p+4], ' ') from ia where p + 4 <= n
+  union all select r, 1, 's' || array_to_string(iw, ' ') from i where n < 7),
+dk as (select t, p, 'a' || w[p] || ' ' || w[p+1] || ' ' || w[p+2] || ' ' || w[p+4] || ' ' || w[p+5] as k from da where p + 5 <= n
+  union all select t, p, 'b' || w[p] || ' ' || w[p+1] || ' ' || w[p+3] || ' ' || w[p+4] || ' ' || w[p+6] from da where p + 6 <= n
+  union all select t, p, 'c' || array_to_string(w[p:p+4], ' ') from da where p + 4 <= n
+  union all select t, p, 's' || array_to_string(w[p:p+k-1], ' ') from da, short where p + k - 1 <= n),
+c as (select distinct dk.t, ik.r, dk.p - ik.p as f from dk join ik on dk.k = ik.k),
+m as (select c.t, c.r, c.f, unnest(list_filter(range(1, i.n + 1), lambda j: j + c.f >= 1 and i.iw[j] = d.dw[j + c.f])) as j from c join i on c.r = i.r join d on c.t = d.t),
+wh as (select t, r, f, count(*) as s from m group by t, r, f),
+wb as (select t, r, s, f from (select *, row_number() over (partition by t, r order by s desc, f) as k from wh) where k = 1),
+g as (select *, sum(fresh) over (partition by t, r, f order by j) as o from (select *, case when j - lag(j) over (partition by t, r, f order by j) <= 3 then 0 else 1 end as fresh from m)),
+o as (select *, count(*) over (partition by t, r, f, o) as q, max(j) over (partition by t, r, f, o) - min(j) over (partition by t, r, f, o) + 1 as z from g),
+u as (select t, r, count(distinct j) as covered, max(q) as longest from o where q >= 5 and q >= 0.8 * z group by t, r),
+x as (select d.doc_id, i.item_id, i.n, greatest(wb.s, coalesce(u.covered, 0)) as s, coalesce(u.longest, 0) as longest, wb.f from wb join d on wb.t = d.t join i on wb.r = i.r left join u on u.t = wb.t and u.r = wb.r),
+y as (select *, row_number() over (partition by doc_id, item_id order by s desc, longest desc, f, n desc) as k from x where s >= 0.8 * n or longest >= 50)
+select doc_id, item_id, n::bigint as n_words, s::bigint as n_matched, longest::bigint as n_longest, f::bigint as first_word from y where k = 1
 """

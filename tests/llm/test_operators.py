@@ -192,6 +192,60 @@ def test_bands_are_tuned():
     assert 1 - (1 - 0.8**r) ** b >= 0.998 > 1 - (1 - 0.8**r) ** (b - 1)
 
 
+def contaminated(w, d):
+    """Whether words ``w`` of an item are in a document's words ``d``: on one diagonal, in overlaps, or as a passage."""
+    covered, longest = set(), 0
+    for f in range(-len(w), len(d)):
+        same = [k for k, x in enumerate(w) if 0 <= f + k < len(d) and d[f + k] == x]
+        if len(same) >= 0.8 * len(w) > 0:
+            return True
+        overlaps = []
+        for k in same:
+            if overlaps and k - overlaps[-1][-1] <= 3:
+                overlaps[-1].append(k)
+            else:
+                overlaps.append([k])
+        for own in overlaps:
+            if len(own) >= 5 and len(own) >= 0.8 * (own[-1] - own[0] + 1):
+                covered |= set(own)
+                longest = max(longest, len(own))
+    return longest >= 50 or len(covered) >= 0.8 * len(w) > 0
+
+
+def test_decontamination_verifies_around_hits(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    text = lambda n: [word() for _ in range(n)]
+    long, plain, seven, six, huge = text(100), text(40), text(7), text(6), text(30_000)
+    items = [(1, long), (2, plain), (3, seven), (4, six), (5, huge), (6, ["one"]), (None, text(20))]
+    docs = [
+        (1, text(30) + long[20:80] + text(30)), (2, text(30) + long[20:65] + text(30)),  # sixty words of a hundred; forty-five are no passage
+        (3, text(9) + plain[:20] + ["inserted"] + plain[20:]), (4, text(9) + plain[:20] + plain[22:] + text(9)),
+        (5, seven[:6]), (6, text(3) + six + text(3)), (7, six[:5] + text(2)), (8, ["a", "one", "b"]), (9, huge), (10, text(50)), (11, items[-1][1]), (12, ["x"] * 40_000),
+    ]
+    frames = [spark.createDataFrame([(k, " ".join(w)) for k, w in rows], f"{name} long, text string") for rows, name in ((docs, "doc_id"), (items, "item_id"))]
+    for limit in (decon.BROADCAST_LIMIT, 3):
+        got = {(r["doc_id"], r["item_id"]): r for r in decon.decontamination(*frames, broadcast_limit=limit).collect()}
+        assert set(got) == {(1, 1), (3, 2), (4, 2), (5, 3), (6, 4), (7, 4), (8, 6), (9, 5), (11, None)}
+        assert got[1, 1]["n_longest"] == 60 and got[3, 2]["n_matched"] == 40 and got[9, 5]["n_matched"] == 30_000
+
+
+def test_decontamination_recall_under_substitutions(spark):
+    rng = random.Random(14)
+    items = [(k, prose(rng, n)) for k, n in enumerate(range(7, 57))]
+    docs = []
+    for share in range(0, 21, 5):
+        for k, t in items:
+            own = t.lower().split()
+            for at in rng.sample(range(len(own)), len(own) * share // 100):
+                own[at] = f"other{at}"
+            docs.append((1000 * share + k, prose(rng, 20) + " " + " ".join(own) + " " + prose(rng, 20)))
+    got = {(r["doc_id"], r["item_id"]) for r in decon.decontamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    words = {i: t.lower().split() for i, t in docs}
+    want = {(i, j) for i, _ in docs for j, t in items if contaminated(t.lower().split(), words[i])}
+    assert len(want) >= 250 and got <= want and len(got) >= 0.99 * len(want)
+
+
 def test_decontamination(spark):
     rng = random.Random(3)
     items = [(k, prose(rng, 30)) for k in range(12)] + [(50, "too short here"), (51, None), (12, prose(rng, 25))]
@@ -205,13 +259,7 @@ def test_decontamination(spark):
         rows.append((k, " ".join(words)))
     rows += [(100, None), (101, ""), (102, items[12][1]), (102, items[12][1]), (None, items[12][1])]
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string").withColumn("words", F.lit(1)), spark.createDataFrame(items, "item_id long, text string")
-    want = set()
-    for i, t in rows:
-        d = (t or "").lower().split()
-        for j, u in items:
-            w = (u or "").lower().split()
-            if len(w) >= 7 and any(sum(1 for k, x in enumerate(w) if 0 <= f + k < len(d) and d[f + k] == x) >= 0.8 * len(w) for f in range(-len(w), len(d))):
-                want.add((i, j))
+    want = {(i, j) for i, t in rows for j, u in items if contaminated((u or "").lower().split(), (t or "").lower().split())}
     for limit in (decon.BROADCAST_LIMIT, 10):
         got = decon.decontamination(docs, bench, broadcast_limit=limit).collect()
         assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
