@@ -15,7 +15,8 @@ within each length (counts by salt, prefix sums over the few counts, a row numbe
 salt) then places every piece, so no task gets all pieces of a common length.
 
 Nulls and empty texts are documents of one id, the end marker 0. Repeated rows are packed as often as
-they occur. An empty table gives an empty result. Other columns are ignored.
+they occur; ties between equal pieces may go either way. Very long texts are tokenized whole and cut into as
+many pieces as they need. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +35,12 @@ from sparkrank.llm.common import ddl, documents, texts, written
 
 SIZE = 2048
 END_ID = 0
+#: Characters of white space in a row that the fast encoder isn't given.
+LONG_SPACE = 10_000
 #: A length with more pieces than this is salted; so many are ranked at a time on average.
-RANKED_AT_ONCE = 1_000
+RANKED_AT_ONCE = 200
+#: Salts whose counts are summed at a time.
+SUMMED_AT_ONCE = 1_000
 
 PIECES = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
 
@@ -48,7 +53,8 @@ def tokenizer_files() -> tuple[str, str]:
 
 class Encoder:
     """Ids of the tokenizer file. Latin text goes through the same vocabulary's faster encoder, whose ids
-    are the same there; texts with other characters or a special token go through the tokenizer itself."""
+    are the same there; texts with other characters, a special token or a run of white space that is too long for
+    that encoder's pattern go through the tokenizer itself."""
 
     def __init__(self, files: tuple[str, str]):
         import public_tokenizers
@@ -60,7 +66,7 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         special = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
-        self.other = re.compile("|".join([*special, "[^\n\r\t\x20-\x7e\xa1-ɏ]"]))
+        self.other = re.compile("|".join([*special, "[^\n\r\t\x20-\x7e\xa1-ɏ]", rf"\s{{{LONG_SPACE},}}"]))
 
     def ids(self, text: str) -> np.ndarray:
         if self.other.search(text):
@@ -188,8 +194,12 @@ def pack(placed: DataFrame, size: int = SIZE) -> DataFrame:
     plan = plan_packing(counts, size)
     salts = F.lit([-(-counts.get(n, 1) // RANKED_AT_ONCE) for n in range(size + 1)])
     salted = placed.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.element_at(salts, (F.col("length") + 1).cast("int"))).cast("int"))
-    sums = salted.groupBy("length", "_salt").count()
-    before = sums.select("length", "_salt", (F.sum("count").over(Window.partitionBy("length").orderBy("_salt")) - F.col("count")).alias("_before"))
+    # Prefix sums of the salts' counts, within blocks of salts and over the blocks, so that no task gets all salts of a length.
+    sums = salted.groupBy("length", "_salt").count().withColumn("_block", F.floor(F.col("_salt") / SUMMED_AT_ONCE))
+    blocks = sums.groupBy("length", "_block").agg(F.sum("count").alias("_all"))
+    blocks = blocks.select("length", "_block", (F.sum("_all").over(Window.partitionBy("length").orderBy("_block")) - F.col("_all")).alias("_ahead"))
+    inside = F.sum("count").over(Window.partitionBy("length", "_block").orderBy("_salt")) - F.col("count")
+    before = sums.withColumn("_inside", inside).join(blocks, ["length", "_block"]).select("length", "_salt", (F.col("_ahead") + F.col("_inside")).alias("_before"))
     within = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
     ranked = salted.withColumn("_within", within).join(before, ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_within"))
     by_length: dict[int, list[tuple[int, int, int]]] = {}
