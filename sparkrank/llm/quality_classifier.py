@@ -6,14 +6,17 @@ one- and two-word grams of both, and a mark for a word that repeats the one befo
 its share of the text's grams. A score is the logistic of a sparse dot product.
 
 The model learns from a bounded sample of labelled rows outside the held-out fold: about ``sample`` of them,
-chosen by a hash of the id. Null and empty texts have no features and get the score of the bias. Without
-labelled rows of both kinds every score is the prior (0.5 if there are no labels). Repeated rows are scored
-each for itself; null ids are allowed; other columns are ignored.
+chosen by a hash of the id. Their features are hashed on the executors; no text comes to the driver. Null and
+empty texts have no features and get the score of the bias. Without labelled rows of both kinds every score is
+the prior (0.5 if there are no labels), as on empty tables. Of contradicting labels the larger counts, of several
+texts with one id the last in order. Very long texts and words are read whole. Repeated rows are scored each for
+itself; null ids are allowed; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -96,18 +99,17 @@ class FollowTheLeader:
         self.n[at] += g * g
 
 
-def sparse(index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def scaled(at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places (shifted past the bias) and values of the features."""
-    at, counts = np.unique(index, return_counts=True)
-    return np.concatenate([[0], at + 1]), np.concatenate([[1.0], SCALE * counts / max(1, len(index))])
+    return np.concatenate([[0], at + 1]), np.concatenate([[1.0], SCALE * counts / max(1, counts.sum())])
 
 
-def fit(rows: list[tuple[str, int]], bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray | None:
-    """Weights, the bias first; None without rows of both labels."""
-    if len({y for _, y in rows}) < 2:
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray | None:
+    """Weights, the bias first, from (places, values, label); None without rows of both labels."""
+    if len({y for _, _, y in rows}) < 2:
         return None
-    grams, model = Grams(bits), FollowTheLeader(bits)
-    ready = [(*sparse(grams(t)), float(y)) for t, y in rows]
+    model = FollowTheLeader(bits)
+    ready = [(at, x, float(y)) for at, x, y in rows]
     rng = np.random.default_rng(9)
     for _ in range(epochs):
         for k in rng.permutation(len(ready)):
@@ -115,15 +117,54 @@ def fit(rows: list[tuple[str, int]], bits: int = BITS, epochs: int = EPOCHS) ->
     return model.weights(np.arange(len(model.z)))
 
 
-def training_rows(docs: DataFrame, marks: DataFrame, label_col: str, fold: int, folds: int, sample: int) -> list[tuple[str, int]]:
-    """About ``sample`` labelled rows outside the held-out fold, in a fixed order. A document counts once; with
-    contradicting labels the larger counts."""
+HASHED = {"doc_id": pa.int64(), "at": pa.binary(), "counts": pa.binary(), "mark": pa.int64()}
+
+
+def hashed(docs: DataFrame, features: Callable[[], Callable[[str], tuple[np.ndarray, np.ndarray]]]) -> list:
+    """Rows (doc_id, places, counts, a hash of the text) of a bounded table of texts, in the order of their ids.
+    Features are made on the executors, and each id comes once, with the last of its texts in order."""
+
+    def run(batches):
+        import xxhash
+
+        of = features()
+        for batch in batches:
+            rows = []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                at, counts = of(text)
+                rows.append((doc_id, at.astype("<i4").tobytes(), counts.astype("<i4").tobytes(), xxhash.xxh3_64_intdigest(text.encode()) >> 1))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(HASHED.values())], schema=pa.schema(list(HASHED.items())))
+
+    once = docs.groupBy("doc_id").agg(F.max("text").alias("text"))
+    found = once.mapInArrow(run, ddl(HASHED)).collect()
+    return [(r["doc_id"], np.frombuffer(r["at"], "<i4"), np.frombuffer(r["counts"], "<i4"), r["mark"]) for r in sorted(found, key=lambda r: r["doc_id"])]
+
+
+def sampled_labels(marks: DataFrame, label_col: str, fold: int, folds: int, sample: int) -> dict[int, int]:
+    """Labels of about ``sample`` documents outside the held-out fold, by id; with contradicting labels the larger."""
     own = marks.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label_col).cast("int").alias("label"))
     own = own.where(crc_mod(F.col("doc_id"), folds) != fold)
     n = own.count()
     share = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(1, n)))
-    found = texts(docs).join(own.where(share), "doc_id").select("doc_id", "text", "label").collect()  # about ``sample`` rows
-    return [(r["text"], r["label"]) for r in sorted({r["doc_id"]: r for r in sorted(found, key=lambda r: r["text"])}.values(), key=lambda r: r["doc_id"])]
+    return {r["doc_id"]: r["label"] for r in own.where(share).collect()}
+
+
+def with_ids(docs: DataFrame, ids: Iterable[int]) -> DataFrame:
+    """(doc_id, text) of the documents with the given ids, a bounded sample that is broadcast."""
+    wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
+    return texts(docs).join(F.broadcast(wanted), "doc_id", "left_semi")
+
+
+def training_rows(docs: DataFrame, marks: DataFrame, label_col: str, fold: int, folds: int, sample: int, bits: int = BITS) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """(places, values, label) of about ``sample`` labelled documents outside the held-out fold, in a fixed order."""
+    known = sampled_labels(marks, label_col, fold, folds, sample)
+
+    def features():
+        grams = Grams(bits)
+        return lambda text: np.unique(grams(text), return_counts=True)
+
+    rows = hashed(with_ids(docs, known), features) if known else []
+    return [(*scaled(at, counts), known[i]) for i, at, counts, _ in rows]
 
 
 def scored(docs: DataFrame, weights: np.ndarray | None, prior: float, threshold: float, fold: int, folds: int, bits: int = BITS) -> DataFrame:
@@ -151,7 +192,7 @@ def scored(docs: DataFrame, weights: np.ndarray | None, prior: float, threshold:
 def quality_classifier(docs: DataFrame, marks: DataFrame, fold: int = 2, folds: int = 4, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted (1 from 0.7 on)."""
     rows = training_rows(docs, marks, "quality", fold, folds, sample)
-    prior = sum(y for _, y in rows) / len(rows) if rows else 0.5
+    prior = sum(y for _, _, y in rows) / len(rows) if rows else 0.5
     return scored(docs, fit(rows), prior, THRESHOLD, fold, folds)
 
 
