@@ -6,20 +6,24 @@ hashes set. Texts link if their fingerprints differ in at most four bits.
 
 Search: a fingerprint is a ring of five segments, so each has 4/5 of a bit to spend. If two fingerprints
 differ in at most four bits, then from some segment on every chain of l consecutive segments differs in at
-most l*4/5 bits: 0, 1, 2, 3, 4 bits for l = 1..5. The first two (or, for very many fingerprints, three)
-links of that chain become an exact key: each fingerprint is indexed by the bits of those segments and
-probes with the few variants that the budgets allow. Fingerprints that meet go through the rest of the chain
-before their full distance is taken.
+most l*4/5 bits: 0, 1, 2, 3, 4 bits for l = 1..5. The first two links of that chain become an exact key: each
+fingerprint is indexed by the bits of those segments and probes with the few variants that the budgets allow.
+A key with over ``CROWD`` indexed fingerprints is split by the chain's next link (and again, if need be), in the
+same way. Fingerprints that meet go through the rest of the chain before their full distance is taken.
 
 Only distinct fingerprints are searched, and a key's group yields a spanning forest of its links, never its
 pairs; components are then joined across keys. Links are complete: nothing is capped.
 
-Null texts count as empty. Repeated rows and equal texts share a fingerprint. A null id gets a fingerprint,
-but never names a component. Other columns are ignored.
+Null texts count as empty. Repeated rows, ties and equal texts share a fingerprint. A null id gets a fingerprint,
+but never names a component. Very long texts are hashed whole, a block at a time. An empty table gives no rows.
+Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -32,26 +36,50 @@ from sparkrank.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 WIDTHS = (13, 13, 13, 13, 12)
-#: From so many distinct fingerprints on, keys hold three segments.
-LONG_CHAIN_FROM = 50_000_000
+#: Indexed fingerprints of a key from which on it is split by the next segment.
+CROWD = 8192
+#: Bytes of a text whose shingles are hashed at a time.
+BLOCK_BYTES = 1 << 20
+_SPACE = re.compile(rb"[ \t-\r]")
 FINGERPRINTS = {"doc_id": pa.int64(), "fp": pa.int64(), "text_hash": pa.int64()}
 _ALL = (1 << 64) - 1
 
 
+def _blocks(raw: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, a block of bytes at a time."""
+    at = 0
+    while at < len(raw):
+        end = at + BLOCK_BYTES
+        cut = _SPACE.search(raw, end) if end < len(raw) else None
+        end = cut.start() if cut else len(raw)
+        yield raw[at:end].split()  # bytes split at the six ASCII white space characters alone
+        at = end
+
+
 def fingerprint(text: str) -> int:
     import xxhash
 
-    words = text.encode().lower().split()  # bytes: only A-Z are lowered, only ASCII white space splits
+    h = xxhash.xxh64_intdigest
+    ones, total, carried, words = np.zeros(64, np.int64), 0, [], []
+
+    def count(hashes: list[int]) -> None:
+        nonlocal total
+        total += len(hashes)
+        ones[:] += np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+    for more in _blocks(text.encode().lower()):  # bytes: only A-Z are lowered
+        words = carried + more
+        line = b" ".join(words)
+        ends = (np.cumsum([len(w) + 1 for w in words]) - 1).tolist() if words else []
+        starts = [0, *(e + 1 for e in ends[:-1])]
+        if len(words) >= SHINGLE:
+            count([h(line[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :])])
+        carried = words[-(SHINGLE - 1) :]
     if not words:
         return 0
-    line = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = [0, *(ends[:-1] + 1).tolist()]
-    ends = ends.tolist()[min(SHINGLE, len(words)) - 1 :]
-    h = xxhash.xxh64_intdigest
-    hashes = np.array([h(line[a:b], SEED) for a, b in zip(starts, ends)], dtype="<u8")
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
+    if not total:
+        count([h(b" ".join(words), SEED)])
+    return int.from_bytes(np.packbits(2 * ones > total, bitorder="little").tobytes(), "little")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -81,14 +109,19 @@ def budgets() -> list[int]:
     return [DISTANCE * (k + 1) // len(WIDTHS) for k in range(len(WIDTHS))]
 
 
+def further(start: int, k: int, spent: int) -> list[int]:
+    """Differences within the chain's segment number ``k`` that ``spent`` differing bits before it leave room for."""
+    masks = ring(start)
+    own = int(masks[k]) & ~(int(masks[k - 1]) if k else 0)
+    bits = [1 << b for b in range(64) if own >> b & 1]
+    return [sum(more) for n in range(budgets()[k] - spent + 1) for more in combinations(bits, n)]
+
+
 def variants(start: int, chain: int) -> np.ndarray:
     """Differences within the first ``chain`` segments whose every prefix keeps to its budget."""
-    masks, limit = ring(start), budgets()
     found = {0}
     for k in range(1, chain):
-        own = int(masks[k]) & ~int(masks[k - 1])
-        bits = [1 << b for b in range(64) if own >> b & 1]
-        found = {d | sum(more) for d in found for n in range(limit[k] - d.bit_count() + 1) for more in combinations(bits, n)}
+        found = {d | more for d in found for more in further(start, k, d.bit_count())}
     return np.array(sorted(found), dtype=np.uint64)
 
 
@@ -117,24 +150,74 @@ def forest(probes: np.ndarray, indexed: np.ndarray, masks: list[np.uint64], chai
     return links
 
 
-def links(fps: DataFrame, chain: int = 2) -> DataFrame:
-    """Links (a, b) that connect the distinct fingerprints of column ``fp`` as all links would."""
+DEALT = "start int, key long, fp long, indexed boolean"
+
+
+def _rows(start: np.ndarray, key: np.ndarray, fp: np.ndarray, indexed: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(start.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(fp.view(np.int64)), pa.array(indexed)], names=["start", "key", "fp", "indexed"])
+
+
+def _first(fps: DataFrame, probes: bool) -> DataFrame:
+    """Keys of two segments; ``probes``: those that are probed with as well."""
 
     def keys(batches):
-        ways = [(ring(s)[chain - 1], variants(s, chain)) for s in range(len(WIDTHS))]
+        ways = [(ring(s)[1], variants(s, 2)) for s in range(len(WIDTHS))]
         for batch in batches:
             all_fps = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
             for lo in range(0, len(all_fps), 2000):
                 fp = all_fps[lo : lo + 2000]
                 parts = []
                 for s, (mask, diffs) in enumerate(ways):
-                    probe = ((fp[:, None] ^ diffs[None, :]) & mask).ravel()
-                    parts.append((np.full(len(probe), s), probe, np.repeat(fp, len(diffs)), np.zeros(len(probe), bool)))
                     parts.append((np.full(len(fp), s), fp & mask, fp, np.ones(len(fp), bool)))
-                start, key, own, kind = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(start.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(own.view(np.int64)), pa.array(kind)], names=["start", "key", "fp", "indexed"])
+                    if probes:
+                        probe = ((fp[:, None] ^ diffs[None, :]) & mask).ravel()
+                        parts.append((np.full(len(probe), s), probe, np.repeat(fp, len(diffs)), np.zeros(len(probe), bool)))
+                yield _rows(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+    return fps.select("fp").distinct().mapInArrow(keys, DEALT)
+
 
-    dealt = fps.select("fp").distinct().mapInArrow(keys, "start int, key long, fp long, indexed boolean")
+def _next(dealt: DataFrame, chain: int) -> DataFrame:
+    """Keys of ``chain`` segments from those of one less: indexed ones go on as they are, probes with every
+    difference in the next segment that their differences so far leave room for."""
+
+    def keys(batches):
+        for batch in batches:
+            start, key, fp, indexed = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("start", "key", "fp", "indexed"))
+            key, fp = key.view(np.uint64), fp.view(np.uint64)
+            for s in np.unique(start).tolist():
+                masks = ring(s)
+                own, old = masks[chain - 1] & ~masks[chain - 2], masks[chain - 2]
+                at = np.flatnonzero((start == s) & indexed)
+                yield _rows(start[at], key[at] | (fp[at] & own), fp[at], indexed[at])
+                spent = np.bitwise_count((fp ^ key) & old)
+                for n in range(budgets()[chain - 2] + 1):
+                    diffs = np.array(further(s, chain - 1, n), dtype=np.uint64)
+                    at = np.flatnonzero((start == s) & ~indexed & (spent == n))
+                    for lo in range(0, len(at), 2000):
+                        some = at[lo : lo + 2000]
+                        probe = (key[some, None] | ((fp[some, None] ^ diffs[None, :]) & own)).ravel()
+                        yield _rows(np.full(len(probe), s), probe, np.repeat(fp[some], len(diffs)), np.zeros(len(probe), bool))
+
+    return dealt.mapInArrow(keys, DEALT)
+
+
+def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """Links (a, b) that connect the distinct fingerprints of column ``fp`` as all links would."""
+    dealt, indexed, found = _first(fps, True), _first(fps, False), []
+    for chain in range(2, len(WIDTHS)):
+        many = indexed.groupBy("start", "key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("start", "key")
+        many = written(many, "crowds") if chain < len(WIDTHS) - 1 else None
+        if many is None or many.isEmpty():
+            return reduce(DataFrame.unionByName, [*found, _met(dealt, chain)]).distinct()
+        found.append(_met(dealt.join(many, ["start", "key"], "left_anti"), chain))
+        dealt = _next(dealt.join(many, ["start", "key"], "left_semi"), chain + 1)
+        indexed = dealt.where("indexed")
+    raise AssertionError
+
+
+def _met(dealt: DataFrame, chain: int) -> DataFrame:
+    """Links of the fingerprints that meet at keys of ``chain`` segments."""
     dealt = dealt.repartition("start", "key").sortWithinPartitions("start", "key")
 
     def meet(batches):
@@ -166,14 +249,13 @@ def links(fps: DataFrame, chain: int = 2) -> DataFrame:
         if rest is not None:
             yield solve(*rest)
 
-    return dealt.mapInArrow(meet, "a long, b long").distinct()
+    return dealt.mapInArrow(meet, "a long, b long")
 
 
 def grouped(fps: DataFrame) -> DataFrame:
     """(fp, node) for each distinct fingerprint: the smallest fingerprint (as a signed long) in its reach."""
     distinct = fps.select("fp").distinct()
-    chain = 2 if distinct.count() < LONG_CHAIN_FROM else 3
-    found = components(links(distinct, chain))
+    found = components(links(distinct))
     return distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", F.coalesce("component", "fp").alias("node"))
 
 

@@ -123,9 +123,85 @@ def test_simhash(corpus, awkward):
     assert kept.count() == len({find(k) for k in range(len(prints))}) and kept.columns == awkward.columns
 
 
+def test_fingerprint_follows_its_definition(monkeypatch):
+    import re
+
+    import xxhash
+
+    rng = random.Random(21)
+    texts = ["", " \n", "One", "a b C", "Zé ÀB x\x85y  q\x1cr", prose(rng, 4), prose(rng, 300), "ab " * 50, "x" * 5000, *(prose(rng, rng.randint(1, 40)) for _ in range(60))]
+    for block in (simhash.BLOCK_BYTES, 7):
+        monkeypatch.setattr(simhash, "BLOCK_BYTES", block)
+        for text in texts:
+            low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+            words = re.findall("[^\x20\x09-\x0D]+", low)
+            shingles = [" ".join(words[k : k + 4]) for k in range(max(1, len(words) - 3))] if words else []
+            hashes = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in shingles]
+            want = sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+            assert simhash.fingerprint(text) == want
+
+
+def test_follow_the_leader_is_the_published_update():
+    rng = np.random.default_rng(22)
+    model, z, n = quality_classifier.FollowTheLeader(4), [0.0] * 17, [0.0] * 17
+    q = quality_classifier
+    for _ in range(200):
+        at, y = rng.choice(17, 5, replace=False), int(rng.integers(2))
+        x = rng.normal(size=5)
+        w = [0.0 if abs(z[i]) <= q.L1 else -(z[i] - (q.L1 if z[i] > 0 else -q.L1)) / ((q.BETA + n[i] ** 0.5) / q.ALPHA + q.L2) for i in at]
+        p = 1 / (1 + np.exp(-sum(a * b for a, b in zip(w, x))))
+        for i, wi, xi in zip(at, w, x):
+            g = (p - y) * xi
+            sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / q.ALPHA
+            z[i], n[i] = z[i] + g - sigma * wi, n[i] + g * g
+        model.update(at, x, float(y))
+    assert model.z == pytest.approx(z) and model.n == pytest.approx(n)
+
+
+def test_toxicity_gradient_is_that_of_the_non_negative_risk():
+    rng = np.random.default_rng(23)
+    loss = lambda g: np.log1p(np.exp(-g))
+    logistic = lambda g: 1 / (1 + np.exp(-g))
+    for prior, shift in ((0.3, 0.0), (0.1, 2.0), (0.6, -6.0), (0.9, -4.0)):
+        gp, gu = rng.normal(size=6), rng.normal(size=9) + shift
+        clean = lambda gp, gu: np.mean(loss(-gu)) - prior * np.mean(loss(-gp))  # noqa: E731,B023
+        target = (lambda gp, gu: prior * np.mean(loss(gp)) + clean(gp, gu)) if clean(gp, gu) >= 0 else (lambda gp, gu: -clean(gp, gu))  # noqa: B023
+        dp, du = toxicity.gradient(logistic(gp), logistic(gu), prior)
+        for g, d in ((gp, dp), (gu, du)):
+            for k in range(len(g)):
+                old, e = g[k], 1e-6
+                g[k] = old + e
+                up = target(gp, gu)
+                g[k] = old - e
+                down = target(gp, gu)
+                g[k] = old
+                assert (up - down) / (2 * e) == pytest.approx(d[k], abs=1e-6)
+
+
+def test_toxicity_cut_is_the_least_estimated_error():
+    rng = np.random.default_rng(24)
+    p, u, prior = rng.normal(2, 1, 50), np.concatenate([rng.normal(2, 1, 30), rng.normal(-2, 1, 170)]), 0.15
+    wrong, cut = toxicity.best_cut(p, u, prior)
+    error = lambda c: prior * np.mean(p < c) + max(0, np.mean(u >= c) - prior * np.mean(p >= c))
+    assert error(cut) == pytest.approx(wrong) and all(error(c) >= wrong - 1e-12 for c in np.linspace(-6, 6, 2000))
+
+
+def test_bundles_add_bound_letters():
+    letters = lang.Letters(64)
+    for text in ("Ab c", "日本 ß", "a", "Ωω7"):
+        low = [0, *(ord(c.lower()) if c.isalpha() else 0 for c in text), 0]
+        total = np.zeros(64)
+        for k in range(len(low) - 2):
+            if any(low[k : k + 3]):
+                total += np.prod([np.roll(letters.vector(x), 2 - j) for j, x in enumerate(low[k : k + 3])], axis=0)
+        ((places, v),) = letters.bundles([text, "12"])
+        assert places == [0] and v[0] == pytest.approx(total / np.linalg.norm(total), abs=1e-5)
+    assert len({letters.vector(c).tobytes() for c in range(0x400, 0x500)}) == 256
+
+
 def test_simhash_ring_is_complete():
     rng = random.Random(1)
-    for chain in (2, 3):
+    for chain in (2, 3, 4):
         for _ in range(100):
             a = rng.getrandbits(64)
             b = a
@@ -151,7 +227,7 @@ def test_simhash_links_many_close(spark):
         for b in fps:
             if (a ^ b).bit_count() <= 4:
                 parent[find(a)] = find(b)
-    for chain in (2, 3):
+    for crowd in (simhash.CROWD, 100, 20, 2):
         found = {x: x for x in fps}
 
         def root(x):
@@ -159,7 +235,7 @@ def test_simhash_links_many_close(spark):
                 x = found[x]
             return x
 
-        for r in simhash.links(df, chain).collect():
+        for r in simhash.links(df, crowd).collect():
             a, b = r["a"] % (1 << 64), r["b"] % (1 << 64)
             assert (a ^ b).bit_count() <= 4
             found[root(a)] = root(b)
@@ -295,6 +371,45 @@ def test_packing(corpus, awkward):
     assert len(full) <= -(-total // size) * 1.1 + 2
 
 
+def greedy(lengths, size):
+    """Item by item: large ones with the largest that fits, the others into the least gap."""
+    large, bins = sorted((n for n in lengths if 3 * n > size), reverse=True), []
+    while large:
+        a = large.pop(0)
+        b = next((x for x in large if x <= size - a), None)
+        if b is not None:
+            large.remove(b)
+        bins.append([a] + [b] * (b is not None))
+    for n in sorted((n for n in lengths if 3 * n <= size), reverse=True):
+        fits = [b for b in bins if sum(b) + n <= size]
+        if fits:
+            max(fits, key=sum).append(n)
+        else:
+            bins.append([n])
+    return bins
+
+
+def test_plan_is_the_item_by_item_one():
+    for seed in range(80):
+        rng = random.Random(seed)
+        size = rng.choice([10, 50, 300])
+        lengths = [rng.randint(1, size) for _ in range(rng.randint(1, 200))]
+        bins: dict = {}
+        for n, lo, hi, s, _ in packing.plan_packing({n: lengths.count(n) for n in lengths}, size):
+            for r in range(lo, hi):
+                bins.setdefault(s + r - lo, []).append(n)
+        assert sorted(map(sum, bins.values())) == sorted(map(sum, greedy(lengths, size)))  # equal gaps are ties
+
+
+def test_long_white_space_is_tokenized():
+    from tokenizers import Tokenizer
+
+    files = packing.tokenizer_files()
+    encoder, whole = packing.Encoder(files), Tokenizer.from_file(files[0])
+    for t in ("a" + " " * 1_000_000 + "b", "\n" * 1_000_000, "x" * 300_000):
+        assert encoder.ids(t).tolist() == whole.encode(t, add_special_tokens=False).ids
+
+
 def test_encoder_is_the_tokenizers():
     from tokenizers import Tokenizer
 
