@@ -2,24 +2,32 @@
 
 Paragraphs: a line's sentences (they end at ``.``, ``!`` or ``?`` before white space); a sentence of fewer than
 five words joins the next one of its line. Repeated passages thus fall into the same paragraphs wherever they
-stand, but for the first and last one. Paragraphs of fewer than five words are no candidates.
+stand, but for the first and last one. Paragraphs of fewer than ``shortest`` words are no candidates.
 
-1. MinHash over five-word shingles (A-Z lowered); ``ROWS`` and ``BANDS`` are tuned so that a pair at similarity
-   0.8 collides in some band with probability 0.998. Bands that only one document has are dropped without
-   moving text (:func:`sparkrank.llm.units.with_shared`).
+1. MinHash over five-word shingles (A-Z lowered; a shorter paragraph is one shingle); ``ROWS`` and ``BANDS`` are
+   tuned so that a pair at similarity 0.8 collides in some band with probability ``RECALL``. Bands that only one
+   document has are dropped by their hashes alone (:func:`sparkrank.llm.units.with_shared`).
 2. Equal paragraphs are one class. Classes that collide in a band are verified by the exact Jaccard similarity
-   of their shingle sets; a band's group yields a spanning forest of its links, never its pairs.
+   of their shingle sets; a band's group yields a spanning forest of its links, never its pairs. Within a group
+   only sets that share one of their least shingles are compared: of two sets at similarity 0.8 the least fifth
+   (and one more) of both must meet. A band with over ``CROWD`` classes is dealt out by those shingles as well.
 3. Components of classes are clusters. A cluster's paragraphs stay in the document with the smallest id and go
-   from all others, if the repeat has at least ``MIN_RUN`` words: removed neighbours, and the words around them that
+   from all others, if the repeat has at least ``min_run`` words: removed neighbours, and the words around them that
    match those around the kept paragraph one by one (a passage's first and last words stand in the host's sentences).
+   With 0 every verified paragraph goes.
 
-Null and empty texts have no paragraphs. Equal ids (repeated rows) are one document to each other: nothing goes
-because of them. A null id counts as larger than all others. Other columns are ignored by the search and kept
-by :func:`cleaned`. Offsets are UTF-8 bytes.
+Classes are told apart by 64 bits; one that a second hash of 64 bits contradicts is left alone.
+
+Null and empty texts have no paragraphs; an empty table gives no rows. Equal ids (repeated rows, ties) are one
+document to each other: nothing goes because of them. A null id counts as larger than all others. Very long texts
+are read whole, some lines at a time. Other columns are ignored by the search and kept by :func:`cleaned`. Offsets
+are UTF-8 bytes.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -32,17 +40,19 @@ from sparkrank.llm.suffix_dedup import _mixed, _slices
 from sparkrank.llm.units import Unit, units, with_shared
 
 SHINGLE, SIMILARITY = 5, 0.8
-RECALL = 0.998
+RECALL = 0.996
 #: A lone short line that many documents share is no passage; the repeat must have so many words in a row.
 MIN_RUN = 20
+#: Classes of a band from which on they are dealt out by their least shingles too.
+CROWD = 2000
 #: Words beyond ``MIN_RUN`` that a paragraph and its surroundings on one side have: a similar paragraph may be longer.
 SLACK = 4
 CHUNK = 1 << 20
 LAST = np.iinfo(np.int64).max
-FOUND = {"doc_id": pa.int64(), "text_hash": pa.int64(), "para": pa.int64(), "start": pa.int64(), "end": pa.int64(), "n_words": pa.int64(), "cls": pa.int64(), "before": pa.list_(pa.int16()), "after": pa.list_(pa.int16()), "bands": pa.list_(pa.int64()), "shingles": pa.binary()}
+FOUND = {"doc_id": pa.int64(), "text_hash": pa.int64(), "para": pa.int64(), "start": pa.int64(), "end": pa.int64(), "n_words": pa.int64(), "cls": pa.int64(), "check": pa.int64(), "before": pa.list_(pa.int16()), "after": pa.list_(pa.int16()), "bands": pa.list_(pa.int64()), "shingles": pa.binary()}
 
 
-def tuned(similarity: float = SIMILARITY, recall: float = RECALL, rows: int = 2) -> tuple[int, int]:
+def tuned(similarity: float = SIMILARITY, recall: float = RECALL, rows: int = 3) -> tuple[int, int]:
     """(rows, bands): the fewest bands of ``rows`` rows that find a pair at ``similarity`` with probability ``recall``."""
     bands = 1
     while 1 - (1 - similarity**rows) ** bands < recall:
@@ -63,8 +73,8 @@ _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
 
 
-def _chunk(data: np.ndarray) -> tuple[np.ndarray, ...] | None:
-    """(start, end, words, shingles of all, how many shingles, class) of the candidates in whole lines."""
+def _chunk(data: np.ndarray, shortest: int) -> tuple[np.ndarray, ...] | None:
+    """(start, end, words, shingles of all, how many shingles, class, check) of the candidates in whole lines."""
     space = _SPACE[data]
     turn = np.diff(space.astype(np.int8), prepend=1, append=1)
     ws, we = np.flatnonzero(turn == -1), np.flatnonzero(turn == 1)
@@ -78,37 +88,40 @@ def _chunk(data: np.ndarray) -> tuple[np.ndarray, ...] | None:
     size = np.diff(sentence_ends, prepend=-1)
     ends = sentence_ends[(size >= SHINGLE) | hard[sentence_ends]] + 1
     begins = np.append(0, ends[:-1])
-    keep = ends - begins >= SHINGLE
+    keep = ends - begins >= shortest
     begins, ends = begins[keep], ends[keep]
     if not len(begins):
         return None
-    count = ends - begins - SHINGLE + 1
+    count = np.maximum(1, ends - begins - SHINGLE + 1)
     at = _slices(begins, count)
     shingles = np.zeros(len(at), np.uint64)
+    last = np.repeat(ends, count)
     for k in range(SHINGLE):
-        shingles += word[at + k] * _PLACES[k]
+        shingles += np.where(at + k < last, word[np.minimum(at + k, len(word) - 1)], np.uint64(k)) * _PLACES[k]
     shingles = _mixed(shingles)
     # The class hashes the shingles with their places, that is the whole sequence of words.
     place = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
     firsts = np.cumsum(count) - count
-    cls = _mixed(np.add.reduceat(_mixed(shingles + (place.astype(np.uint64) << np.uint64(1))), firsts) + count.astype(np.uint64))
-    return ws[begins], we[ends - 1], ends - begins, shingles, count, cls
+    place = place.astype(np.uint64)
+    cls = _mixed(np.add.reduceat(_mixed(shingles + (place << np.uint64(1))), firsts) + count.astype(np.uint64))
+    check = _mixed(np.add.reduceat((shingles ^ (shingles >> np.uint64(23))) * (place * np.uint64(0x9E3779B97F4A7C16) + np.uint64(1)), firsts))
+    return ws[begins], we[ends - 1], ends - begins, shingles, count, cls, check
 
 
-def paragraphs(unit: Unit) -> tuple[np.ndarray, ...]:
-    """(band keys, row of each) and, per paragraph, (row, start, end, words, number of shingles, class), shingles."""
+def paragraphs(unit: Unit, shortest: int = SHINGLE) -> tuple[np.ndarray, ...]:
+    """(band keys, row of each) and, per paragraph, (row, start, end, words, number of shingles, class, check), shingles."""
     breaks = np.flatnonzero(_BREAK[unit.data]) + 1
     lo, parts = 0, []
     while lo < len(unit.data):
         k = np.searchsorted(breaks, lo + CHUNK, "right") - 1
         hi = int(breaks[k]) if k >= 0 and breaks[k] > lo else int(breaks[np.searchsorted(breaks, lo + CHUNK, "left")])
-        if (part := _chunk(unit.data[lo:hi])) is not None:
+        if (part := _chunk(unit.data[lo:hi], shortest)) is not None:
             parts.append((part[0] + lo, part[1] + lo, *part[2:]))
         lo = hi
     if not parts:
         none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), none, none, none, none, none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    start, end, words, shingles, count, cls = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return np.zeros(0, np.uint64), none, none, none, none, none, none, *(np.zeros(0, np.uint64),) * 3
+    start, end, words, shingles, count, cls, check = (np.concatenate(x) for x in zip(*parts, strict=True))
     firsts = np.cumsum(count) - count
     keys = np.empty((len(start), BANDS), np.uint64)
     for b in range(BANDS):
@@ -120,7 +133,7 @@ def paragraphs(unit: Unit) -> tuple[np.ndarray, ...]:
             key = key * np.uint64(0xD6E8FEB86659FD93) + np.minimum.reduceat(v, firsts)
         keys[:, b] = _mixed(key)
     row = unit.doc_at(start)
-    return keys.ravel(), np.repeat(row, BANDS), row, start, end, words, count, cls, shingles
+    return keys.ravel(), np.repeat(row, BANDS), row, start, end, words, count, cls, check, shingles
 
 
 def _around(data: np.ndarray, lo: int, start: int, end: int, hi: int, n: int) -> tuple[list[int], list[int]]:
@@ -142,10 +155,11 @@ def _around(data: np.ndarray, lo: int, start: int, end: int, hi: int, n: int) ->
     return tuple([(xxhash.xxh32_intdigest(w.lower()) & 0xFFFF) - 0x8000 for w in side[:n]] for side in (before, after))
 
 
-def _candidates(number, unit, shared, _, found):
+def _candidates(unit, shared, found, min_run):
     import xxhash
 
-    _, _, row, start, end, words, count, cls, shingles = found
+    _, _, row, start, end, words, count, cls, check, shingles = found
+    cls, check = cls.view(np.int64), check.view(np.int64)
     shared = shared.reshape(-1, BANDS)
     keys = found[0].reshape(-1, BANDS)
     firsts = np.cumsum(count) - count
@@ -161,7 +175,7 @@ def _candidates(number, unit, shared, _, found):
         c = int(cls[k])
         first = c not in sent
         sent.add(c)
-        rows.append((unit.doc_ids[r], hashes[r], int(para[k]), int(start[k] - unit.starts[r]), int(end[k] - unit.starts[r]), int(words[k]), c - (1 << 64) if c >> 63 else c, *_around(unit.data, int(unit.starts[r]), int(start[k]), int(end[k]), int(unit.starts[r] + unit.lengths[r]), MIN_RUN + SLACK - int(words[k])), keys[k][shared[k]].view(np.int64).tolist() if first else None, np.unique(shingles[firsts[k] : firsts[k] + count[k]]).tobytes() if first else None))
+        rows.append((unit.doc_ids[r], hashes[r], int(para[k]), int(start[k] - unit.starts[r]), int(end[k] - unit.starts[r]), int(words[k]), c, int(check[k]), *_around(unit.data, int(unit.starts[r]), int(start[k]), int(end[k]), int(unit.starts[r] + unit.lengths[r]), min_run + SLACK - int(words[k]) if min_run else 0), keys[k][shared[k]].view(np.int64).tolist() if first else None, np.unique(shingles[firsts[k] : firsts[k] + count[k]]).tobytes() if first else None))
     for lo in range(0, len(rows), 20_000):
         yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows[lo : lo + 20_000], strict=True), FOUND.values(), strict=True)], schema=pa.schema(list(FOUND.items())))
 
@@ -175,20 +189,41 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both >= SIMILARITY * (len(a) + len(b) - both)
 
 
+def least(n: int) -> int:
+    """How many of the least of ``n`` shingles meet those of any similar set: n less its least overlap, and one."""
+    return n - math.ceil(SIMILARITY * n - 1e-9) + 1
+
+
 def forest(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that connect a group as all its links would. Each member is compared with one of each cluster first;
-    only clusters that it doesn't meet that way are gone through."""
-    clusters: list[list[int]] = []
+    """Links that connect a group as all its links would. A member is compared with those that share one of its
+    least shingles, and with no more of a cluster once it has met it."""
+    parent = list(range(len(ids)))
+
+    def find(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    holders: dict[int, dict[int, list[int]]] = {}  # by shingle, then by cluster as it was
     links = []
-    for k in range(len(ids)):
-        met = []
-        for cluster in clusters:
-            hit = next((m for m in cluster if similar(sets[m], sets[k])), None)
-            if hit is not None:
-                links.append((ids[hit], ids[k]))
-                met.append(cluster)
-        joined = [m for c in met for m in c] + [k]
-        clusters = [c for c in clusters if not any(c is m for m in met)] + [joined]
+    for k, own in enumerate(sets):
+        tokens = own[: least(len(own))].tolist()
+        met, tried = set(), set()
+        for token in tokens:
+            for old, members in holders.get(token, {}).items():
+                if (root := find(old)) in met:
+                    continue
+                for m in members:
+                    if m not in tried:
+                        tried.add(m)
+                        if similar(sets[m], own):
+                            links.append((ids[m], ids[k]))
+                            met.add(root)
+                            break
+        for root in met:
+            parent[root] = k
+        for token in tokens:
+            holders.setdefault(token, {}).setdefault(k, []).append(k)
     return links
 
 
@@ -214,32 +249,39 @@ def _linked(batches):
     yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], schema=schema)
 
 
-def removals(docs: DataFrame) -> DataFrame:
+def removals(docs: DataFrame, min_run: int = MIN_RUN, shortest: int = SHINGLE, crowd: int = CROWD) -> DataFrame:
     """A row per removed paragraph: doc_id, text_hash (of the whole text, to tell repeated ids apart), para,
     start, end, n_words, cluster_id and kept_doc_id, the document that keeps the cluster's paragraphs."""
-    found = written(with_shared(units(docs), paragraphs, _candidates, FOUND), "paragraphs")
+    pieces = with_shared(units(docs), lambda unit: paragraphs(unit, shortest), lambda _, unit, shared, __, found: _candidates(unit, shared, found, min_run), FOUND)
+    found = written(pieces, "paragraphs")
     classes = found.where("shingles is not null").select("cls", "bands", "shingles")
     keys = classes.select("cls", F.explode("bands").alias("key")).distinct()
-    several = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    several = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = keys.join(several, "key")
     sets = classes.join(met.select("cls").distinct(), "cls", "left_semi").select("cls", "shingles").dropDuplicates(["cls"])
-    links = met.join(sets, "cls").select("key", "cls", "shingles").repartition("key").sortWithinPartitions("key", "cls").mapInArrow(_linked, "a long, b long")
+    n = F.expr("length(shingles) div 8")
+    tokens = F.transform(F.sequence(F.lit(0), n - F.ceil(n * SIMILARITY - 1e-9)), lambda k: F.xxhash64("key", F.substring("shingles", (8 * k + 1).cast("int"), F.lit(8))))
+    dealt = met.join(sets, "cls").select(F.explode(F.when(F.col("n") > crowd, tokens).otherwise(F.array("key"))).alias("key"), "cls", "shingles")
+    links = dealt.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(_linked, "a long, b long")
     clusters = components(links)
     # Who keeps what is settled by class, of which copies are one; only the last join meets every paragraph, and its
     # large side comes straight from a shuffle, so a class that very many documents share can be split there.
     order = F.coalesce("doc_id", F.lit(LAST))
-    least = found.groupBy("cls").agg(F.min(order).alias("least"))
+    least = found.groupBy("cls").agg(F.min(order).alias("least"), (F.min("check") == F.max("check")).alias("_sound")).where("_sound").drop("_sound")
     named = least.join(clusters.select(F.col("node").alias("cls"), "component"), "cls", "left").select("cls", "least", F.coalesce("component", "cls").alias("cluster_id"))
     keeper = named.groupBy("cluster_id").agg(F.min("least").alias("kept_doc_id"))
     by_class = named.join(keeper, "cluster_id").select("cls", "cluster_id", "kept_doc_id")
-    gone = found.drop("bands", "shingles").join(by_class, "cls").where(order > F.col("kept_doc_id")).drop("cls").repartition("doc_id", "text_hash")
+    gone = found.drop("bands", "shingles", "check").join(by_class, "cls").where(order > F.col("kept_doc_id")).drop("cls").repartition("doc_id", "text_hash")
     by_doc = Window.partitionBy("doc_id", "text_hash").orderBy("para")
     runs = gone.distinct().withColumn("_run", F.col("para") - F.row_number().over(by_doc))
+    names = ["doc_id", "text_hash", "para", "start", "end", "n_words", "cluster_id", "kept_doc_id"]
+    if not min_run:
+        return runs.select(*names)
     whole = Window.partitionBy("doc_id", "text_hash", "_run")
     ends = {"_words": F.sum("n_words").over(whole), "_first": F.col("para") == F.min("para").over(whole), "_last": F.col("para") == F.max("para").over(whole)}
     runs = written(runs.withColumns(ends), "runs")
     # Where a run is short, the words around its first and last paragraph are held against each kept occurrence.
-    short = runs.where((F.col("_words") < MIN_RUN) & (F.col("_first") | F.col("_last")))
+    short = runs.where((F.col("_words") < min_run) & (F.col("_first") | F.col("_last")))
     asked = by_class.join(short.select("cluster_id").distinct(), "cluster_id", "left_semi")
     kept = found.where((F.size("before") > 0) | (F.size("after") > 0)).select("cls", order.alias("_order"), "before", "after").join(asked, "cls")
     kept = kept.where(F.col("_order") == F.col("kept_doc_id")).select("cluster_id", F.col("before").alias("_before"), F.col("after").alias("_after")).distinct()
@@ -247,10 +289,9 @@ def removals(docs: DataFrame) -> DataFrame:
     # A null id or hash can't be a key of these joins as it stands.
     key = F.struct(order.alias("d"), F.col("text_hash").alias("h"), F.col("_run").alias("r"))
     best = short.join(kept, "cluster_id").groupBy(key.alias("_key"), "para", "_words").agg(F.max(more).alias("_more"))
-    longer = best.groupBy("_key").agg((F.max("_words") + F.sum("_more")).alias("_n")).where(F.col("_n") >= MIN_RUN)
-    names = ["doc_id", "text_hash", "para", "start", "end", "n_words", "cluster_id", "kept_doc_id"]
-    extended = runs.where(F.col("_words") < MIN_RUN).withColumn("_key", key).join(longer, "_key", "left_semi")
-    return runs.where(F.col("_words") >= MIN_RUN).select(*names).unionByName(extended.select(*names))
+    longer = best.groupBy("_key").agg((F.max("_words") + F.sum("_more")).alias("_n")).where(F.col("_n") >= min_run)
+    extended = runs.where(F.col("_words") < min_run).withColumn("_key", key).join(longer, "_key", "left_semi")
+    return runs.where(F.col("_words") >= min_run).select(*names).unionByName(extended.select(*names))
 
 
 def _matching(a: str, b: str) -> Column:

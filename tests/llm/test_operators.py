@@ -265,7 +265,59 @@ def test_paragraph_dedup(corpus, awkward):
 
 def test_bands_are_tuned():
     r, b = paragraph_dedup.tuned()
-    assert 1 - (1 - 0.8**r) ** b >= 0.998 > 1 - (1 - 0.8**r) ** (b - 1)
+    assert 1 - (1 - 0.8**r) ** b >= paragraph_dedup.RECALL > 1 - (1 - 0.8**r) ** (b - 1)
+
+
+def test_paragraph_recall_against_all_pairs(spark):
+    rng = random.Random(31)
+    base = [prose(rng, rng.randint(12, 60)).replace("\n", " ").replace(".", "") for _ in range(40)]
+    rows = []
+    for k in range(400):
+        words = rng.choice(base).split()
+        for _ in range(rng.randint(0, 2)):
+            words[rng.randrange(len(words))] = prose(rng, 1).strip(".,\n ")
+        rows.append((k, " ".join(words) + "."))
+    rows += [(500, "two words."), (501, "two words."), (502, "Two words."), (503, "other words.")]
+    sets = {k: frozenset(tuple(w[j : j + 5]) for w in [t.lower().split()] for j in range(max(1, len(w) - 4))) for k, t in rows}
+    ids = sorted(sets)
+    pairs = [(a, b) for x, b in enumerate(ids) for a in ids[:x] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for crowd in (paragraph_dedup.CROWD, 3):
+        got = paragraph_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string"), min_run=0, shortest=1, crowd=crowd).collect()
+        cluster = {r["doc_id"]: r["cluster_id"] for r in got} | {r["kept_doc_id"]: r["cluster_id"] for r in got}
+        found = sum(a in cluster and cluster.get(a) == cluster.get(b) for a, b in pairs)
+        assert found >= 0.99 * len(pairs) > 500
+        assert {501, 502} <= {r["doc_id"] for r in got} and 503 not in cluster
+        root = list(range(600))
+        for a, b in pairs:  # nothing is in a cluster but by links
+            while root[a] != a:
+                a = root[a]
+            while root[b] != b:
+                b = root[b]
+            root[b] = a
+        top = lambda k: k if root[k] == k else top(root[k])
+        assert all(top(r["doc_id"]) == top(r["kept_doc_id"]) for r in got)
+    assert paragraph_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id >= 500").count() == 0
+
+
+def test_paragraph_forest_links_a_group_as_all_pairs_would():
+    rng = np.random.default_rng(32)
+    for _ in range(30):
+        sets = []
+        for _ in range(60):
+            own = sets[rng.integers(len(sets))].copy() if sets and rng.random() < 0.7 else rng.integers(0, 10**6, rng.integers(1, 30)).astype(np.uint64)
+            own[rng.integers(len(own))] = rng.integers(0, 10**6)
+            sets.append(np.unique(own))
+        root = list(range(60))
+        top = lambda k, root: k if root[k] == k else top(root[k], root)
+        for a in range(60):
+            for b in range(a):
+                if paragraph_dedup.similar(sets[a], sets[b]):
+                    root[top(a, root)] = top(b, root)
+        other = list(range(60))
+        for a, b in paragraph_dedup.forest(list(range(60)), sets):
+            assert paragraph_dedup.similar(sets[a], sets[b])
+            other[top(a, other)] = top(b, other)
+        assert len({top(k, root) for k in range(60)}) == len({top(k, other) for k in range(60)})
 
 
 def contaminated(w, d):
