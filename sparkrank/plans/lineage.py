@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,21 +11,61 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor shares: ``spark.checkpoint.dir``; a local one only if the session names none."""
+    """The folder every executor shares: ``spark.checkpoint.dir``; a local one only if the session names none and
+    has no executors beside the driver."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     where = getattr(spark, "_sparkrank_dir", None)
     if where is None:
-        where = spark._sparkrank_dir = "file://" + tempfile.mkdtemp(prefix="sparkrank-")
+        folder = tempfile.mkdtemp(prefix="sparkrank-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        where = spark._sparkrank_dir = "file://" + folder
     return where
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes ``df`` to the shared folder and returns a scan of what was written."""
+    """Cuts lineage: writes ``df`` to the shared folder and returns a scan of what was written. The table goes when
+    the driver ends, or earlier by :func:`deleted`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
+    scan = spark.read.schema(df.schema).parquet(path)
+    scan._sparkrank_path = path
+    spark._sparkrank_tables = [*getattr(spark, "_sparkrank_tables", ()), path]
+    return scan
+
+
+def deleted(scan: DataFrame) -> None:
+    """Deletes a table that :func:`written` made, once nothing reads it any more."""
+    spark, path = scan.sparkSession, getattr(scan, "_sparkrank_path", None)
+    if path is not None:
+        fs, at = _file_system(spark, path)
+        fs.delete(at, True)
+        fs.cancelDeleteOnExit(at)
+        spark._sparkrank_tables = [p for p in getattr(spark, "_sparkrank_tables", ()) if p != path]
+
+
+def finished(spark: SparkSession, before: list[str], keep: DataFrame) -> None:
+    """Deletes the tables written since ``before`` (see :func:`tables`) but ``keep``, which was written from them."""
+    for path in tables(spark):
+        if path not in before and path != getattr(keep, "_sparkrank_path", None):
+            fs, at = _file_system(spark, path)
+            fs.delete(at, True)
+            fs.cancelDeleteOnExit(at)
+    spark._sparkrank_tables = [p for p in tables(spark) if p in before or p == getattr(keep, "_sparkrank_path", None)]
+
+
+def tables(spark: SparkSession) -> list[str]:
+    """Paths of the tables written and not deleted yet."""
+    return list(getattr(spark, "_sparkrank_tables", ()))
