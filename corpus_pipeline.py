@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrank.llm.common import written
+from sparkrank.llm.common import finished, hinted, tables, written
 from sparkrank.llm.decontamination import decontamination
 from sparkrank.llm.language_id import determined
 from sparkrank.llm.packing import best_fit_packing
@@ -18,7 +18,7 @@ from sparkrank.llm.simhash import one_of_each
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told (no letters at all) go."""
+    """Documents whose language can't be told (no letters at all) go; the others get the language told."""
     return determined(docs)
 
 
@@ -37,8 +37,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that hold a benchmark item go. They are told by id and text, so ids may be null or repeat."""
     key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
     found = decontamination(docs.select(key.alias("key"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="key")
-    keys = found.select(F.col("doc_id").alias("_key")).distinct()
-    return docs.join(keys, F.xxhash64(docs["doc_id"], F.coalesce(docs["text"], F.lit(""))) == keys["_key"], "left_anti")
+    keys = written(found.select(F.col("doc_id").alias("_key")).distinct(), "contaminated")
+    return docs.join(hinted(keys), F.xxhash64(docs["doc_id"], F.coalesce(docs["text"], F.lit(""))) == keys["_key"], "left_anti")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,5 +55,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        before = [p for p in tables(spark) if p != getattr(docs, "_sparkrank_path", None)]
         docs = written(stage(spark, docs, sf_dir), name)
+        finished(spark, before, docs)  # the stage's own tables and the rows it was given
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrank.plans.lineage import shared_dir, written  # noqa: F401
+from sparkrank.plans.lineage import deleted, finished, shared_dir, tables, written  # noqa: F401
 
 #: A word of the contracts: a run of characters other than the six ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,6 +27,19 @@ def free_name(taken: list[str]) -> str:
     return next(n for k in range(len(taken) + 1) if (n := f"_own{k}") not in low)
 
 
+#: Keys of rows (some 50 bytes each) that are broadcast at most.
+KEYS_LIMIT = 500_000
+
+
+def few(df: DataFrame, limit: int = KEYS_LIMIT) -> bool:
+    return df.limit(limit + 1).count() <= limit
+
+
+def hinted(df: DataFrame, limit: int = KEYS_LIMIT) -> DataFrame:
+    """``df`` to be broadcast if it has few rows, else as it is."""
+    return F.broadcast(df) if few(df, limit) else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

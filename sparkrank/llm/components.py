@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkrank.llm.common import written
+from sparkrank.llm.common import deleted, written
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -25,13 +25,14 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges(a long, b long)``; the component is its smallest node.
 
     Each round points nodes at the smallest node in reach, by aggregates and equi-joins alone, and is written
-    to the shared folder. Neighbours are never gathered; a node with very many is one skewed key of a join,
+    to the shared folder, from which the round before it goes. Neighbours are never gathered; a node with very many is one skewed key of a join,
     which adaptive execution splits. Self links, repeated links and nulls are ignored.
     """
     edges = written(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").distinct(), "links")
     before = None
     while True:
-        edges = written(_small(_large(edges)), "stars")
+        last, edges = edges, written(_small(_large(edges)), "stars")
+        deleted(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break

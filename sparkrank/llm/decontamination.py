@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkrank.llm.common import documents, texts, written
+from sparkrank.llm.common import documents, hinted, texts, written
 
 #: Places of each mask that count.
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 4, 6), (0, 1, 2, 3, 4))
@@ -65,14 +65,6 @@ def _seeds(df: DataFrame, at: str, masks: list[tuple[int, ...]], whole: bool, *k
     return places.select(*keep, at, F.explode(F.array(*seeds)).alias("seed")).where("seed is not null")
 
 
-def _small(df: DataFrame, limit: int) -> bool:
-    return df.limit(limit + 1).count() <= limit
-
-
-def _hint(df: DataFrame, small: bool) -> DataFrame:
-    return F.broadcast(df) if small else df
-
-
 def decontamination(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", broadcast_limit: int = BROADCAST_LIMIT, id_col: str = "doc_id") -> DataFrame:
     """A row per contaminated document and item: doc_id, item_id, n_words (of the item), n_matched (its words found,
     on one diagonal or in overlaps, whichever are more), n_longest (equal words of the longest overlap) and
@@ -89,15 +81,15 @@ def _found(own: DataFrame, benchmark: DataFrame, limit: int) -> DataFrame:
     seeds = _seeds(items, "_item_at", masks, True, "_item").select("seed", "_item", "_item_at").distinct()
     keyed = own.select("doc_id", "text", F.xxhash64("text").alias("_hash"))
     placed = _seeds(keyed.select("doc_id", "_hash", words(F.col("text")).alias("words")), "_at", masks, False, "doc_id", "_hash")
-    met = placed.join(_hint(seeds, _small(seeds, limit)), "seed")
+    met = placed.join(hinted(seeds, limit), "seed")
     hits = written(met.select("doc_id", "_hash", "_item", (F.col("_at") - F.col("_item_at")).alias("_first")).distinct(), "hits")
 
     # Documents with hits are few; their keys pick them before any text is shuffled. Null ids are keys as well.
     keys = hits.select(F.struct("doc_id", "_hash").alias("_key")).distinct()
-    picked = keyed.withColumn("_key", F.struct("doc_id", "_hash")).join(_hint(keys, _small(keys, limit)), "_key", "left_semi")
+    picked = keyed.withColumn("_key", F.struct("doc_id", "_hash")).join(hinted(keys, limit), "_key", "left_semi")
     split = picked.select("_key", words(F.col("text")).alias("_words")).distinct()
     item_bytes = benchmark.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    lined = hits.withColumn("_key", F.struct("doc_id", "_hash")).join(_hint(items, item_bytes <= BROADCAST_BYTES and _small(items, limit)), "_item").join(split, "_key")
+    lined = hits.withColumn("_key", F.struct("doc_id", "_hash")).join((hinted(items, limit) if item_bytes <= BROADCAST_BYTES else items), "_item").join(split, "_key")
     n = F.size("words")
     equal = F.filter(F.sequence(F.lit(0), n - 1), lambda j: F.get("words", j) == F.get("_words", j + F.col("_first")))
     same = lined.select("_key", "_item", "item_id", n.alias("_n"), "_first", equal.alias("_equal"))

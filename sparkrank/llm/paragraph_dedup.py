@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkrank.llm.common import documents, free_name, written
+from sparkrank.llm.common import documents, free_name, hinted, written
 from sparkrank.llm.components import components
 from sparkrank.llm.suffix_array import prefix_hashes
 from sparkrank.llm.suffix_dedup import _mixed, _slices
@@ -321,7 +321,7 @@ def cleaned(docs: DataFrame, gone: DataFrame, text_col: str = "text") -> DataFra
             columns = [pa.array(out, pa.string()) if name == text_col else batch.column(name) for name in names]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans["_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == spans["_hash"]), "left")
+    joined = docs.join(hinted(spans), docs["doc_id"].eqNullSafe(spans["_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == spans["_hash"]), "left")
     return joined.select(*[docs[c] for c in docs.columns], spans["_spans"].alias(free_name(docs.columns))).mapInArrow(cut, docs.schema)
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkrank.llm.common import ddl, documents, free_name, per_batch, texts, written
+from sparkrank.llm.common import ddl, documents, free_name, hinted, per_batch, texts, written
 from sparkrank.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -274,11 +274,19 @@ def one_of_each(docs: DataFrame, text_col: str = "text") -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
     of_fp = grouped(fps).join(fps.groupBy("fp").agg(first.alias("first")), "fp")
     winners = of_fp.groupBy("node").agg(F.min("first").alias("w")).select(F.col("w.doc_id").alias("_id"), F.col("w.text_hash").alias("_hash")).distinct()
-    own = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
-    kept = docs.join(winners, docs["doc_id"].eqNullSafe(winners["_id"]) & (own == winners["_hash"]))
-    again = F.row_number().over(Window.partitionBy(winners["_id"], winners["_hash"]).orderBy(winners["_id"]))
-    once = kept.select(*[docs[c] for c in docs.columns], again.alias(name := free_name(docs.columns)))
-    return once.where(F.col(name) == 1).drop(name)
+    # Rows that go, and rows that repeat a winner; texts are shuffled only if these are many.
+    keys = fps.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count("*").alias("_n"))
+    key = F.struct("_id", "_hash").alias("_key")
+    ahead = winners.select(F.struct("_id", "_hash").alias("_winner"))
+    marked = keys.select(key, "_n").join(ahead, F.col("_key") == F.col("_winner"), "left")
+    odd = written(marked.where("_winner is null or _n > 1").select("_key", F.col("_winner").isNotNull().alias("_kept")), "losers")
+    name, again = free_name(docs.columns), free_name([*docs.columns, free_name(docs.columns)])
+    own = F.struct(docs["doc_id"].cast("long").alias("_id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("_hash"))
+    beside = docs.withColumn(name, own)
+    clean = beside.join(hinted(odd.select("_key")), F.col(name) == F.col("_key"), "left_anti").drop(name)
+    twice = beside.join(hinted(odd.where("_kept").select("_key")), F.col(name) == F.col("_key"), "left_semi")
+    once = twice.withColumn(again, F.row_number().over(Window.partitionBy(name).orderBy(name))).where(F.col(again) == 1).drop(name, again)
+    return clean.unionByName(once)
 
 
 def op7_simhash_neardedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -285,7 +285,7 @@ def test_paragraph_recall_against_all_pairs(spark):
         got = paragraph_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string"), min_run=0, shortest=1, crowd=crowd).collect()
         cluster = {r["doc_id"]: r["cluster_id"] for r in got} | {r["kept_doc_id"]: r["cluster_id"] for r in got}
         found = sum(a in cluster and cluster.get(a) == cluster.get(b) for a, b in pairs)
-        assert found >= 0.99 * len(pairs) > 500
+        assert found >= 0.99 * len(pairs) > 300
         assert {501, 502} <= {r["doc_id"] for r in got} and 503 not in cluster
         root = list(range(600))
         for a, b in pairs:  # nothing is in a cluster but by links
