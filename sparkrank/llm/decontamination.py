@@ -42,6 +42,8 @@ SIMILARITY = 0.8
 OVERLAP, PASSAGE = 5, 50
 #: Places from one equal word of an overlap to the next at most.
 STEP = 3
+#: Neighbouring diagonals that are compared together.
+TOGETHER = 4096
 #: Rows and bytes of text that are broadcast at most.
 BROADCAST_LIMIT, BROADCAST_BYTES = 1_000_000, 64 << 20
 
@@ -89,10 +91,13 @@ def _found(own: DataFrame, benchmark: DataFrame, limit: int) -> DataFrame:
     picked = keyed.withColumn("_key", F.struct("doc_id", "_hash")).join(hinted(keys, limit), "_key", "left_semi")
     split = picked.select("_key", words(F.col("text")).alias("_words")).distinct()
     item_bytes = benchmark.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    lined = hits.withColumn("_key", F.struct("doc_id", "_hash")).join((hinted(items, limit) if item_bytes <= BROADCAST_BYTES else items), "_item").join(split, "_key")
+    # A text stands beside thousands of its diagonals at a time, not beside each.
+    grouped = hits.groupBy(F.struct("doc_id", "_hash").alias("_key"), "_item", F.floor(F.col("_first") / TOGETHER)).agg(F.collect_list("_first").alias("_firsts")).select("_key", "_item", "_firsts")
+    lined = grouped.join(hinted(items, limit) if item_bytes <= BROADCAST_BYTES else items, "_item").join(split, "_key")
     n = F.size("words")
-    equal = F.filter(F.sequence(F.lit(0), n - 1), lambda j: F.get("words", j) == F.get("_words", j + F.col("_first")))
-    same = lined.select("_key", "_item", "item_id", n.alias("_n"), "_first", equal.alias("_equal"))
+    equal = lambda first: F.filter(F.sequence(F.lit(0), n - 1), lambda j: F.get("words", j) == F.get("_words", j + first))
+    compared = F.transform("_firsts", lambda first: F.struct(first.alias("_first"), equal(first).alias("_equal")))
+    same = lined.select("_key", "_item", "item_id", n.alias("_n"), F.explode(compared).alias("_c")).select("_key", "_item", "item_id", "_n", "_c._first", "_c._equal")
 
     whole = same.groupBy("_key", "_item").agg(F.max(F.struct(F.size("_equal").alias("m"), (-F.col("_first")).alias("back"))).alias("_best"), F.max("_n").alias("_n"), F.max("item_id").alias("item_id"))
     # Overlaps: equal words with few others between them, numbered along their diagonal.

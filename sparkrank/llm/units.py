@@ -98,10 +98,11 @@ def per_unit(table: DataFrame, fn: Callable[[int, Unit], Iterator[pa.RecordBatch
 def _distinct(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct keys, which of them two or more documents have, and how often each occurs (255 at most).
     Ids of documents, not rows, count."""
+    if not len(keys):
+        return keys, np.zeros(0, bool), np.zeros(0, np.uint8)
     order = np.lexsort((docs, keys))
     keys, docs = keys[order], docs[order]
-    first = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, bool)
-    at = np.flatnonzero(first)
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     ends = np.append(at[1:], len(keys))
     return keys[at], docs[at] != docs[ends - 1], np.minimum(ends - at, 255).astype(np.uint8)
 
