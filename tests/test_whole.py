@@ -5,7 +5,6 @@ import pytest
 
 from sparkrank import queries
 from sparkrank.fixtures import train
-from sparkrank.llm import paragraph_dedup, quality_classifier
 from sparkrank.operators import blend, models
 
 
@@ -66,31 +65,3 @@ def test_rank_weights_are_searched_with_the_operators_defaults(spark, sf, monkey
     monkeypatch.setattr(blend, "stratified_subsample", lambda df, id_col, label, share, cap, rounds, seed: sampled.append((share, cap, rounds)) or sample(df, id_col, label, share, cap, rounds, seed))
     assert queries.greedy_rank_weights(spark, sf).count() == queries.stable_rank_weights(spark, sf).count() == 4
     assert searched == [([0], 40, 1e-6), (list(range(25)), 40, 1e-6)] and sampled == [(0.8, 120_000, 25)]
-
-
-def test_paragraph_dedup_judges_the_length_of_the_repeat(spark):
-    middle = "Seven plain words stand in the middle."
-    passage = "the long first sentence of the passage tells of many things that happened far away on that day. " + middle + " And the last sentence of it tells of what came after all of this was over"
-    line = "Read more about this on our page."
-    texts = {
-        1: f"Once somebody said that {passage} in the old days of the town by the sea.",
-        2: f"Quite another host with its own and rather different opening words where {passage} as everybody who lived up in the hills has always known.",
-        3: f"A story about birds and trees. {line} Nothing else here is like anything.",
-        4: f"Numbers and tables fill this one. {line} Goodbye for now until next week comes.",
-        5: f"{line} {line} My own words after it are these few.",
-    }
-    gone = paragraph_dedup.removals(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
-    assert [(r["doc_id"], r["kept_doc_id"], texts[r["doc_id"]].encode()[r["start"] : r["end"]].decode()) for r in gone] == [(2, 1, middle)]
-
-
-def test_words_around_a_paragraph_stay_in_its_text():
-    data = np.frombuffer(b"other text\xffOne " + b"x" * 500 + b" three HERE IT IS four five\xffmore", np.uint8)
-    lo, hi, start = 11, 11 + 4 + 500 + 7 + 10 + 10, 11 + 4 + 500 + 7
-    before, after = paragraph_dedup._around(data, lo, start, start + 10, hi, 9)
-    assert (len(before), len(after)) == (3, 2)
-    assert paragraph_dedup._around(data, lo, start, start + 10, hi, 1) == (before[:1], after[:1])
-    assert paragraph_dedup._around(data, lo, start, start + 10, hi, 0) == ([], [])
-
-
-def test_shape_reads_the_whole_word():
-    assert quality_classifier.shape("ab1" * 100 + "-X9") != quality_classifier.shape("ab1" * 100 + "+x")
