@@ -69,7 +69,7 @@ def per_batch(fn, names: dict[str, pa.DataType]):
             columns = fn(ids.to_pylist(), batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, names.values(), strict=True)], schema=schema)
 
-    return run
+    return tidy(run)
 
 
 def task_memory(spark: SparkSession) -> int:
@@ -93,6 +93,16 @@ def give_back() -> None:
         trim(0)
 
 
+def tidy(run):
+    """``run`` for mapInArrow, whose worker gives free memory back after the task's own objects are gone."""
+
+    def whole(batches):
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def ddl(names: dict[str, pa.DataType]) -> str:
     kinds = {pa.int64(): "long", pa.int32(): "int", pa.float64(): "double", pa.string(): "string", pa.bool_(): "boolean", pa.binary(): "binary", pa.list_(pa.int64()): "array<long>", pa.list_(pa.int32()): "array<int>", pa.list_(pa.int16()): "array<short>"}
     return ", ".join(f"{n} {kinds[t]}" for n, t in names.items())

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrank.llm.common import crc_mod, crc_mod_py, ddl, documents, per_batch, texts
+from sparkrank.llm.common import crc_mod, crc_mod_py, ddl, documents, per_batch, texts, tidy
 
 UNDETERMINED = "und"
 DIMENSIONS, ORDER, SEED = 1024, 3, 6
@@ -138,7 +138,7 @@ def learn(docs: DataFrame, lang_col: str = "lang", fold: int = 2, folds: int = 4
         vectors = [np.frombuffer(x) for x in sorted(group.column("vector").to_pylist())]  # in a fixed order, for the rounding
         return pa.Table.from_arrays([group.column("lang").slice(0, 1), pa.array([np.sum(vectors, axis=0).tobytes()], pa.binary())], schema=schema)
 
-    parts = rows.where(keep).select("lang", "text").mapInArrow(bundle, "lang string, vector binary")
+    parts = rows.where(keep).select("lang", "text").mapInArrow(tidy(bundle), "lang string, vector binary")
     summed = {r["lang"]: np.frombuffer(r["vector"]) for r in parts.groupBy("lang").applyInArrow(total, "lang string, vector binary").collect()}  # a row per language
     return {k: (v / max(np.linalg.norm(v), 1e-12)).astype(np.float32) for k, v in sorted(summed.items())}
 
@@ -190,7 +190,7 @@ def determined(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
             out = batch if matrix is None else batch.set_column(batch.schema.get_field_index(lang_col), lang_col, pa.array(lang, pa.string()))
             yield out.filter(pa.array([x is not None for x in lang], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

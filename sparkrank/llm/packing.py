@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkrank.llm.common import ddl, documents, texts, written
+from sparkrank.llm.common import ddl, documents, texts, tidy, written
 
 SIZE = 2048
 END_ID = 0
@@ -97,7 +97,7 @@ def pieces(docs: DataFrame, size: int = SIZE, files: tuple[str, str] | None = No
                     rows.append((doc_id, k, start, n, zlib.crc32(raw), *((raw,) if with_ids else ())))
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), names.values(), strict=True)] if rows else [pa.array([], type=t) for t in names.values()], schema=schema)
 
-    return texts(docs).mapInArrow(run, ddl(names))
+    return texts(docs).mapInArrow(tidy(run), ddl(names))
 
 
 def plan_packing(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int, int, int]]:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkrank.llm.common import documents, free_name, hinted, written
+from sparkrank.llm.common import documents, free_name, hinted, tidy, written
 from sparkrank.llm.components import components
 from sparkrank.llm.suffix_array import prefix_hashes
 from sparkrank.llm.suffix_dedup import _mixed, _slices
@@ -262,7 +262,7 @@ def removals(docs: DataFrame, min_run: int = MIN_RUN, shortest: int = SHINGLE, c
     n = F.expr("length(shingles) div 8")
     tokens = F.transform(F.sequence(F.lit(0), n - F.ceil(n * SIMILARITY - 1e-9)), lambda k: F.xxhash64("key", F.substring("shingles", (8 * k + 1).cast("int"), F.lit(8))))
     dealt = met.join(sets, "cls").select(F.explode(F.when(F.col("n") > crowd, tokens).otherwise(F.array("key"))).alias("key"), "cls", "shingles")
-    links = dealt.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(_linked, "a long, b long")
+    links = dealt.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(tidy(_linked), "a long, b long")
     clusters = components(links)
     # Who keeps what is settled by class, of which copies are one; only the last join meets every paragraph, and its
     # large side comes straight from a shuffle, so a class that very many documents share can be split there.
@@ -322,7 +322,7 @@ def cleaned(docs: DataFrame, gone: DataFrame, text_col: str = "text") -> DataFra
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     joined = docs.join(hinted(spans), docs["doc_id"].eqNullSafe(spans["_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == spans["_hash"]), "left")
-    return joined.select(*[docs[c] for c in docs.columns], spans["_spans"].alias(free_name(docs.columns))).mapInArrow(cut, docs.schema)
+    return joined.select(*[docs[c] for c in docs.columns], spans["_spans"].alias(free_name(docs.columns))).mapInArrow(tidy(cut), docs.schema)
 
 
 def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkrank.llm.common import ddl, documents, free_name, hinted, per_batch, texts, written
+from sparkrank.llm.common import ddl, documents, free_name, hinted, per_batch, texts, tidy, written
 from sparkrank.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -174,7 +174,7 @@ def _first(fps: DataFrame, probes: bool) -> DataFrame:
                         parts.append((np.full(len(probe), s), probe, np.repeat(fp, len(diffs)), np.zeros(len(probe), bool)))
                 yield _rows(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
-    return fps.select("fp").distinct().mapInArrow(keys, DEALT)
+    return fps.select("fp").distinct().mapInArrow(tidy(keys), DEALT)
 
 
 def _next(dealt: DataFrame, chain: int) -> DataFrame:
@@ -199,7 +199,7 @@ def _next(dealt: DataFrame, chain: int) -> DataFrame:
                         probe = (key[some, None] | ((fp[some, None] ^ diffs[None, :]) & own)).ravel()
                         yield _rows(np.full(len(probe), s), probe, np.repeat(fp[some], len(diffs)), np.zeros(len(probe), bool))
 
-    return dealt.mapInArrow(keys, DEALT)
+    return dealt.mapInArrow(tidy(keys), DEALT)
 
 
 def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -249,7 +249,7 @@ def _met(dealt: DataFrame, chain: int) -> DataFrame:
         if rest is not None:
             yield solve(*rest)
 
-    return dealt.mapInArrow(meet, "a long, b long")
+    return dealt.mapInArrow(tidy(meet), "a long, b long")
 
 
 def grouped(fps: DataFrame) -> DataFrame:

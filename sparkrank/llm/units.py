@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkrank.llm.common import ddl, give_back, task_memory, texts, written
+from sparkrank.llm.common import ddl, give_back, task_memory, texts, tidy, written
 
 #: Bytes of a unit at least and at most; between them a task's memory divided by ``UNIT_SHARE``.
 UNIT_BYTES, LARGEST_UNIT, UNIT_SHARE = 4 << 20, 64 << 20, 256
@@ -76,7 +76,7 @@ def units(docs: DataFrame) -> DataFrame:
         if ids:
             yield unit()
 
-    packed = texts(docs).mapInArrow(pack, "doc_ids array<long>, lengths array<long>, blob binary, n_bytes long")
+    packed = texts(docs).mapInArrow(tidy(pack), "doc_ids array<long>, lengths array<long>, blob binary, n_bytes long")
     return written(packed.withColumn("unit", F.monotonically_increasing_id()), "units")
 
 
@@ -92,7 +92,7 @@ def per_unit(table: DataFrame, fn: Callable[[int, Unit], Iterator[pa.RecordBatch
         for number, unit in _opened(batches):
             yield from fn(number, unit)
 
-    return table.select("unit", "doc_ids", "lengths", "blob").mapInArrow(run, ddl(names))
+    return table.select("unit", "doc_ids", "lengths", "blob").mapInArrow(tidy(run), ddl(names))
 
 
 def _distinct(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
