@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkrank.operators.folds import encoded_auc
-from sparkrank.operators.ranking import long_scores, roc_auc
+from sparkrank.operators.ranking import long_scores, medians, roc_auc
 
 FEW = 30
 
@@ -65,7 +65,7 @@ def univariate_audit(df: DataFrame, columns: list[str], label: str, fold: str =
     out = []
     if by_rank:
         # Only order matters: a missing score goes to the middle rank of the others, that is to their median.
-        middles = df.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in by_rank]).first()
+        middles = medians(df, {c: F.col(c) for c in by_rank})
         ready = df.select(label, *[F.coalesce(F.col(c).cast("double"), F.lit(middles[c])).alias(c) for c in by_rank])
         auc = roc_auc(long_scores(ready, [label], by_rank, "column", "score"), label, "score", ["column"])
         out.append(auc.select("column", F.lit("rank_auc_best_direction").alias("method"), F.greatest("auc", 1 - F.col("auc")).alias("auc")))

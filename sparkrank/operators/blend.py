@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkrank.operators.folds import stratified_subsample
-from sparkrank.operators.ranking import UNIT, average_ranks, ranked_models, roc_auc, sums_before
+from sparkrank.operators.ranking import BINS, UNIT, average_ranks, ranked_models, roc_auc, sums_before
 from sparkrank.plans.lineage import written
 
 
@@ -92,7 +92,7 @@ def weight_summary(rounds: DataFrame, least: float = 0.15) -> DataFrame:
     return own.select("model", weight.alias("weight"), "frequency", "mean", "deviation")
 
 
-def reorder(df: DataFrame, base: str, local: str, weight: float, row: str, inside: Column | None = None, bins: int = 64) -> DataFrame:
+def reorder(df: DataFrame, base: str, local: str, weight: float, row: str, inside: Column | None = None, bins: int = BINS) -> DataFrame:
     """Re-orders ``base`` inside a subset (where ``inside``, or where ``local`` isn't missing): the subset keeps the
     same base values, dealt out by (1 - weight) * rank(base) + weight * rank(local), ties by ``row``. Other rows stay."""
     chosen = F.col(local).isNotNull() if inside is None else inside

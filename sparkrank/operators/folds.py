@@ -15,7 +15,7 @@ def shuffled(id_col: str, salt: object) -> Column:
 def numbered(df: DataFrame, groups: list[str], order: str, name: str = "number") -> DataFrame:
     """Numbers rows from 0 within the groups by ``order``, a hexadecimal digest (then by all else that ties). The
     digest's first digits bin the rows evenly, so no task orders a whole group."""
-    rows = df.withColumn("_bin", F.substring(order, 1, 2))
+    rows = df.withColumn("_bin", F.substring(order, 1, 3))
     counts = rows.groupBy(*groups, "_bin").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy(*groups).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*groups, "_bin", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))

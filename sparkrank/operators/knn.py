@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkrank.operators.audit import numeric_columns
+from sparkrank.operators.encode import levels
+from sparkrank.operators.ranking import medians
 
 #: Parent rows that one pass holds in memory; a larger parent takes more passes.
 BLOCK_ROWS = 50_000
@@ -20,14 +22,15 @@ def metric_space(parent: DataFrame, tables: list[DataFrame], columns: list[str],
     """Parent and other tables in the parent's units: numbers less their median over their sample deviation (missing:
     the median; deviation 1 where there is none), one column per parent category times ``category_weight``."""
     numbers = numeric_columns(parent, columns)
-    row = parent.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(f"m_{c}") for c in numbers], *[F.stddev_samp(c).alias(f"s_{c}") for c in numbers]).first() if numbers else None
+    middles = medians(parent, {c: F.col(c) for c in numbers})
+    row = parent.agg(*[F.stddev_samp(c).alias(f"s_{c}") for c in numbers]).first() if numbers else None
     out = {}
     for c in numbers:
-        m, s = row[f"m_{c}"] or 0.0, row[f"s_{c}"] or 1.0
+        m, s = middles[c] or 0.0, row[f"s_{c}"] or 1.0
         out[f"x_{c}"] = (F.coalesce(F.col(c).cast("double"), F.lit(m)) - m) / s
     for c in (c for c in columns if c not in numbers):
         own = F.coalesce(F.col(c).cast("string"), F.lit("__MISSING__"))
-        for k, v in enumerate(sorted(r["v"] for r in parent.select(own.alias("v")).distinct().collect())):  # one column per category
+        for k, v in enumerate(levels(parent.select(own.alias(c)), [c])[c]):  # one column per category
             out[f"x_{c}_{k}"] = (own == v).cast("double") * category_weight
     return [df.withColumns(out) for df in (parent, *tables)], list(out)
 

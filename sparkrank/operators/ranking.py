@@ -64,6 +64,21 @@ def _matched(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, reduce(lambda a, b: a & b, [left[k].eqNullSafe(F.col(f"_k_{k}")) for k in keys])).drop(*[f"_k_{k}" for k in keys])
 
 
+def medians(df: DataFrame, values: dict[str, Column]) -> dict[str, float | None]:
+    """The exact median of each expression, None where it has no value. Equal values are counted first; no task
+    holds a column's values, as an exact percentile's would."""
+    if not values:
+        return {}
+    long = df.select(*[v.cast("double").alias(n) for n, v in values.items()]).unpivot([], list(values), "_column", "_value")
+    counts = long.where("_value is not null").groupBy("_column", "_value").agg(F.count("*").alias("_n"))
+    placed = sums_before(counts, ["_column"], "_value", ["_n"])
+    placed = _matched(placed, F.broadcast(counts.groupBy("_column").agg(F.sum("_n").alias("_all"))), ["_column"])  # a row per column
+    here = [(F.col("before__n") <= at) & (at < F.col("before__n") + F.col("_n")) for at in (F.expr("(_all - 1) div 2"), F.expr("_all div 2"))]
+    ends = placed.groupBy("_column").agg(*[F.max(F.when(h, F.col("_value"))).alias(f"_{k}") for k, h in enumerate(here)])
+    found = {r["_column"]: 0.5 * r["_0"] + 0.5 * r["_1"] for r in ends.collect()}  # a row per column
+    return {n: found.get(n) for n in values}
+
+
 def nullable_percentiles(df: DataFrame, score: str, name: str = "rank", middle: float = 0.5) -> DataFrame:
     """Percentile ranks in which a missing score stands in the middle."""
     return average_ranks(df, score, name=name).withColumn(name, F.coalesce(name, F.lit(middle)))

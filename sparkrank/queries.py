@@ -248,7 +248,25 @@ def vocab_offsets(spark, sf):
     return counted(encode.vocabulary_offsets(_lattice_input(spark, sf), ["c1", "brand"], 30))
 
 
-@query()
+def _polynomial(x: str, coefficients: list[float]) -> str:
+    out = f"{coefficients[0]!r}::double"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + ({c!r}::double))"
+    return out
+
+
+def _tail_sql(side: str) -> str:
+    x = f"sqrt(-2 * ln({side}))"
+    return f"{_polynomial(x, encode.TAIL_P)} / {_polynomial(x, encode.TAIL_Q)}"
+
+
+_GAP = "(p - 0.5::double)"
+_QUANTILE = f"case when p < {encode.TAIL} then {_tail_sql('p')} when p > {1 - encode.TAIL} then -({_tail_sql('(1 - p)')}) else {_GAP} * {_polynomial(f'({_GAP} * {_GAP})', encode.MIDDLE_P)} / {_polynomial(f'({_GAP} * {_GAP})', encode.MIDDLE_Q)} end"
+
+
+@query(f"""with r as (select id, x1, rank() over (order by x1) + (count(*) over (partition by x1) - 1) / 2 as k, count(*) over () as n from obs where x1 is not null),
+q as (select id, least(greatest((k - 0.5) / n, 1e-7::double), 1 - 1e-7::double)::double as p from r)
+select id, round({_QUANTILE}, 6) as z from q union all select id, 0.0::double from obs where x1 is null""")
 def rank_gauss(spark, sf):
     return rounded(encode.rank_gauss(obs(spark, sf).select("id", "x1"), "x1", "z").select("id", "z"), "z")
 
