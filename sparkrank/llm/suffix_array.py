@@ -22,7 +22,7 @@ import numpy as np
 
 #: Values compared at a time.
 BLOCK = 1 << 18
-_ZERO = np.zeros(1, np.int64)
+_COUNT = np.arange(1 << 14)
 
 
 def prefix_hashes(values: np.ndarray, multiplier: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,20 +150,32 @@ class _Text:
         """Puts what stands before the suffixes of a wave at the edges of its buckets: L suffixes (way 1) from the
         heads on, S suffixes (way -1) from the tails back."""
         code = self.before.take(wave, mode="clip")
-        keep = np.flatnonzero((code & 1) == (way < 0))
-        if not len(keep):
+        odd = (code & 1).astype(bool)
+        keep = (odd if way < 0 else ~odd).nonzero()[0]
+        n = len(keep)
+        if not n:
             return
         value = code.take(keep) >> 1
         order = _order(value)
         value, place = value.take(order), wave.take(keep.take(order))
         place -= 1
-        first = np.flatnonzero(value[1:] != value[:-1]) + 1
-        first = np.concatenate([_ZERO, first])
-        counts = np.diff(first, append=len(value))
+        edges = np.empty(n + 1, bool)
+        edges[0] = edges[n] = True
+        np.not_equal(value[1:], value[:-1], out=edges[1:n])
+        edges = edges.nonzero()[0]
+        first = edges[:-1]
+        counts = edges[1:] - first
         buckets = value.take(first)
         at = edge.take(buckets)
-        edge[buckets] = at + way * counts
-        sa[np.repeat(at - (way < 0) - way * first, counts) + way * np.arange(len(value))] = place
+        if way > 0:
+            edge[buckets] = at + counts
+            to = (at - first).repeat(counts)
+            to += _COUNT[:n] if n <= len(_COUNT) else np.arange(n)
+        else:
+            edge[buckets] = at - counts
+            to = (at - 1 + first).repeat(counts)
+            to -= _COUNT[:n] if n <= len(_COUNT) else np.arange(n)
+        sa[to] = place
 
     def rank(self, order: np.ndarray) -> np.ndarray:
         """The numbers of LMS suffixes from the left on."""
