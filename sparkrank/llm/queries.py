@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from sparkrank.llm.decontamination import OP3_SQL, op3_decontamination
 from sparkrank.llm.language_id import op6_language_id
+from sparkrank.llm.late_sessions import OP11_SQL, op11_late_sessions
 from sparkrank.llm.packing import op5_best_fit_packing
 from sparkrank.llm.paragraph_dedup import op10_paragraph_dedup
 from sparkrank.llm.quality_classifier import op9_quality_classifier
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_paragraph_dedup": op10_paragraph_dedup,
+    "op11_late_sessions": op11_late_sessions,
 }
 
-SQL = {"op1_suffix_array_dedup": OP1_SQL, "op3_decontamination": OP3_SQL, "op4_quality_rules": OP4_SQL}
+SQL = {"op1_suffix_array_dedup": OP1_SQL, "op3_decontamination": OP3_SQL, "op4_quality_rules": OP4_SQL, "op11_late_sessions": OP11_SQL}
