@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sparkrank.llm.curriculum import OP13_SQL, op13_curriculum_mix
 from sparkrank.llm.decontamination import OP3_SQL, op3_decontamination
 from sparkrank.llm.language_id import op6_language_id
 from sparkrank.llm.late_sessions import OP11_SQL, op11_late_sessions
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_paragraph_dedup": op10_paragraph_dedup,
     "op11_late_sessions": op11_late_sessions,
+    "op13_curriculum_mix": op13_curriculum_mix,
 }
 
-SQL = {"op1_suffix_array_dedup": OP1_SQL, "op3_decontamination": OP3_SQL, "op4_quality_rules": OP4_SQL, "op11_late_sessions": OP11_SQL}
+SQL = {"op1_suffix_array_dedup": OP1_SQL, "op3_decontamination": OP3_SQL, "op4_quality_rules": OP4_SQL, "op11_late_sessions": OP11_SQL, "op13_curriculum_mix": OP13_SQL}
