@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from sparkrank.llm.curriculum import OP13_SQL, op13_curriculum_mix
 from sparkrank.llm.decontamination import OP3_SQL, op3_decontamination
+from sparkrank.llm.hard_negatives import OP12_SQL, op12_hard_negatives
 from sparkrank.llm.language_id import op6_language_id
 from sparkrank.llm.late_sessions import OP11_SQL, op11_late_sessions
 from sparkrank.llm.packing import op5_best_fit_packing
@@ -27,7 +28,8 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_paragraph_dedup": op10_paragraph_dedup,
     "op11_late_sessions": op11_late_sessions,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_curriculum_mix": op13_curriculum_mix,
 }
 
-SQL = {"op1_suffix_array_dedup": OP1_SQL, "op3_decontamination": OP3_SQL, "op4_quality_rules": OP4_SQL, "op11_late_sessions": OP11_SQL, "op13_curriculum_mix": OP13_SQL}
+SQL = {"op1_suffix_array_dedup": OP1_SQL, "op3_decontamination": OP3_SQL, "op4_quality_rules": OP4_SQL, "op11_late_sessions": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op13_curriculum_mix": OP13_SQL}
