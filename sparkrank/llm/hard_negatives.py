@@ -129,8 +129,10 @@ class Lists:
         return middle - reach - slack, middle + reach + slack
 
 
-#: An anchor on its way to one block of one list. ``goals``: the positives' scores whose windows are still open (none: all scores do).
-VISIT = {"list": pa.int64(), "block": pa.int64(), "part": pa.int64(), "anchor": pa.int64(), "id": pa.int64(), "label": pa.int64(), "v": pa.list_(pa.int32()), "goals": pa.list_(pa.int64())}
+#: An anchor on its way to one block of one list. ``goals``: the positives' scores whose windows are open to the list;
+#: ``least``: the k-th score of each so far. Rows that score less are not sent out.
+VISIT = {"list": pa.int64(), "block": pa.int64(), "part": pa.int64(), "anchor": pa.int64(), "id": pa.int64(), "label": pa.int64(), "v": pa.list_(pa.int32()), "goals": pa.list_(pa.int64()), "least": pa.list_(pa.int64())}
+FLOOR = -(1 << 63)
 
 
 def _windows(goal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,7 +149,7 @@ def _visits(c, radius, n, blocks, width, parts, since, until, windowed, batches)
             a = matrix(own.column("v"), width)
             low, high = lists.bounds(a)
             goals, least = own.column("goals").to_pylist(), own.column("kth").to_pylist()
-            rows: dict[str, list] = {x: [] for x in ("list", "block", "part", "at", "goals")}
+            rows: dict[str, list] = {x: [] for x in ("list", "block", "at", "goals", "least")}
             for i in range(own.num_rows):
                 open_to, reached = np.zeros((len(goals[i]), len(c)), bool), np.zeros(len(c), bool)
                 for j, (goal, kth) in enumerate(zip(goals[i], least[i], strict=True)):
@@ -165,19 +167,20 @@ def _visits(c, radius, n, blocks, width, parts, since, until, windowed, batches)
                             rows["block"].append(block)
                             rows["at"].append(i)
                             rows["goals"].append([goals[i][j] for j in wanted])
+                            rows["least"].append([FLOOR if least[i][j] is None else least[i][j] for j in wanted])
             at = pa.array(rows["at"], pa.int64())
             anchor = own.column("row").take(at)
             part = np.abs(anchor.to_numpy()) % parts
             for s in range(0, len(at), 4096):
                 sl = slice(s, s + 4096)
                 take = at[sl]
-                yield pa.RecordBatch.from_arrays([pa.array(rows["list"][sl], pa.int64()), pa.array(rows["block"][sl], pa.int64()), pa.array(part[sl], pa.int64()), anchor[sl], *(own.column(x).take(take).cast(VISIT[x]) for x in ("id", "label", "v")), pa.array(rows["goals"][sl], VISIT["goals"])], schema=pa.schema(list(VISIT.items())))
+                yield pa.RecordBatch.from_arrays([pa.array(rows["list"][sl], pa.int64()), pa.array(rows["block"][sl], pa.int64()), pa.array(part[sl], pa.int64()), anchor[sl], *(own.column(x).take(take).cast(VISIT[x]) for x in ("id", "label", "v")), *(pa.array(rows[x][sl], VISIT[x]) for x in ("goals", "least"))], schema=pa.schema(list(VISIT.items())))
 
 
 FOUND = {"anchor": pa.int64(), "anchor_id": pa.int64(), "goal": pa.int64(), "id": pa.int64(), "row": pa.int64(), "score": pa.int64()}
 
 
-def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+def _best(score: np.ndarray, k: int) -> np.ndarray:
     """Places of the first k by falling score, then by id (rows come in order of id)."""
     if len(score) > k:
         cut = np.partition(score, len(score) - k)[len(score) - k]
@@ -196,20 +199,17 @@ def _compare(width, k, windowed, _key, visits: pa.Table, rows: pa.Table) -> pa.T
         b = matrix(rows.column("v"), width)[order]
         ids, row, label = ids[order], row[order], label[order]
         v_id, v_label, v_anchor = (visits.column(x).to_numpy() for x in ("id", "label", "anchor"))
-        goals = visits.column("goals").to_pylist()
+        goals, least = (visits.column(x).to_pylist() for x in ("goals", "least"))
         for s in range(0, visits.num_rows, 256):
             score = products(matrix(visits.column("v").slice(s, 256), width), b)
             for i in range(len(score)):
                 at = s + i
                 mine = np.flatnonzero(label != v_label[at] if windowed else (label == v_label[at]) & (ids != v_id[at]))
                 values = score[i, mine]
-                for goal in goals[at]:
-                    if windowed:
-                        lo, hi = _windows(np.int64(goal))
-                        inside = np.flatnonzero((values >= lo) & (values <= hi))
-                        best = mine[inside[_best(values[inside], ids, k)]]
-                    else:
-                        best = mine[_best(values, ids, k)]
+                for goal, kth in zip(goals[at], least[at], strict=True):
+                    lo, hi = _windows(np.int64(goal)) if windowed else (FLOOR, -FLOOR - 1)
+                    inside = np.flatnonzero((values >= max(lo, kth)) & (values <= hi))
+                    best = mine[inside[_best(values[inside], k)]]
                     for name, x in (("anchor", np.full(len(best), v_anchor[at])), ("anchor_id", np.full(len(best), v_id[at])), ("goal", np.full(len(best), goal)), ("id", ids[best]), ("row", row[best]), ("score", score[i, best])):
                         out[name].append(x)
     return pa.table([pa.array(np.concatenate(out[x]) if out[x] else np.empty(0, np.int64), t) for x, t in FOUND.items()], schema=pa.schema(list(FOUND.items())))
