@@ -120,6 +120,19 @@ def reorder_bands(df: DataFrame, base: str, bands: list[tuple[str, float]], row:
     return df
 
 
+def band_report(df: DataFrame, label: str, base: str, bands: list[tuple[str, float]], row: str) -> tuple[DataFrame, list[dict]]:
+    """:func:`reorder_bands`, and for each band its rows, the AUC inside it of what came before and of the local scores."""
+    found = []
+    for local, weight in bands:
+        inside = df.where(F.col(local).isNotNull())
+        both = inside.unpivot([row, label], [base, local], "kind", "score")
+        auc = {r["kind"]: r for r in roc_auc(both, label, "score", ["kind"]).collect()}  # two rows
+        rows = auc[base]["positives"] + auc[base]["negatives"] if auc else 0
+        found.append({"band": local, "weight": weight, "rows": rows, "before": auc[base]["auc"] if auc else None, "local": auc[local]["auc"] if auc else None})
+        df = written(reorder(df, base, local, weight, row), "band")
+    return df, found
+
+
 def average_predictions(long: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
     """Mean over folds and seeds."""
     return long.groupBy(*keys).agg(F.avg(score).alias(score))

@@ -119,7 +119,7 @@ def best_of_grid(df: DataFrame, keys: list[str], columns: list[str], label: str,
     for c in grid:
         scores = cross_fitted(df, [*keys, label], columns, label, fold, c, scale, iterations)
         auc = roc_auc(scores, label, "score").first()["auc"]
-        if best is None or auc > best[1]:
+        if best is None or auc is not None and (best[1] is None or auc > best[1]):
             best = c, auc, scores
     return best
 

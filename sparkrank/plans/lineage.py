@@ -32,14 +32,20 @@ def _file_system(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which goes with the driver."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes ``df`` to the shared folder and returns a scan of what was written. The table goes when
     the driver ends, or earlier by :func:`deleted`."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_folder(spark, name)
     df.write.parquet(path)
-    fs, at = _file_system(spark, path)
-    fs.deleteOnExit(at)
     scan = spark.read.schema(df.schema).parquet(path)
     scan._sparkrank_path = path
     spark._sparkrank_tables = [*getattr(spark, "_sparkrank_tables", ()), path]
@@ -66,6 +72,27 @@ def finished(spark: SparkSession, before: list[str], keep: DataFrame) -> None:
     spark._sparkrank_tables = [p for p in tables(spark) if p in before or p == getattr(keep, "_sparkrank_path", None)]
 
 
+def side_session(spark: SparkSession) -> SparkSession:
+    """Another session with this one's settings and shared folder. A session that has observed metrics can't be sent to
+    executors, and MLlib's models send theirs along; so what observes does it in a session of its own."""
+    side = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            side.conf.set(key, value)
+    side._sparkrank_dir = shared_dir(spark)
+    return side
+
+
+def handed_over(scan: DataFrame, spark: SparkSession) -> DataFrame:
+    """A table that :func:`written` made in another session, as one of this session."""
+    path, other = scan._sparkrank_path, scan.sparkSession
+    other._sparkrank_tables = [p for p in tables(other) if p != path]
+    out = spark.read.schema(scan.schema).parquet(path)
+    out._sparkrank_path = path
+    spark._sparkrank_tables = [*tables(spark), path]
+    return out
+
+
 def tables(spark: SparkSession) -> list[str]:
     """Paths of the tables written and not deleted yet."""
     return list(getattr(spark, "_sparkrank_tables", ()))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sparkrank.fixtures import HABIT_NUMBERS, HABITS, MODELS, OBS_SQL, habits, obs, table, train
 from sparkrank.functions import scalar as S
 from sparkrank.operators import align, audit, blend, encode, folds, knn, models, ranking, stack
-from sparkrank.plans import geometry, views
+from sparkrank.plans import geometry, lineage, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -664,6 +664,94 @@ def band_union(spark, sf):
     return rounded(high.unionByName(low), "prediction", digits=9)
 
 
+# --- banks of predictions -----------------------------------------------------------------------------------------
+
+
+def _bank(spark, sf):
+    """Our train and test rows, and a library (m1, m2), stored predictions (m3) and logits (m4) made of the same rows."""
+    from sparkrank.sources import banks, sinks
+
+    at = lineage.fresh_folder(spark, "bank")
+    ours = lineage.written(train(spark, sf).select("id", "y", "fold", F.col("id").alias("row_pos"), *MODELS), "ours")
+    there = obs(spark, sf).where("split = 'test'").select("id", F.col("id").alias("row_pos"), *MODELS)
+    banks.write_library(f"{at}/library", ours, there, ours, there, ["m1", "m2"], "id", "y")
+    sinks.write_folds(ours, f"{at}/stored/folds", "id", "y")
+    for split, df, name in (("train", ours, "oof_members"), ("test", there, "test_members")):
+        sinks.write_predictions(df, f"{at}/stored/predictions", split, "m3", "id", "m3")
+        df.select("id", S.logit(F.col("m4")).alias("m4")).write.parquet(f"{at}/logits/{name}.parquet")
+    return ours, there, [banks.Source("library", f"{at}/library"), banks.Source("native", f"{at}/stored", "local"), banks.Source("logits", f"{at}/logits", "fm")]
+
+
+_BANKED = ["m1", "m2", "local__m3", "fm__m4"]
+
+
+@query("""select id, 'train' as split, y, fold, round(m1, 9) as m1, round(m2, 9) as m2, round(m3, 9) as local__m3, round(ln(m4) - ln(1 - m4), 6) as fm__m4 from train
+union all select id, 'test', null, null, round(m1, 9), round(m2, 9), round(m3, 9), round(ln(m4) - ln(1 - m4), 6) from obs where split = 'test'""")
+def bank_members(spark, sf):
+    from sparkrank.sources import banks
+
+    ours, there, sources = _bank(spark, sf)
+    found = banks.load(ours, there, sources, "id", "y")
+    test = found.test.withColumns({"split": F.lit("test"), "y": F.lit(None).cast("int"), "fold": F.lit(None).cast("int")})
+    both = found.train.withColumn("split", F.lit("train")).select("id", "split", "y", "fold", *_BANKED).unionByName(test.select("id", "split", "y", "fold", *_BANKED))
+    return rounded(rounded(both, *_BANKED[:3], digits=9), "fm__m4")
+
+
+_MEMBERS = "b as (" + " union all ".join(f"select '{n}' as model, split, y, {x} as s from obs" for n, x in zip(_BANKED, ["m1", "m2", "m3", "ln(m4) - ln(1 - m4)"], strict=True)) + "), k as (select * from b where split = 'train')"
+
+
+@query(f"""with {_MEMBERS}, {_auc_sql('k', 'model', 's')}, e as (select model, min(case when split = 'train' then s end) as a, max(case when split = 'train' then s end) as b, min(case when split = 'test' then s end) as c, max(case when split = 'test' then s end) as d from b group by model)
+select model, round(auc, 9) as auc, round(a, 6) as least, round(e.b, 6) as largest, round(c, 6) as test_least, round(d, 6) as test_largest from aa join e using (model)""")
+def bank_scores(spark, sf):
+    from sparkrank.sources import banks
+
+    ours, there, sources = _bank(spark, sf)
+    return rounded(rounded(banks.load(ours, there, sources, "id", "y").table, "auc", digits=9), "least", "largest", "test_least", "test_largest")
+
+
+@query("""select 'library' as source, 'train' as split, 'has other labels' as "check", count(*)::bigint as n from train where id % 50 = 0 having count(*) > 0
+union all select 'stored', 'train', 'has other folds', count(*) from train where id % 9 = 0 having count(*) > 0
+union all select 'logits', 'train', 'lacks ids of ours', count(*) from train where id % 20 = 1 having count(*) > 0
+union all select 'logits', 'train', 'has ids that aren''t ours', count(*) from train where id % 20 = 1 having count(*) > 0
+union all select 'logits', 'test', 'not finite: m4', count(*) from obs where split = 'test' and id % 30 = 7 having count(*) > 0""")
+def bank_refusals(spark, sf):
+    """What a bank is refused for whose labels, folds, ids and values were changed here and there."""
+    from sparkrank.sources import banks, sinks
+
+    ours, there, sources = _bank(spark, sf)
+    lib, stored, logits = (s.path for s in sources)
+    ours.select("row_pos", "id", F.when(F.col("id") % 50 == 0, 1 - F.col("y")).otherwise(F.col("y")).alias("y")).write.mode("overwrite").parquet(f"{lib}/train_keys.parquet")
+    sinks.write_folds(ours.withColumn("fold", F.when(F.col("id") % 9 == 0, (F.col("fold") + 1) % 5).otherwise(F.col("fold"))), f"{stored}/folds", "id", "y")
+    ours.select(F.when(F.col("id") % 20 == 1, -F.col("id")).otherwise(F.col("id")).alias("id"), "m4").write.mode("overwrite").parquet(f"{logits}/oof_members.parquet")
+    there.select("id", F.when(F.col("id") % 30 == 7, F.lit(float("nan"))).otherwise(F.col("m4")).alias("m4")).write.mode("overwrite").parquet(f"{logits}/test_members.parquet")
+    try:
+        banks.load(ours, there, sources, "id", "y")
+    except banks.Refused as e:
+        rows = [(s.rpartition("/")[2], split, check, n) for s, split, check, n in e.problems]
+        return spark.createDataFrame(rows, "source string, split string, check string, n long")
+    return spark.createDataFrame([], "source string, split string, check string, n long")
+
+
+def _banded_sql(split: str) -> str:
+    t = split[:2]
+    return f"""{t}0 as (select id, 0.25 * {_rank('m1')} + 0.75 * {_rank('m3')} as base, m2, m4, x1 from obs where split = '{split}'), {_reorder_sql(f'{t}0', 'x1 > 300000', 'm4', 0.5, f'{t}1')}, {_reorder_sql(f'{t}1', 'x1 < 250000', 'm2', 1.0, f'{t}2')}"""
+
+
+@query(f"with {_banded_sql('train')}, {_banded_sql('test')} select id, 'train' as split, round(base, 9) as score from tr2 union all select id, 'test', round(base, 9) from te2")
+def bank_bands(spark, sf):
+    """Mixed ranks of both splits, re-ordered in two bands that are read from tables of their own."""
+    from sparkrank.sources import banks
+
+    at = lineage.fresh_folder(spark, "bands")
+    d = lineage.written(obs(spark, sf), "obs")
+    for name, inside, local in (("high", "x1 > 300000", "m4"), ("low", "x1 < 250000", "m2")):
+        d.where(inside).select("id", "split", F.col(local).alias("prediction")).write.parquet(f"{at}/{name}")
+    parts = {s: blend.rank_blend(d.where(F.col("split") == s).select("id", "m1", "m3"), ["id"], {"m1": 0.25, "m3": 0.75}) for s in ("train", "test")}
+    found = banks.load_bands(parts["train"], parts["test"], [f"{at}/high", f"{at}/low"], "id")
+    out = [blend.reorder_bands(df, "blend", [("band0", 0.5), ("band1", 1.0)], "id").select("id", F.lit(s).alias("split"), F.col("blend").alias("score")) for s, df in found.items()]
+    return rounded(out[0].unionByName(out[1]), "score", digits=9)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well does each base score rank the label, fold by fold?"""
     d = ranking.long_scores(train(spark, sf_dir).select("id", "y", "fold", *MODELS), ["id", "y", "fold"], MODELS)

@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkrank.fixtures import HABIT_NUMBERS
+from sparkrank.functions import scalar as S
 from sparkrank.operators import audit as profiles
 from sparkrank.operators import blend as blends
 from sparkrank.operators import encode, folds, models, ranking, stack
 from sparkrank.plans import config as configs
 from sparkrank.plans import views
 from sparkrank.plans.lineage import written
-from sparkrank.sources import sinks, tables
+from sparkrank.sources import banks, sinks, tables
 
 
 class Run:
@@ -119,36 +120,64 @@ class Run:
         return report
 
     def stack(self) -> dict:
-        """Global and regime meta models over logits; the regime one is taken if it gains enough; ranks mixed; sent out."""
+        """Global and regime meta models over logits of this run's models and of all sources that are configured; the regime
+        one is taken if it gains enough; ranks mixed, bands re-ordered one after another; sent out."""
         settings = self.tree.get("stack", {})
-        names = tables.selected_models(f"{self.out}/trained_models.json", settings.get("include_models"))
+        sources = banks.settings_sources(settings)
+        if settings.get("own_models", not sources):
+            sources.insert(0, banks.Source("native", self.out, include=tables.selected_models(f"{self.out}/trained_models.json", settings.get("include_models")), folds=False))
+        found = banks.load(self.folded(), self.test, sources, self.id, self.target)
+        sinks.write_table(found.table, f"{self.out}/stack_models")
+        plain = {n: f"s{k}" for k, n in enumerate(found.names)}  # names may hold any character
+        names, raw = list(plain.values()), [x for n, x in plain.items() if n not in found.logits]
         missing = lambda df: df.select(self.id, sum((F.col(c).isNull().cast("int") for c in self.columns), F.lit(0)).alias("missing"))
-        fold = self.folded().select(self.id, "fold")
-        train = written(stack.as_logits(self.scores("train", names), names).join(fold, self.id).join(missing(self.train), self.id), "logits")
-        test = written(stack.as_logits(self.scores("test", names), names).join(missing(self.test), self.id), "logits")
-        plain = stack.cross_fitted(train, [self.id, self.target], names, self.target, scale=False)
+
+        def logits(df: DataFrame, keys: list[str], ours: DataFrame) -> DataFrame:
+            df = df.select(*keys, *[F.col(f"`{n}`").alias(x) for n, x in plain.items()])
+            return written(stack.as_logits(df, raw).join(missing(ours), self.id), "logits")
+
+        train = logits(found.train, [self.id, self.target, "fold", "row_pos"], self.train)
+        test = logits(found.test, [self.id, "row_pos"], self.test)
+        global_c = settings.get("global_c", 1.0)
+        oof = stack.cross_fitted(train, [self.id, self.target], names, self.target, c=global_c, scale=False)
         mean, deviation = stack.disagreement(train, names)
         wide = written(stack.regime_design(train, [self.id, self.target, "fold"], names, "missing", mean, deviation), "design")
         design = [c for c in wide.columns if c not in (self.id, self.target, "fold")]
         c, regime_auc, regime = stack.best_of_grid(wide, [self.id], design, self.target, settings.get("c_values", [0.01, 0.1, 1.0]))
-        global_auc = ranking.roc_auc(plain, self.target, "score").first()["auc"]
+        global_auc = ranking.roc_auc(oof, self.target, "score").first()["auc"]
         chosen = stack.choose(global_auc, regime_auc, settings.get("margin", 2e-5))
-        test_plain, weights = stack.final_logistic(train, test, [self.id], names, self.target, scale=False)
+        test_plain, weights = stack.final_logistic(train, test, [self.id], names, self.target, global_c, scale=False)
         test_regime, _ = stack.final_logistic(wide, stack.regime_design(test, [self.id], names, "missing", mean, deviation), [self.id], design, self.target, c)
-        mixed = blends.rank_blend(plain.select(self.id, self.target, F.col("score").alias("plain")).join(regime.select(self.id, F.col("score").alias("regime")), self.id), [self.id, self.target], {"plain": 1 / 3, "regime": 2 / 3})
+        share = settings.get("regime_share", 2 / 3)
+        shares = {"plain": 1 - share, "regime": share}
+        both = oof.select(self.id, self.target, F.col("score").alias("plain")).join(regime.select(self.id, F.col("score").alias("regime")), self.id)
+        sent = test_plain.select(self.id, F.col("score").alias("plain")).join(test_regime.select(self.id, F.col("score").alias("regime")), self.id)
+        mixed, mixed_test = written(blends.rank_blend(both, [self.id, self.target], shares), "mixed"), written(blends.rank_blend(sent, [self.id], shares), "mixed")
+        bands = settings.get("bands", [])
+        mixed, mixed_test, banded = self.banded(mixed.join(train.select(self.id, "row_pos"), self.id), mixed_test.join(test.select(self.id, "row_pos"), self.id), bands)
         mixed_auc = ranking.roc_auc(mixed, self.target, "blend").first()["auc"]
-        both = test_plain.select(self.id, F.col("score").alias("plain")).join(test_regime.select(self.id, F.col("score").alias("regime")), self.id)
-        best = max(global_auc, regime_auc)
+        best = regime_auc if chosen == "regime" else global_auc
         if blends.adopt(mixed_auc - best, settings.get("adopt_gain", 1.5e-5)):
-            chosen, out = "mix", blends.rank_blend(both, [self.id], {"plain": 1 / 3, "regime": 2 / 3}).withColumnRenamed("blend", "score")
+            chosen, out = "mix", mixed_test.select(self.id, F.col("blend").alias("score"))
         else:
-            out = both.select(self.id, F.col("plain" if chosen == "global" else "regime").alias("score"))
+            out = sent.select(self.id, F.col("plain" if chosen == "global" else "regime").alias("score"))
         sinks.write_submission(out, self.test.select(self.id, F.lit(0.5).alias(self.target), "row_pos"), f"{self.out}/submission_stack", self.id, self.target)
-        buckets = ranking.roc_auc(train.select(self.id, "missing").join(mixed, self.id).withColumn("bucket", F.when(F.col("missing") == 0, "0").when(F.col("missing") <= 3, "1-3").otherwise("4+")), self.target, "blend", ["bucket"])
-        report = {"chosen": chosen, "auc": {"global": global_auc, "regime": regime_auc, "mix": mixed_auc}, "c": c, "weights": dict(weights), "by_missing": {r["bucket"]: r["auc"] for r in buckets.collect()}}
+        buckets = ranking.roc_auc(train.select(self.id, "missing").join(mixed, self.id).withColumn("bucket", S.missing_bucket(F.col("missing"))), self.target, "blend", ["bucket"])
+        back = {x: n for n, x in plain.items()}
+        report = {"chosen": chosen, "models": found.names, "auc": {"global": global_auc, "regime": regime_auc, "mix": mixed_auc}, "c": c, "weights": {back[x]: w for x, w in weights}, "bands": banded, "by_missing": {r["bucket"]: r["auc"] for r in buckets.collect()}}
         sinks.write_json(f"{self.out}/stack.json", report)
         return report
 
+    def banded(self, train: DataFrame, test: DataFrame, bands: list[dict]) -> tuple[DataFrame, DataFrame, list[dict]]:
+        """Both tables' ``blend`` re-ordered in each band ({path, weight}) in turn, and what each band had before."""
+        if not bands:
+            return train, test, []
+        own = banks.load_bands(train, test, [b["path"] for b in bands], self.id)
+        places = [(f"band{k}", float(b["weight"])) for k, b in enumerate(bands)]
+        out, found = blends.band_report(own["train"], self.target, "blend", places, "row_pos")
+        report = [{"path": b["path"], **{k: v for k, v in r.items() if k != "band"}} for b, r in zip(bands, found, strict=True)]
+        return out, blends.reorder_bands(own["test"], "blend", places, "row_pos"), report
+
 
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="sparkrank", description=__doc__)
