@@ -1,22 +1,31 @@
-"""Model adapters of one shape: fit on train rows, score others. Trees are MLlib's; they stand in for boosters that
-have no JVM-native form here and make no claim to the same numbers."""
+"""Model adapters of one shape: fit on train rows, score others. Boosted and fully random trees are this library's own;
+the plain forest, the factorization machine and the network are MLlib's. None claims the numbers of another library."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.ml.classification import FMClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import FMClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkrank.operators.blend import average_predictions
+from sparkrank.operators.boosting import boosted_out_of_fold
+from sparkrank.operators.random_trees import trees_out_of_fold
 from sparkrank.operators.stack import scaled
 from sparkrank.plans.lineage import written
 
 FOLD_STEP = 1009
 
+#: Boosted trees: gaps stay gaps. Of these, the ones that read texts as ordered target statistics.
+BOOSTED = ("gbt", "lightgbm", "xgboost", "catboost")
+CATEGORICAL = ("catboost",)
+#: Settings by the names that users of boosters know.
+NAMES = {"n_estimators": "rounds", "iterations": "rounds", "max_depth": "depth", "learning_rate": "rate", "early_stopping_rounds": "patience", "subsample": "row_share", "colsample_bytree": "column_share", "reg_lambda": "ridge", "l2_leaf_reg": "ridge", "max_bin": "bins", "min_child_samples": "least", "min_samples_leaf": "least"}
+
 
 @dataclass
 class Experiment:
@@ -31,9 +40,7 @@ class Experiment:
 
 def _estimator(model: str, params: dict, seed: int, width: int):
     common = {"featuresCol": "_x", "labelCol": "_y"}
-    if model in ("gbt", "catboost", "lightgbm", "xgboost"):
-        return GBTClassifier(**common, seed=seed, **({"maxIter": 20, "maxDepth": 5} | params))
-    if model in ("forest", "extra_trees"):
+    if model == "forest":
         return RandomForestClassifier(**common, seed=seed, **({"numTrees": 50, "maxDepth": 8} | params))
     if model == "logistic":
         return LogisticRegression(**common, standardization=False, **({"regParam": 1e-4} | params))
@@ -45,6 +52,8 @@ def _estimator(model: str, params: dict, seed: int, width: int):
 
 
 def available(model: str) -> bool:
+    if model in BOOSTED or model == "extra_trees":
+        return True
     try:
         _estimator(model, {}, 0, 1)
     except ValueError:
@@ -69,10 +78,34 @@ def fit_predict(model: str, train: DataFrame, others: list[DataFrame], keys: lis
     return scores, sorted(zip(columns, map(float, weights), strict=True), key=lambda r: (-r[1], r[0]))
 
 
+def _own_trees(experiment: Experiment, train: DataFrame, test: DataFrame | None, id_col: str, columns: list[str], label: str, fold: str) -> tuple[DataFrame, DataFrame | None, list[tuple[str, float]]]:
+    """All folds of a seed in one fit; texts among the columns are categories."""
+    kinds, params = dict(train.dtypes), {NAMES.get(k, k): v for k, v in experiment.params.items()}
+    texts = [c for c in columns if kinds[c] == "string"]
+    numbers = [c for c in columns if c not in texts]
+    parts, test_parts, weights = [], [], {}
+    for seed in experiment.seeds:
+        if experiment.model == "extra_trees":
+            if texts:
+                raise ValueError(f"random trees need numbers, not {texts}")
+            oof, scores, fitted = trees_out_of_fold(train, test, id_col, numbers, label, fold, params, seed)
+        else:
+            oof, scores, fitted = boosted_out_of_fold(train, test, id_col, numbers, label, fold, texts, params, seed)
+        parts.append(oof)
+        test_parts += [scores] if scores is not None else []
+        for c, w in fitted.importance():
+            c = c.removesuffix("__ts") if c not in columns else c
+            weights[c] = weights.get(c, 0.0) + w / len(experiment.seeds)
+    union = lambda dfs: average_predictions(reduce(DataFrame.unionByName, dfs), [id_col])
+    return union(parts), union(test_parts) if test_parts else None, sorted(weights.items(), key=lambda r: (-r[1], r[0]))
+
+
 def out_of_fold(experiment: Experiment, train: DataFrame, test: DataFrame | None, id_col: str, columns: list[str], label: str, fold: str = "fold") -> tuple[DataFrame, DataFrame | None, list[tuple[str, float]]]:
     """Out-of-fold scores of ``train`` (mean over seeds), scores of ``test`` (mean over seeds and folds) and mean
-    importances. One fit per seed and fold."""
+    importances. One fit per seed and fold, or for this library's own trees one per seed. Only those take gaps (boosted ones)."""
     train = written(train.select(id_col, label, fold, *columns), "train")
+    if experiment.model in BOOSTED or experiment.model == "extra_trees":
+        return _own_trees(experiment, train, test, id_col, columns, label, fold)
     folds = sorted(r[fold] for r in train.select(fold).distinct().collect())  # a row per fold
     valid_parts, test_parts, weights = [], [], {}
     for seed in experiment.seeds:

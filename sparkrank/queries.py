@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sparkrank.fixtures import HABIT_NUMBERS, HABITS, MODELS, OBS_SQL, habits, obs, table, train
 from sparkrank.functions import scalar as S
-from sparkrank.operators import align, audit, blend, encode, folds, knn, models, ranking, stack
+from sparkrank.operators import align, audit, blend, encode, folds, knn, models, ordered, ranking, stack
 from sparkrank.plans import geometry, lineage, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -579,15 +579,43 @@ def final_stack(spark, sf):
     return rounded(scores, "score")
 
 
-def _small(spark, sf):
-    d = train(spark, sf, lines=True).select("id", "y", "fold", "split", "x1", "x2", "x3")
-    return encode.encoded(d, ["id", "y", "fold"], ["x1", "x2", "x3"])
+def _prior_sql(column: str, order: int) -> str:
+    """The smoothed mean label of a category's rows before each of those with fold > 0, and of all of these for the others."""
+    key = f"md5(id::varchar || ':{order}:42')"
+    return f"""case when fold > 0 then (coalesce(sum(case when fold > 0 then y end) over (partition by {column}, fold > 0 order by {key} rows between unbounded preceding and 1 preceding), 0) + pr) / (count(*) over (partition by {column}, fold > 0 order by {key} rows between unbounded preceding and current row))
+else (coalesce(sum(case when fold > 0 then y end) over (partition by {column}), 0) + pr) / (sum(case when fold > 0 then 1 else 0 end) over (partition by {column}) + 1) end"""
+
+
+@query("select id, " + ", ".join(f"round(({_prior_sql(c, 0)} + {_prior_sql(c, 1)}) / 2, 9) as {c}__ts" for c in ("c1", "c2")) + " from train, (select avg(y) as pr from train where fold > 0)")
+def ordered_target_stats(spark, sf):
+    d = train(spark, sf, customers=True).select("id", "y", "c1", "c2", (F.col("fold") > 0).alias("learned"))
+    return rounded(ordered.ordered_statistics(d, "id", "y", ["c1", "c2"], "learned", orders=2).select("id", "c1__ts", "c2__ts"), "c1__ts", "c2__ts", digits=9)
+
+
+def _gaps(spark, sf):
+    return train(spark, sf, lines=True, customers=True).select("id", "y", "fold", "x1", "x2", "x3", "m1", "c1", "c2")
 
 
 @query()
 def gbt_oof(spark, sf):
-    d = _small(spark, sf).persist()
-    scores, _, _ = models.out_of_fold(models.Experiment("gbt", "gbt"), d, None, "id", [c for c in d.columns if c not in ("id", "y", "fold")], "y")
+    """Boosted trees over numbers whose gaps stay gaps; each fold stops its model."""
+    scores, _, _ = models.out_of_fold(models.Experiment("gbt", "gbt"), _gaps(spark, sf), None, "id", ["x1", "x2", "x3", "m1"], "y")
+    return rounded(scores, "score")
+
+
+@query()
+def categorical_gbt_oof(spark, sf):
+    """Boosted trees over numbers with gaps and two text columns as ordered target statistics."""
+    scores, _, _ = models.out_of_fold(models.Experiment("cat", "catboost"), _gaps(spark, sf), None, "id", ["x1", "m1", "c1", "c2"], "y")
+    return rounded(scores, "score")
+
+
+@query()
+def extra_trees_oof(spark, sf):
+    """Fully random trees over the filled matrix of three numbers and their gaps."""
+    d = train(spark, sf, lines=True).select("id", "y", "fold", "split", "x1", "x2", "x3", "m1")
+    d = encode.encoded(d, ["id", "y", "fold"], ["x1", "x2", "x3", "m1"])
+    scores, _, _ = models.out_of_fold(models.Experiment("trees", "extra_trees"), d, None, "id", [c for c in d.columns if c not in ("id", "y", "fold")], "y")
     return rounded(scores, "score")
 
 

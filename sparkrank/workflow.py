@@ -57,8 +57,9 @@ class Run:
         sinks.write_json(f"{self.out}/audit.json", report)
         return report
 
-    def matrix(self, view: str) -> DataFrame:
-        """Train and test rows of a view as numbers, with id, split, target and fold."""
+    def matrix(self, view: str, kind: str = "filled") -> DataFrame:
+        """Train and test rows of a view, with id, split, target and fold: as numbers without gaps ("filled"), as numbers with their
+        gaps ("gaps"), or as they are ("raw")."""
         keys = [self.id, "split", self.target, "fold"]
         train = self.folded().withColumn("split", F.lit("train"))
         test = self.test.withColumns({"split": F.lit("test"), self.target: F.lit(None).cast("int"), "fold": F.lit(None).cast("int")})
@@ -69,7 +70,9 @@ class Run:
             options = {"parent": parent, "parent_key": "row_pos", "label": self.target, "counts": near.get("neighbors"), "category_weight": near.get("categorical_weight", 1.25), "smoothing": near.get("smoothing", 1.0)}
         both = views.view(train.select(*keys, *self.columns).unionByName(test.select(*keys, *self.columns)), view, keys, self.columns, **options)
         made = [c for c in both.columns if c not in keys]
-        return encode.encoded(both, keys, made, indicator_columns=[c for c in self.columns if c in HABIT_NUMBERS or c in profiles.numeric_columns(both, self.columns)])
+        if kind == "raw":
+            return both
+        return encode.encoded(both, keys, made, fill=kind == "filled", indicator_columns=[c for c in self.columns if c in HABIT_NUMBERS or c in profiles.numeric_columns(both, self.columns)])
 
     def fit(self, asked: list[str] | None = None) -> list[dict]:
         done, seen = [], {}
@@ -78,9 +81,10 @@ class Run:
                 if self.tree.get("training", {}).get("skip_missing_models", True):
                     continue
                 raise ValueError(f"no model {e.model}")
-            if e.view not in seen:
-                seen[e.view] = written(self.matrix(e.view), "matrix")
-            both = seen[e.view]
+            kind = "raw" if e.model in models.CATEGORICAL else "gaps" if e.model in models.BOOSTED else "filled"
+            if (e.view, kind) not in seen:
+                seen[e.view, kind] = written(self.matrix(e.view, kind), "matrix")
+            both = seen[e.view, kind]
             names = [c for c in both.columns if c not in (self.id, "split", self.target, "fold")]
             plain = {c: f"x{k}" for k, c in enumerate(names)}  # names of levels may hold any character
             both = both.select(self.id, "split", self.target, "fold", *[F.col(f"`{c}`").alias(x) for c, x in plain.items()])

@@ -5,7 +5,7 @@ import pytest
 
 from sparkrank import queries
 from sparkrank.fixtures import train
-from sparkrank.operators import blend, models
+from sparkrank.operators import blend, boosting, models, random_trees
 
 
 @pytest.fixture
@@ -35,13 +35,15 @@ def test_knn_queries_answer_every_vector(spark, vectors):
         assert [margins[i][c] for c in ("distance_class_0", "distance_class_1", "distance_margin")] == pytest.approx([zero, one, zero - one], abs=1e-6)
 
 
-def test_gbt_oof_scores_every_train_row_with_the_operators_parameters(spark, sf, monkeypatch):
+@pytest.mark.parametrize(("name", "most"), [("gbt_oof", {"rounds": 1, "depth": 1}), ("categorical_gbt_oof", {"rounds": 1, "depth": 1}), ("extra_trees_oof", {"trees": 2, "depth": 1})])
+def test_tree_queries_score_every_train_row_with_the_operators_parameters(spark, sf, monkeypatch, name, most):
     used = []
-    estimator = models._estimator
-    monkeypatch.setattr(models, "_estimator", lambda model, params, *a: used.append(params) or estimator(model, params | {"maxIter": 1, "maxDepth": 1}, *a))
-    scored = [r["id"] for r in queries.gbt_oof(spark, sf).collect()]
+    for module in (boosting, random_trees):
+        fit = module.fit_many
+        monkeypatch.setattr(module, "fit_many", lambda *a, params=None, fit=fit, **k: used.append(params) or fit(*a, params=most, **k))
+    scored = [r["id"] for r in getattr(queries, name)(spark, sf).collect()]
     assert sorted(scored) == sorted(r["id"] for r in train(spark, sf).select("id").collect())
-    assert used == [{}] * 5
+    assert used == [{}]
 
 
 def test_adversarial_auc_judges_every_row(spark, tmp_path, monkeypatch):
