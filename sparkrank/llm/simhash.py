@@ -280,11 +280,13 @@ def one_of_each(docs: DataFrame, text_col: str = "text") -> DataFrame:
     ahead = winners.select(F.struct("_id", "_hash").alias("_winner"))
     marked = keys.select(key, "_n").join(ahead, F.col("_key") == F.col("_winner"), "left")
     odd = written(marked.where("_winner is null or _n > 1").select("_key", F.col("_winner").isNotNull().alias("_kept")), "losers")
-    name, again = free_name(docs.columns), free_name([*docs.columns, free_name(docs.columns)])
+    name = free_name(docs.columns)
+    again = free_name([*docs.columns, name])
+    key = free_name([*docs.columns, name, again])
     own = F.struct(docs["doc_id"].cast("long").alias("_id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("_hash"))
     beside = docs.withColumn(name, own)
-    clean = beside.join(hinted(odd.select("_key")), F.col(name) == F.col("_key"), "left_anti").drop(name)
-    twice = beside.join(hinted(odd.where("_kept").select("_key")), F.col(name) == F.col("_key"), "left_semi")
+    clean = beside.join(hinted(odd.select(F.col("_key").alias(key))), F.col(name) == F.col(key), "left_anti").drop(name)
+    twice = beside.join(hinted(odd.where("_kept").select(F.col("_key").alias(key))), F.col(name) == F.col(key), "left_semi")
     once = twice.withColumn(again, F.row_number().over(Window.partitionBy(name).orderBy(name))).where(F.col(again) == 1).drop(name, again)
     return clean.unionByName(once)
 
