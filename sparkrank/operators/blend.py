@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,17 +71,46 @@ def greedy_weights(df: DataFrame, id_col: str, label: str, models: list[str], st
         ranked.unpersist()
 
 
-def stable_weights(df: DataFrame, id_col: str, label: str, models: list[str], rounds: int = 25, share: float = 0.8, cap: int | None = 120_000, least: float = 0.15, steps: int = 40, gain: float = 1e-6, seed: int = 20260803) -> DataFrame:
+def _auc_of(score: np.ndarray, y: np.ndarray, positives: int) -> float:
+    """Exact AUC of whole-number scores, ties half."""
+    order = np.argsort(score, kind="stable")
+    s, ones = score[order], y[order]
+    ends = np.append(np.flatnonzero(np.diff(s)), len(s) - 1)
+    upto, pos = ends + 1, np.cumsum(ones)[ends]
+    neg = upto - pos
+    p, n = np.diff(pos, prepend=0), np.diff(neg, prepend=0)
+    return float((p * (2 * (neg - n) + n)).sum()) / (2.0 * positives * (len(y) - positives))
+
+
+def _search(models: list[str], steps: int, gain: float, key, table):
+    """One round's greedy search over its bounded sample: twice the average ranks, whole numbers, are summed up."""
+    y = table.column("_y").to_numpy()
+    n, positives = len(y), int(y.sum())
+    chosen = dict.fromkeys(models, 0)
+    if 0 < positives < n:
+        ranks = {}
+        for m in models:
+            _, back, counts = np.unique(table.column(m).to_numpy(), return_inverse=True, return_counts=True)
+            ranks[m] = (2 * np.cumsum(counts) - counts + 1)[back]
+        total, last = np.zeros(n, np.int64), None
+        for _ in range(steps):
+            found = {m: _auc_of(total + ranks[m], y, positives) for m in models}
+            best = max(models, key=lambda m: found[m])
+            if last is not None and found[best] < last + gain:
+                break
+            chosen[best], total, last = chosen[best] + 1, total + ranks[best], found[best]
+    taken = max(1, sum(chosen.values()))
+    return pa.table([pa.array([key[0].as_py()] * len(models), pa.int32()), pa.array(models), pa.array([chosen[m] / taken for m in models])], names=["round", "model", "weight"])
+
+
+def stable_weights(df: DataFrame, id_col: str, label: str, models: list[str], rounds: int = 25, share: float = 0.8, cap: int = 120_000, least: float = 0.15, steps: int = 40, gain: float = 1e-6, seed: int = 20260803) -> DataFrame:
     """(model, weight, frequency, mean, deviation) of greedy blends over stratified subsamples: mean weights, nothing for
-    a model that fewer than ``least`` of the rounds chose, then scaled to 1."""
+    a model that fewer than ``least`` of the rounds chose, then scaled to 1. A round is at most ``cap`` rows, which one
+    task searches; rounds go side by side."""
     parts = stratified_subsample(df.select(id_col, label, *models), id_col, label, share, cap, rounds, seed)
-    ranked = ranked_models(parts, ["round", id_col, label], models, ["round"]).persist()
-    try:
-        found = greedy_rounds(ranked, label, models, list(range(rounds)), steps, gain)
-    finally:
-        ranked.unpersist()
-    rows = [(r, m, float(w.get(m, 0.0))) for r, (w, _) in found.items() for m in models]
-    return weight_summary(df.sparkSession.createDataFrame(rows, "round int, model string, weight double"), least)
+    own = parts.select(F.col("round").cast("int").alias("round"), F.col(label).cast("long").alias("_y"), *models)
+    found = own.groupBy("round").applyInArrow(partial(_search, models, steps, gain), "round int, model string, weight double")
+    return weight_summary(written(found, "rounds"), least)
 
 
 def weight_summary(rounds: DataFrame, least: float = 0.15) -> DataFrame:
@@ -92,44 +123,49 @@ def weight_summary(rounds: DataFrame, least: float = 0.15) -> DataFrame:
     return own.select("model", weight.alias("weight"), "frequency", "mean", "deviation")
 
 
-def reorder(df: DataFrame, base: str, local: str, weight: float, row: str, inside: Column | None = None, bins: int = BINS) -> DataFrame:
+def reorder(df: DataFrame, base: str, local: str, weight: float, row: str, inside: Column | None = None, bins: int = BINS, groups: list[str] | None = None) -> DataFrame:
     """Re-orders ``base`` inside a subset (where ``inside``, or where ``local`` isn't missing): the subset keeps the
-    same base values, dealt out by (1 - weight) * rank(base) + weight * rank(local), ties by ``row``. Other rows stay."""
+    same base values, dealt out by (1 - weight) * rank(base) + weight * rank(local), ties by ``row``. Other rows stay.
+    ``groups`` (no nulls) are re-ordered apart."""
     chosen = F.col(local).isNotNull() if inside is None else inside
-    own = written(df.where(chosen).select(F.col(row).alias("_row"), F.col(base).alias("_base"), F.col(local).alias("_local")), "subset")
-    mixed = average_ranks(average_ranks(own, "_base", name="_rb", bins=bins), "_local", name="_rl", bins=bins)
-    mixed = written(mixed.select("_row", "_base", ((1.0 - weight) * F.col("_rb") + weight * F.col("_rl")).alias("_order")), "order")
-    places = _positions(mixed, "_order", "_row", bins).select("_row", F.col("_place").alias("_p"))
-    values = _positions(mixed, "_base", "_row", bins).select(F.col("_base").alias("_value"), F.col("_place").alias("_q"))
-    moved = places.join(values, F.col("_p") == F.col("_q")).select("_row", "_value")
-    return df.join(moved, df[row] == F.col("_row"), "left").withColumn(base, F.coalesce("_value", base)).select(*df.columns)
-
-
-def _positions(df: DataFrame, order: str, tie: str, bins: int) -> DataFrame:
-    """Adds ``_place``, 0.. by ``order`` and then ``tie``."""
-    counts = df.groupBy(order).agg(F.count("*").alias("_n"))
-    starts = sums_before(counts, [], order, ["_n"], bins).select(F.col(order).alias("_o"), F.col("before__n").alias("_start"))
-    inside = Window.partitionBy(order).orderBy(tie)
-    return df.join(starts, F.col(order) == F.col("_o")).withColumn("_place", F.col("_start") + F.row_number().over(inside) - 1).drop("_o", "_start")
-
-
-def reorder_bands(df: DataFrame, base: str, bands: list[tuple[str, float]], row: str) -> DataFrame:
+    by = [f"_g{k}" for k in range(len(groups or []))]
+    own = written(df.where(chosen).select(*[F.col(g).alias(b) for g, b in zip(groups or [], by, strict=True)], F.col(row).alias("_row"), F.col(base).alias("_base"), F.col(local).alias("_local")), "subset")
+    mixed = average_ranks(average_ranks(own, "_base", by, name="_rb", bins=bins), "_local", by, name="_rl", bins=bins)
+    mixed = written(mixed.select(*by, "_row", "_base", ((1.0 - weight) * F.col("_rb") + weight * F.col("_rl")).alias("_order")), "order")
+    places = _positions(mixed, "_order", "_row", bins, by).select(*by, "_row", F.col("_place").alias("_p"))
+    values = _positions(mixed, "_base", "_row", bins, by).select(*[F.col(b).alias(f"{b}v") for b in by], F.col("_base").alias("_value"), F.col("_place").alias("_q"))
+    same = [F.col(b) == F.col(f"{b}v") for b in by]
+    moved = places.join(values, reduce(lambda a, b: a & b, [F.col("_p") == F.col("_q"), *same])).select(*by, "_row", "_value")
+    ours = [df[g] == F.col(b) for g, b in zip(groups or [], by, strict=True)]
+    return df.join(moved, reduce(lambda a, b: a & b, [df[row] == F.col("_row"), *ours]), "left").withColumn(base, F.coalesce("_value", base)).select(*df.columns)
+
+
+def _positions(df: DataFrame, order: str, tie: str, bins: int, by: list[str]) -> DataFrame:
+    """Adds ``_place``, 0.. by ``order`` and then ``tie``, in each group."""
+    counts = df.groupBy(*by, order).agg(F.count("*").alias("_n"))
+    starts = sums_before(counts, by, order, ["_n"], bins).select(*[F.col(b).alias(f"{b}s") for b in by], F.col(order).alias("_o"), F.col("before__n").alias("_start"))
+    inside = Window.partitionBy(*by, order).orderBy(tie)
+    same = reduce(lambda a, b: a & b, [F.col(order) == F.col("_o"), *[F.col(b) == F.col(f"{b}s") for b in by]])
+    return df.join(starts, same).withColumn("_place", F.col("_start") + F.row_number().over(inside) - 1).drop("_o", "_start", *[f"{b}s" for b in by])
+
+
+def reorder_bands(df: DataFrame, base: str, bands: list[tuple[str, float]], row: str, groups: list[str] | None = None) -> DataFrame:
     """One band (column of local scores, missing outside, and its weight) after another."""
     for local, weight in bands:
-        df = written(reorder(df, base, local, weight, row), "band")
+        df = written(reorder(df, base, local, weight, row, groups=groups), "band")
     return df
 
 
-def band_report(df: DataFrame, label: str, base: str, bands: list[tuple[str, float]], row: str) -> tuple[DataFrame, list[dict]]:
-    """:func:`reorder_bands`, and for each band its rows, the AUC inside it of what came before and of the local scores."""
+def band_report(df: DataFrame, label: str, base: str, bands: list[tuple[str, float]], row: str, groups: list[str] | None = None) -> tuple[DataFrame, list[dict]]:
+    """:func:`reorder_bands`, and for each band its labelled rows, the AUC inside it of what came before and of the local scores."""
     found = []
     for local, weight in bands:
-        inside = df.where(F.col(local).isNotNull())
+        inside = df.where(F.col(local).isNotNull() & F.col(label).isNotNull())
         both = inside.unpivot([row, label], [base, local], "kind", "score")
         auc = {r["kind"]: r for r in roc_auc(both, label, "score", ["kind"]).collect()}  # two rows
         rows = auc[base]["positives"] + auc[base]["negatives"] if auc else 0
         found.append({"band": local, "weight": weight, "rows": rows, "before": auc[base]["auc"] if auc else None, "local": auc[local]["auc"] if auc else None})
-        df = written(reorder(df, base, local, weight, row), "band")
+        df = written(reorder(df, base, local, weight, row, groups=groups), "band")
     return df, found
 
 

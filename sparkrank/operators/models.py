@@ -6,7 +6,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.ml.classification import FMClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import FMClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sparkrank.operators.blend import average_predictions
 from sparkrank.operators.boosting import boosted_out_of_fold
 from sparkrank.operators.random_trees import trees_out_of_fold
-from sparkrank.operators.stack import scaled
+from sparkrank.operators.stack import logistic_out_of_fold, scaled
 from sparkrank.plans.lineage import written
 
 FOLD_STEP = 1009
@@ -42,8 +42,6 @@ def _estimator(model: str, params: dict, seed: int, width: int):
     common = {"featuresCol": "_x", "labelCol": "_y"}
     if model == "forest":
         return RandomForestClassifier(**common, seed=seed, **({"numTrees": 50, "maxDepth": 8} | params))
-    if model == "logistic":
-        return LogisticRegression(**common, standardization=False, **({"regParam": 1e-4} | params))
     if model == "factorization":
         return FMClassifier(**common, seed=seed, **({"factorSize": 4, "maxIter": 30, "stepSize": 0.05} | params))
     if model == "network":
@@ -52,7 +50,7 @@ def _estimator(model: str, params: dict, seed: int, width: int):
 
 
 def available(model: str) -> bool:
-    if model in BOOSTED or model == "extra_trees":
+    if model in BOOSTED or model in ("extra_trees", "logistic"):
         return True
     try:
         _estimator(model, {}, 0, 1)
@@ -63,7 +61,7 @@ def available(model: str) -> bool:
 
 def fit_predict(model: str, train: DataFrame, others: list[DataFrame], keys: list[str], columns: list[str], label: str, params: dict | None = None, seed: int = 42):
     """Scores of each table in ``others``, and (column, importance), the largest first. Columns must have no gaps."""
-    if model in ("logistic", "factorization", "network"):
+    if model in ("factorization", "network"):
         train, *others = scaled(train, others, columns)
     spread = VectorAssembler(inputCols=columns, outputCol="_x")
     ready = spread.transform(train.select(*columns, F.col(label).cast("double").alias("_y"))).select("_x", "_y")
@@ -71,8 +69,6 @@ def fit_predict(model: str, train: DataFrame, others: list[DataFrame], keys: lis
     scores = [fitted.transform(spread.transform(df.select(*keys, *columns))).select(*keys, F.get(vector_to_array("probability"), 1).alias("score")) for df in others]
     if hasattr(fitted, "featureImportances"):
         weights = fitted.featureImportances.toArray()
-    elif hasattr(fitted, "coefficients"):
-        weights = abs(fitted.coefficients.toArray())
     else:
         weights = [0.0] * len(columns)
     return scores, sorted(zip(columns, map(float, weights), strict=True), key=lambda r: (-r[1], r[0]))
@@ -106,6 +102,9 @@ def out_of_fold(experiment: Experiment, train: DataFrame, test: DataFrame | None
     train = written(train.select(id_col, label, fold, *columns), "train")
     if experiment.model in BOOSTED or experiment.model == "extra_trees":
         return _own_trees(experiment, train, test, id_col, columns, label, fold)
+    if experiment.model == "logistic":  # no draws: seeds change nothing
+        oof, scores, weights = logistic_out_of_fold(train, test, id_col, columns, label, fold, float(experiment.params.get("C", 1.0)))
+        return oof, scores, sorted(weights, key=lambda r: (-r[1], r[0]))
     folds = sorted(r[fold] for r in train.select(fold).distinct().collect())  # a row per fold
     valid_parts, test_parts, weights = [], [], {}
     for seed in experiment.seeds:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkrank.functions.scalar import logit
+from sparkrank.operators import newton
 from sparkrank.operators.ranking import roc_auc
 from sparkrank.plans.lineage import written
 
@@ -70,58 +69,42 @@ def scaled(train: DataFrame, others: list[DataFrame], columns: list[str]) -> lis
     return [df.withColumns(by) for df in (train, *others)]
 
 
-def fit_logistic(df: DataFrame, columns: list[str], label: str, c: float = 1.0, iterations: int = 100, tolerance: float = 1e-7):
-    """The optimum of ||w||^2 / 2 + c * (sum of logistic losses); the intercept isn't penalised."""
-    ready = VectorAssembler(inputCols=columns, outputCol="_x").transform(df.select(*columns, F.col(label).cast("double").alias("_y"))).select("_x", "_y").persist()
-    try:
-        n = ready.count()
-        return LogisticRegression(featuresCol="_x", labelCol="_y", regParam=1.0 / (c * max(1, n)), elasticNetParam=0.0, standardization=False, maxIter=iterations, tol=tolerance).fit(ready)
-    finally:
-        ready.unpersist()
+def _folds(df: DataFrame, fold: str) -> list[int]:
+    return sorted(int(r[fold]) for r in df.select(fold).distinct().collect())  # a row per fold
 
 
-def predict(model, df: DataFrame, keys: list[str], columns: list[str], name: str = "score") -> DataFrame:
-    out = model.transform(VectorAssembler(inputCols=columns, outputCol="_x").transform(df.select(*keys, *columns)).withColumnRenamed("_x", model.getFeaturesCol()))
-    return out.select(*keys, F.get(vector_to_array(model.getProbabilityCol()), 1).alias(name))
-
-
-def cross_fitted(df: DataFrame, keys: list[str], columns: list[str], label: str, fold: str = "fold", c: float = 1.0, scale: bool = True, iterations: int = 100) -> DataFrame:
-    """Out-of-fold scores: one fit per fold on the rows of the others (scaled by them if asked for)."""
+def cross_fitted(df: DataFrame, keys: list[str], columns: list[str], label: str, fold: str = "fold", c: float = 1.0, scale: bool = True) -> DataFrame:
+    """Out-of-fold scores: one fit per fold on the rows of the others (scaled by them if asked for), all at once."""
     df = written(df.select(*dict.fromkeys([*keys, *columns, label, fold])), "stack")
-    folds = sorted(r[fold] for r in df.select(fold).distinct().collect())  # a row per fold
-    parts = []
-    for k in folds:
-        train, valid = df.where(F.col(fold) != k), df.where(F.col(fold) == k)
-        if scale:
-            train, valid = scaled(train, [valid], columns)
-        parts.append(predict(fit_logistic(train, columns, label, c, iterations), valid, keys, columns))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    fits = newton.fit_many(df, columns, label, [(k, c) for k in _folds(df, fold)], fold, scale)
+    return newton.scored(df, keys, columns, fits, fold)
 
 
 def final_logistic(train: DataFrame, test: DataFrame, keys: list[str], columns: list[str], label: str, c: float = 1.0, scale: bool = True):
     """Scores of ``test`` from a fit on all of ``train``, and (column, coefficient in the columns' own units)."""
-    deviation = {x: 1.0 for x in columns}
-    if scale:
-        row = train.agg(*[F.stddev_pop(x).alias(x) for x in columns]).first()
-        deviation = {x: row[x] or 1.0 for x in columns}
-        train, test = scaled(train, [test], columns)
-    model = fit_logistic(train, columns, label, c)
-    weights = sorted(((x, float(w) / deviation[x]) for x, w in zip(columns, model.coefficients, strict=True)), key=lambda r: (-abs(r[1]), r[0]))
-    return predict(model, test, keys, columns), weights
-
-
-def best_of_grid(df: DataFrame, keys: list[str], columns: list[str], label: str, grid: list[float], fold: str = "fold", scale: bool = True, iterations: int = 100) -> tuple[float, float, DataFrame]:
-    """(c, auc, out-of-fold scores) of the best c; the first one wins ties."""
-    best = None
-    for c in grid:
-        scores = cross_fitted(df, [*keys, label], columns, label, fold, c, scale, iterations)
-        auc = roc_auc(scores, label, "score").first()["auc"]
-        if best is None or auc is not None and (best[1] is None or auc > best[1]):
-            best = c, auc, scores
-    return best
+    fits = newton.fit_many(train, columns, label, [(None, c)], None, scale)
+    weights = sorted(((x, float(w)) for x, w in zip(columns, fits[0].plain()[:-1], strict=True)), key=lambda r: (-abs(r[1]), r[0]))
+    return newton.scored(test, keys, columns, fits), weights
+
+
+def best_of_grid(df: DataFrame, keys: list[str], columns: list[str], label: str, grid: list[float], fold: str = "fold", scale: bool = True) -> tuple[float, float, DataFrame]:
+    """(c, auc, out-of-fold scores) of the best c; the first one wins ties. All folds and all c are fitted together."""
+    df = written(df.select(*dict.fromkeys([*keys, *columns, label, fold])), "grid")
+    folds = _folds(df, fold)
+    fits = newton.fit_many(df, columns, label, [(k, c) for c in grid for k in folds], fold, scale)
+    own = list(dict.fromkeys([*keys, label]))
+    scores = written(newton.scored(df, own, columns, fits, fold, "_fit").withColumn("_c", F.expr(f"_fit div {max(1, len(folds))}")).drop("_fit"), "grid")
+    found = {r["_c"]: r["auc"] for r in roc_auc(scores, label, "score", ["_c"]).collect()}  # a row per c
+    best = max(range(len(grid)), key=lambda k: (-1.0 if found.get(k) is None else found[k], -k))
+    return grid[best], found.get(best), scores.where(F.col("_c") == best).drop("_c")
+
+
+def logistic_out_of_fold(train: DataFrame, test: DataFrame | None, id_col: str, columns: list[str], label: str, fold: str = "fold", c: float = 1.0) -> tuple[DataFrame, DataFrame | None, list[tuple[str, float]]]:
+    """Out-of-fold scores of ``train``, mean scores of ``test`` over the folds' fits, and mean absolute weights of scaled columns."""
+    fits = newton.fit_many(train, columns, label, [(k, c) for k in _folds(train, fold)], fold, True)
+    weights = [(x, float(np.mean([abs(f.weights[k]) for f in fits]))) for k, x in enumerate(columns)]
+    scores = newton.scored(test, [id_col], columns, fits, tag="_fit").groupBy(id_col).agg(F.avg("score").alias("score")) if test is not None else None
+    return newton.scored(train, [id_col], columns, fits, fold), scores, weights
 
 
 def choose(global_auc: float, regime_auc: float, margin: float = 2e-5) -> str:

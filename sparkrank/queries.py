@@ -559,7 +559,35 @@ def meta_design_quantiles(spark, sf):
     return rounded(d.select("id", "logit_q25", "logit_q50", "logit_q75", "missing_count"), "logit_q25", "logit_q50", "logit_q75")
 
 
-@query()
+def _newton_sql(source: str, columns: list[str], groups: str, within: str, c: float = 1.0, steps: int = 9) -> str:
+    """Newton's steps for ridge logistic regression, one after another, each solved by eliminating its columns in turn. ``groups``: a select of
+    the fits (k); ``within``: which rows of ``source`` a fit k has. The last table, ``wl``, has a row of weights w1.. a fit, the intercept last."""
+    d = len(columns) + 1
+    x = [*(f"r.{n}" for n in columns), "1.0::double"]
+    ids = range(1, d + 1)
+    out = ["w0 as (select k, " + ", ".join(f"0.0::double as w{i}" for i in ids) + f" from ({groups}))"]
+    for t in range(steps):
+        z = " + ".join(f"w.w{i} * {x[i - 1]}" for i in ids)
+        own = f"select w.*, r.y, {', '.join(f'{v} as v{i}' for i, v in zip(ids, x, strict=True))}, 1 / (1 + exp(-({z}))) as p from w{t} w join {source} r on {within}"
+        ridge = lambda i, j: 1 if i == j < d else 0
+        h = [f"{c} * sum(p * (1 - p) * v{i} * v{j}) + {ridge(i, j)} as a{i}_{j}" for i in ids for j in ids]
+        g = [f"{c} * sum((p - y) * v{i}) + {0 if i == d else f'any_value(w{i})'} as b{i}" for i in ids]
+        out.append(f"e{t}_0 as (select k, {', '.join([*(f'any_value(w{i}) as w{i}' for i in ids), *h, *g])} from ({own}) group by k)")
+        for q in ids:
+            less = lambda i, v: f"a{i}_{q} / a{q}_{q} * {v}"  # noqa: B023, E731
+            rows = [f"a{i}_{j} - {less(i, f'a{q}_{j}')} as a{i}_{j}" if i != q else f"a{i}_{j}" for i in ids for j in ids]
+            rows += [f"b{i} - {less(i, f'b{q}')} as b{i}" if i != q else f"b{i}" for i in ids]
+            out.append(f"e{t}_{q} as materialized (select k, {', '.join([*(f'w{i}' for i in ids), *rows])} from e{t}_{q - 1})")
+        name = "wl" if t == steps - 1 else f"w{t + 1}"
+        out.append(f"{name} as materialized (select k, {', '.join(f'w{i} - b{i} / a{i}_{i} as w{i}' for i in ids)} from e{t}_{d})")
+    return ", ".join(out)
+
+
+_ZS = ", ".join(f"ln({m}) - ln(1 - {m}) as {m}" for m in MODELS)
+_P = "1 / (1 + exp(-(" + " + ".join(f"w{i} * r.{m}" for i, m in enumerate(MODELS, 1)) + " + w5)))"
+
+
+@query(f"with zt as materialized (select id, y, fold, {_ZS} from train), {_newton_sql('zt', MODELS, 'select distinct fold as k from train', 'r.fold <> w.k')} select r.id, r.y, round({_P}, 6) as score from zt r join wl on wl.k = r.fold")
 def logistic_stack(spark, sf):
     d = stack.as_logits(train(spark, sf).select("id", "y", "fold", *MODELS), MODELS)
     return rounded(stack.cross_fitted(d, ["id", "y"], MODELS, "y", scale=False), "score")
@@ -567,12 +595,16 @@ def logistic_stack(spark, sf):
 
 @query()
 def regime_stack(spark, sf):
-    d = stack.regime_design(_logits(spark, sf, train), ["id", "y", "fold"], MODELS, "missing").persist()
+    d = stack.regime_design(_logits(spark, sf, train), ["id", "y", "fold"], MODELS, "missing")
     _, _, scores = stack.best_of_grid(d, ["id"], [c for c in d.columns if c not in ("id", "y", "fold")], "y", [0.1, 1.0])
     return rounded(scores, "score")
 
 
-@query()
+_ENDS = ", ".join(f"avg({m}) as a_{m}, stddev_pop({m}) as d_{m}" for m in MODELS)
+
+
+@query(f"""with zo as (select id, y, split, {_ZS} from obs), zm as (select {_ENDS} from zo where split = 'train'), zt as materialized (select id, y, split, {', '.join(f'({m} - a_{m}) / d_{m} as {m}' for m in MODELS)} from zo, zm),
+{_newton_sql('zt', MODELS, 'select 0 as k', "r.split = 'train'")} select r.id, round({_P}, 6) as score from zt r, wl where r.split = 'test'""")
 def final_stack(spark, sf):
     d = stack.as_logits(obs(spark, sf).select("id", "y", "split", *MODELS), MODELS)
     scores, _ = stack.final_logistic(d.where("split = 'train'"), d.where("split = 'test'"), ["id"], MODELS, "y")
@@ -772,12 +804,12 @@ def bank_bands(spark, sf):
 
     at = lineage.fresh_folder(spark, "bands")
     d = lineage.written(obs(spark, sf), "obs")
-    for name, inside, local in (("high", "x1 > 300000", "m4"), ("low", "x1 < 250000", "m2")):
+    for name, inside, local in (("high", "x1 > 300000", "m4"), ("low", "x1 < 250000", "m2")):  # as other tools would leave them
         d.where(inside).select("id", "split", F.col(local).alias("prediction")).write.parquet(f"{at}/{name}")
-    parts = {s: blend.rank_blend(d.where(F.col("split") == s).select("id", "m1", "m3"), ["id"], {"m1": 0.25, "m3": 0.75}) for s in ("train", "test")}
-    found = banks.load_bands(parts["train"], parts["test"], [f"{at}/high", f"{at}/low"], "id")
-    out = [blend.reorder_bands(df, "blend", [("band0", 0.5), ("band1", 1.0)], "id").select("id", F.lit(s).alias("split"), F.col("blend").alias("score")) for s, df in found.items()]
-    return rounded(out[0].unionByName(out[1]), "score", digits=9)
+    mixed = lineage.written(blend.rank_blend(d.select("id", "split", "m1", "m3"), ["id", "split"], {"m1": 0.25, "m3": 0.75}, ["split"]), "mixed")
+    found = banks.load_bands(*(mixed.where(F.col("split") == s) for s in ("train", "test")), [f"{at}/high", f"{at}/low"], "id")
+    out = blend.reorder_bands(found["train"].unionByName(found["test"]), "blend", [("band0", 0.5), ("band1", 1.0)], "id", ["split"])
+    return rounded(out.select("id", "split", F.col("blend").alias("score")), "score", digits=9)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

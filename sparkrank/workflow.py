@@ -178,9 +178,10 @@ class Run:
             return train, test, []
         own = banks.load_bands(train, test, [b["path"] for b in bands], self.id)
         places = [(f"band{k}", float(b["weight"])) for k, b in enumerate(bands)]
-        out, found = blends.band_report(own["train"], self.target, "blend", places, "row_pos")
+        both = own["train"].withColumn("split", F.lit("train")).unionByName(own["test"].withColumn("split", F.lit("test")), allowMissingColumns=True)
+        out, found = blends.band_report(both, self.target, "blend", places, "row_pos", ["split"])
         report = [{"path": b["path"], **{k: v for k, v in r.items() if k != "band"}} for b, r in zip(bands, found, strict=True)]
-        return out, blends.reorder_bands(own["test"], "blend", places, "row_pos"), report
+        return out.where("split = 'train'"), out.where("split = 'test'"), report
 
 
 def parser() -> argparse.ArgumentParser:

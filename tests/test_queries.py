@@ -5,7 +5,8 @@ import pytest
 
 from sparkrank import queries
 
-SLOW = {"stable_rank_weights", "regime_stack", "greedy_rank_weights", "adversarial_auc"}
+#: Fits of many rounds, whose parts tests/test_trees.py and tests/test_whole.py hold against twins.
+SLOW = {"gbt_oof", "categorical_gbt_oof", "adversarial_auc"}
 
 
 @pytest.fixture(scope="module")

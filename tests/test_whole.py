@@ -57,13 +57,8 @@ def test_adversarial_auc_judges_every_row(spark, tmp_path, monkeypatch):
 
 def test_rank_weights_are_searched_with_the_operators_defaults(spark, sf, monkeypatch):
     searched, sampled = [], []
-    sample = blend.stratified_subsample
-
-    def rounds(ranked, label, names, rounds, steps, gain):
-        searched.append((rounds, steps, gain))
-        return {r: ({"m1": 1.0}, []) for r in rounds}
-
-    monkeypatch.setattr(blend, "greedy_rounds", rounds)
+    sample, search = blend.stratified_subsample, blend.greedy_rounds
+    monkeypatch.setattr(blend, "greedy_rounds", lambda ranked, label, names, rounds, steps, gain: searched.append((rounds, steps, gain)) or search(ranked, label, names, rounds, 1, gain))
     monkeypatch.setattr(blend, "stratified_subsample", lambda df, id_col, label, share, cap, rounds, seed: sampled.append((share, cap, rounds)) or sample(df, id_col, label, share, cap, rounds, seed))
     assert queries.greedy_rank_weights(spark, sf).count() == queries.stable_rank_weights(spark, sf).count() == 4
-    assert searched == [([0], 40, 1e-6), (list(range(25)), 40, 1e-6)] and sampled == [(0.8, 120_000, 25)]
+    assert searched == [([0], 40, 1e-6)] and sampled == [(0.8, 120_000, 25)]
