@@ -2,8 +2,9 @@
 
 Words are lower-cased runs without white space. A spaced seed is a mask over consecutive words that ignores
 some places, so a hash of the others still matches if an ignored word was substituted. Every window of a
-document and of a benchmark item is hashed under each mask (an item shorter than the longest mask as a whole
-besides); windows with equal hashes put the item beside the document on one diagonal.
+document and of a benchmark item is hashed under each mask; windows with equal hashes put the item beside the
+document on one diagonal. Items of up to ``SHORT`` words have masks of their own length besides, so many that every
+pattern of substitutions that the rule allows leaves the places of one untouched (under five words: the whole item).
 
 Around such hits the item's words are compared with the document's. On a diagonal, words that are the same at
 their places form overlaps: at most two other words in a row may stand between them, and an overlap has at
@@ -18,9 +19,8 @@ documents with hits are read again. The benchmark's seeds are broadcast up to ``
 bytes, its words and the keys of documents with hits up to as many rows and ``BROADCAST_BYTES``; beyond, the
 joins shuffle. All ways give the same rows.
 
-Seeds find any item of 13 words or more within its fifth of substitutions but for rare patterns; of ten to twelve
-words a few in a hundred are missed, and items of under seven words are found verbatim or where five of their
-words follow each other.
+So no substitution that is allowed hides an item of up to ``SHORT`` words; of longer ones only rare patterns could
+(none of those tried: all up to 15 words, 20,000 a length up to 60).
 
 Null and empty texts, null items and empty tables give no rows. Texts and items of any length are compared
 whole. Repeated rows and ties (several diagonals) give one row per (doc_id, item_id) with the best match. Rows
@@ -29,6 +29,10 @@ without doc_id give rows without one; items without item_id likewise. Other colu
 
 from __future__ import annotations
 
+import itertools
+import math
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +40,8 @@ from sparkrank.llm.common import documents, hinted, texts, written
 
 #: Places of each mask that count.
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 4, 6), (0, 1, 2, 3, 4))
-SPAN = max(m[-1] for m in MASKS) + 1
+#: Words of an item that has masks of its own at most.
+SHORT = 12
 SIMILARITY = 0.8
 #: Equal words that an overlap has at least, and that make one a passage of its own.
 OVERLAP, PASSAGE = 5, 50
@@ -48,12 +53,30 @@ TOGETHER = 4096
 BROADCAST_LIMIT, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
+def met(mask: tuple[int, ...], n: int, gone: tuple[int, ...], whole: bool) -> bool:
+    """Whether a mask finds an item of ``n`` words with other words at the places ``gone``: at its start, or (not ``whole``) anywhere."""
+    return any(not any(at + m in gone for m in mask) for at in range(1 if whole else n - mask[-1]))
+
+
+@lru_cache
+def own_masks(n: int) -> tuple[tuple[int, ...], ...]:
+    """Masks for items of just ``n`` words beside ``MASKS``: each one the five places (or fewer) that find the most of the patterns not found yet."""
+    allowed = n - math.ceil(SIMILARITY * n - 1e-9)
+    left = [g for g in itertools.combinations(range(n), allowed) if not any(met(m, n, g, False) for m in MASKS if m[-1] < n)]
+    out = []
+    while left:
+        free = [p for p in range(n) if p not in left[0]]
+        out.append(max(itertools.combinations(free, min(5, len(free))), key=lambda mask: sum(met(mask, n, g, True) for g in left)))
+        left = [g for g in left if not met(out[-1], n, g, True)]
+    return tuple(out)
+
+
 def words(text: Column) -> Column:
     return F.split(F.trim(F.lower(text), F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+")
 
 
-def _seeds(df: DataFrame, at: str, masks: list[tuple[int, ...]], whole: bool, *keep: str) -> DataFrame:
-    """A row per place and mask. ``whole``: masks longer than those of ``MASKS`` are for texts of just their length.
+def _seeds(df: DataFrame, at: str, masks: list[tuple[tuple[int, ...], int | None]], whole: bool, *keep: str) -> DataFrame:
+    """A row per place and mask. ``whole``: masks with a length are hashed at their own place in texts of that length only.
     Places are unfolded before they are hashed, so that hashing and the join that follows are compiled with the
     scan; the arrays are never copied per row."""
     hashed = df.select(*keep, F.transform("words", lambda w: F.xxhash64(w)).alias("_hashes"))
@@ -61,9 +84,11 @@ def _seeds(df: DataFrame, at: str, masks: list[tuple[int, ...]], whole: bool, *k
     places = hashed.select(*keep, "_hashes", F.posexplode_outer("_hashes").alias(at, "_h"))
     n = F.size("_hashes")
     seeds = []
-    for m, mask in enumerate(masks):
-        fits = n == len(mask) if whole and m >= len(MASKS) else F.col(at) + mask[-1] < n
-        seeds.append(F.when((n > 0) & fits, F.xxhash64(F.lit(m), *[F.get("_hashes", F.col(at) + place) for place in mask])))
+    for name, length in masks:
+        # Only the mask's own places have to be there: an item may begin before a document's first word.
+        mask = tuple(place - name[0] for place in name)
+        fits = (n == length) & (F.col(at) == name[0]) if whole and length else F.col(at) + mask[-1] < n
+        seeds.append(F.when((n > 0) & fits, F.xxhash64(F.lit(repr((name, length))), *[F.get("_hashes", F.col(at) + place) for place in mask])))
     return places.select(*keep, at, F.explode(F.array(*seeds)).alias("seed")).where("seed is not null")
 
 
@@ -77,9 +102,8 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, item_col: str = "item
 
 def _found(own: DataFrame, benchmark: DataFrame, limit: int) -> DataFrame:
     items = benchmark.select("item_id", words(F.col("_text")).alias("words")).where("size(words) > 1 or words[0] <> ''").distinct().withColumn("_item", F.xxhash64("item_id", "words"))
-    # Lengths under the longest mask: six at most.
-    short = sorted(r[0] for r in items.where(F.size("words") < SPAN).select(F.size("words")).distinct().collect())
-    masks = [*MASKS, *(tuple(range(n)) for n in short)]
+    short = sorted(r[0] for r in items.where(F.size("words") <= SHORT).select(F.size("words")).distinct().collect())  # twelve lengths at most
+    masks = [*((m, None) for m in MASKS), *((m, n) for n in short for m in own_masks(n))]
     seeds = _seeds(items, "_item_at", masks, True, "_item").select("seed", "_item", "_item_at").distinct()
     keyed = own.select("doc_id", "text", F.xxhash64("text").alias("_hash"))
     placed = _seeds(keyed.select("doc_id", "_hash", words(F.col("text")).alias("words")), "_at", masks, False, "doc_id", "_hash")
@@ -120,6 +144,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+#: All words of all items on all diagonals, without any seed.
 OP3_SQL = r"""
 with i0 as (select distinct item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') as iw from benchmark),
 i as (select row_number() over () as r, item_id, iw, len(iw) as n from i0 where len(iw) > 0),
@@ -127,17 +152,7 @@ d0 as (select distinct doc_id, list_filter(regexp_split_to_array(lower(coalesce(
 d as (select row_number() over () as t, doc_id, dw from d0 where len(dw) > 0),
 ia as (select r, n, unnest(range(1, n + 1)) as p, iw as w from i),
 da as (select t, len(dw) as n, unnest(range(1, len(dw) + 1)) as p, dw as w from d),
-short as (select distinct n as k from i where n < 7),
-ik as (select r, p, 'a' || w[p] || ' ' || w[p+1] || ' ' || w[p+2] || ' ' || w[p+4] || ' ' || w[p+5] as k from ia where p + 5 <= n
-  union all select r, p, 'b' || w[p] || ' ' || w[p+1] || ' ' || w[p+3] || ' ' || w[p+4] || ' ' || w[p+6] from ia where p + 6 <= n
-  union all select r, p, 'c' || array_to_string(w[p:p+4], ' ') from ia where p + 4 <= n
-  union all select r, 1, 's' || array_to_string(iw, ' ') from i where n < 7),
-dk as (select t, p, 'a' || w[p] || ' ' || w[p+1] || ' ' || w[p+2] || ' ' || w[p+4] || ' ' || w[p+5] as k from da where p + 5 <= n
-  union all select t, p, 'b' || w[p] || ' ' || w[p+1] || ' ' || w[p+3] || ' ' || w[p+4] || ' ' || w[p+6] from da where p + 6 <= n
-  union all select t, p, 'c' || array_to_string(w[p:p+4], ' ') from da where p + 4 <= n
-  union all select t, p, 's' || array_to_string(w[p:p+k-1], ' ') from da, short where p + k - 1 <= n),
-c as (select distinct dk.t, ik.r, dk.p - ik.p as f from dk join ik on dk.k = ik.k),
-m as (select c.t, c.r, c.f, unnest(list_filter(range(1, i.n + 1), lambda j: j + c.f >= 1 and i.iw[j] = d.dw[j + c.f])) as j from c join i on c.r = i.r join d on c.t = d.t),
+m as (select t, r, da.p - ia.p as f, ia.p as j from da join ia on da.w[da.p] = ia.w[ia.p]),
 wh as (select t, r, f, count(*) as s from m group by t, r, f),
 wb as (select t, r, s, f from (select *, row_number() over (partition by t, r order by s desc, f) as k from wh) where k = 1),
 g as (select *, sum(fresh) over (partition by t, r, f order by j) as o from (select *, case when j - lag(j) over (partition by t, r, f order by j) <= 3 then 0 else 1 end as fresh from m)),
