@@ -196,34 +196,36 @@ def least(n: int) -> int:
 
 def forest(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links that connect a group as all its links would. A member is compared with those that share one of its
-    least shingles, and with no more of a cluster once it has met it."""
-    parent = list(range(len(ids)))
-
-    def find(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = k = parent[parent[k]]
-        return k
-
-    holders: dict[int, dict[int, list[int]]] = {}  # by shingle, then by cluster as it was
+    least shingles, and with no more of a cluster once it has met it. Under each shingle a cluster has one list of members,
+    however many it has; when clusters meet, the lists of the one with fewer shingles go to the other."""
+    holders: dict[int, dict[int, list[int]]] = {}  # by shingle, then by cluster
+    shingles_of: dict[int, set[int]] = {}
     links = []
     for k, own in enumerate(sets):
         tokens = own[: least(len(own))].tolist()
         met, tried = set(), set()
         for token in tokens:
-            for old, members in holders.get(token, {}).items():
-                if (root := find(old)) in met:
+            for cluster, members in holders.get(token, {}).items():
+                if cluster in met:
                     continue
                 for m in members:
                     if m not in tried:
                         tried.add(m)
                         if similar(sets[m], own):
                             links.append((ids[m], ids[k]))
-                            met.add(root)
+                            met.add(cluster)
                             break
-        for root in met:
-            parent[root] = k
+        whole, shingles_of[k] = k, set(tokens)
         for token in tokens:
-            holders.setdefault(token, {}).setdefault(k, []).append(k)
+            holders.setdefault(token, {})[k] = [k]
+        for cluster in met:
+            small, whole = sorted((whole, cluster), key=lambda c: len(shingles_of[c]))
+            for token in shingles_of[small]:
+                at = holders[token]
+                fewer, more = sorted((at.pop(small), at.get(whole, [])), key=len)
+                at[whole] = more
+                more += fewer
+            shingles_of[whole] |= shingles_of.pop(small)
     return links
 
 

@@ -1,6 +1,8 @@
 """Each operator against brute force on small tables, and its defined results on awkward ones."""
 
 import hashlib
+import itertools
+import math
 import random
 import zlib
 
@@ -354,7 +356,7 @@ def test_decontamination_verifies_around_hits(spark):
     frames = [spark.createDataFrame([(k, " ".join(w)) for k, w in rows], f"{name} long, text string") for rows, name in ((docs, "doc_id"), (items, "item_id"))]
     for limit in (decon.BROADCAST_LIMIT, 3):
         got = {(r["doc_id"], r["item_id"]): r for r in decon.decontamination(*frames, broadcast_limit=limit).collect()}
-        assert set(got) == {(1, 1), (3, 2), (4, 2), (5, 3), (6, 4), (7, 4), (8, 6), (9, 5), (11, None)}
+        assert set(got) == {(1, 1), (3, 2), (4, 2), (5, 3), (6, 4), (7, 4), (8, 6), (9, 5), (11, None)}  # six words with one other, wherever, are found
         assert got[1, 1]["n_longest"] == 60 and got[3, 2]["n_matched"] == 40 and got[9, 5]["n_matched"] == 30_000
 
 
@@ -374,6 +376,23 @@ def test_decontamination_recall_under_substitutions(spark):
     assert len(want) >= 250 and got <= want and len(got) >= 0.99 * len(want)
 
 
+def test_decontamination_finds_every_allowed_substitution_in_short_items(spark):
+    items = [(n, [f"i{n}w{k}" for k in range(n)]) for n in range(1, 14)]
+    docs, want = [], set()
+    for n, own in items:
+        allowed = n - math.ceil(0.8 * n - 1e-9)
+        for gone in itertools.chain(*(itertools.combinations(range(n), k) for k in range(allowed + 2))):
+            text = [f"other{k}" if k in gone else w for k, w in enumerate(own)]
+            first = next((k for k in range(n) if k not in gone), n)
+            # In the midst of a text; at its start without what was substituted there; at its end likewise.
+            for body in (["a", "b", *text, "c"], text[first:], [*["x"] * 3, *text]):
+                docs.append((len(docs), " ".join(body)))
+                if len(gone) <= allowed:
+                    want.add((docs[-1][0], n))
+    docs, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(n, " ".join(w)) for n, w in items], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decon.decontamination(docs, bench).collect()} == want
+
+
 def test_decontamination(spark):
     rng = random.Random(3)
     items = [(k, prose(rng, 30)) for k in range(12)] + [(50, "too short here"), (51, None), (12, prose(rng, 25))]
@@ -395,6 +414,43 @@ def test_decontamination(spark):
     assert decon.decontamination(docs, bench.where("false")).count() == 0 == decon.decontamination(docs.where("false"), bench).count()
 
 
+def test_clusters_of_near_copies_take_linear_time():
+    import time
+
+    rng = np.random.default_rng(1)
+    base = np.sort(rng.integers(0, 1 << 63, 42, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([np.delete(base, rng.integers(42)), rng.integers(0, 1 << 63, 2, dtype=np.uint64)])) for _ in range(20_000)]
+    start = time.perf_counter()
+    links = paragraph_dedup.forest(list(range(20_000)), sets)
+    assert time.perf_counter() - start < 30 and len(links) >= 19_999
+    parent = list(range(20_000))
+
+    def find(k):
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    for a, b in links:
+        parent[find(a)] = find(b)
+    assert len({find(k) for k in range(20_000)}) == 1
+
+
+def test_forest_connects_what_all_pairs_do():
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        pool = np.sort(rng.integers(0, 1 << 63, 14, dtype=np.uint64))
+        sets = [np.sort(rng.choice(pool, rng.integers(4, 13), replace=False)) for _ in range(60)]
+
+        def labels(links):
+            group = list(range(60))
+            for a, b in links:
+                group = [group[a] if g == group[b] else g for g in group]
+            return [group.index(g) for g in group]
+
+        every = [(a, b) for a in range(60) for b in range(a) if paragraph_dedup.similar(sets[a], sets[b])]
+        assert labels(paragraph_dedup.forest(list(range(60)), sets)) == labels(every)
+
+
 def test_packing(corpus, awkward):
     from tokenizers import Tokenizer
 
