@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -13,9 +13,8 @@ from sparkrank.operators.audit import numeric_columns
 from sparkrank.operators.encode import levels
 from sparkrank.operators.ranking import medians
 
-#: Parent rows that one pass holds in memory; a larger parent takes more passes.
-BLOCK_ROWS = 50_000
-QUERY_ROWS = 256
+#: Parent rows and query rows that a task compares, and query rows at a time.
+BLOCK_ROWS, QUERY_BLOCK, QUERY_ROWS = 50_000, 8_192, 256
 
 
 def metric_space(parent: DataFrame, tables: list[DataFrame], columns: list[str], category_weight: float = 1.25) -> tuple[list[DataFrame], list[str]]:
@@ -35,49 +34,48 @@ def metric_space(parent: DataFrame, tables: list[DataFrame], columns: list[str],
     return [df.withColumns(out) for df in (parent, *tables)], list(out)
 
 
-def _blocks(parent: DataFrame, key: str, rows: int) -> list[DataFrame]:
-    n = parent.count()
-    count = max(1, -(-n // rows))
-    return [parent.where(F.pmod(F.xxhash64(key), F.lit(count)) == b) for b in range(count)] if count > 1 else [parent]
-
-
-def neighbours(query: DataFrame, parent: DataFrame, key: str, parent_key: str, columns: list[str], label: str, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _compared(columns: list[str], k: int, _key, queries, parents):
+    """A block of queries against a block of parents: each query's ``k`` nearest and its nearest of each class."""
+    parents = parents.sort_by("i")
+    ids, labels = parents.column("i").to_numpy(), parents.column("y").to_numpy()
+    wide = lambda t: np.column_stack([t.column(c).to_numpy() for c in columns])
+    matrix, x, names = wide(parents), wide(queries), queries.column("q").to_numpy()
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for lo in range(0, len(x) if len(ids) else 0, QUERY_ROWS):
+        part = x[lo : lo + QUERY_ROWS]
+        square = np.zeros((len(part), len(matrix)))
+        for d in range(x.shape[1]):
+            gap = part[:, d, None] - matrix[None, :, d]
+            square += gap * gap
+        for q, row in zip(names[lo : lo + QUERY_ROWS], square, strict=True):
+            pick = [_first(row, ids, min(k, len(ids)))]
+            for c in (0, 1):
+                own = np.flatnonzero(labels == c)
+                if len(own):
+                    pick.append(own[_first(row[own], ids[own], 1)])
+            at = np.unique(np.concatenate(pick))
+            out.append((np.full(len(at), q), at, np.sqrt(row[at])))
+    q, at, far = (np.concatenate(c) if out else np.empty(0, t) for c, t in zip(zip(*out, strict=True) if out else ((), (), ()), (np.int64, np.int64, np.float64), strict=True))
+    return pa.table([pa.array(q, pa.int64()), pa.array(ids[at], pa.int64()), pa.array(labels[at], pa.int32()), pa.array(far, pa.float64())], names=["q", "parent_id", "label", "distance"])
+
+
+def neighbours(query: DataFrame, parent: DataFrame, key: str, parent_key: str, columns: list[str], label: str, k: int, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_BLOCK) -> DataFrame:
     """(key, parent_id, label, distance, place): the ``k`` nearest parent rows of each query, ties by parent id, and
-    the nearest of each class (place 0 to k - 1, or k and later where only a class needs it). Exact: a block of
-    parent rows is held at a time and query rows stream past; blocks are merged by place."""
-    schema = pa.schema([(key, pa.int64()), ("parent_id", pa.int64()), ("label", pa.int32()), ("distance", pa.float64())])
-    parts = []
-    for block in _blocks(parent, parent_key, block_rows):
-        rows = block.select(F.col(parent_key).cast("long").alias("i"), F.col(label).cast("int").alias("y"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x")).orderBy("i").collect()  # at most about block_rows rows
-        if not rows:
-            continue
-        ids, labels, matrix = np.array([r["i"] for r in rows]), np.array([r["y"] for r in rows]), np.array([r["x"] for r in rows])
-
-        def nearest(batches, ids=ids, labels=labels, matrix=matrix):
-            for batch in batches:
-                for lo in range(0, batch.num_rows, QUERY_ROWS):
-                    part = batch.slice(lo, QUERY_ROWS)
-                    x = np.column_stack([part.column(c).to_numpy(zero_copy_only=False) for c in columns])
-                    square = np.zeros((len(x), len(matrix)))
-                    for d in range(x.shape[1]):
-                        gap = x[:, d, None] - matrix[None, :, d]
-                        square += gap * gap
-                    out = []
-                    for q, row in zip(part.column(key).to_pylist(), square, strict=True):
-                        order = np.lexsort((ids, row)) if len(row) <= 4 * k else _first(row, ids, k)
-                        pick = set(order[:k].tolist())
-                        for c in (0, 1):
-                            own = np.flatnonzero(labels == c)
-                            if len(own):
-                                pick.add(int(own[np.lexsort((ids[own], row[own]))[0]]) if len(own) <= 4 * k else int(own[_first(row[own], ids[own], 1)[0]]))
-                        out += [(q, int(ids[j]), int(labels[j]), float(np.sqrt(row[j]))) for j in pick]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-
-        parts.append(query.select(F.col(key).cast("long").alias(key), *[F.col(c).cast("double").alias(c) for c in columns]).mapInArrow(nearest, f"{key} long, parent_id long, label int, distance double"))
-    if not parts:
+    the nearest of each class (place 0 to k - 1, or k and later where only a class needs it). Exact: both tables are dealt
+    into blocks by hash, a task compares one block of each, and a query's few best of every block are merged by place."""
+    plain = [f"x{d}" for d in range(len(columns))]
+    numbers = [F.col(c).cast("double").alias(x) for c, x in zip(columns, plain, strict=True)]
+    n = parent.count()
+    if not n:
         raise ValueError("the parent table is empty")
-    merged = reduce(DataFrame.unionByName, parts)
-    return merged.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("distance", "parent_id")) - 1)
+    blocks, query_blocks = max(1, -(-n // block_rows)), max(1, -(-query.count() // query_rows))
+    every = lambda count, name: F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(name)
+    block = lambda c, count: F.pmod(F.xxhash64(c), F.lit(count)).cast("int")
+    ours = query.select(F.col(key).cast("long").alias("q"), *numbers, block(key, query_blocks).alias("qb"), every(blocks, "pb"))
+    theirs = parent.select(F.col(parent_key).cast("long").alias("i"), F.col(label).cast("int").alias("y"), *numbers, block(parent_key, blocks).alias("b"), every(query_blocks, "a"))
+    found = ours.groupBy("qb", "pb").cogroup(theirs.groupBy("a", "b")).applyInArrow(partial(_compared, plain, k), "q long, parent_id long, label int, distance double")
+    place = F.row_number().over(Window.partitionBy("q").orderBy("distance", "parent_id")) - 1  # k + 2 rows a block at most
+    return found.select(F.col("q").alias(key), "parent_id", "label", "distance", place.alias("place"))
 
 
 def _first(distances: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:

@@ -118,8 +118,10 @@ def test_refusals(spark, sf):
 
 def test_neighbours_in_blocks(spark):
     parent = spark.createDataFrame([(i, float(i * 37 % 101), i % 2) for i in range(60)], "id long, x double, y int")
-    near = lambda n: sorted(map(tuple, knn.neighbours(parent.where("id < 9"), parent, "id", "id", ["x"], "y", 4, n).where("place < 4").collect()))
-    assert near(1000) == near(7)
+    near = lambda n, m=100: sorted(map(tuple, knn.neighbours(parent.where("id < 9"), parent, "id", "id", ["x"], "y", 4, n, m).where("place < 4").collect()))
+    assert near(1000) == near(7) == near(7, 2) == near(1, 1) and len(near(7, 2)) == 36
+    with pytest.raises(ValueError, match="empty"):
+        knn.neighbours(parent, parent.where("id < 0"), "id", "id", ["x"], "y", 1)
 
 
 def test_blend_weights(spark):
