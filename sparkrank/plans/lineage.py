@@ -40,12 +40,12 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes ``df`` to the shared folder and returns a scan of what was written. The table goes when
-    the driver ends, or earlier by :func:`deleted`."""
+def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """Cuts lineage: writes ``df`` to the shared folder and returns a scan of what was written, in directories of the columns
+    ``by``. The table goes when the driver ends, or earlier by :func:`deleted`."""
     spark = df.sparkSession
     path = fresh_folder(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     scan = spark.read.schema(df.schema).parquet(path)
     scan._sparkrank_path = path
     spark._sparkrank_tables = [*getattr(spark, "_sparkrank_tables", ()), path]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sparkrank.fixtures import HABIT_NUMBERS, HABITS, MODELS, OBS_SQL, habits, obs, table, train
 from sparkrank.functions import scalar as S
-from sparkrank.operators import align, audit, blend, encode, folds, knn, models, ordered, ranking, stack
+from sparkrank.operators import align, audit, blend, encode, folds, knn, models, ordered, rank_fm, ranking, stack
 from sparkrank.plans import geometry, lineage, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -651,6 +651,13 @@ def extra_trees_oof(spark, sf):
     return rounded(scores, "score")
 
 
+@query()
+def rank_fm_oof(spark, sf):
+    """Log-odds of the factorization machine over numbers with gaps and texts."""
+    scores, _, _ = rank_fm.rank_fm_out_of_fold(_gaps(spark, sf), None, "id", ["x1", "x2", "x3", "m1"], ["c1", "c2"], "y")
+    return rounded(scores, "score")
+
+
 @query()
 def adversarial_auc(spark, sf):
     d = encode.encoded(obs(spark, sf).select("id", "split", "x1", "m1"), ["id", "split"], ["x1"])
