@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkrank.functions.scalar import finite, round_even
 from sparkrank.operators.audit import numeric_columns
-from sparkrank.operators.ranking import average_ranks, medians
+from sparkrank.operators.ranking import average_ranks, medians, sums_before
+from sparkrank.plans.lineage import written
 
 MAX_LEVELS = 1000
 
@@ -113,3 +118,79 @@ def rank_gauss(df: DataFrame, column: str, name: str, least: int = 10) -> DataFr
     ranked = average_ranks(df, column, percentile=False, name="_rank")
     p = F.least(F.greatest((F.col("_rank") - 0.5) / n, F.lit(1e-7)), F.lit(1 - 1e-7))
     return ranked.withColumn(name, F.when(F.col("_rank").isNull(), 0.0).otherwise(normal_quantile(p))).drop("_rank")
+
+
+#: Marks of the quantile transform at most; how far from 0 and 1 its uniform values are kept before the normal quantile.
+MARKS, EDGE = 1000, 1e-7
+
+
+def quantile_tables(df: DataFrame, columns: list[str], most: int = MARKS) -> dict[str, np.ndarray]:
+    """For each column min(``most``, values) quantiles at even steps from 0 to 1, interpolated between exact order statistics. Values are
+    counted once for all columns; a value knows which quantiles fall on the ranks that it holds, so nothing is sorted again.
+    What comes to the driver is ``most`` numbers a column."""
+    long = df.select(*[finite(F.col(c).cast("double")).alias(c) for c in columns]).unpivot([], columns, "_column", "_value")
+    counts = written(long.where("_value is not null").groupBy("_column", "_value").agg(F.count("*").alias("_n")), "counts")
+    sizes = {r["_column"]: int(r["n"]) for r in counts.groupBy("_column").agg(F.sum("_n").alias("n")).collect()}  # a row per column
+    marks = {c: min(most, n) for c, n in sizes.items()}
+    own = [c for c in columns if marks.get(c, 0) > 1]
+    found = {c: np.zeros((2, marks[c])) for c in own}
+    if own:
+        placed = sums_before(counts.where(F.col("_column").isin(own)), ["_column"], "_value", ["_n"])
+        of = lambda of_column: F.coalesce(*[F.when(F.col("_column") == c, F.lit(of_column(c)).cast("long")) for c in own])
+        # Quantile i stands at rank h = i * (n - 1) / (m - 1), from 0: the value that holds floor(h) and that which holds ceil(h).
+        placed = placed.withColumns({"_i": of(lambda c: marks[c] - 1), "_all": of(lambda c: sizes[c] - 1), "_b": F.col("before__n"), "_e": F.col("before__n") + F.col("_n")})
+        up = lambda x: F.expr(f"({x} * _i + _all - 1) div _all")
+        low = _from_to(up("_b"), up("_e") - 1)
+        high = _from_to(F.when(F.col("_b") == 0, F.lit(0)).otherwise(F.expr("((_b - 1) * _i) div _all") + 1), F.expr("((_e - 1) * _i) div _all"))
+        parts = [placed.select("_column", "_value", F.lit(k).alias("_side"), F.explode(s).alias("_q")) for k, s in enumerate((low, high))]
+        for r in parts[0].unionByName(parts[1]).collect():  # two rows a quantile and column
+            found[r["_column"]][r["_side"], r["_q"]] = r["_value"]
+    out = {}
+    for c in columns:
+        if c not in own:
+            out[c] = np.zeros(0)
+            continue
+        h = np.arange(marks[c]) * (sizes[c] - 1) / (marks[c] - 1)
+        low, high = found[c]
+        out[c] = np.maximum.accumulate(low + (high - low) * (h - np.floor(h)))
+    return out
+
+
+def _from_to(a: Column, b: Column) -> Column:
+    """a, a + 1, .. b; nothing if b is less."""
+    return F.when(a <= b, F.sequence(a, F.greatest(a, b))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _placed_between(names, tables, batches):
+    for b in batches:
+        out = []
+        for c, k in zip(names, b.schema.names, strict=False):
+            x, q = b.column(k).to_numpy(zero_copy_only=False).astype(np.float64), tables[c]
+            part = np.linspace(0, 1, len(q))
+            there = np.isfinite(x)
+            y = np.full(len(x), np.nan)
+            if len(q):
+                v = x[there]
+                p = 0.5 * (np.interp(v, q, part) - np.interp(-v, -q[::-1], -part[::-1]))  # the middle of a value's marks
+                p[v + EDGE > q[-1]] = 1.0
+                p[v - EDGE < q[0]] = 0.0
+                y[there] = p
+            out.append(pa.array(y, from_pandas=True))
+        yield pa.RecordBatch.from_arrays([*out, *(b.column(k) for k in b.schema.names[len(names) :])], names=b.schema.names)
+
+
+def quantile_gauss(df: DataFrame, columns: list[str], suffix: str = "__gauss", least: int = 10, most: int = MARKS, fit: DataFrame | None = None) -> DataFrame:
+    """Adds normal quantiles of each column by interpolation in its table of quantiles (of ``fit``, or of ``df`` itself); 0 where the value is
+    missing, or everywhere if at most ``least`` values are there."""
+    tables = quantile_tables(df if fit is None else fit, columns, most)
+    n = {r["_c"]: r["n"] for r in (df if fit is None else fit).select(*[finite(F.col(c).cast("double")).alias(c) for c in columns]).unpivot([], columns, "_c", "_v").groupBy("_c").agg(F.count("_v").alias("n")).collect()}  # a row per column
+    own = [c for c in columns if n.get(c, 0) > least and len(tables[c]) > 1]
+    if not own:
+        return df.withColumns({f"{c}{suffix}": F.lit(0.0) for c in columns})
+    kinds = dict(df.dtypes)
+    ready = df.select(*[F.col(c).cast("double").alias(f"_u{k}") for k, c in enumerate(own)], *df.columns)
+    schema = ", ".join([*(f"_u{k} double" for k in range(len(own))), *(f"`{c}` {kinds[c]}" for c in df.columns)])
+    placed = ready.mapInArrow(partial(_placed_between, own, {c: tables[c] for c in own}), schema)
+    p = lambda k: F.least(F.greatest(F.col(f"_u{k}"), F.lit(EDGE)), F.lit(1 - EDGE))
+    made = {f"{c}{suffix}": F.when(F.col(f"_u{own.index(c)}").isNotNull(), normal_quantile(p(own.index(c)))).otherwise(0.0) if c in own else F.lit(0.0) for c in columns}
+    return placed.withColumns(made).drop(*[f"_u{k}" for k in range(len(own))])

@@ -271,6 +271,24 @@ def rank_gauss(spark, sf):
     return rounded(encode.rank_gauss(obs(spark, sf).select("id", "x1"), "x1", "z").select("id", "z"), "z")
 
 
+def _interpolated_sql(column: str) -> str:
+    """id and the part of a column's values below each value, between a thousand quantiles of it."""
+    t = f"_{column}"
+    return f"""n{t} as (select least(1000, count({column})) as m, count({column}) as n from obs), r{t} as (select {column} as v, row_number() over (order by {column}) - 1 as k from obs where {column} is not null),
+h{t} as (select i, (i * (n - 1)) // (m - 1) as k, (i * (n - 1)) % (m - 1) as f, m - 1 as w from range(1000) r(i), n{t} where i < m),
+e{t} as (select i, a.v + (b.v - a.v) * (f / w) as q from h{t} h join r{t} a on a.k = h.k join r{t} b on b.k = h.k + case when f > 0 then 1 else 0 end), d{t} as (select q, min(i) as a, max(i) as b from e{t} group by q),
+u{t} as (select o.id, o.{column} as v, d.q, d.a, d.b from obs o asof join d{t} d on o.{column} >= d.q),
+p{t} as (select u.id, least(greatest(case when u.v + 1e-7 > (select max(q) from e{t}) then 1.0 when u.v - 1e-7 < (select min(q) from e{t}) then 0.0 when u.v = u.q then (u.a + u.b) / 2.0 / ((select m from n{t}) - 1) else (u.b + (u.v - u.q) / (x.q - u.q)) / ((select m from n{t}) - 1) end, 1e-7::double), 1 - 1e-7::double)::double as p
+  from u{t} u left join d{t} x on x.a = u.b + 1)"""
+
+
+@query(f"""with {_interpolated_sql('x1')}, {_interpolated_sql('m2')}, z1 as (select id, {_QUANTILE} as z from p_x1), z2 as (select id, {_QUANTILE} as z from p_m2)
+select obs.id, round(coalesce(z1.z, 0), 5) as x1__gauss, round(coalesce(z2.z, 0), 5) as m2__gauss from obs left join z1 on z1.id = obs.id left join z2 on z2.id = obs.id""")
+def quantile_gauss(spark, sf):
+    d = encode.quantile_gauss(obs(spark, sf).select("id", "x1", "m2"), ["x1", "m2"])
+    return rounded(d.select("id", "x1__gauss", "m2__gauss"), "x1__gauss", "m2__gauss", digits=5)
+
+
 # --- ranks and AUC ------------------------------------------------------------------------------------------------
 
 
@@ -505,12 +523,19 @@ def stable_rank_weights(spark, sf):
     return blend.stable_weights(obs(spark, sf).select("id", "y", *MODELS), "id", "y", MODELS)
 
 
-@query("""with w as (select * from (values (0, 'a', 0.5::double), (1, 'a', 0.25), (2, 'a', 1.0), (0, 'b', 0.5), (1, 'b', 0.75), (2, 'b', 0.0), (0, 'c', 0.0), (1, 'c', 0.0), (2, 'c', 0.0)) t(round, model, weight)),
+@query("""with n as (select l_suppkey % 20 as round, l_returnflag || l_linestatus as model, sum(l_quantity) as q from lineitem where l_orderkey % 7 < 2 group by 1, 2), a as (select round, sum(q) as whole from n group by round),
+w as (select r.round, m.model, coalesce(case when n.q >= 0.165 * a.whole then n.q / a.whole end, 0) as weight from (select distinct round from n) r cross join (select distinct model from n) m left join n on n.round = r.round and n.model = m.model join a on a.round = r.round),
 s as (select model, avg(case when weight > 0 then 1.0 else 0.0 end) as frequency, avg(weight) as mean, stddev_pop(weight) as deviation from w group by model)
 select model, round(case when frequency >= 0.15 then mean else 0 end / (select sum(case when frequency >= 0.15 then mean else 0 end) from s), 6) as weight, round(frequency, 6)::double as frequency, round(mean, 6) as mean, round(deviation, 6) as deviation from s""")
 def selection_frequency(spark, sf):
-    rows = [(0, "a", 0.5), (1, "a", 0.25), (2, "a", 1.0), (0, "b", 0.5), (1, "b", 0.75), (2, "b", 0.0), (0, "c", 0.0), (1, "c", 0.0), (2, "c", 0.0)]
-    return rounded(blend.weight_summary(spark.createDataFrame(rows, "round int, model string, weight double")), "weight", "frequency", "mean", "deviation")
+    """The summary of rounds: of twenty groups of suppliers, the share that each kind of line has, if it has about a sixth at least."""
+    lines = table(spark, sf, "lineitem").where("l_orderkey % 7 < 2")
+    n = lines.groupBy((F.col("l_suppkey") % 20).alias("round"), F.concat("l_returnflag", "l_linestatus").alias("model")).agg(F.sum("l_quantity").alias("q"))
+    wide = n.groupBy("round").pivot("model").agg(F.first("q"))
+    kinds = [c for c in wide.columns if c != "round"]
+    long = wide.unpivot(["round"], kinds, "model", "q").withColumn("whole", F.sum("q").over(Window.partitionBy("round")))
+    weights = long.select("round", "model", F.coalesce(F.when(F.col("q") >= 0.165 * F.col("whole"), F.col("q") / F.col("whole")), F.lit(0.0)).alias("weight"))
+    return rounded(blend.weight_summary(weights), "weight", "frequency", "mean", "deviation")
 
 
 @query(f"select id, split, round({_rank('m1', 'split')} / 3 + {_rank('m3', 'split')} * 2 / 3, 9) as blend from obs")
@@ -718,10 +743,12 @@ def shape_check(spark, sf):
     return align.shape_report(ranking.long_scores(d, ["id"], MODELS).where("score > 0.5 or model <> 'm4'"), d.count())
 
 
-@query("select 'm4' as model, 'a' as side union all select 'm5', 'b'")
+@query("""with a as (select distinct p_brand as model from part where p_size <= 2), b as (select distinct p_brand as model from part where p_size >= 49)
+select model, 'a' as side from a where model not in (select model from b) union all select model, 'b' from b where model not in (select model from a)""")
 def name_check(spark, sf):
-    a, b = (spark.createDataFrame([(m,) for m in names], "model string") for names in (["m1", "m2", "m4"], ["m1", "m2", "m5"]))
-    return align.name_differences(a, b)
+    """Brands that only the smallest or only the largest parts have."""
+    p = table(spark, sf, "part").withColumnRenamed("p_brand", "model")
+    return align.name_differences(p.where("p_size <= 2"), p.where("p_size >= 49"))
 
 
 @query("select id, band, round(prediction, 9) as prediction from (select id, 'high' as band, m3 as prediction from obs where x1 > 400000 union all select id, 'low', m2 from obs where x1 < 50000)")

@@ -142,40 +142,35 @@ def file_digest(path: str) -> str:
     return digest.hexdigest()
 
 
-def demo(spark: SparkSession, train_rows: int = 1400, test_rows: int = 500, seed: int = 17) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(train, test, template) of invented habits: twelve inputs with values missing at a rate per column, and a label
-    that depends on a hidden score. All randomness is a hash of id, column and seed."""
-
-    def u(salt: str) -> Column:
-        return F.pmod(F.xxhash64(F.col("id"), F.lit(salt), F.lit(seed)), F.lit(1_000_003)).cast("double") / 1_000_003
-
-    def normal(salt: str) -> Column:
-        return u(salt + "a") + u(salt + "b") + u(salt + "c") + u(salt + "d") - 2.0
-
-    def gap(x: Column, name: str, rate: float) -> Column:
-        return F.when(u("gap" + name) >= rate, x).alias(name)
-
-    screen = F.round(F.least(F.greatest(7.0 + 2.5 * normal("screen"), F.lit(3.0)), F.lit(12.0)), 2)
-    base = spark.range(train_rows + test_rows).withColumn("screen", screen).withColumn("hidden", 0.45 * (F.col("screen") - 6.0) + 0.6 * normal("hidden") + 0.3)
-    social, gaming = F.round(F.least(F.col("screen") * 0.8 * u("social"), F.lit(6.0)), 2), F.round(F.least(F.col("screen") * 0.6 * u("gaming"), F.lit(4.0)), 2)
-    pick = lambda salt, *levels: F.element_at(F.array(*map(F.lit, levels)), (F.floor(u(salt) * len(levels)) + 1).cast("int"))
-    level = F.when(F.col("hidden") < -0.3, "None").when(F.col("hidden") < 0.3, "Mild").when(F.col("hidden") < 1.0, "Moderate").otherwise("Severe")
-    rows = base.select(
-        "id",
-        gap((18 + F.floor(u("age") * 18)).cast("int"), "age", 0.04),
-        gap(pick("gender", "Female", "Male", "Other"), "gender", 0.04),
-        gap(F.col("screen"), "daily_screen_time_hours", 0.12),
-        gap(social, "social_media_hours", 0.16),
-        gap(gaming, "gaming_hours", 0.15),
-        gap(F.round(0.5 + 5.5 * u("work"), 2), "work_study_hours", 0.08),
-        gap(F.round(3.5 + 6.5 * u("sleep"), 2), "sleep_hours", 0.07),
-        gap(F.floor(120 * u("notes")).cast("int"), "notifications_per_day", 0.10),
-        gap(F.floor(60 * u("opens")).cast("int"), "app_opens_per_day", 0.09),
-        gap(F.round(F.least(F.greatest(F.col("screen") + 2.0 * normal("weekend"), F.lit(2.0)), F.lit(15.0)), 2), "weekend_screen_time", 0.14),
-        gap(pick("stress", "Low", "Medium", "High"), "stress_level", 0.07),
-        gap(pick("impact", "Yes", "No"), "academic_work_impact", 0.06),
-        level.alias("addiction_level"),
-        (F.col("hidden") + 0.4 * normal("label") > 0.05).cast("int").alias("addicted_label"),
-    )
+#: The invented table's inputs: rate of missing values, then least and largest value (numbers, and digits kept) or levels (texts).
+DEMO_NUMBERS = {
+    "age": (0.03, 16, 45, 0), "daily_screen_time_hours": (0.10, 1, 13, 1), "social_media_hours": (0.10, 0, 5, 1), "gaming_hours": (0.10, 0, 5, 1), "work_study_hours": (0.05, 0, 9, 1),
+    "sleep_hours": (0.05, 4, 9, 1), "notifications_per_day": (0.15, 0, 150, 0), "app_opens_per_day": (0.15, 0, 80, 0), "weekend_screen_time": (0.20, 1, 16, 1),
+}
+DEMO_TEXTS = {"gender": (0.02, ["Female", "Male", "Other"]), "stress_level": (0.08, ["Low", "Medium", "High"]), "academic_work_impact": (0.08, ["Yes", "No"])}
+
+
+def demo(spark: SparkSession, train_rows: int = 2000, test_rows: int = 800, seed: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(train, test, template) of invented habits: twelve inputs, each spread evenly over its range and missing at its own rate, a
+    severity in words, and a label that grows likelier with time at the screen. All draws are hashes of id, column and seed."""
+
+    def draw(column: str) -> Column:
+        return F.pmod(F.xxhash64(F.lit(column), F.col("id"), F.lit(seed)), F.lit(1 << 20)).cast("double") / float(1 << 20)
+
+    def present(x: Column, column: str, rate: float) -> Column:
+        return F.when(draw(f"{column} is there") > rate, x).alias(column)
+
+    def number(column: str) -> Column:
+        rate, low, high, digits = DEMO_NUMBERS[column]
+        x = F.round(low + (high - low) * draw(column), digits)
+        return present(x if digits else x.cast("int"), column, rate)
+
+    def text(column: str) -> Column:
+        rate, names = DEMO_TEXTS[column]
+        return present(F.get(F.array(*map(F.lit, names)), F.floor(draw(column) * len(names)).cast("int")), column, rate)
+
+    strain = 0.7 * draw("daily_screen_time_hours") + 0.3 * draw("strain")
+    severity = F.when(strain < 0.25, "None").when(strain < 0.5, "Mild").when(strain < 0.75, "Moderate").otherwise("Severe")
+    rows = spark.range(train_rows + test_rows).select("id", *map(number, DEMO_NUMBERS), *map(text, DEMO_TEXTS), severity.alias("addiction_level"), (0.8 * strain + 0.2 * draw("luck") > 0.4).cast("int").alias("addicted_label"))
     train, test = rows.where(F.col("id") < train_rows), rows.where(F.col("id") >= train_rows).drop("addicted_label")
     return train, test, test.select("id", F.lit(0.5).alias("addicted_label"))

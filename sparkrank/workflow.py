@@ -199,8 +199,8 @@ def parser() -> argparse.ArgumentParser:
         if name in ("audit", "all"):
             own.add_argument("--adversarial", action="store_true")
     demo = commands.add_parser("demo-data")
-    demo.add_argument("--rows", type=int, default=1400)
-    demo.add_argument("--test-rows", type=int, default=500)
+    demo.add_argument("--rows", type=int, default=2000)
+    demo.add_argument("--test-rows", type=int, default=800)
     demo.add_argument("--destination", default="data/raw")
     return out
 
