@@ -5,7 +5,8 @@ that rule k failed. Policies are versioned masks over those bits: another policy
 out a rule, is bitwise arithmetic on the ledger and reads no text.
 
 Words are runs of characters other than the six ASCII white space characters. Null and empty texts have no
-words and fail ``few_words``. Repeated rows are judged each for itself. Other columns are ignored.
+words and fail ``few_words``. Repeated rows are judged each for itself; nothing is ranked, so there are no ties. Texts
+of any length are measured whole. An empty table gives an empty ledger. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ once the pieces that are certain by then are popped, and the node keeps *how man
 is then counted in time linear in its bytes, without any piece being built. Every single byte is in the
 vocabulary, so each word has a segmentation.
 
-Null and empty texts have 0 words and 0 pieces. Repeated rows are each counted. Other columns are ignored.
+Null and empty texts have 0 words and 0 pieces. Repeated rows are each counted; greedy matching leaves no ties. Words and
+texts of any length are counted whole. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
