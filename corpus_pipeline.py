@@ -1,7 +1,10 @@
 """The corpus pipeline: five of the training-data operators, one after another, over ``documents``.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return
-the columns of ``documents``. Null, empty and repeated rows go through as the operators' own docstrings say.
+the columns of ``documents``, other columns with them, whatever their names. A null or empty text is no language's and
+goes at the first stage. Rows that repeat an id are told apart by their texts; rows that repeat both are near copies of
+one group, of which one stays. Ties between copies go to the smallest id, a null id being the largest. Texts of any
+length are worked on whole. Empty tables give empty results at every stage; an empty benchmark removes nothing.
 """
 
 from __future__ import annotations
