@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkrank.operators.folds import encoded_auc
-from sparkrank.operators.ranking import long_scores, medians, roc_auc
+from sparkrank.operators.ranking import counted_auc, sums_before
+from sparkrank.plans.lineage import written
 
 FEW = 30
 
@@ -53,27 +53,70 @@ def repeated(df: DataFrame, columns: list[str], name: str = "n_equal") -> DataFr
     return df.withColumn(name, F.count("*").over(Window.partitionBy(*columns)))
 
 
+def counted_values(df: DataFrame, columns: list[str], label: str, fold: str) -> DataFrame:
+    """(column, fold, number, text, gone, p, n): positives and negatives of each value of each column in each fold. Numbers are in
+    ``number``, others in ``text``; ``gone`` says that the value is missing."""
+    numbers = set(numeric_columns(df, columns))
+    cell = lambda c: F.struct(F.lit(c).alias("column"), (F.col(c) if c in numbers else F.lit(None)).cast("double").alias("number"), (F.lit(None) if c in numbers else F.col(c)).cast("string").alias("text"), F.col(c).isNull().alias("gone"))
+    long = df.select(F.col(fold).alias("fold"), F.col(label).cast("long").alias("y"), F.explode(F.array(*[cell(c) for c in columns])).alias("v")).select("fold", "y", "v.*")
+    return long.groupBy("column", "fold", "number", "text", "gone").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
+
+
+def _rank_auc(counts: DataFrame) -> DataFrame:
+    """(column, auc) of numbers, missing ones at the median of the others, which is found in the same order of values."""
+    there = counts.where("not gone").groupBy("column", F.col("number").alias("_value")).agg(F.sum("p").alias("_p"), F.sum("n").alias("_n")).withColumn("_all", F.col("_p") + F.col("_n"))
+    placed = written(sums_before(there, ["column"], "_value", ["_all", "_n"]), "placed")
+    sizes = placed.groupBy("column").agg(F.sum("_all").alias("_rows"), F.sum("_p").alias("_ps"), F.sum("_n").alias("_ns"))
+    holds = lambda at: (F.col("before__all") <= F.expr(at)) & (F.expr(at) < F.col("before__all") + F.col("_all"))
+    middle = placed.join(F.broadcast(sizes), "column").groupBy("column").agg((F.max(F.when(holds("(_rows - 1) div 2"), F.col("_value"))) / 2 + F.max(F.when(holds("_rows div 2"), F.col("_value"))) / 2).alias("_middle"))
+    lost = counts.groupBy("column").agg(F.sum(F.when(F.col("gone"), F.col("p")).otherwise(0)).alias("_lp"), F.sum(F.when(F.col("gone"), F.col("n")).otherwise(0)).alias("_ln"))
+    each = placed.join(F.broadcast(sizes.join(middle, "column").join(lost, "column")), "column")  # a row per column
+    side = F.when(F.col("_value") > F.col("_middle"), 1.0).when(F.col("_value") == F.col("_middle"), 0.5).otherwise(0.0)
+    of_values = F.sum(F.col("_p") * (F.col("before__n") + F.col("_n") / 2.0 + side * F.col("_ln")))
+    of_lost = F.sum(F.col("_n") * (1.0 - side) * F.col("_lp")) + F.first(F.col("_lp") * F.col("_ln") / 2.0)
+    p, n = F.first(F.col("_ps") + F.col("_lp")), F.first(F.col("_ns") + F.col("_ln"))
+    return each.groupBy("column").agg(F.when((p > 0) & (n > 0), (of_values + of_lost) / (p.cast("double") * n)).alias("auc"))
+
+
+def _coded_auc(counts: DataFrame, smoothing: float = 20.0) -> DataFrame:
+    """(column, auc) of out-of-fold smoothed label means, for all columns at once: sums of a fold's value less totals."""
+    value = F.coalesce("text", F.col("number").cast("string"), F.lit("__MISSING__"))
+    own = counts.groupBy("column", "fold", value.alias("value")).agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    total = own.groupBy("column", "value").agg(F.sum("p").alias("tp"), F.sum(F.col("p") + F.col("n")).alias("ta"))
+    folds = own.groupBy("column", "fold").agg(F.sum("p").alias("fp"), F.sum(F.col("p") + F.col("n")).alias("fa"))
+    whole = Window.partitionBy("column")  # a row per fold
+    prior = folds.select("column", "fold", ((F.sum("fp").over(whole) - F.col("fp")) / (F.sum("fa").over(whole) - F.col("fa"))).alias("prior"))
+    rest = F.col("ta") - F.col("p") - F.col("n")
+    score = F.when(rest > 0, (F.col("tp") - F.col("p") + F.col("prior") * smoothing) / (rest + smoothing)).otherwise(F.col("prior"))
+    scored = own.join(total, ["column", "value"]).join(F.broadcast(prior), ["column", "fold"]).withColumn("_score", score)  # a row per column and fold
+    return counted_auc(scored.groupBy("column", "_score").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n")), ["column"]).select("column", "auc")
+
+
 def univariate_audit(df: DataFrame, columns: list[str], label: str, fold: str = "fold") -> DataFrame:
     """(column, method, auc), the best first. Text or at most 30 distinct values (missing counts): the AUC of the
     out-of-fold smoothed target mean. Other numbers: that of the rank, in the better direction, missing in the
-    middle. ``<c>:missing`` where some but not all values are missing. A constant column has no AUC."""
-    shape = {r["column"]: r for r in profile(df, columns).collect()}  # a row per column
+    middle. ``<c>:missing`` where some but not all values are missing. A constant column has no AUC. Rows are read
+    once; all else works on counts of values."""
+    counts = written(counted_values(df, columns, label, fold), "counts")
+    values = counts.groupBy("column", "number", "text", "gone").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    lost = lambda c: F.sum(F.when(F.col("gone"), F.col(c)).otherwise(0)).alias(f"lost_{c}")
+    shape = {r["column"]: r for r in values.groupBy("column").agg(F.count("*").alias("n_distinct"), F.sum("p").alias("p"), F.sum("n").alias("n"), lost("p"), lost("n")).collect()}  # a row per column
     numbers = set(numeric_columns(df, columns))
-    by_rank = [c for c in columns if c in numbers and shape[c]["n_distinct"] > FEW]
+    by_rank = [c for c in columns if c in numbers and c in shape and shape[c]["n_distinct"] > FEW]
     by_code = [c for c in columns if c not in by_rank]
-    gaps = [c for c in columns if 0 < shape[c]["n_missing"] < shape[c]["n_rows"]]
-    out = []
+    single = [c for c in by_code if c not in shape or shape[c]["n_distinct"] <= 1]
+    several = [c for c in by_code if c not in single]
+    rows = []
+    for c in columns:
+        if c in shape and 0 < shape[c]["lost_p"] + shape[c]["lost_n"] < shape[c]["p"] + shape[c]["n"]:
+            p, n, lp, ln = (int(shape[c][k]) for k in ("p", "n", "lost_p", "lost_n"))
+            auc = (lp * (n - ln) + (lp * ln + (p - lp) * (n - ln)) / 2) / (p * n) if p and n else None
+            rows.append((f"{c}:missing", "missing_indicator", None if auc is None else max(auc, 1 - auc)))
+    rows += [(c, "oof_smoothed_target_encoding", None) for c in single]
+    out = [df.sparkSession.createDataFrame(rows, "column string, method string, auc double")]
     if by_rank:
-        # Only order matters: a missing score goes to the middle rank of the others, that is to their median.
-        middles = medians(df, {c: F.col(c) for c in by_rank})
-        ready = df.select(label, *[F.coalesce(F.col(c).cast("double"), F.lit(middles[c])).alias(c) for c in by_rank])
-        auc = roc_auc(long_scores(ready, [label], by_rank, "column", "score"), label, "score", ["column"])
+        auc = _rank_auc(counts.where(F.col("column").isin(by_rank)))
         out.append(auc.select("column", F.lit("rank_auc_best_direction").alias("method"), F.greatest("auc", 1 - F.col("auc")).alias("auc")))
-    if gaps:
-        ready = df.select(label, *[F.col(c).isNull().cast("double").alias(c) for c in gaps])
-        auc = roc_auc(long_scores(ready, [label], gaps, "column", "score"), label, "score", ["column"], bins=1)
-        out.append(auc.select(F.concat("column", F.lit(":missing")).alias("column"), F.lit("missing_indicator").alias("method"), F.greatest("auc", 1 - F.col("auc")).alias("auc")))
-    for c in by_code:
-        auc = encoded_auc(df, c, label, fold).select(F.lit(c).alias("column"), F.lit("oof_smoothed_target_encoding").alias("method"), "auc")
-        out.append(auc if shape[c]["n_distinct"] > 1 else auc.withColumn("auc", F.lit(None).cast("double")))
+    if several:
+        out.append(_coded_auc(counts.where(F.col("column").isin(several))).select("column", F.lit("oof_smoothed_target_encoding").alias("method"), "auc"))
     return reduce(DataFrame.unionByName, out).orderBy(F.col("auc").desc_nulls_last(), "column")

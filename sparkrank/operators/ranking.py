@@ -89,6 +89,11 @@ def roc_auc(df: DataFrame, label: str, score: str, groups: list[str] | None = No
     counted by score, so what follows depends on the number of distinct scores. Scores must be finite."""
     groups = groups or []
     counts = df.groupBy(*groups, F.col(score).alias("_score")).agg(F.sum(F.col(label).cast("long")).alias("_p"), F.sum(1 - F.col(label).cast("long")).alias("_n"))
+    return counted_auc(counts, groups, bins)
+
+
+def counted_auc(counts: DataFrame, groups: list[str], bins: int | list[float] = BINS) -> DataFrame:
+    """:func:`roc_auc` of ``counts(groups, _score, _p, _n)``: positives and negatives of each score, a row per score."""
     placed = sums_before(counts, groups, "_score", ["_n"], bins)
     pairs = F.sum(F.col("_p").cast("double") * (F.col("before__n") + F.col("_n") / 2.0))
     p, n = F.sum("_p"), F.sum("_n")
