@@ -258,7 +258,9 @@ def fit_many(rows: DataFrame, columns: list[str], label: str, id_col: str, model
             out.history[r["model"]].append(r["auc"])
         for m in sorted(going):
             auc = [-1.0 if a is None else a for a in out.history[m]]
-            if auc:
+            if auc and p["patience"] is None:
+                out.best[m] = len(auc)
+            elif auc:
                 out.best[m] = int(np.argmax(auc)) + 1
                 if len(auc) - out.best[m] >= p["patience"]:
                     going.discard(m)
@@ -323,11 +325,11 @@ def predict(fitted: Boosted, rows: DataFrame, keys: list[str], model: str = "mod
     return out.select(*[F.col(f"_key{j}").alias(k) for j, k in enumerate(keys)], "score")
 
 
-def boosted_out_of_fold(train: DataFrame, test: DataFrame | None, id_col: str, columns: list[str], label: str, fold: str = "fold", categories: list[str] | None = None, params: dict | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame | None, Boosted]:
-    """Out-of-fold scores (id, score) of ``train``, mean scores of ``test`` over the folds' models, and the models, all folds at once. Each
+def boosted_out_of_fold(train: DataFrame, test: DataFrame | None, id_col: str, columns: list[str], label: str, fold: str = "fold", categories: list[str] | None = None, params: dict | None = None, seed: int = 42, only: list[int] | None = None) -> tuple[DataFrame, DataFrame | None, Boosted]:
+    """Out-of-fold scores (id, score) of ``train``, mean scores of ``test`` over the folds' models, and the models, all folds (or ``only`` some) at once. Each
     fold's rows choose its model's rounds. ``categories`` are read as ordered target statistics of the fold's own training rows."""
     categories = categories or []
-    folds = sorted(r[fold] for r in train.select(fold).distinct().collect())  # a row per fold
+    folds = sorted(r[fold] for r in train.select(fold).distinct().collect() if only is None or r[fold] in only)  # a row per fold
     keep = [id_col, label, *dict.fromkeys([*columns, *categories])]
     parts = train.select(*keep, fold).withColumn("model", F.explode(F.array(*[F.lit(int(k)) for k in folds])))
     parts = parts.withColumn("part", F.when(F.col(fold) == F.col("model"), 1).otherwise(0)).drop(fold)

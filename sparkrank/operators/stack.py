@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkrank.functions.scalar import logit
 from sparkrank.operators import newton
+from sparkrank.operators.boosting import boosted_out_of_fold
 from sparkrank.operators.ranking import roc_auc
 from sparkrank.plans.lineage import written
 
@@ -107,5 +108,21 @@ def logistic_out_of_fold(train: DataFrame, test: DataFrame | None, id_col: str,
     return newton.scored(train, [id_col], columns, fits, fold), scores, weights
 
 
+def nonlinear_meta(df: DataFrame, id_col: str, models: list[str], raw: list[str], label: str, fold: str = "fold", only: list[int] | None = None, params: dict | None = None, seed: int = 42) -> tuple[DataFrame, dict]:
+    """Boosted trees over :func:`quantile_design` of the logits, fitted out of fold: (id, label, fold, score) of all folds or of ``only`` some, and
+    a report: rows, pooled AUC, each fold's AUC and rounds, the design's width. With no ``patience`` the rounds are fixed; else each
+    fold chooses its own, which suits a screening only."""
+    design = quantile_design(df, [id_col, label, fold], models, raw)
+    names = {c: f"d{k}" for k, c in enumerate(c for c in design.columns if c not in (id_col, label, fold))}
+    design = written(design.select(id_col, label, fold, *[F.col(f"`{c}`").alias(x) for c, x in names.items()]), "design")
+    oof, _, fitted = boosted_out_of_fold(design, None, id_col, list(names.values()), label, fold, params=params, seed=seed, only=only)
+    scores = written(oof.join(design.select(id_col, label, fold), id_col).select(id_col, label, fold, "score"), "meta")
+    each = {r[fold]: r for r in roc_auc(scores, label, "score", [fold]).collect()}  # a row per fold
+    pooled = roc_auc(scores, label, "score").first()
+    folds = [{"fold": k, "rows": r["positives"] + r["negatives"], "auc": r["auc"], "rounds": fitted.best[k]} for k, r in sorted(each.items())]
+    back = {x: c for c, x in names.items()}
+    return scores, {"rows": sum(f["rows"] for f in folds), "width": len(names), "auc": pooled["auc"] if pooled else None, "folds": folds, "importance": [(back[c], w) for c, w in fitted.importance()]}
+
+
 def choose(global_auc: float, regime_auc: float, margin: float = 2e-5) -> str:
     return "regime" if regime_auc >= global_auc + margin else "global"

@@ -612,6 +612,14 @@ _ZS = ", ".join(f"ln({m}) - ln(1 - {m}) as {m}" for m in MODELS)
 _P = "1 / (1 + exp(-(" + " + ".join(f"w{i} * r.{m}" for i, m in enumerate(MODELS, 1)) + " + w5)))"
 
 
+@query()
+def nonlinear_meta_oof(spark, sf):
+    """Boosted trees over the logits, their spread and quartiles, and what is missing; fixed rounds."""
+    d = stack.as_logits(train(spark, sf, lines=True).select("id", "y", "fold", *MODELS, "x1", "x2"), MODELS)
+    scores, _ = stack.nonlinear_meta(d, "id", MODELS, ["x1", "x2"], "y", params={"rounds": 20, "patience": None})
+    return rounded(scores, "score")
+
+
 @query(f"with zt as materialized (select id, y, fold, {_ZS} from train), {_newton_sql('zt', MODELS, 'select distinct fold as k from train', 'r.fold <> w.k')} select r.id, r.y, round({_P}, 6) as score from zt r join wl on wl.k = r.fold")
 def logistic_stack(spark, sf):
     d = stack.as_logits(train(spark, sf).select("id", "y", "fold", *MODELS), MODELS)

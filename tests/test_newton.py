@@ -100,3 +100,16 @@ def test_greedy_weights_equal_a_plain_search(spark):
     ranks = {m: np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v]) for m, v in cols.items()}
     weights, _ = blend.greedy_weights(df, "id", "y", list(cols), 5)
     assert weights == pytest.approx({m: w for m, w in plain_search(ranks, y, 5, 1e-6).items() if w})
+
+
+def test_nonlinear_meta(spark):
+    rng = np.random.default_rng(9)
+    y = rng.integers(0, 2, 360)
+    a, b = rng.normal(size=360) + 0.8 * y, rng.normal(size=360) - 0.8 * y
+    rows = [(i, int(y[i]), i % 3, float(a[i]), float(b[i]), None if i % 5 == 0 else 1.0) for i in range(360)]
+    df = spark.createDataFrame(rows, "id long, y int, fold int, `m.a` double, mb double, raw double").withColumnRenamed("m.a", "ma")
+    scores, report = stack.nonlinear_meta(df, "id", ["ma", "mb"], ["raw"], "y", params={"rounds": 6, "depth": 2, "patience": None})
+    assert scores.count() == report["rows"] == 360 and [f["rounds"] for f in report["folds"]] == [6, 6, 6] and report["auc"] > 0.65
+    assert report["width"] == 2 + 3 + 3 + 2 and report["folds"][0]["rows"] == 120 and {c for c, _ in report["importance"]} >= {"ma", "mb", "logit_q50", "raw__missing"}
+    part, report = stack.nonlinear_meta(df, "id", ["ma", "mb"], ["raw"], "y", only=[1], params={"rounds": 3, "depth": 2, "every": 2, "patience": 1})
+    assert {r["fold"] for r in part.collect()} == {1} and part.count() == 120 and len(report["folds"]) == 1
