@@ -479,6 +479,20 @@ def knn_class_margin(spark, sf):
     return rounded(knn.label_features(found, "vec_id", [1], 0.5).select("vec_id", *names), *names)
 
 
+@query("""with u as (select quantile_cont(x1, 0.5) as mx, stddev_samp(x1) as sx, quantile_cont(m2, 0.5) as mm, stddev_samp(m2) as sm, avg(y) as prior from obs where split = 'train'),
+v as (select id, y, split, (coalesce(x1, mx) - mx) / sx as a, (m2 - mm) / sm as b, coalesce(c1, '__MISSING__') as c, prior from obs, u),
+d as (select q.id, p.id as pid, p.y, q.prior, sqrt((q.a - p.a) * (q.a - p.a) + (q.b - p.b) * (q.b - p.b) + case when q.c = p.c then 0 else 3.125 end) as dist from v q, v p where q.split = 'test' and p.split = 'train'),
+k as (select *, row_number() over (partition by id order by dist, pid) as k from d)
+select id, """ + ", ".join(f"round((sum(case when k <= {n} then y else 0 end) + prior) / {n + 1}, 6) as label_mean_{n}, round(sum(case when k <= {n} then y / greatest(dist, 1e-4) else 0 end) / sum(case when k <= {n} then 1 / greatest(dist, 1e-4) else 0 end), 6) as label_weighted_{n}, round(avg(case when k <= {n} then dist end), 6) as distance_mean_{n}" for n in (1, 5)) + """,
+round(min(dist), 6) as distance_min, round(min(case when y = 0 then dist end), 6) as distance_class_0, round(min(case when y = 1 then dist end), 6) as distance_class_1, round(min(case when y = 0 then dist end) - min(case when y = 1 then dist end), 6) as distance_margin from k group by id, prior""")
+def parent_view(spark, sf):
+    """What the nearest train rows say about each test row: medians, deviations and levels of the train rows make the space."""
+    d = lineage.written(obs(spark, sf).select("id", "y", "split", "x1", "m2", "c1"), "obs")
+    out = knn.parent_features(d.where("split = 'test'").drop("y", "split"), d.where("split = 'train'"), "id", "id", ["x1", "m2", "c1"], "y", [1, 5])
+    names = [c for c in out.columns if c.startswith(("label_", "distance_"))]
+    return rounded(out.select("id", *names), *names)
+
+
 @query("""select id, round((coalesce(x1, m1) - m1) / s1, 6) as x_x1, c1_0 as x_c1_0 from (select id, x1, case when coalesce(c1, '__MISSING__') = '1-URGENT' then 1.25 else 0.0 end::double as c1_0 from obs where split = 'test') q,
 (select quantile_cont(x1, 0.5) as m1, stddev_samp(x1) as s1 from obs where split = 'train') t""")
 def parent_standardize(spark, sf):
@@ -570,12 +584,13 @@ def _logits(spark, sf, rows=obs):
 
 
 @query(f"""with {_Z}, s as (select *, list_avg([m1, m2, m3, m4]) as mean, list_stddev_pop([m1, m2, m3, m4]) as dev, greatest(m1, m2, m3, m4) - least(m1, m2, m3, m4) as rng from z), t as (select avg(dev) as a, stddev_pop(dev) as b from s)
-select id, round(m1, 6) as m1, round(case when missing = 0 then m1 else 0 end, 6) as m1_complete, round(case when missing >= 4 then m2 else 0 end, 6) as m2_severe, round(m3 * (dev - a) / (b + 1e-6), 5) as m3_disagreement, round(mean, 6) as logit_mean, round(dev, 6) as logit_std, round(rng, 6) as logit_range,
+select id, """ + ", ".join(f"round({m}, 6) as {m}, round(case when missing = 0 then {m} else 0 end, 6) as {m}_complete, round(case when missing >= 4 then {m} else 0 end, 6) as {m}_severe, round({m} * (dev - a) / (b + 1e-6), 5) as {m}_disagreement" for m in MODELS) + """, round(mean, 6) as logit_mean, round(dev, 6) as logit_std, round(rng, 6) as logit_range,
 case when missing = 0 then 1.0 else 0.0 end::double as complete, case when missing >= 4 then 1.0 else 0.0 end::double as severe from s, t""")
 def regime_design(spark, sf):
     d = stack.regime_design(_logits(spark, sf), ["id"], MODELS, "missing")
     assert len(d.columns) == 1 + 4 * len(MODELS) + 5
-    return rounded(rounded(d.select("id", "m1", "m1_complete", "m2_severe", "m3_disagreement", "logit_mean", "logit_std", "logit_range", "complete", "severe"), "m1", "m1_complete", "m2_severe", "logit_mean", "logit_std", "logit_range"), "m3_disagreement", digits=5)
+    fine = [*MODELS, *(f"{m}_{t}" for m in MODELS for t in ("complete", "severe")), "logit_mean", "logit_std", "logit_range"]
+    return rounded(rounded(d, *fine), *(f"{m}_disagreement" for m in MODELS), digits=5)
 
 
 @query(f"with {_Z} select id, round(list_sort([m1, m2, m3, m4])[1] * 0.25 + list_sort([m1, m2, m3, m4])[2] * 0.75, 6) as logit_q25, round((list_sort([m1, m2, m3, m4])[2] + list_sort([m1, m2, m3, m4])[3]) / 2, 6) as logit_q50, round(list_sort([m1, m2, m3, m4])[3] * 0.75 + list_sort([m1, m2, m3, m4])[4] * 0.25, 6) as logit_q75, (case when x1 is null then 1.0 else 0.0 end)::double as missing_count from (select z.*, obs.x1 from z join obs on z.id = obs.id)")
