@@ -13,6 +13,7 @@ bounded by ``table`` codes, not by rows. What predicts is a moving average of th
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import partial
 
@@ -30,13 +31,15 @@ PARAMS = {"width": 8, "frequencies": 4, "epochs": 12, "batch": 8192, "rate": 0.0
 
 @dataclass
 class Design:
-    """What rows look like: ``fields`` with codes, ``numbers`` with values, the codes' offsets, and the values' ends."""
+    """What rows look like: ``fields`` with codes, ``numbers`` with values, the codes' offsets, and the values' ends. ``needs``: for
+    each number which raw fields it is made of (numbers by raw fields), ``raw`` of which the first are numbers themselves, the last texts."""
 
     fields: list[str]
     numbers: list[str]
     sizes: list[int]
     mean: np.ndarray
     scale: np.ndarray
+    needs: np.ndarray | None = None
 
     @property
     def offsets(self) -> np.ndarray:
@@ -83,6 +86,25 @@ def backward(theta: dict[str, np.ndarray], codes: np.ndarray, values: np.ndarray
     return out
 
 
+def hidden(design: Design, rng: np.random.Generator, codes: np.ndarray, missing: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and gaps with each field hidden at random: its code is that of a missing value, and its number is missing."""
+    gone = rng.random(codes.shape) < rate
+    return np.where(gone, design.offsets[None, :], codes), missing | gone[:, : missing.shape[1]]
+
+
+@dataclass
+class Net:
+    """What a model is made of: functions as above, by name."""
+
+    fresh: Callable
+    forward: Callable
+    backward: Callable
+    hidden: Callable
+
+
+MACHINE = Net(fresh, forward, backward, hidden)
+
+
 def pulls(score: np.ndarray, y: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], rank_weight: float, rows: int, of_pairs: int) -> tuple[float, np.ndarray]:
     """The loss of rows and pairs, of ``rows`` and ``of_pairs`` in all, and its derivative by each score."""
     p = 1 / (1 + np.exp(-np.clip(score, -500, 500)))
@@ -123,7 +145,7 @@ def _unpacked(b, design):
     return codes, values, missing
 
 
-def _gradients(design, p, thetas, step, seed, batches):
+def _gradients(net, design, p, thetas, step, seed, batches):
     """Sums over a task's rows by model: [rows, pairs, loss, gradient of the rows' sum, gradient of the pairs' sum]."""
     from pyspark import TaskContext
 
@@ -136,19 +158,17 @@ def _gradients(design, p, thetas, step, seed, batches):
         y, fold = b.column("y").to_numpy(), b.column("fold").to_numpy()
         rng = np.random.default_rng((seed, step, task, place))
         if p["hidden"]:
-            gone = rng.random(codes.shape) < p["hidden"]
-            codes = np.where(gone, design.offsets[None, :], codes)
-            missing = missing | gone[:, : values.shape[1]]
+            codes, missing = net.hidden(design, rng, codes, missing, p["hidden"])
         for m, theta in thetas.items():
             at = np.flatnonzero(fold != m)
             if not len(at):
                 continue
             own = (codes[at], values[at], missing[at])
-            score, kept = forward(theta, *own)
+            score, kept = net.forward(theta, *own)
             pairs = drawn_pairs(y[at], rng)
             loss, pull = pulls(score, y[at], ((), ()), 0.0, 1, 0)
             rank_loss, rank_pull = pulls(score, y[at], pairs, 1.0, 1, 1)
-            s = np.concatenate([[len(at), len(pairs[0]), loss, rank_loss - loss], flat(backward(theta, *own, kept, pull)), flat(backward(theta, *own, kept, rank_pull - pull))])
+            s = np.concatenate([[len(at), len(pairs[0]), loss, rank_loss - loss], flat(net.backward(theta, *own, kept, pull)), flat(net.backward(theta, *own, kept, rank_pull - pull))])
             total[m] = total[m] + s if m in total else s
     for m, s in total.items():
         yield pa.RecordBatch.from_arrays([pa.array([m], pa.int32()), pa.array([task % LANES], pa.int32()), pa.array([s.tobytes()], pa.binary())], names=["fit", "lane", "s"])
@@ -171,10 +191,10 @@ class Adam:
         return w * (1 - rate * self.p["decay"]) - rate * step
 
 
-def designed(train: DataFrame, test: DataFrame | None, id_col: str, label: str, fold: str, numbers: list[str], texts: list[str], p: dict) -> tuple[Design, DataFrame]:
+def designed(train: DataFrame, test: DataFrame | None, id_col: str, label: str, fold: str, numbers: list[str], texts: list[str], p: dict, coded: bool = True) -> tuple[Design, DataFrame]:
     """(design, rows): rows (id, y, fold, batch, codes, values), test rows with a null fold. Codes are 0 missing, 1 rare, then by frequency; those
-    beyond ``table`` in all fields share the rare one."""
-    fields = [*numbers, *texts]
+    beyond ``table`` in all fields share the rare one. Numbers have codes too if ``coded``."""
+    fields = [*numbers, *texts] if coded else texts
     keep = [F.col(id_col).alias("id"), *[F.col(c).cast("double").alias(c) for c in numbers], *[F.col(c).cast("string").alias(c) for c in texts]]
     both = train.select(*keep, F.col(label).cast("double").alias("y"), F.col(fold).cast("int").alias("fold"), F.lit(0).alias("part"))
     if test is not None:
@@ -209,11 +229,11 @@ def _packed(design, batches):
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "y", "fold", "batch")), pa.array([r.tobytes() for r in codes], pa.binary()), pa.array([r.tobytes() for r in values], pa.binary())], schema=_ROW_SCHEMA)
 
 
-def _score(design, thetas, batches):
+def _score(net, design, thetas, batches):
     for b in batches:
         if b.num_rows:
             own, fold = _unpacked(b, design), b.column("fold").to_numpy(zero_copy_only=False)
-            each = {m: forward(t, *own)[0] for m, t in thetas.items()}
+            each = {m: net.forward(t, *own)[0] for m, t in thetas.items()}
             mean = sum(each.values()) / len(each)
             score = np.array([each[int(f)][i] if f == f and f is not None else mean[i] for i, f in enumerate(fold)])
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.isnan(fold.astype(np.float64))), pa.array(score)], names=["id", "sent", "score"])
@@ -222,21 +242,29 @@ def _score(design, thetas, batches):
 def rank_fm_out_of_fold(train: DataFrame, test: DataFrame | None, id_col: str, numbers: list[str], texts: list[str], label: str, fold: str = "fold", params: dict | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame | None, list[float]]:
     """(id, score) of ``train`` by the model that left its fold out, of ``test`` the mean over the folds' models, both log-odds, and the mean loss of
     each step. Ids are longs, unique in each table."""
-    p = PARAMS | (params or {})
-    if unknown := set(p) - set(PARAMS):
+    p = settled(PARAMS, params)
+    return trained_out_of_fold(MACHINE, *designed(train, test, id_col, label, fold, numbers, texts, p), id_col, p, seed, test is not None)
+
+
+def settled(defaults: dict, params: dict | None) -> dict:
+    if unknown := set(params or {}) - set(defaults):
         raise ValueError(f"unknown settings {sorted(unknown)}")
-    design, rows = designed(train, test, id_col, label, fold, numbers, texts, p)
+    return defaults | (params or {})
+
+
+def trained_out_of_fold(net: Net, design: Design, rows: DataFrame, id_col: str, p: dict, seed: int, sent: bool) -> tuple[DataFrame, DataFrame | None, list[float]]:
+    """Trains a ``net`` for each fold on the others' rows, batch by batch, all folds in one job a step."""
     table = written(rows.mapInArrow(partial(_packed, design), _ROWS), "fm-rows", ["batch"])
     batches = sorted(r["batch"] for r in table.where("batch >= 0").select("batch").distinct().collect())  # a row per batch
     folds = sorted(int(r["fold"]) for r in table.where("fold is not null").select("fold").distinct().collect())  # a row per fold
-    thetas = {m: fresh(design, p, seed + m) for m in folds}
+    thetas = {m: net.fresh(design, p, seed + m) for m in folds}
     mean = {m: flat(t) for m, t in thetas.items()}
     steps = p["epochs"] * len(batches)
     adam, losses, step = {m: Adam(len(mean[m]), p, steps) for m in folds}, [], 0
     for epoch in range(p["epochs"]):
         for k in np.random.default_rng((seed, epoch)).permutation(len(batches)):
             own = table.where(F.col("batch") == batches[k]).select("y", "fold", "codes", "values")
-            parts = own.mapInArrow(partial(_gradients, design, p, thetas, step, seed), "fit int, lane int, s binary").groupBy("fit", "lane").applyInArrow(_added, "fit int, lane int, s binary")
+            parts = own.mapInArrow(partial(_gradients, net, design, p, thetas, step, seed), "fit int, lane int, s binary").groupBy("fit", "lane").applyInArrow(_added, "fit int, lane int, s binary")
             loss = []
             for r in parts.groupBy("fit").applyInArrow(_added, "fit int, lane int, s binary").collect():  # a row per model
                 m, s = r["fit"], np.frombuffer(r["s"])
@@ -249,7 +277,7 @@ def rank_fm_out_of_fold(train: DataFrame, test: DataFrame | None, id_col: str, n
             losses.append(float(np.mean(loss)))
             step += 1
     averaged = {m: unflat(mean[m], thetas[m]) for m in folds}
-    scores = written(table.mapInArrow(partial(_score, design, averaged), "id long, sent boolean, score double"), "fm-scores")
+    scores = written(table.mapInArrow(partial(_score, net, design, averaged), "id long, sent boolean, score double"), "fm-scores")
     deleted(table)
     out = scores.where("not sent").select(F.col("id").alias(id_col), "score")
-    return out, scores.where("sent").select(F.col("id").alias(id_col), "score") if test is not None else None, losses
+    return out, scores.where("sent").select(F.col("id").alias(id_col), "score") if sent else None, losses

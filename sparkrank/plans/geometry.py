@@ -75,3 +75,12 @@ def masked_scaler(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, mean, scale) over valid cells; the scale is their population deviation, 1 if that is next to 0."""
     rows = [F.struct(F.lit(c).alias("column"), F.coalesce(F.avg(F.when(F.col(f"{c}_valid"), F.col(c))), F.lit(0.0)).alias("mean"), F.coalesce(F.when(F.stddev_pop(F.when(F.col(f"{c}_valid"), F.col(c))) > 1e-6, F.stddev_pop(F.when(F.col(f"{c}_valid"), F.col(c)))), F.lit(1.0)).alias("scale")) for c in columns]
     return df.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+
+
+def cell_sources(names: list[str]) -> dict[str, list[str]]:
+    """Which raw columns each value of :func:`geometry` is made of."""
+    screens, day = [SCREEN, *COMPONENTS, WEEKEND], [SCREEN, *COMPONENTS]
+    known = {n: list(COMPONENTS) for n in ("component_sum", "component_count", "known_lower", "components_complete", "strict_sum")}
+    known |= {"weekend_less_daily": [SCREEN, WEEKEND], "weekend_share": [SCREEN, WEEKEND], "weekend_less_components": [*COMPONENTS, WEEKEND], "daily_and_sleep": [SCREEN, SLEEP], "notifications_per_open": [NOTIFICATIONS, OPENS]}
+    known |= {f"share_{k}": [SCREEN, c] for k, c in enumerate(COMPONENTS)}
+    return {n: known.get(n, screens if n.startswith("screen_") else day) for n in names}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sparkrank.fixtures import HABIT_NUMBERS, HABITS, MODELS, OBS_SQL, habits, obs, table, train
 from sparkrank.functions import scalar as S
-from sparkrank.operators import align, audit, blend, encode, folds, knn, models, ordered, rank_fm, ranking, stack
+from sparkrank.operators import align, audit, blend, cross_net, encode, folds, knn, models, ordered, rank_fm, ranking, stack
 from sparkrank.plans import geometry, lineage, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -706,6 +706,16 @@ def rank_fm_oof(spark, sf):
     return rounded(scores, "score")
 
 
+@query()
+def cross_net_oof(spark, sf):
+    """Log-odds of the cross network over nine numbers, the 31 values of the budget that they allow, and three texts."""
+    d = folds.stratified_folds(habits(spark, sf).where("split = 'train'"), "id", "y").drop("split")
+    cells = geometry.geometry(15.0)
+    d = d.select("*", *[v.alias(n) for n, (v, _) in cells.items()], *[ok.alias(f"{n}_valid") for n, (_, ok) in cells.items()])
+    scores, _, _ = cross_net.cross_net_out_of_fold(d, None, "id", HABIT_NUMBERS, [c for c in HABITS if c not in HABIT_NUMBERS], "y", geometry.cell_sources(list(cells)))
+    return rounded(scores, "score")
+
+
 @query()
 def adversarial_auc(spark, sf):
     d = encode.encoded(obs(spark, sf).select("id", "split", "x1", "m1"), ["id", "split"], ["x1"])

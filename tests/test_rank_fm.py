@@ -1,10 +1,10 @@
-"""The factorization machine's gradient against finite differences, its codes, and what it learns."""
+"""Gradients of the factorization machine and the cross network against finite differences, codes, and what both learn."""
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkrank.operators import rank_fm
+from sparkrank.operators import cross_net, rank_fm
 from sparkrank.operators.ranking import roc_auc
 
 
@@ -68,3 +68,50 @@ def test_learns_what_fields_say_together(spark, table):
     assert roc_auc(both, "y", "score").first()["auc"] > 0.8
     with pytest.raises(ValueError, match="unknown settings"):
         rank_fm.rank_fm_out_of_fold(table, None, "id", ["x"], ["t"], "y", params={"deep": 1})
+
+
+def test_cross_net_gradient_equals_finite_differences():
+    rng = np.random.default_rng(6)
+    design = rank_fm.Design(["t", "u"], ["a", "b", "cell"], [3, 4], np.zeros(3), np.ones(3))
+    theta = cross_net.fresh(design, cross_net.PARAMS | {"width": 2, "frequencies": 2, "hidden_width": 5, "rank": 2, "layers": 2}, 1)
+    theta = {c: v + 0.1 * rng.normal(size=v.shape) for c, v in theta.items()}
+    codes = np.column_stack([rng.integers(0, n, 8) + o for n, o in zip(design.sizes, design.offsets, strict=True)])
+    values, missing, y = rng.normal(size=(8, 3)), rng.random((8, 3)) < 0.3, rng.integers(0, 2, 8).astype(float)
+    loss = lambda t: rank_fm.pulls(cross_net.forward(t, codes, values, missing)[0], y, ((), ()), 0.0, 8, 0)[0]
+    score, kept = cross_net.forward(theta, codes, values, missing)
+    got = cross_net.backward(theta, codes, values, missing, kept, rank_fm.pulls(score, y, ((), ()), 0.0, 8, 0)[1])
+    assert set(got) == set(theta)
+    at = rank_fm.flat(theta)
+    want = [(loss(rank_fm.unflat(at + e, theta)) - loss(rank_fm.unflat(at - e, theta))) / 2e-6 for e in 1e-6 * np.eye(len(at))]
+    assert rank_fm.flat(got) == pytest.approx(want, abs=1e-7)
+
+
+def test_a_cell_is_hidden_with_what_it_is_made_of():
+    needs = np.array([[1, 0, 0], [0, 1, 0], [1, 1, 0]], bool)
+    design = rank_fm.Design(["t"], ["a", "b", "cell"], [4], np.zeros(3), np.ones(3), needs)
+    codes, missing = np.full((4000, 1), 3), np.zeros((4000, 3), bool)
+    codes, missing = cross_net.hidden(design, np.random.default_rng(2), codes, missing, 0.9)
+    assert (missing[:, 2] == missing[:, 0] | missing[:, 1]).all() and 0 < missing[:, 0].mean() < 0.9 and set(codes[:, 0]) == {0, 3}
+
+
+def test_cross_net_learns_from_cells(spark):
+    rng = np.random.default_rng(8)
+    a, b = rng.random(600), rng.random(600)
+    y = (a > b) ^ (rng.random(600) < 0.05)
+    rows = [(i, int(y[i]), i % 3, float(a[i]), float(b[i]), float(a[i] - b[i]), bool(i % 7), "pq"[i % 2]) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, y int, fold int, a double, b double, gap double, gap_valid boolean, t string")
+    p = {"epochs": 20, "batch": 200, "rate": 0.02, "hidden": 0.2}
+    oof, scores, losses = cross_net.cross_net_out_of_fold(df, df.where("id < 10").withColumn("id", F.col("id") + 900), "id", ["a", "b"], ["t"], "y", {"gap": ["a", "b"]}, params=p)
+    both = oof.join(df.select("id", "y"), "id")
+    assert both.count() == 600 and scores.count() == 10 and len(losses) == 60 and roc_auc(both, "y", "score").first()["auc"] > 0.85
+    with pytest.raises(ValueError, match="aren't inputs"):
+        cross_net.cross_net_out_of_fold(df, None, "id", ["a"], ["t"], "y", {"gap": ["a", "b"]})
+
+
+def test_sources_of_the_budget():
+    from sparkrank.plans import geometry
+
+    assert geometry.cell_sources(["share_1", "daily_and_sleep", "screen_std", "width_0"]) == {
+        "share_1": ["daily_screen_time_hours", "gaming_hours"], "daily_and_sleep": ["daily_screen_time_hours", "sleep_hours"],
+        "screen_std": ["daily_screen_time_hours", "social_media_hours", "gaming_hours", "work_study_hours", "weekend_screen_time"], "width_0": ["daily_screen_time_hours", "social_media_hours", "gaming_hours", "work_study_hours"],
+    }
