@@ -49,8 +49,11 @@ def overlap(train: DataFrame, test: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def repeated(df: DataFrame, columns: list[str], name: str = "n_equal") -> DataFrame:
-    """Adds how many rows are equal to each row in ``columns``."""
-    return df.withColumn(name, F.count("*").over(Window.partitionBy(*columns)))
+    """Adds how many rows are equal to each row in ``columns``, missing equal to missing. Rows meet their counts in a join, which Spark splits
+    where very many are equal."""
+    counts = df.groupBy(*[F.col(c).alias(f"_r{k}") for k, c in enumerate(columns)]).agg(F.count("*").alias("_equal"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r{k}")) for k, c in enumerate(columns)])
+    return df.join(counts, same).select(*df.columns, F.col("_equal").alias(name))
 
 
 def counted_values(df: DataFrame, columns: list[str], label: str, fold: str) -> DataFrame:

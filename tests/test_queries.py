@@ -5,8 +5,8 @@ import pytest
 
 from sparkrank import queries
 
-#: Fits of many rounds, whose parts tests/test_trees.py and tests/test_whole.py hold against twins.
-SLOW = {"gbt_oof", "categorical_gbt_oof", "adversarial_auc"}
+#: Fits of many rounds, whose parts tests/test_trees.py, test_rank_fm.py and test_whole.py hold against twins.
+SLOW = {"gbt_oof", "categorical_gbt_oof", "cross_net_oof", "adversarial_auc"}
 
 
 @pytest.fixture(scope="module")
