@@ -208,3 +208,25 @@ def test_random_trees_out_of_fold(spark, table):
     assert both.count() == 400 and scores.count() == 9 and roc_auc(both, "y", "score").first()["auc"] > 0.7 and len(weights) == 4
     with pytest.raises(ValueError, match="numbers"):
         models.out_of_fold(e, df, None, "id", ["a", "t"], "y")
+
+
+def test_workflow_of_own_trees(spark, tmp_path):
+    from sparkrank.sources import tables
+    from sparkrank.workflow import Run
+
+    train, test, sample = tables.demo(spark, 240, 60)
+    for name, df in (("train", train), ("test", test), ("sample", sample)):
+        df.orderBy("id").coalesce(1).write.csv(f"{tmp_path}/{name}", header=True)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in train.schema)
+    few = {"rounds": 3, "max_depth": 2}
+    tree = {
+        "project": {"target": "addicted_label", "id_column": "id"}, "output": {"directory": f"{tmp_path}/out"}, "cv": {"n_splits": 2, "seed": 17},
+        "data": {"train_path": f"{tmp_path}/train", "test_path": f"{tmp_path}/test", "sample_path": f"{tmp_path}/sample", "schema": schema}, "features": {"default_view": "engineered", "drop_columns": ["addiction_level"]},
+        "training": {"models": ["catboost", "lightgbm", "extra_trees"]}, "models": {"catboost": few, "lightgbm": few, "extra_trees": {"trees": 4, "max_depth": 3}},
+    }
+    done = Run(spark, tree).fit()
+    assert [d["name"] for d in done] == ["catboost", "lightgbm", "extra_trees"] and all(d["auc"] > 0.55 for d in done)
+    names = {r["feature"] for r in spark.read.parquet(f"{tmp_path}/out/importance/catboost").collect()}
+    assert {"gender", "stress_level", "daily_screen_time_hours"} <= names
+    gaps = {r["feature"] for r in spark.read.parquet(f"{tmp_path}/out/importance/lightgbm").collect()}
+    assert "gender__Female" in gaps and spark.read.parquet(f"{tmp_path}/out/predictions").where("split = 'test'").count() == 180
