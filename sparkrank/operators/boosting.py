@@ -1,11 +1,12 @@
 """Boosted trees on histograms, many models at once: missing values find their own side, rounds stop by validation AUC.
 
-Values become codes of quantile bins once, a missing value a code of its own. A level of a tree is one job for all
-models: tasks send their rows down the tree so far, add gradients up by (model, node, feature, code), and the sums of a
-node are searched for the best split in one small group, with missing values tried on both sides. Only splits come to the
-driver, a row per model and node. Gradients are summed in whole numbers, so that the order of rows and tasks can't
-change a tree. Margins are written once for some rounds; in between tasks carry the few newer trees. The validation rows'
-exact AUC of each round decides which number of rounds a model keeps, and when it stops.
+Values become codes of quantile bins once, a missing value a code of its own, and rows blocks of a model's codes, feature
+by feature. A level of a tree is one job for all models: tasks send their rows down the tree so far, add gradients up by
+(model, node, feature, code), and the sums of a node are searched for the best split in one small group, with missing values
+tried on both sides. Only splits come to the driver, a row per model and node. Gradients are summed in whole numbers, so that
+the order of rows and tasks can't change a tree. Margins and gradients are written once a tree, so that no level works out
+an older tree again. Validation rows are apart; their exact AUC of each round, found for some rounds together, decides which
+number of rounds a model keeps, and when it stops.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkrank.operators import exact_auc
 from sparkrank.operators.ordered import ordered_statistics
-from sparkrank.operators.ranking import roc_auc
 from sparkrank.plans.lineage import deleted, written
 
 #: Gradients are whole multiples of one part of this.
@@ -43,14 +44,20 @@ class Tree:
 
     def nodes(self, x: np.ndarray, missing: np.ndarray) -> np.ndarray:
         """The leaf of each row of codes; ``missing`` is each feature's code of a missing value."""
-        at = np.ones(len(x), np.int64)
-        rows = np.arange(len(x))
-        for _ in range(len(self.feature).bit_length() - 2):
-            f = self.feature[at]
-            inner = f >= 0
-            own = x[rows, np.maximum(f, 0)]
-            left = np.where(own == missing[np.maximum(f, 0)], self.left[at], own <= self.code[at])
-            at = np.where(inner, 2 * at + ~left, at)
+        return self.leaves(np.ascontiguousarray(x.T), missing)
+
+    def leaves(self, x: np.ndarray, missing: np.ndarray) -> np.ndarray:
+        """:meth:`nodes` of codes that lie feature by feature."""
+        inner, f = self.feature >= 0, np.maximum(self.feature, 0)
+        code, here = np.arange(256), np.arange(len(f))[:, None]
+        left = np.where(code == missing[f][:, None], self.left[:, None], code <= self.code[:, None])
+        following = np.where(inner[:, None], 2 * here + ~left, here).ravel()  # by node and code
+        n, steps = x.shape[1], int(np.flatnonzero(inner).max(initial=0)).bit_length()
+        if not steps:
+            return np.ones(n, np.int64)
+        at, rows, flat, start = following[256 + x[f[1]].astype(np.int64)], np.arange(n), x.ravel(), f * n
+        for _ in range(steps - 1):
+            at = following[(at << 8) + flat[start[at] + rows]]
         return at
 
 
@@ -91,21 +98,42 @@ def coded(x: np.ndarray, marks: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-_ROW = "model int, part int, key long, y double, x binary, margin double"
-_ROWS = pa.schema([("model", pa.int32()), ("part", pa.int32()), ("key", pa.int64()), ("y", pa.float64()), ("x", pa.binary()), ("margin", pa.float64())])
+#: Rows of a block.
+BLOCK_ROWS = 1 << 15
+_BLOCK = "model int, part int, rows int, key binary, y binary, x binary, margin binary, g binary, h binary"
+_BLOCKS = pa.schema([("model", pa.int32()), ("part", pa.int32()), ("rows", pa.int32()), *((c, pa.binary()) for c in ("key", "y", "x", "margin", "g", "h"))])
 
 
-def _code(columns, marks, base, batches):
+def _block(model: int, part: int, key: np.ndarray, y: np.ndarray, x: np.ndarray, margin: np.ndarray) -> pa.RecordBatch:
+    """Rows of one model, and their gradients if it trains on them; ``x`` lies feature by feature."""
+    g, h = gradients(margin, y) if part == 0 else (np.empty(0), np.empty(0))
+    values = (key, y, x, margin, g.astype(np.int32), h.astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array([v], pa.int32()) for v in (model, part, len(y))] + [pa.array([v.tobytes()], pa.binary()) for v in values], schema=_BLOCKS)
+
+
+def _code(columns, marks, base, keyed, batches):
+    held: dict[tuple[int, int], list] = {}
+    whole = lambda m, p, parts: _block(m, p, *(np.concatenate(c) for c in list(zip(*parts, strict=True))[:2]), np.concatenate([c[2] for c in parts]).T.copy(), np.full(sum(len(c[1]) for c in parts), base[m]))
     for b in batches:
         if b.num_rows:
-            x = np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in columns])
-            codes = coded(x, marks)
-            margin = np.array([base[m] for m in b.column("model").to_numpy()])
-            yield pa.RecordBatch.from_arrays([b.column("model"), b.column("part"), b.column("key"), b.column("y"), pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(margin)], schema=_ROWS)
+            x = coded(np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in columns]), marks)
+            models, part, y = b.column("model").to_numpy(), b.column("part").to_numpy(), b.column("y").to_numpy()
+            key = b.column("key").to_numpy()
+            for m, p in {*zip(models.tolist(), part.tolist(), strict=True)}:
+                at = np.flatnonzero((models == m) & (part == p))
+                held.setdefault((m, p), []).append((key[at] if keyed else key[:0], y[at], x[at]))
+                if sum(len(c[1]) for c in held[m, p]) >= BLOCK_ROWS:
+                    yield whole(m, p, held.pop((m, p)))
+    for (m, p), parts in held.items():
+        yield whole(m, p, parts)
 
 
-def _codes(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+def _read(b: pa.RecordBatch, width: int):
+    """(model, rows, a reader of a column's numbers) of each block."""
+    kinds = {"x": np.uint8, "g": np.int32, "h": np.int32, "key": np.int64}
+    for i, (m, n) in enumerate(zip(b.column("model").to_pylist(), b.column("rows").to_pylist(), strict=True)):
+        numbers = lambda c, i=i: np.frombuffer(b.column(c)[i].as_buffer(), kinds.get(c, np.float64))
+        yield m, n, lambda c, n=n, numbers=numbers: numbers(c).reshape(width, n) if c == "x" else numbers(c)
 
 
 def _drawn(key: np.ndarray, round_: int, seed: int, share: float) -> np.ndarray:
@@ -117,8 +145,7 @@ def _drawn(key: np.ndarray, round_: int, seed: int, share: float) -> np.ndarray:
     return (z ^ (z >> np.uint64(31))).astype(np.float64) / 2.0**64 < share
 
 
-_SUMS = "model int, node int, feature int, code int, g long, h long, n long"
-_SUM_SCHEMA = pa.schema([("model", pa.int32()), ("node", pa.int32()), ("feature", pa.int32()), ("code", pa.int32()), ("g", pa.int64()), ("h", pa.int64()), ("n", pa.int64())])
+_SUMS = "model int, node int, s binary"
 
 
 def gradients(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,37 +154,32 @@ def gradients(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.rint((p - y) * SCALE).astype(np.int64), np.rint(p * (1 - p) * SCALE).astype(np.int64)
 
 
-def _histograms(newer, growing, open_nodes, missing, round_, seed, share, batches):
-    """Sums by (model, node, feature, code) over a task's rows. ``newer``: trees since margins were written."""
+def _histograms(growing, open_nodes, missing, round_, seed, share, batches):
+    """Sums over a task's rows by model and node: gradients, curvatures and rows by feature and code, in one array."""
     width, codes = len(missing), int(missing.max()) + 1
     total: dict[int, np.ndarray] = {}
     for b in batches:
-        if not b.num_rows:
-            continue
-        models, x, y, margin, key = b.column("model").to_numpy(), _codes(b.column("x"), width), b.column("y").to_numpy(), b.column("margin").to_numpy(), b.column("key").to_numpy()
-        for m in np.unique(models):
-            m = int(m)
-            if m not in growing:
+        for m, _, read in _read(b, width):
+            if m not in open_nodes:
                 continue
-            at = np.flatnonzero(models == m)
-            at = at[_drawn(key[at], round_, seed, share)] if share < 1 else at
-            own, f = x[at], margin[at].copy()
-            for tree in newer[m]:
-                f += tree.value[tree.nodes(own, missing)]
-            g, h = gradients(f, y[at])
+            x, g, h = read("x"), read("g"), read("h")
+            if share < 1:
+                at = np.flatnonzero(_drawn(read("key"), round_, seed, share))
+                x, g, h = np.ascontiguousarray(x[:, at]), g[at], h[at]
             place = np.full(len(growing[m].feature), -1)
             place[open_nodes[m]] = np.arange(len(open_nodes[m]))
-            node = place[growing[m].nodes(own, missing)]
+            node = place[growing[m].leaves(x, missing)]
             inside = node >= 0
-            own, g, h, node = own[inside], g[inside], h[inside], node[inside]
-            sums = total.setdefault(m, np.zeros((3, len(open_nodes[m]) * width * codes), np.int64))
-            spot = (node[:, None] * width + np.arange(width)) * codes + own
-            for k, v in enumerate((g, h, np.ones(len(g), np.int64))):
-                np.add.at(sums[k], spot.ravel(), np.repeat(v, width))
+            if not inside.all():
+                x, g, h, node = x[:, inside], g[inside], h[inside], node[inside]
+            start, g, h, size = node * codes, g.astype(np.float64), h.astype(np.float64), len(open_nodes[m]) * codes
+            sums = total.setdefault(m, np.zeros((len(open_nodes[m]), 3, width, codes), np.int64))
+            for f in range(width):
+                spot = start + x[f]
+                for k, v in enumerate((g, h, None)):  # sums of a block are whole numbers far below 2 ** 53
+                    sums[:, k, f] += np.bincount(spot, v, size).astype(np.int64).reshape(-1, codes)
     for m, sums in total.items():
-        at = np.flatnonzero(sums[2])
-        node, feature, code = np.array(open_nodes[m], np.int32)[at // (width * codes)], at // codes % width, at % codes
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), m, np.int32)), pa.array(node.astype(np.int32)), pa.array(feature.astype(np.int32)), pa.array(code.astype(np.int32)), *(pa.array(s[at]) for s in sums)], schema=_SUM_SCHEMA)
+        yield pa.RecordBatch.from_arrays([pa.array([m] * len(sums), pa.int32()), pa.array(open_nodes[m], pa.int32()), pa.array([v.tobytes() for v in sums], pa.binary())], names=["model", "node", "s"])
 
 
 def best_split(feature, code, g, h, n, missing, ridge: float, least: int, allowed=None) -> tuple | None:
@@ -192,7 +214,9 @@ _SPLITS = "model int, node int, feature int, code int, left int, gain double, gl
 
 
 def _split(missing, ridge, least, allowed, key, table):
-    found = best_split(*(table.column(c).to_numpy() for c in ("feature", "code", "g", "h", "n")), missing, ridge, least, allowed)
+    sums = sum(np.frombuffer(s, np.int64) for s in table.column("s").to_pylist()).reshape(3, len(missing), -1)
+    feature, code = np.nonzero(sums[2])
+    found = best_split(feature, code, *sums[:, feature, code], missing, ridge, least, allowed)
     names = [x.split()[0] for x in _SPLITS.split(", ")]
     kinds = [pa.int32()] * 5 + [pa.float64()] * 5
     if found is None:
@@ -201,24 +225,61 @@ def _split(missing, ridge, least, allowed, key, table):
     return pa.table([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
 
 
-def _advance(newer, missing, batches):
-    """Rows with their margins after ``newer`` trees, and (validation rows) after each of them."""
-    width = len(missing)
+def _advance(trees, missing, batches):
+    """Blocks with margins and gradients after one more tree."""
     for b in batches:
-        if not b.num_rows:
-            continue
-        models, part, x, margin = b.column("model").to_numpy(), b.column("part").to_numpy(), _codes(b.column("x"), width), b.column("margin").to_numpy().copy()
-        steps: list = [None] * b.num_rows
-        for m in np.unique(models):
-            at = np.flatnonzero(models == m)
-            after = np.empty((len(newer[int(m)]), len(at)))
-            for k, tree in enumerate(newer[int(m)]):
-                margin[at] += tree.value[tree.nodes(x[at], missing)]
-                after[k] = margin[at]
-            for i in np.flatnonzero(part[at] == 1):
-                steps[at[i]] = after[:, i]
-        arrays = [b.column(c) for c in ("model", "part", "key", "y", "x")]
-        yield pa.RecordBatch.from_arrays([*arrays, pa.array(margin), pa.array(steps, pa.list_(pa.float64()))], schema=_ROWS.append(pa.field("steps", pa.list_(pa.float64()))))
+        for m, _, read in _read(b, len(missing)):
+            x, tree = read("x"), trees[m]
+            yield _block(m, 0, read("key"), read("y"), x, read("margin") + tree.value[tree.leaves(x, missing)])
+
+
+_STEPS = "model int, rows int, y binary, x binary, margin binary, steps binary"
+
+
+def _judge(newer, missing, batches):
+    """Validation blocks with their margins after ``newer`` trees, and after each of them."""
+    for b in batches:
+        for m, n, read in _read(b, len(missing)):
+            x, margin, after = read("x"), read("margin"), []
+            for tree in newer[m]:
+                margin = margin + tree.value[tree.leaves(x, missing)]
+                after.append(margin)
+            values = (read("y"), x, margin, np.array(after))
+            yield pa.RecordBatch.from_arrays([pa.array([m], pa.int32()), pa.array([n], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in values)], names=[c.split()[0] for c in _STEPS.split(", ")])
+
+
+def _ends(ranges, steps, batches):
+    """Quantiles of each round's margins in a task's first block of each model."""
+    seen = set()
+    for b in batches:
+        for m, n, read in _read(b, 1):
+            if m not in seen:
+                seen.add(m)
+                said = [exact_auc.quantiles(s, ranges) for s in read("steps").reshape(steps, n)]
+                yield pa.RecordBatch.from_arrays([pa.array([m] * steps, pa.int32()), pa.array(range(steps), pa.int32()), pa.array([v.tobytes() for v in said], pa.binary())], names=["model", "step", "s"])
+
+
+def _packets(marks, steps, batches):
+    held: dict[int, list] = {}
+    for b in batches:
+        for m, n, read in _read(b, 1):
+            held.setdefault(m, []).append((read("y"), read("steps").reshape(steps, n)))
+    for m, parts in held.items():
+        y = np.concatenate([p[0] for p in parts])
+        for k in range(steps):
+            yield exact_auc.packets({(m, k): (np.concatenate([p[1][k] for p in parts]), y)}, marks)
+
+
+def _judgements(judged: DataFrame, steps: int, rows: int) -> dict[tuple[int, int], float | None]:
+    """The exact AUC of each model after each of the newer ``steps`` rounds; ``rows``: the most that a model is judged by."""
+    ranges, marks = max(1, -(-rows // exact_auc.RANGE_ROWS)), {}
+    own = judged.select("model", "rows", "y", "steps")
+    if ranges > 1:
+        said: dict[tuple[int, int], list] = {}
+        for r in own.mapInArrow(partial(_ends, ranges, steps), "model int, step int, s binary").collect():  # a row per task, model and round
+            said.setdefault((r["model"], r["step"]), []).append(np.frombuffer(r["s"]))
+        marks = {at: exact_auc.marks_of(s, ranges) for at, s in said.items()}
+    return exact_auc.aucs(own.mapInArrow(partial(_packets, marks, steps), exact_auc.PACKETS))
 
 
 def fit_many(rows: DataFrame, columns: list[str], label: str, id_col: str, model: str = "model", part: str = "part", params: dict | None = None, seed: int = 42) -> Boosted:
@@ -233,29 +294,33 @@ def fit_many(rows: DataFrame, columns: list[str], label: str, id_col: str, model
     own = rows.select(F.col(model).cast("int").alias("model"), F.col(part).cast("int").alias("part"), F.xxhash64(id_col).alias("key"), F.col(label).cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in columns])
     out = Boosted(columns, quantile_marks(own.where("part = 0"), columns, p["bins"]), p)
     missing = out.missing
-    for r in own.where("part in (0, 1)").groupBy("model").agg(F.avg(F.when(F.col("part") == 0, F.col("y"))).alias("rate"), F.max("part").alias("judged")).collect():  # a row per model
+    rows_judged = 0
+    for r in own.where("part in (0, 1)").groupBy("model").agg(F.avg(F.when(F.col("part") == 0, F.col("y"))).alias("rate"), F.sum("part").alias("judged")).collect():  # a row per model
         rate = min(max(r["rate"] if r["rate"] is not None else 0.5, 1e-6), 1 - 1e-6)
-        m = r["model"]
+        m, rows_judged = r["model"], max(rows_judged, r["judged"])
         out.base[m], out.trees[m], out.best[m], out.history[m] = float(np.log(rate / (1 - rate))), [], 0 if r["judged"] else p["rounds"], []
     own = own.where("part in (0, 1)").withColumn("y", F.coalesce("y", F.lit(0.0)))
-    state = written(own.mapInArrow(partial(_code, columns, out.marks, out.base), _ROW), "boosting")
+    start = written(own.mapInArrow(partial(_code, columns, out.marks, out.base, p["row_share"] < 1), _BLOCK), "boosting", ["part"])
+    train, judged = start.where("part = 0").drop("part"), start.where("part = 1").select("model", "rows", "y", "x", "margin")
     going, done = set(out.base), 0
     while going and done < p["rounds"]:
         newer: dict[int, list[Tree]] = {m: [] for m in out.base}
         rounds = min(p["every"], p["rounds"] - done)
-        train = state.where((F.col("part") == 0) & F.col("model").isin(sorted(going)))
         for k in range(rounds):
-            grown = _grow(train, newer, sorted(going), missing, p, done + k, seed, out)
+            grown = _grow(train, sorted(going), missing, p, done + k, seed, out)
             for m in going:
                 newer[m].append(grown[m])
                 out.trees[m].append(grown[m])
+            if done + k + 1 < p["rounds"]:
+                last, train = train, _next(train, partial(_advance, grown, missing), _BLOCK, sorted(going))
+                deleted(last)
         done += rounds
-        last = state
-        state = written(last.where(F.col("model").isin(sorted(going))).mapInArrow(partial(_advance, newer, missing), _ROW + ", steps array<double>"), "boosting")
-        deleted(last)
-        judged = state.where("part = 1").select("model", "y", F.posexplode("steps").alias("round", "score"))
-        for r in sorted(roc_auc(judged, "y", "score", ["model", "round"]).collect(), key=lambda r: r["round"]):  # a row per model and round
-            out.history[r["model"]].append(r["auc"])
+        if rows_judged:
+            last, judged = judged, _next(judged, partial(_judge, newer, missing), _STEPS, sorted(going))
+            deleted(last)
+            for (m, _), auc in sorted(_judgements(judged, rounds, rows_judged).items()):
+                out.history[m].append(auc)
+        deleted(start)
         for m in sorted(going):
             auc = [-1.0 if a is None else a for a in out.history[m]]
             if auc and p["patience"] is None:
@@ -264,19 +329,17 @@ def fit_many(rows: DataFrame, columns: list[str], label: str, id_col: str, model
                 out.best[m] = int(np.argmax(auc)) + 1
                 if len(auc) - out.best[m] >= p["patience"]:
                     going.discard(m)
-        state = state.drop("steps") if not going else _without_steps(state)
-    deleted(state)
+    deleted(train)
+    deleted(judged)
     return out
 
 
-def _without_steps(state: DataFrame) -> DataFrame:
-    """The same table read without the margins of single rounds."""
-    out = state.drop("steps")
-    out._sparkrank_path = state._sparkrank_path
-    return out
+def _next(blocks: DataFrame, fn, schema: str, going: list[int]) -> DataFrame:
+    """The blocks of ``going`` as ``fn`` makes them, written."""
+    return written(blocks.where(F.col("model").isin(going)).mapInArrow(fn, schema), "boosting")
 
 
-def _grow(train: DataFrame, newer: dict[int, list[Tree]], going: list[int], missing: np.ndarray, p: dict, round_: int, seed: int, out: Boosted) -> dict[int, Tree]:
+def _grow(train: DataFrame, going: list[int], missing: np.ndarray, p: dict, round_: int, seed: int, out: Boosted) -> dict[int, Tree]:
     """One tree for each of ``going``, a job a level."""
     growing = {m: Tree.root(p["depth"]) for m in going}
     open_nodes: dict[int, list[int]] = {m: [1] for m in going}
@@ -284,10 +347,10 @@ def _grow(train: DataFrame, newer: dict[int, list[Tree]], going: list[int], miss
     if p["column_share"] < 1:
         allowed = np.zeros(len(missing), bool)
         allowed[np.random.default_rng((seed, round_)).permutation(len(missing))[: max(1, round(p["column_share"] * len(missing)))]] = True
+    rows = train.select("model", "rows", "x", "g", "h", *(["key"] if p["row_share"] < 1 else []))
     for level in range(p["depth"]):
-        fn = partial(_histograms, {m: newer[m] for m in open_nodes}, {m: growing[m] for m in open_nodes}, open_nodes, missing, round_, seed, p["row_share"])
-        sums = train.mapInArrow(fn, _SUMS).groupBy("model", "node", "feature", "code").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
-        found = sums.groupBy("model", "node").applyInArrow(partial(_split, missing, p["ridge"], p["least"], allowed), _SPLITS).collect()  # a row per model and node
+        fn = partial(_histograms, growing, open_nodes, missing, round_, seed, p["row_share"])
+        found = rows.mapInArrow(fn, _SUMS).groupBy("model", "node").applyInArrow(partial(_split, missing, p["ridge"], p["least"], allowed), _SPLITS).collect()  # a row per model and node
         following: dict[int, list[int]] = {}
         for r in sorted(found, key=lambda r: (r["model"], r["node"])):
             if r["gain"] <= p["gain"]:
@@ -310,7 +373,8 @@ def _score(columns, marks, missing, base, trees, batches):
             models, f = b.column("model").to_numpy(), np.zeros(b.num_rows)
             for m in np.unique(models):
                 at = np.flatnonzero(models == m)
-                f[at] = base[int(m)] + sum((t.value[t.nodes(x[at], missing)] for t in trees[int(m)]), np.zeros(len(at)))
+                own = x[at].T.copy()
+                f[at] = base[int(m)] + sum((t.value[t.leaves(own, missing)] for t in trees[int(m)]), np.zeros(len(at)))
             kept = [k for k, c in enumerate(b.schema.names) if c.startswith("_key")]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), pa.array(1 / (1 + np.exp(-np.clip(f, -500, 500))))], names=[*(b.schema.names[k] for k in kept), "score"])
 

@@ -230,3 +230,18 @@ def test_workflow_of_own_trees(spark, tmp_path):
     assert {"gender", "stress_level", "daily_screen_time_hours"} <= names
     gaps = {r["feature"] for r in spark.read.parquet(f"{tmp_path}/out/importance/lightgbm").collect()}
     assert "gender__Female" in gaps and spark.read.parquet(f"{tmp_path}/out/predictions").where("split = 'test'").count() == 180
+
+
+def test_small_blocks_and_ranges_give_the_same_trees_and_exact_figures(spark, table, monkeypatch):
+    df, _, _ = table
+    both = df.withColumns({"model": F.lit(0), "part": (F.col("fold") == 1).cast("int")})
+    settings = {"rounds": 3, "depth": 2, "every": 3, "bins": 12, "patience": 99}
+    one = boosting.fit_many(both, list("abcd"), "y", "id", params=settings)
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(boosting.exact_auc, "RANGE_ROWS", 9)
+    many = boosting.fit_many(both, list("abcd"), "y", "id", params=settings)
+    assert all((t.feature == u.feature).all() and (t.value == u.value).all() for t, u in zip(one.trees[0], many.trees[0], strict=True))
+    assert many.history == one.history
+    for k, auc in enumerate(many.history[0], 1):
+        many.best[0] = k
+        assert roc_auc(boosting.predict(many, both.where("part = 1"), ["id", "y"]), "y", "score").first()["auc"] == pytest.approx(auc, abs=1e-12)
