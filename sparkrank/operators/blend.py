@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkrank.operators import exact_auc
 from sparkrank.operators.folds import stratified_subsample
 from sparkrank.operators.ranking import BINS, UNIT, average_ranks, ranked_models, roc_auc, sums_before
-from sparkrank.plans.lineage import written
+from sparkrank.plans.lineage import deleted, written
 
 
 def weighted(models: dict[str, float]) -> Column:
@@ -42,18 +43,48 @@ def candidate_scores(ranked: DataFrame, label: str, models: list[str], chosen: d
     return roc_auc(rows.unpivot([round_col, label], models, "model", "score"), label, "score", [round_col, "model"], UNIT).select(round_col, "model", "auc")
 
 
+def _candidates(models, chosen, ranges, batches):
+    """A task's packets of every round's running mean with one model more."""
+    held: dict[int, list] = {}
+    for b in batches:
+        if b.num_rows:
+            rounds, y = b.column("round").to_numpy(), b.column("y").to_numpy()
+            x = {m: b.column(k + 2).to_numpy() for k, m in enumerate(models)}
+            for r, c in chosen.items():
+                at = slice(None) if (rounds == r).all() else rounds == r
+                kept = reduce(lambda a, d: a + d, [x[m] * float(n) for m, n in c.items()]) if c else 0.0
+                held.setdefault(r, []).append((y[at], [((kept + x[m]) / (sum(c.values()) + 1.0))[at] for m in models]))
+                if sum(len(p[0]) for p in held[r]) >= PACKET_ROWS:
+                    yield _sent(r, held.pop(r), ranges)
+    for r, parts in held.items():
+        yield _sent(r, parts, ranges)
+
+
+#: Rows that a task counts by score at once.
+PACKET_ROWS = 1 << 19
+
+
+def _sent(r: int, parts: list, ranges: int) -> pa.RecordBatch:
+    y = np.concatenate([p[0] for p in parts])
+    found = {(r, k): (np.concatenate([p[1][k] for p in parts]), y) for k in range(len(parts[0][1]))}
+    return exact_auc.packets(found, dict.fromkeys(found, np.arange(1, ranges) / ranges))
+
+
 def greedy_rounds(ranked: DataFrame, label: str, models: list[str], rounds: list[int], steps: int = 40, gain: float = 1e-6) -> dict[int, tuple[dict[str, float], list[tuple[int, str, float]]]]:
     """Greedy selection with replacement in every round at once: one job scores all candidates of all rounds that
-    still go on. Per round: weights, and (step, model, auc) for each step. The first model wins ties."""
+    still go on. Per round: weights, and (step, model, auc) for each step. The first model wins ties. Ranks are not null."""
     chosen: dict[int, dict[str, int]] = {r: {} for r in rounds}
     history: dict[int, list[tuple[int, str, float]]] = {r: [] for r in rounds}
     going = set(rounds)
+    own = ranked.select(F.col("round").cast("int").alias("round"), F.col(label).cast("double").alias("y"), *[F.col(m).cast("double") for m in models])
+    ranges = max(BINS, -(-own.count() // exact_auc.RANGE_ROWS))
     for step in range(1, steps + 1):
         if not going:
             break
-        found = candidate_scores(ranked, label, models, {r: chosen[r] for r in sorted(going)}).collect()  # rounds * models rows
+        asked = {r: chosen[r] for r in sorted(going)}
+        found = exact_auc.aucs(own.where(F.col("round").isin(list(asked))).mapInArrow(partial(_candidates, models, asked, ranges), exact_auc.PACKETS))
         for r in sorted(going):
-            scores = {x["model"]: x["auc"] for x in found if x["round"] == r and x["auc"] is not None}
+            scores = {m: found[r, k] for k, m in enumerate(models) if found.get((r, k)) is not None}
             best = max((m for m in models if m in scores), key=lambda m: scores[m], default=None)
             if best is None or step > 1 and scores[best] < history[r][-1][2] + gain:
                 going.discard(r)
@@ -64,11 +95,11 @@ def greedy_rounds(ranked: DataFrame, label: str, models: list[str], rounds: list
 
 
 def greedy_weights(df: DataFrame, id_col: str, label: str, models: list[str], steps: int = 40, gain: float = 1e-6) -> tuple[dict[str, float], list[tuple[int, str, float]]]:
-    ranked = ranked_models(df, [id_col, label], models).withColumn("round", F.lit(0)).persist()
+    ranked = written(ranked_models(df, [id_col, label], models).select(F.lit(0).alias("round"), label, *models), "ranks")
     try:
         return greedy_rounds(ranked, label, models, [0], steps, gain)[0]
     finally:
-        ranked.unpersist()
+        deleted(ranked)
 
 
 def _auc_of(score: np.ndarray, y: np.ndarray, positives: int) -> float:

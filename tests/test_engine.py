@@ -187,3 +187,28 @@ def test_workflow(spark, tmp_path):
     assert run.blend()["auc"] > 0.6
     assert run.stack()["chosen"] in ("global", "regime", "mix")
     assert spark.read.csv(str(tmp_path / "out/submission_stack"), header=True).count() == 80
+
+
+def test_greedy_search_equals_candidates_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(blend, "PACKET_ROWS", 50)
+    df = spark.range(300).selectExpr("id", "cast(id % 3 = 0 as int) as y", "cast(id % 7 + if(id % 3 = 0, 2, 0) as double) as a", "cast(id % 11 - if(id % 5 = 0, 1, 0) as double) as b")
+    ranked = ranking.ranked_models(df, ["id", "y"], ["a", "b"]).withColumn("round", F.lit(0))
+    weights, history = blend.greedy_rounds(ranked, "y", ["a", "b"], [0], 5)[0]
+    chosen = {}
+    for _, best, auc in history:
+        scores = {r["model"]: r["auc"] for r in blend.candidate_scores(ranked, "y", ["a", "b"], {0: chosen}).collect()}
+        assert auc == pytest.approx(scores[best], abs=1e-12) and auc == pytest.approx(max(scores.values()))
+        chosen = chosen | {best: chosen.get(best, 0) + 1}
+    assert weights == {m: chosen.get(m, 0) / len(history) for m in ("a", "b") if m in chosen}
+
+
+def test_subsample_numbers_only_rows_near_it(spark, monkeypatch):
+    numbered, seen = folds.numbered, []
+    monkeypatch.setattr(folds, "numbered", lambda df, *a: seen.append(df.count()) or numbered(df, *a))
+    df = spark.range(20_000).selectExpr("id", "cast(id % 4 = 0 as int) as y")
+    few = {(r["round"], r["id"]) for r in folds.stratified_subsample(df, "id", "y", 0.8, 400, 3).collect()}
+    assert seen[0] < 60_000 / 10
+    monkeypatch.setattr(folds, "_most_digest", lambda wanted, rows: "g")
+    assert few == {(r["round"], r["id"]) for r in folds.stratified_subsample(df, "id", "y", 0.8, 400, 3).collect()} and len(few) == 1200
+    monkeypatch.setattr(folds, "_most_digest", lambda wanted, rows: "0")
+    assert few == {(r["round"], r["id"]) for r in folds.stratified_subsample(df, "id", "y", 0.8, 400, 3).collect()}
