@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkrank.operators.ranking import roc_auc
+from sparkrank.plans.lineage import written
 
 
 def shuffled(id_col: str, salt: object) -> Column:
@@ -50,9 +51,23 @@ def stratified_subsample(df: DataFrame, id_col: str, label: str, share: float =
         wanted[c] = min(k, n)
     parts = df.withColumn("round", F.explode(F.array(*[F.lit(k) for k in range(rounds)])))
     digest = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(":"), F.col("round").cast("string"), F.lit(f":{seed}")))
-    rows = numbered(parts.withColumn("_digest", digest), ["round", label], "_digest", "_number")
-    limit = F.coalesce(*[F.when(F.col(label).eqNullSafe(F.lit(c)), F.lit(k)) for c, k in wanted.items()]) if wanted else F.lit(0)
-    return rows.where(F.col("_number") < limit).select(*parts.columns)
+    dealt = parts.withColumn("_digest", digest)
+    per = lambda found: F.coalesce(*[F.when(F.col(label).eqNullSafe(F.lit(c)), F.lit(k)) for c, k in found.items()]) if found else F.lit(0)
+    near = {c: _most_digest(k, sizes[c]) for c, k in wanted.items()}
+    taken = dealt
+    if 2 * sum(wanted.values()) < total:  # else nearly all rows would be kept
+        taken = written(dealt.where(F.col("_digest") <= per(near)), "sample")
+        full = taken.groupBy("round", label).count().collect()  # a row per round and class
+        if any(sum(r[label] == c and r["count"] >= k for r in full) < rounds for c, k in wanted.items()):
+            taken = dealt  # digests weren't spread evenly
+    rows = numbered(taken, ["round", label], "_digest", "_number")
+    return rows.where(F.col("_number") < per(wanted)).select(*parts.columns)
+
+
+def _most_digest(wanted: int, rows: int) -> str:
+    """A digest that the ``wanted`` smallest of ``rows`` stay below but by an accident."""
+    share = (wanted + 8 * wanted**0.5 + 64) / max(1, rows)
+    return "g" if share >= 1 else f"{int(share * 16**8):08x}" + "f" * 24
 
 
 def out_of_fold_encoding(df: DataFrame, column: str, label: str, fold: str = "fold", smoothing: float = 20.0, missing: str = "__MISSING__") -> DataFrame:
