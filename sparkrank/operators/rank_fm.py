@@ -5,9 +5,12 @@ number besides, unless it is missing. The output is a bias, a weight for each co
 tokens. The loss is the mean log-loss plus ``rank_weight`` times the mean of log(1 + exp(s- - s+)) over pairs of a
 positive and a negative row drawn in each task. Fields are hidden at random while training, as if missing.
 
-Rows are dealt into batches once, each a directory. A step is one job over one batch for the models of all folds: tasks
-work out gradients of their rows, these are added up in two steps, and the driver moves the parameters, whose number is
-bounded by ``table`` codes, not by rows. What predicts is a moving average of the parameters.
+Rows are dealt into batches once, each a row of packed numbers, and batches into shards of at most ``SHARD_BATCHES``. An epoch is one job:
+a task takes a model through the batches of a shard, step by step; if there are several shards, parameters and moments of the model
+are averaged over them before the next epoch. So up to 524,288 rows a model's steps follow one another as if on one machine,
+beyond that shards take theirs side by side, and the number of jobs stays that of the epochs. The driver holds parameters, whose number
+is bounded by ``table`` codes, not by rows. Outputs and gradients are worked out in 32-bit floats, parameters are kept in 64 bits. What
+predicts is a moving average of the parameters.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,9 @@ from sparkrank.operators.encode import lattice_vocabulary
 from sparkrank.operators.newton import LANES, _added
 from sparkrank.plans.lineage import deleted, written
 
+#: Batches that a task takes one after another in an epoch, at most.
+SHARD_BATCHES = 64
+
 PARAMS = {"width": 8, "frequencies": 4, "epochs": 12, "batch": 8192, "rate": 0.02, "decay": 1e-4, "average": 0.9, "rank_weight": 0.3, "hidden": 0.05, "least": 2, "table": 1 << 16, "clip": 5.0}
 
 
@@ -55,14 +61,31 @@ def fresh(design: Design, p: dict, seed: int) -> dict[str, np.ndarray]:
     }
 
 
+def smooth_tokens(theta: dict[str, np.ndarray], values: np.ndarray, missing: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fourier embeddings of numbers (rows, numbers, width), zero where missing; and the waves, number by number."""
+    k = theta["frequency"].shape[1]
+    phase = values.T[:, :, None] * (2 * math.pi * theta["frequency"])[:, None, :]
+    waves = np.empty((*phase.shape[:2], 2 * k), phase.dtype)
+    np.sin(phase, out=waves[:, :, :k])
+    np.cos(phase, out=waves[:, :, k:])
+    return (waves @ theta["project"] + theta["shift"][:, None, :]).transpose(1, 0, 2) * ~missing[:, :, None], waves
+
+
+def smooth_gradients(theta: dict[str, np.ndarray], values: np.ndarray, waves: np.ndarray, d_smooth: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradients of what makes the embeddings, from those of the embeddings (rows, numbers, width)."""
+    k = theta["frequency"].shape[1]
+    own = np.ascontiguousarray(d_smooth.transpose(1, 0, 2))
+    d_waves = own @ theta["project"].transpose(0, 2, 1)
+    d_phase = d_waves[:, :, :k] * waves[:, :, k:] - d_waves[:, :, k:] * waves[:, :, :k]
+    by_value = np.ascontiguousarray(values.T)[:, None, :] @ d_phase
+    return {"shift": own.sum(1), "project": waves.transpose(0, 2, 1) @ own, "frequency": 2 * math.pi * by_value[:, 0, :]}
+
+
 def forward(theta: dict[str, np.ndarray], codes: np.ndarray, values: np.ndarray, missing: np.ndarray) -> tuple[np.ndarray, tuple]:
     """Outputs of rows, and what the gradient needs. ``codes`` count through all fields; number j shares the token of field j."""
-    tokens = theta["embed"][codes].copy()
-    phase = 2 * math.pi * values[:, :, None] * theta["frequency"][None]
-    waves = np.concatenate([np.sin(phase), np.cos(phase)], 2)
-    smooth = np.einsum("bjk,jkw->bjw", waves, theta["project"]) + theta["shift"]
-    n = values.shape[1]
-    tokens[:, :n] += smooth * ~missing[:, :, None]
+    tokens = theta["embed"][codes]
+    smooth, waves = smooth_tokens(theta, values, missing)
+    tokens[:, : values.shape[1]] += smooth
     total = tokens.sum(1)
     out = theta["bias"][0] + theta["linear"][codes].sum(1) + 0.5 * ((total**2).sum(1) - (tokens**2).sum((1, 2)))
     return out, (tokens, total, waves)
@@ -71,19 +94,11 @@ def forward(theta: dict[str, np.ndarray], codes: np.ndarray, values: np.ndarray,
 def backward(theta: dict[str, np.ndarray], codes: np.ndarray, values: np.ndarray, missing: np.ndarray, kept: tuple, pull: np.ndarray) -> dict[str, np.ndarray]:
     """Gradients of sum(pull * output)."""
     tokens, total, waves = kept
-    n, k = values.shape[1], theta["frequency"].shape[1]
     d_tokens = pull[:, None, None] * (total[:, None, :] - tokens)
-    out = {c: np.zeros_like(v) for c, v in theta.items()}
-    out["bias"][0] = pull.sum()
+    out = {"bias": np.array([pull.sum()]), "linear": np.zeros_like(theta["linear"]), "embed": np.zeros_like(theta["embed"])}
     np.add.at(out["linear"], codes, np.broadcast_to(pull[:, None], codes.shape))
     np.add.at(out["embed"], codes, d_tokens)
-    d_smooth = d_tokens[:, :n] * ~missing[:, :, None]
-    out["shift"] = d_smooth.sum(0)
-    out["project"] = np.einsum("bjk,bjw->jkw", waves, d_smooth)
-    d_waves = np.einsum("bjw,jkw->bjk", d_smooth, theta["project"])
-    d_phase = d_waves[:, :, :k] * waves[:, :, k:] - d_waves[:, :, k:] * waves[:, :, :k]
-    out["frequency"] = (2 * math.pi * values[:, :, None] * d_phase).sum(0)
-    return out
+    return out | smooth_gradients(theta, values, waves, d_tokens[:, : values.shape[1]] * ~missing[:, :, None])
 
 
 def hidden(design: Design, rng: np.random.Generator, codes: np.ndarray, missing: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
@@ -145,35 +160,6 @@ def _unpacked(b, design):
     return codes, values, missing
 
 
-def _gradients(net, design, p, thetas, step, seed, batches):
-    """Sums over a task's rows by model: [rows, pairs, loss, gradient of the rows' sum, gradient of the pairs' sum]."""
-    from pyspark import TaskContext
-
-    task = TaskContext.get().partitionId()
-    total: dict[int, np.ndarray] = {}
-    for place, b in enumerate(batches):
-        if not b.num_rows:
-            continue
-        codes, values, missing = _unpacked(b, design)
-        y, fold = b.column("y").to_numpy(), b.column("fold").to_numpy()
-        rng = np.random.default_rng((seed, step, task, place))
-        if p["hidden"]:
-            codes, missing = net.hidden(design, rng, codes, missing, p["hidden"])
-        for m, theta in thetas.items():
-            at = np.flatnonzero(fold != m)
-            if not len(at):
-                continue
-            own = (codes[at], values[at], missing[at])
-            score, kept = net.forward(theta, *own)
-            pairs = drawn_pairs(y[at], rng)
-            loss, pull = pulls(score, y[at], ((), ()), 0.0, 1, 0)
-            rank_loss, rank_pull = pulls(score, y[at], pairs, 1.0, 1, 1)
-            s = np.concatenate([[len(at), len(pairs[0]), loss, rank_loss - loss], flat(net.backward(theta, *own, kept, pull)), flat(net.backward(theta, *own, kept, rank_pull - pull))])
-            total[m] = total[m] + s if m in total else s
-    for m, s in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([m], pa.int32()), pa.array([task % LANES], pa.int32()), pa.array([s.tobytes()], pa.binary())], names=["fit", "lane", "s"])
-
-
 class Adam:
     """Steps by running moments, weights shrunk a little each step, rate risen and fallen over the whole training."""
 
@@ -216,6 +202,54 @@ def designed(train: DataFrame, test: DataFrame | None, id_col: str, label: str,
     return design, rows
 
 
+_BLOCKS = "shard int, batch int, y binary, fold binary, codes binary, values binary"
+
+
+def _blocked(shards: int, key, rows):
+    """A batch as one row, its rows by id."""
+    rows = rows.sort_by("id")
+    values = np.frombuffer(b"".join(rows.column("values").to_pylist()), np.float64).astype(np.float32)
+    out = (rows.column("y").to_numpy(), rows.column("fold").to_numpy().astype(np.int32), values)
+    y, fold, values = (v.tobytes() for v in out)
+    codes, batch = b"".join(rows.column("codes").to_pylist()), key[0].as_py()
+    return pa.table([pa.array([batch % shards], pa.int32()), pa.array([batch], pa.int32()), *(pa.array([v], pa.binary()) for v in (y, fold, codes, values))], names=[c.split()[0] for c in _BLOCKS.split(", ")])
+
+
+def _trained(net: Net, design: Design, p: dict, m: int, shared, order: np.ndarray, epoch: int, steps: int, seed: int, blocks):
+    """Takes model ``m`` through the batches of each shard in ``order``: [batches, batches * state, loss of each batch]."""
+    shards: dict[int, dict[int, tuple]] = {}
+    for b in blocks:
+        for shard, batch, *own in zip(*(b.column(c) for c in ("shard", "batch", "y", "fold", "codes", "values")), strict=True):
+            y, fold, codes, values = (np.frombuffer(v.as_buffer(), kind) for v, kind in zip(own, (np.float64, np.int32, np.int32, np.float32), strict=True))
+            shards.setdefault(shard.as_py(), {})[batch.as_py()] = (y, fold, codes.reshape(len(y), -1), values.reshape(len(y), len(design.numbers)))
+    like = net.fresh(design, p, 0) if shards else {}
+    for shard, held in shards.items():
+        state, t = shared.value[m]
+        adam, losses = Adam(state.shape[1], p, steps), np.zeros(len(order))
+        w, adam.m, adam.v, mean = state
+        adam.t = t
+        for place, batch in enumerate(order):
+            if batch not in held:
+                continue
+            y, fold, codes, values = held[batch]
+            rng = np.random.default_rng((seed, epoch, int(batch)))
+            missing = np.isnan(values)
+            values = np.where(missing, np.float32(0), values)
+            if p["hidden"]:
+                codes, missing = net.hidden(design, rng, codes, missing, p["hidden"])
+            at = np.flatnonzero(fold != m)
+            if not len(at):
+                continue
+            own, theta = (codes[at], values[at], missing[at]), unflat(w.astype(np.float32), like)
+            score, kept = net.forward(theta, *own)
+            pairs = drawn_pairs(y[at], rng)
+            losses[place], pull = pulls(score.astype(np.float64), y[at], pairs, p["rank_weight"], len(at), len(pairs[0]))
+            w = adam.moved(w, flat(net.backward(theta, *own, kept, pull.astype(np.float32))).astype(np.float64))
+            mean = p["average"] * mean + (1 - p["average"]) * w
+        s = np.concatenate([[len(held)], len(held) * np.concatenate([w, adam.m, adam.v, mean]), losses])
+        yield pa.RecordBatch.from_arrays([pa.array([m], pa.int32()), pa.array([shard % LANES], pa.int32()), pa.array([s.tobytes()], pa.binary())], names=["fit", "lane", "s"])
+
+
 _ROWS = "id long, y double, fold int, batch int, codes binary, values binary"
 _ROW_SCHEMA = pa.schema([("id", pa.int64()), ("y", pa.float64()), ("fold", pa.int32()), ("batch", pa.int32()), ("codes", pa.binary()), ("values", pa.binary())])
 
@@ -253,30 +287,31 @@ def settled(defaults: dict, params: dict | None) -> dict:
 
 
 def trained_out_of_fold(net: Net, design: Design, rows: DataFrame, id_col: str, p: dict, seed: int, sent: bool) -> tuple[DataFrame, DataFrame | None, list[float]]:
-    """Trains a ``net`` for each fold on the others' rows, batch by batch, all folds in one job a step."""
-    table = written(rows.mapInArrow(partial(_packed, design), _ROWS), "fm-rows", ["batch"])
-    batches = sorted(r["batch"] for r in table.where("batch >= 0").select("batch").distinct().collect())  # a row per batch
-    folds = sorted(int(r["fold"]) for r in table.where("fold is not null").select("fold").distinct().collect())  # a row per fold
+    """Trains a ``net`` for each fold on the others' rows, all folds in one job an epoch."""
+    table = written(rows.mapInArrow(partial(_packed, design), _ROWS), "fm-rows")
+    train, spark = table.where("batch >= 0"), table.sparkSession
+    batches = sorted(r["batch"] for r in train.select("batch").distinct().collect())  # a row per batch
+    folds = sorted(int(r["fold"]) for r in train.select("fold").distinct().collect())  # a row per fold
+    shards = max(1, -(-len(batches) // SHARD_BATCHES))
+    blocks = train.groupBy("batch").applyInArrow(partial(_blocked, shards), _BLOCKS)
+    blocks = written(blocks.repartition("shard"), "fm-blocks", ["shard"]).select(*[c.split()[0] for c in _BLOCKS.split(", ")])
     thetas = {m: net.fresh(design, p, seed + m) for m in folds}
-    mean = {m: flat(t) for m, t in thetas.items()}
-    steps = p["epochs"] * len(batches)
-    adam, losses, step = {m: Adam(len(mean[m]), p, steps) for m in folds}, [], 0
+    states = {m: (np.stack([w := flat(t), 0 * w, 0 * w, w]), 0) for m, t in thetas.items()}
+    each, losses = -(-len(batches) // shards), []
     for epoch in range(p["epochs"]):
-        for k in np.random.default_rng((seed, epoch)).permutation(len(batches)):
-            own = table.where(F.col("batch") == batches[k]).select("y", "fold", "codes", "values")
-            parts = own.mapInArrow(partial(_gradients, net, design, p, thetas, step, seed), "fit int, lane int, s binary").groupBy("fit", "lane").applyInArrow(_added, "fit int, lane int, s binary")
-            loss = []
-            for r in parts.groupBy("fit").applyInArrow(_added, "fit int, lane int, s binary").collect():  # a row per model
-                m, s = r["fit"], np.frombuffer(r["s"])
-                n, pairs, size = max(1.0, s[0]), max(1.0, s[1]), len(mean[m])
-                g = s[4 : 4 + size] / n + p["rank_weight"] * s[4 + size :] / pairs
-                w = adam[m].moved(flat(thetas[m]), g)
-                thetas[m] = unflat(w, thetas[m])
-                mean[m] = p["average"] * mean[m] + (1 - p["average"]) * w
-                loss.append(s[2] / n + p["rank_weight"] * s[3] / pairs)
-            losses.append(float(np.mean(loss)))
-            step += 1
-    averaged = {m: unflat(mean[m], thetas[m]) for m in folds}
+        order = np.array(batches)[np.random.default_rng((seed, epoch)).permutation(len(batches))]
+        shared = spark.sparkContext.broadcast(states)
+        passes = [blocks.mapInArrow(partial(_trained, net, design, p, m, shared, order, epoch, p["epochs"] * each, seed), "fit int, lane int, s binary") for m in folds]
+        parts = reduce(DataFrame.unionByName, passes).groupBy("fit", "lane").applyInArrow(_added, "fit int, lane int, s binary")
+        loss = []
+        for r in parts.groupBy("fit").applyInArrow(_added, "fit int, lane int, s binary").collect():  # a row per model
+            m, s = r["fit"], np.frombuffer(r["s"])
+            size = states[m][0].shape[1]
+            states[m] = (s[1 : 1 + 4 * size].reshape(4, size) / s[0], states[m][1] + each)
+            loss.append(s[1 + 4 * size :])
+        losses += np.mean(loss, 0).tolist()
+        shared.destroy()
+    averaged = {m: unflat(states[m][0][3], thetas[m]) for m in folds}
     scores = written(table.mapInArrow(partial(_score, net, design, averaged), "id long, sent boolean, score double"), "fm-scores")
     deleted(table)
     out = scores.where("not sent").select(F.col("id").alias(id_col), "score")
