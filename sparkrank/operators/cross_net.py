@@ -4,7 +4,7 @@ Every number and cell is a token, a learned Fourier embedding that is zero where
 the embedding of its code. Tokens and the flags of what is missing are projected to one vector, which is crossed with itself
 through low-rank layers: x + x0 * (U (V x) + b). While training, raw fields are hidden at random, batch by batch at a rate drawn for
 the batch; a cell goes with any raw field that it is made of. Training, averages and scores are those of
-:mod:`sparkrank.operators.rank_fm`: a job a step for the models of all folds.
+:mod:`sparkrank.operators.rank_fm`: a job an epoch for the models of all folds.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkrank.operators.rank_fm import PARAMS as TRAINING
-from sparkrank.operators.rank_fm import Design, Net, designed, settled, trained_out_of_fold
+from sparkrank.operators.rank_fm import Design, Net, designed, settled, smooth_gradients, smooth_tokens, trained_out_of_fold
 
 PARAMS = TRAINING | {"hidden": 0.3, "rank_weight": 0.0, "hidden_width": 48, "rank": 12, "layers": 2, "width": 6}
 
@@ -40,10 +40,8 @@ def _layers(theta: dict[str, np.ndarray]) -> int:
 
 def forward(theta: dict[str, np.ndarray], codes: np.ndarray, values: np.ndarray, missing: np.ndarray) -> tuple[np.ndarray, tuple]:
     """Outputs of rows, and what the gradient needs."""
-    phase = 2 * math.pi * values[:, :, None] * theta["frequency"][None]
-    waves = np.concatenate([np.sin(phase), np.cos(phase)], 2)
-    smooth = (np.einsum("bjk,jkw->bjw", waves, theta["project"]) + theta["shift"]) * ~missing[:, :, None]
-    z = np.concatenate([smooth.reshape(len(values), -1), theta["embed"][codes].reshape(len(values), -1), missing.astype(float)], 1)
+    smooth, waves = smooth_tokens(theta, values, missing)
+    z = np.concatenate([smooth.reshape(len(values), -1), theta["embed"][codes].reshape(len(values), -1), missing.astype(values.dtype)], 1)
     x = first = np.tanh(z @ theta["in"] + theta["in_bias"])
     kept = []
     for layer in range(_layers(theta)):
@@ -70,15 +68,10 @@ def backward(theta: dict[str, np.ndarray], codes: np.ndarray, values: np.ndarray
     d_in = (d + d_first) * (1 - first**2)
     out["in"], out["in_bias"] = z.T @ d_in, d_in.sum(0)
     d_z = d_in @ theta["in"].T
-    n, w, k = values.shape[1], theta["embed"].shape[1], theta["frequency"].shape[1]
-    d_smooth = d_z[:, : n * w].reshape(-1, n, w) * ~missing[:, :, None]
+    n, w = values.shape[1], theta["embed"].shape[1]
     out["embed"] = np.zeros_like(theta["embed"])
     np.add.at(out["embed"], codes, d_z[:, n * w : n * w + codes.shape[1] * w].reshape(*codes.shape, w))
-    out["shift"], out["project"] = d_smooth.sum(0), np.einsum("bjk,bjw->jkw", waves, d_smooth)
-    d_waves = np.einsum("bjw,jkw->bjk", d_smooth, theta["project"])
-    d_phase = d_waves[:, :, :k] * waves[:, :, k:] - d_waves[:, :, k:] * waves[:, :, :k]
-    out["frequency"] = (2 * math.pi * values[:, :, None] * d_phase).sum(0)
-    return out
+    return out | smooth_gradients(theta, values, waves, d_z[:, : n * w].reshape(-1, n, w) * ~missing[:, :, None])
 
 
 def hidden(design: Design, rng: np.random.Generator, codes: np.ndarray, missing: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
