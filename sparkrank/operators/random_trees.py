@@ -1,9 +1,9 @@
 """Fully random trees: every node draws some features and one threshold each between the least and largest value that it
 holds, and takes the best of these splits. All trees of all models grow together, level by level.
 
-Each row carries the node that it has reached in every tree. A level is two aggregates over the rows: least and largest
-values by (model, tree, node, drawn feature), then rows and positives left of the drawn thresholds. Both are summed
-inside a task first; what comes to the driver is bounded by trees and depth, not by rows. All sums are of whole
+Rows stand in blocks, and each carries the node that it has reached in every tree. A level is two aggregates over the rows: least and largest
+values by (model, tree, node, drawn feature), then rows and positives left of the drawn thresholds. For these a tree's rows are ordered
+by node once a block, so that a node is a range of them. Both are summed inside a task first; what comes to the driver is bounded by trees and depth, not by rows. All sums are of whole
 numbers and all draws are seeded by (seed, model, tree, node), so the same rows give the same trees in any partitioning.
 """
 
@@ -54,48 +54,79 @@ def descend(nodes: np.ndarray, x: np.ndarray, feature: np.ndarray, threshold: np
     return nodes
 
 
-_STATE = "model int, y int, x binary, nodes binary"
-_STATE_SCHEMA = pa.schema([("model", pa.int32()), ("y", pa.int32()), ("x", pa.binary()), ("nodes", pa.binary())])
+#: Rows of a block: their values stay near the processor.
+BLOCK_ROWS = 1 << 14
+_STATE = "model int, rows int, y binary, x binary, nodes binary"
+_STATE_SCHEMA = pa.schema([("model", pa.int32()), ("rows", pa.int32()), ("y", pa.binary()), ("x", pa.binary()), ("nodes", pa.binary())])
 
 
-def _start(columns, trees, batches):
-    root = np.ones(trees, np.int32).tobytes()
-    for b in batches:
-        if b.num_rows:
-            x = np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in columns])
-            yield pa.RecordBatch.from_arrays([b.column("model"), b.column("y"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([root] * b.num_rows, pa.binary())], schema=_STATE_SCHEMA)
+def _state(model: int, y: np.ndarray, x: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+    """Rows of one model; ``x`` lies feature by feature, ``nodes`` tree by tree."""
+    return pa.RecordBatch.from_arrays([pa.array([model], pa.int32()), pa.array([len(y)], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in (y.astype(np.int8), x, nodes))], schema=_STATE_SCHEMA)
 
 
-def _unpacked(b, width, trees):
-    x = np.frombuffer(b"".join(b.column("x").to_pylist()), np.float64).reshape(-1, width)
-    return b.column("model").to_numpy(), b.column("y").to_numpy(), x, np.frombuffer(b"".join(b.column("nodes").to_pylist()), np.int32).reshape(-1, trees)
+def _start(columns, trees, depth, batches):
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
+    def whole(m, parts):
+        y, x = (np.concatenate(c) for c in zip(*parts, strict=True))
+        return _state(m, y, np.ascontiguousarray(x.T), np.ones((trees, len(y)), _kind(depth)))
 
-def _advanced(width, trees, steps, feature, threshold, batches):
     for b in batches:
         if b.num_rows:
-            models, _, x, nodes = _unpacked(b, width, trees)
-            out = nodes.copy()
-            for m in np.unique(models):
+            x = np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in columns])
+            models, y = b.column("model").to_numpy(), b.column("y").to_numpy()
+            for m in np.unique(models).tolist():
                 at = models == m
-                out[at] = descend(nodes[at], x[at], feature[int(m)], threshold[int(m)], steps)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("model", "y", "x")), pa.array([r.tobytes() for r in out], pa.binary())], schema=_STATE_SCHEMA)
+                held.setdefault(m, []).append((y[at], x[at]))
+                if sum(len(c[0]) for c in held[m]) >= BLOCK_ROWS:
+                    yield whole(m, held.pop(m))
+    for m, parts in held.items():
+        yield whole(m, parts)
 
 
-def _by_node(width, trees, steps, feature, threshold, picked, batches):
-    """For each batch and model: (model, x, y, rows, places) of row and tree pairs that stand in an open node; a place is the node's number
-    in ``picked[model]`` (tree, node -> place, -1 if not open)."""
+def _kind(depth: int):
+    return np.uint16 if 2 << depth <= 1 << 16 else np.uint32
+
+
+def _blocks(width, trees, depth, batches):
     for b in batches:
-        if b.num_rows:
-            models, y, x, nodes = _unpacked(b, width, trees)
-            for m in np.unique(models):
-                m = int(m)
-                if m in picked:
-                    at = models == m
-                    own = descend(nodes[at], x[at], feature[m], threshold[m], steps)
-                    place = picked[m][np.arange(trees)[None, :], own]
-                    rows, tree = np.nonzero(place >= 0)
-                    yield m, x[at], y[at], rows, place[rows, tree]
+        for m, n, *own in zip(*(b.column(c) for c in _STATE_SCHEMA.names), strict=True):
+            y, x, nodes = (np.frombuffer(v.as_buffer(), kind) for v, kind in zip(own, (np.int8, np.float64, _kind(depth)), strict=True))
+            yield m.as_py(), y, x.reshape(width, n.as_py()), nodes.reshape(trees, n.as_py())
+
+
+def _stepped(nodes: np.ndarray, x: np.ndarray, feature: np.ndarray, threshold: np.ndarray, steps: int) -> np.ndarray:
+    """Nodes of one tree's rows after up to ``steps`` more levels. A missing value goes left."""
+    values, rows = x.reshape(-1), np.arange(x.shape[1])
+    for _ in range(steps):
+        f = feature[nodes]
+        right = values[np.maximum(f, 0) * x.shape[1] + rows] > threshold[nodes]
+        nodes = np.where(f >= 0, 2 * nodes + right, nodes).astype(nodes.dtype)
+    return nodes
+
+
+def _advanced(width, trees, depth, steps, feature, threshold, batches):
+    for m, y, x, nodes in _blocks(width, trees, depth, batches):
+        yield _state(m, y, x, np.stack([_stepped(nodes[t], x, feature[m][t], threshold[m][t], steps) for t in range(trees)]))
+
+
+def _by_node(width, trees, depth, steps, feature, threshold, picked, batches):
+    """For each block and tree with open nodes: (model, values in one row, rows of the block, y, rows ordered by open node, each range's begin, length and place).
+    A place is the node's number in ``picked[model]`` (tree, node -> place, -1 if not open)."""
+    for m, y, x, nodes in _blocks(width, trees, depth, batches):
+        for t in range(trees) if m in picked else ():
+            own = _stepped(nodes[t], x, feature[m][t], threshold[m][t], steps)
+            order = np.argsort(own, kind="stable")  # by digits: whole numbers of 16 bits
+            count = np.bincount(own, minlength=picked[m].shape[1])
+            seen = np.flatnonzero(count)
+            begin, place = np.cumsum(count[seen]) - count[seen], picked[m][t, seen]
+            if (shut := place < 0).any():
+                order = order[np.repeat(~shut, count[seen])]
+                seen, place = seen[~shut], place[~shut]
+                begin = np.cumsum(count[seen]) - count[seen]
+            if len(seen):
+                yield m, x.reshape(-1), x.shape[1], y, order, begin, count[seen], place
 
 
 _RANGES = "model int, place long, draw int, least double, largest double"
@@ -104,13 +135,13 @@ _COUNTS = "model int, place long, draw int, n long, positives long, n_left long,
 
 def _ranges(state_args, drawn_features, batches):
     ends: dict[int, np.ndarray] = {}
-    for m, x, _, rows, place in _by_node(*state_args, batches):
+    for m, values, n, _, order, begin, count, place in _by_node(*state_args, batches):
         own = drawn_features[m]
         low, high = ends.setdefault(m, np.stack([np.full(own.shape, np.inf), np.full(own.shape, -np.inf)]))
         for j in range(own.shape[1]):
-            v = x[rows, own[place, j]]
-            np.fmin.at(low[:, j], place, v)
-            np.fmax.at(high[:, j], place, v)
+            v = values[np.repeat(own[place, j] * n, count) + order]
+            low[place, j] = np.fmin(low[place, j], np.fmin.reduceat(v, begin))
+            high[place, j] = np.fmax(high[place, j], np.fmax.reduceat(v, begin))
     for m, (low, high) in ends.items():
         place, draw = np.nonzero(low <= high)
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), m, np.int32)), pa.array(place), pa.array(draw.astype(np.int32)), pa.array(low[place, draw]), pa.array(high[place, draw])], names=[c.split()[0] for c in _RANGES.split(", ")])
@@ -118,13 +149,15 @@ def _ranges(state_args, drawn_features, batches):
 
 def _counts(state_args, drawn_features, cuts, batches):
     sums: dict[int, np.ndarray] = {}
-    for m, x, y, rows, place in _by_node(*state_args, batches):
+    for m, values, n, y, order, begin, count, place in _by_node(*state_args, batches):
         own = drawn_features[m]
         total = sums.setdefault(m, np.zeros((4, *own.shape), np.int64))
+        ones = y[order].astype(np.int32)
+        positives = np.add.reduceat(ones, begin)
         for j in range(own.shape[1]):
-            left = ~(x[rows, own[place, j]] > cuts[m][place, j])
-            for k, v in enumerate((np.ones(len(rows), np.int64), y[rows], left, left * y[rows])):
-                np.add.at(total[k][:, j], place, v.astype(np.int64))
+            left = ~(values[np.repeat(own[place, j] * n, count) + order] > np.repeat(cuts[m][place, j], count))
+            for k, v in enumerate((count, positives, np.add.reduceat(left, begin, dtype=np.int32), np.add.reduceat(left * ones, begin))):
+                total[k][place, j] += v  # a tree's places differ
     for m, total in sums.items():
         place, draw = np.nonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), m, np.int32)), pa.array(place), pa.array(draw.astype(np.int32)), *(pa.array(t[place, draw]) for t in total)], names=[c.split()[0] for c in _COUNTS.split(", ")])
@@ -144,9 +177,9 @@ def fit_many(rows: DataFrame, columns: list[str], label: str, model: str = "mode
     count = min(width, p["features"] or max(1, int(width**0.5)))
     out = Forest(columns, p)
     own = rows.select(F.col(model).cast("int").alias("model"), F.coalesce(F.col(label).cast("int"), F.lit(0)).alias("y"), *[F.col(c).cast("double").alias(c) for c in columns])
-    state = written(own.mapInArrow(partial(_start, columns, trees), _STATE), "trees")
+    state = written(own.mapInArrow(partial(_start, columns, trees, depth), _STATE), "trees")
     open_nodes: dict[int, list[tuple[int, int]]] = {}
-    for r in state.groupBy("model").agg(F.avg("y").alias("rate")).collect():  # a row per model
+    for r in own.groupBy("model").agg(F.avg("y").alias("rate")).collect():  # a row per model
         m = r["model"]
         out.feature[m], out.threshold[m], out.value[m] = np.full((trees, 2 << depth), -1), np.zeros((trees, 2 << depth)), np.zeros((trees, 2 << depth))
         out.value[m][:, 1], open_nodes[m] = r["rate"], [(t, 1) for t in range(trees)]
@@ -161,7 +194,7 @@ def fit_many(rows: DataFrame, columns: list[str], label: str, model: str = "mode
                 picked[m][t, n] = k
             draws = [drawn(seed, m, t, n, width, count) for t, n in nodes]
             features[m], parts[m] = np.array([d[0] for d in draws]), np.array([d[1] for d in draws])
-        args = (width, trees, stale, out.feature, out.threshold, picked)
+        args = (width, trees, depth, stale, out.feature, out.threshold, picked)
         ends = state.mapInArrow(partial(_ranges, args, features), _RANGES).groupBy("model", "place", "draw").agg(F.min("least").alias("least"), F.max("largest").alias("largest")).toArrow()
         cuts = {m: np.full(f.shape, np.nan) for m, f in features.items()}
         em, ep, ed, low, high = (ends.column(c).to_numpy() for c in ("model", "place", "draw", "least", "largest"))
@@ -172,7 +205,7 @@ def fit_many(rows: DataFrame, columns: list[str], label: str, model: str = "mode
         open_nodes = _decided(out, open_nodes, sums, features, cuts, p["least"])
         stale += 1
         if stale == p["every"]:
-            last, state = state, written(state.mapInArrow(partial(_advanced, width, trees, stale, out.feature, out.threshold), _STATE), "trees")
+            last, state = state, written(state.mapInArrow(partial(_advanced, width, trees, depth, stale, out.feature, out.threshold), _STATE), "trees")
             deleted(last)
             stale = 0
     deleted(state)
