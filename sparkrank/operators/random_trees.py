@@ -61,16 +61,16 @@ _STATE_SCHEMA = pa.schema([("model", pa.int32()), ("rows", pa.int32()), ("y", pa
 
 
 def _state(model: int, y: np.ndarray, x: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
-    """Rows of one model; ``x`` lies feature by feature, ``nodes`` tree by tree."""
+    """Rows of one model; ``x`` lies feature by feature, ``nodes`` tree by tree, in whole numbers of any width, or none if all are at the roots."""
     return pa.RecordBatch.from_arrays([pa.array([model], pa.int32()), pa.array([len(y)], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in (y.astype(np.int8), x, nodes))], schema=_STATE_SCHEMA)
 
 
-def _start(columns, trees, depth, batches):
+def _start(columns, batches):
     held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
     def whole(m, parts):
         y, x = (np.concatenate(c) for c in zip(*parts, strict=True))
-        return _state(m, y, np.ascontiguousarray(x.T), np.ones((trees, len(y)), _kind(depth)))
+        return _state(m, y, np.ascontiguousarray(x.T), np.empty(0, np.uint8))
 
     for b in batches:
         if b.num_rows:
@@ -89,16 +89,17 @@ def _kind(depth: int):
     return np.uint16 if 2 << depth <= 1 << 16 else np.uint32
 
 
-def _blocks(width, trees, depth, batches):
+def _blocks(width, trees, batches):
     for b in batches:
         for m, n, *own in zip(*(b.column(c) for c in _STATE_SCHEMA.names), strict=True):
-            y, x, nodes = (np.frombuffer(v.as_buffer(), kind) for v, kind in zip(own, (np.int8, np.float64, _kind(depth)), strict=True))
-            yield m.as_py(), y, x.reshape(width, n.as_py()), nodes.reshape(trees, n.as_py())
+            m, n, (y, x, nodes) = m.as_py(), n.as_py(), (v.as_buffer() for v in own)
+            nodes = np.frombuffer(nodes, f"u{nodes.size // (trees * n)}").reshape(trees, n) if nodes.size else np.ones((trees, n), np.uint8)
+            yield m, np.frombuffer(y, np.int8), np.frombuffer(x, np.float64).reshape(width, n), nodes
 
 
 def _stepped(nodes: np.ndarray, x: np.ndarray, feature: np.ndarray, threshold: np.ndarray, steps: int) -> np.ndarray:
     """Nodes of one tree's rows after up to ``steps`` more levels. A missing value goes left."""
-    values, rows = x.reshape(-1), np.arange(x.shape[1])
+    values, rows, nodes = x.reshape(-1), np.arange(x.shape[1]), nodes.astype(_kind(len(feature).bit_length() - 2))
     for _ in range(steps):
         f = feature[nodes]
         right = values[np.maximum(f, 0) * x.shape[1] + rows] > threshold[nodes]
@@ -106,15 +107,17 @@ def _stepped(nodes: np.ndarray, x: np.ndarray, feature: np.ndarray, threshold: n
     return nodes
 
 
-def _advanced(width, trees, depth, steps, feature, threshold, batches):
-    for m, y, x, nodes in _blocks(width, trees, depth, batches):
-        yield _state(m, y, x, np.stack([_stepped(nodes[t], x, feature[m][t], threshold[m][t], steps) for t in range(trees)]))
+def _advanced(width, trees, level, steps, feature, threshold, batches):
+    """Blocks whose rows have gone ``steps`` further, to the nodes of ``level``."""
+    kind = np.min_scalar_type((2 << level) - 1)
+    for m, y, x, nodes in _blocks(width, trees, batches):
+        yield _state(m, y, x, np.stack([_stepped(nodes[t], x, feature[m][t], threshold[m][t], steps).astype(kind) for t in range(trees)]))
 
 
 def _by_node(width, trees, depth, steps, feature, threshold, picked, batches):
     """For each block and tree with open nodes: (model, values in one row, rows of the block, y, rows ordered by open node, each range's begin, length and place).
     A place is the node's number in ``picked[model]`` (tree, node -> place, -1 if not open)."""
-    for m, y, x, nodes in _blocks(width, trees, depth, batches):
+    for m, y, x, nodes in _blocks(width, trees, batches):
         for t in range(trees) if m in picked else ():
             own = _stepped(nodes[t], x, feature[m][t], threshold[m][t], steps)
             order = np.argsort(own, kind="stable")  # by digits: whole numbers of 16 bits
@@ -177,14 +180,14 @@ def fit_many(rows: DataFrame, columns: list[str], label: str, model: str = "mode
     count = min(width, p["features"] or max(1, int(width**0.5)))
     out = Forest(columns, p)
     own = rows.select(F.col(model).cast("int").alias("model"), F.coalesce(F.col(label).cast("int"), F.lit(0)).alias("y"), *[F.col(c).cast("double").alias(c) for c in columns])
-    state = written(own.mapInArrow(partial(_start, columns, trees, depth), _STATE), "trees")
+    state = written(own.mapInArrow(partial(_start, columns), _STATE), "trees", packed=True)
     open_nodes: dict[int, list[tuple[int, int]]] = {}
     for r in own.groupBy("model").agg(F.avg("y").alias("rate")).collect():  # a row per model
         m = r["model"]
         out.feature[m], out.threshold[m], out.value[m] = np.full((trees, 2 << depth), -1), np.zeros((trees, 2 << depth)), np.zeros((trees, 2 << depth))
         out.value[m][:, 1], open_nodes[m] = r["rate"], [(t, 1) for t in range(trees)]
     stale = 0
-    for _ in range(depth):
+    for level in range(1, depth + 1):
         if not open_nodes:
             break
         picked, features, parts = {}, {}, {}
@@ -204,8 +207,8 @@ def fit_many(rows: DataFrame, columns: list[str], label: str, model: str = "mode
         sums = state.mapInArrow(partial(_counts, args, features, cuts), _COUNTS).groupBy("model", "place", "draw").agg(*[F.sum(c).alias(c) for c in ("n", "positives", "n_left", "positives_left")]).collect()
         open_nodes = _decided(out, open_nodes, sums, features, cuts, p["least"])
         stale += 1
-        if stale == p["every"]:
-            last, state = state, written(state.mapInArrow(partial(_advanced, width, trees, depth, stale, out.feature, out.threshold), _STATE), "trees")
+        if stale == p["every"] and level < depth and open_nodes:
+            last, state = state, written(state.mapInArrow(partial(_advanced, width, trees, level, stale, out.feature, out.threshold), _STATE), "trees", packed=True)
             deleted(last)
             stale = 0
     deleted(state)
