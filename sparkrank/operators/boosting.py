@@ -101,6 +101,7 @@ def coded(x: np.ndarray, marks: list[np.ndarray]) -> np.ndarray:
 #: Rows of a block.
 BLOCK_ROWS = 1 << 15
 _BLOCK = "model int, part int, rows int, key binary, y binary, x binary, margin binary, g binary, h binary"
+_TRAINED, _JUDGED = ["model", "rows", "key", "y", "x", "margin", "g", "h"], ["model", "rows", "y", "x", "margin"]
 _BLOCKS = pa.schema([("model", pa.int32()), ("part", pa.int32()), ("rows", pa.int32()), *((c, pa.binary()) for c in ("key", "y", "x", "margin", "g", "h"))])
 
 
@@ -259,16 +260,26 @@ def _ends(ranges, steps, batches):
                 yield pa.RecordBatch.from_arrays([pa.array([m] * steps, pa.int32()), pa.array(range(steps), pa.int32()), pa.array([v.tobytes() for v in said], pa.binary())], names=["model", "step", "s"])
 
 
+#: Rows of a model that a task counts by margin at once.
+PACKET_ROWS = 1 << 18
+
+
 def _packets(marks, steps, batches):
     held: dict[int, list] = {}
-    for b in batches:
-        for m, n, read in _read(b, 1):
-            held.setdefault(m, []).append((read("y"), read("steps").reshape(steps, n)))
-    for m, parts in held.items():
+
+    def sent(m, parts):
         y = np.concatenate([p[0] for p in parts])
         for k in range(steps):
             yield exact_auc.packets({(m, k): (np.concatenate([p[1][k] for p in parts]), y)}, marks)
 
+    for b in batches:
+        for m, n, read in _read(b, 1):
+            held.setdefault(m, []).append((read("y").copy(), read("steps").reshape(steps, n).copy()))  # else all of the batch stays
+            if sum(len(p[0]) for p in held[m]) >= PACKET_ROWS:
+                yield from sent(m, held.pop(m))
+    for m, parts in held.items():
+        yield from sent(m, parts)
+
 
 def _judgements(judged: DataFrame, steps: int, rows: int) -> dict[tuple[int, int], float | None]:
     """The exact AUC of each model after each of the newer ``steps`` rounds; ``rows``: the most that a model is judged by."""
@@ -300,8 +311,8 @@ def fit_many(rows: DataFrame, columns: list[str], label: str, id_col: str, model
         m, rows_judged = r["model"], max(rows_judged, r["judged"])
         out.base[m], out.trees[m], out.best[m], out.history[m] = float(np.log(rate / (1 - rate))), [], 0 if r["judged"] else p["rounds"], []
     own = own.where("part in (0, 1)").withColumn("y", F.coalesce("y", F.lit(0.0)))
-    start = written(own.mapInArrow(partial(_code, columns, out.marks, out.base, p["row_share"] < 1), _BLOCK), "boosting", ["part"])
-    train, judged = start.where("part = 0").drop("part"), start.where("part = 1").select("model", "rows", "y", "x", "margin")
+    code = partial(_code, columns, out.marks, out.base, p["row_share"] < 1)
+    train, judged = (written(own.where(F.col("part") == k).mapInArrow(code, _BLOCK).select(*kept), "boosting", packed=True) for k, kept in enumerate((_TRAINED, _JUDGED)))
     going, done = set(out.base), 0
     while going and done < p["rounds"]:
         newer: dict[int, list[Tree]] = {m: [] for m in out.base}
@@ -320,7 +331,6 @@ def fit_many(rows: DataFrame, columns: list[str], label: str, id_col: str, model
             deleted(last)
             for (m, _), auc in sorted(_judgements(judged, rounds, rows_judged).items()):
                 out.history[m].append(auc)
-        deleted(start)
         for m in sorted(going):
             auc = [-1.0 if a is None else a for a in out.history[m]]
             if auc and p["patience"] is None:
@@ -335,8 +345,8 @@ def fit_many(rows: DataFrame, columns: list[str], label: str, id_col: str, model
 
 
 def _next(blocks: DataFrame, fn, schema: str, going: list[int]) -> DataFrame:
-    """The blocks of ``going`` as ``fn`` makes them, written."""
-    return written(blocks.where(F.col("model").isin(going)).mapInArrow(fn, schema), "boosting")
+    """The blocks of ``going`` as ``fn`` makes them, written; a block is a large row, so few of them go together."""
+    return written(blocks.where(F.col("model").isin(going)).mapInArrow(fn, schema), "boosting", packed=True)
 
 
 def _grow(train: DataFrame, going: list[int], missing: np.ndarray, p: dict, round_: int, seed: int, out: Boosted) -> dict[int, Tree]:
@@ -393,9 +403,10 @@ def boosted_out_of_fold(train: DataFrame, test: DataFrame | None, id_col: str, c
     """Out-of-fold scores (id, score) of ``train``, mean scores of ``test`` over the folds' models, and the models, all folds (or ``only`` some) at once. Each
     fold's rows choose its model's rounds. ``categories`` are read as ordered target statistics of the fold's own training rows."""
     categories = categories or []
-    folds = sorted(r[fold] for r in train.select(fold).distinct().collect() if only is None or r[fold] in only)  # a row per fold
+    rows = train if hasattr(train, "_sparkrank_path") else written(train, "boosted")  # a row once, not once a model
+    folds = sorted(r[fold] for r in rows.select(fold).distinct().collect() if only is None or r[fold] in only)  # a row per fold
     keep = [id_col, label, *dict.fromkeys([*columns, *categories])]
-    parts = train.select(*keep, fold).withColumn("model", F.explode(F.array(*[F.lit(int(k)) for k in folds])))
+    parts = rows.select(*keep, fold).withColumn("model", F.explode(F.array(*[F.lit(int(k)) for k in folds])))
     parts = parts.withColumn("part", F.when(F.col(fold) == F.col("model"), 1).otherwise(0)).drop(fold)
     if test is not None:
         theirs = test.select(*[F.col(c) if c in test.columns else F.lit(None).alias(c) for c in keep])
@@ -403,8 +414,8 @@ def boosted_out_of_fold(train: DataFrame, test: DataFrame | None, id_col: str, c
     features = [*columns, *[f"{c}__ts" for c in categories]]
     if categories:
         parts = parts.withColumn("_learn", F.col("part") == 0)
-        parts = ordered_statistics(parts, id_col, label, categories, "_learn", ["model"], seed=seed).drop("_learn")
-    parts = written(parts.select(id_col, label, "model", "part", *features), "boosted")
+        parts = written(ordered_statistics(parts, id_col, label, categories, "_learn", ["model"], seed=seed).drop("_learn"), "boosted")
+    parts = parts.select(id_col, label, "model", "part", *features)
     fitted = fit_many(parts, features, label, id_col, params=params, seed=seed)
     oof = predict(fitted, parts.where("part = 1"), [id_col])
     if test is None:

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from sparkrank.operators import random_trees
+from sparkrank.operators import boosting, random_trees
 
 
 @pytest.fixture
@@ -53,3 +53,22 @@ def test_random_trees_write_few_blocks_together_and_nodes_of_a_byte(spark, group
 
 def pa_rows(n):
     return pa.RecordBatch.from_pydict({"model": pa.array([0] * n, pa.int32()), "y": pa.array([0] * n, pa.int32()), "a": [0.0] * n, "b": [0.0] * n})
+
+
+def test_boosting_writes_few_blocks_together(spark, groups):
+    found = groups(boosting)
+    boosting.fit_many(forty_models(spark), ["a", "b"], "y", "id", params={"rounds": 2, "depth": 2, "every": 2})
+    assert len(found["boosting"]) > 3 * 40 // 8 and max(found["boosting"]) <= 8
+
+
+def test_a_task_counts_bounded_rows_at_once(monkeypatch):
+    monkeypatch.setattr(boosting, "PACKET_ROWS", 100)
+    rng = np.random.default_rng(3)
+    y, steps = rng.integers(0, 2, 400).astype(float), np.round(rng.random((2, 400)), 1)
+    blocks = pa.RecordBatch.from_pydict({"model": pa.array([5] * 10, pa.int32()), "rows": pa.array([40] * 10, pa.int32()), "y": [y[k : k + 40].tobytes() for k in range(0, 400, 40)], "steps": [steps[:, k : k + 40].tobytes() for k in range(0, 400, 40)]})
+    sent = [r for b in boosting._packets({}, 2, [blocks]) for r in b.to_pylist()]
+    sizes = [np.frombuffer(r["p"], np.int64).sum() + np.frombuffer(r["n"], np.int64).sum() for r in sent]
+    assert sorted(sizes) == [40] * 2 + [120] * 6
+    for k in (0, 1):
+        own = [(np.frombuffer(r["score"]), np.frombuffer(r["p"], np.int64)) for r in sent if r["step"] == k]
+        assert sum((s * p).sum() for s, p in own) == pytest.approx((steps[k] * y).sum())
