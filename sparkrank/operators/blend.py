@@ -73,10 +73,21 @@ def _sent(r: int, parts: list, ranges: int) -> pa.RecordBatch:
 def greedy_rounds(ranked: DataFrame, label: str, models: list[str], rounds: list[int], steps: int = 40, gain: float = 1e-6) -> dict[int, tuple[dict[str, float], list[tuple[int, str, float]]]]:
     """Greedy selection with replacement in every round at once: one job scores all candidates of all rounds that
     still go on. Per round: weights, and (step, model, auc) for each step. The first model wins ties. Ranks are not null."""
+    chosen, history, _ = _all_steps(ranked, label, models, rounds, steps, gain)
+    return {r: (_shares(c), history[r]) for r, c in chosen.items()}
+
+
+def _shares(chosen: dict[str, int]) -> dict[str, float]:
+    return {m: n / sum(chosen.values()) for m, n in chosen.items()}
+
+
+def _all_steps(ranked: DataFrame, label: str, models: list[str], rounds: list[int], steps: int, gain: float) -> tuple[dict[int, dict[str, int]], dict[int, list[tuple[int, str, float]]], dict[int, dict[str, float]]]:
+    """How often each round of :func:`greedy_rounds` took a model, its steps, and the AUC of each model alone."""
     chosen: dict[int, dict[str, int]] = {r: {} for r in rounds}
     history: dict[int, list[tuple[int, str, float]]] = {r: [] for r in rounds}
+    alone: dict[int, dict[str, float]] = {r: {} for r in rounds}
     going = set(rounds)
-    own = ranked.select(F.col("round").cast("int").alias("round"), F.col(label).cast("double").alias("y"), *[F.col(m).cast("double") for m in models])
+    own = _numbers(ranked, label, models)
     ranges = max(BINS, -(-own.count() // exact_auc.RANGE_ROWS))
     for step in range(1, steps + 1):
         if not going:
@@ -85,13 +96,32 @@ def greedy_rounds(ranked: DataFrame, label: str, models: list[str], rounds: list
         found = exact_auc.aucs(own.where(F.col("round").isin(list(asked))).mapInArrow(partial(_candidates, models, asked, ranges), exact_auc.PACKETS))
         for r in sorted(going):
             scores = {m: found[r, k] for k, m in enumerate(models) if found.get((r, k)) is not None}
+            if step == 1:
+                alone[r] = scores
             best = max((m for m in models if m in scores), key=lambda m: scores[m], default=None)
             if best is None or step > 1 and scores[best] < history[r][-1][2] + gain:
                 going.discard(r)
                 continue
             chosen[r][best] = chosen[r].get(best, 0) + 1
             history[r].append((step, best, scores[best]))
-    return {r: ({m: n / sum(c.values()) for m, n in c.items()}, history[r]) for r, c in chosen.items()}
+    return chosen, history, alone
+
+
+def _numbers(ranked: DataFrame, label: str, models: list[str]) -> DataFrame:
+    return ranked.select(F.col("round").cast("int").alias("round"), F.col(label).cast("double").alias("y"), *[F.col(m).cast("double") for m in models])
+
+
+def _mixed(weights: dict[str, float], ranges: int, batches):
+    """A task's packets of the ranks' weighted sum."""
+    held: list = []
+    for b in batches:
+        if b.num_rows:
+            held.append((b.column("y").to_numpy(), [reduce(lambda a, d: a + d, [b.column(m).to_numpy() * w for m, w in weights.items()])]))
+            if sum(len(p[0]) for p in held) >= PACKET_ROWS:
+                yield _sent(0, held, ranges)
+                held = []
+    if held:
+        yield _sent(0, held, ranges)
 
 
 def greedy_weights(df: DataFrame, id_col: str, label: str, models: list[str], steps: int = 40, gain: float = 1e-6) -> tuple[dict[str, float], list[tuple[int, str, float]]]:
@@ -114,16 +144,16 @@ def _auc_of(score: np.ndarray, y: np.ndarray, positives: int) -> float:
 
 
 def _search(models: list[str], steps: int, gain: float, key, table):
-    """One round's greedy search over its bounded sample: twice the average ranks, whole numbers, are summed up."""
+    """One round's greedy search over its sample, and the AUC that it reached: twice the average ranks, whole numbers, are summed up."""
     y = table.column("_y").to_numpy()
     n, positives = len(y), int(y.sum())
-    chosen = dict.fromkeys(models, 0)
+    chosen, last = dict.fromkeys(models, 0), None
     if 0 < positives < n:
         ranks = {}
         for m in models:
             _, back, counts = np.unique(table.column(m).to_numpy(), return_inverse=True, return_counts=True)
             ranks[m] = (2 * np.cumsum(counts) - counts + 1)[back]
-        total, last = np.zeros(n, np.int64), None
+        total = np.zeros(n, np.int64)
         for _ in range(steps):
             found = {m: _auc_of(total + ranks[m], y, positives) for m in models}
             best = max(models, key=lambda m: found[m])
@@ -131,17 +161,31 @@ def _search(models: list[str], steps: int, gain: float, key, table):
                 break
             chosen[best], total, last = chosen[best] + 1, total + ranks[best], found[best]
     taken = max(1, sum(chosen.values()))
-    return pa.table([pa.array([key[0].as_py()] * len(models), pa.int32()), pa.array(models), pa.array([chosen[m] / taken for m in models])], names=["round", "model", "weight"])
+    return pa.table([pa.array([key[0].as_py()] * len(models), pa.int32()), pa.array(models), pa.array([chosen[m] / taken for m in models]), pa.array([last] * len(models), pa.float64())], names=["round", "model", "weight", "auc"])
 
 
 def stable_weights(df: DataFrame, id_col: str, label: str, models: list[str], rounds: int = 25, share: float = 0.8, cap: int = 120_000, least: float = 0.15, steps: int = 40, gain: float = 1e-6, seed: int = 20260803) -> DataFrame:
     """(model, weight, frequency, mean, deviation) of greedy blends over stratified subsamples: mean weights, nothing for
     a model that fewer than ``least`` of the rounds chose, then scaled to 1. A round is at most ``cap`` rows, which one
-    task searches; rounds go side by side."""
+    task searches; rounds go side by side. Then all rows judge: ``auc`` of each model alone, ``blend_auc`` of the weights, and a greedy search
+    over all rows to compare with (``greedy``, its weights, and ``greedy_auc``); ``round_auc_mean`` and ``round_auc_deviation`` are of the rounds."""
     parts = stratified_subsample(df.select(id_col, label, *models), id_col, label, share, cap, rounds, seed)
     own = parts.select(F.col("round").cast("int").alias("round"), F.col(label).cast("long").alias("_y"), *models)
-    found = own.groupBy("round").applyInArrow(partial(_search, models, steps, gain), "round int, model string, weight double")
-    return weight_summary(written(found, "rounds"), least)
+    found = written(own.groupBy("round").applyInArrow(partial(_search, models, steps, gain), "round int, model string, weight double, auc double"), "rounds")
+    summary = weight_summary(found, least)
+    weights = {r["model"]: r["weight"] for r in summary.select("model", "weight").collect()}  # a row per model
+    each = found.agg(F.avg("auc").alias("mean"), F.stddev_pop("auc").alias("deviation")).first()  # a round's AUC stands in as many rows as there are models
+    ranked = written(ranked_models(df, [id_col, label], models).select(F.lit(0).alias("round"), label, *models), "ranks")
+    try:
+        chosen, history, alone = _all_steps(ranked, label, models, [0], steps, gain)
+        rows = _numbers(ranked, label, models)
+        ranges = max(BINS, -(-rows.count() // exact_auc.RANGE_ROWS))
+        whole = exact_auc.aucs(rows.mapInArrow(partial(_mixed, {m: w for m, w in weights.items() if w}, ranges), exact_auc.PACKETS)).get((0, 0)) if any(weights.values()) else None
+    finally:
+        deleted(ranked)
+    of = lambda found, other: F.coalesce(*[F.when(F.col("model") == m, F.lit(v)) for m, v in found.items()], F.lit(other).cast("double"))
+    said = {"blend_auc": whole, "greedy_auc": history[0][-1][2] if history[0] else None, "round_auc_mean": each["mean"], "round_auc_deviation": each["deviation"]}
+    return summary.select("*", of(alone[0], None).alias("auc"), of(_shares(chosen[0]), 0.0).alias("greedy"), *[F.lit(v).cast("double").alias(n) for n, v in said.items()])
 
 
 def weight_summary(rounds: DataFrame, least: float = 0.15) -> DataFrame:
