@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkrank.operators import exact_auc
-from sparkrank.operators.ordered import ordered_statistics
+from sparkrank.operators.ordered import fold_statistics
 from sparkrank.plans.lineage import deleted, written
 
 #: Gradients are whole multiples of one part of this.
@@ -405,17 +405,16 @@ def boosted_out_of_fold(train: DataFrame, test: DataFrame | None, id_col: str, c
     categories = categories or []
     rows = train if hasattr(train, "_sparkrank_path") else written(train, "boosted")  # a row once, not once a model
     folds = sorted(r[fold] for r in rows.select(fold).distinct().collect() if only is None or r[fold] in only)  # a row per fold
-    keep = [id_col, label, *dict.fromkeys([*columns, *categories])]
-    parts = rows.select(*keep, fold).withColumn("model", F.explode(F.array(*[F.lit(int(k)) for k in folds])))
-    parts = parts.withColumn("part", F.when(F.col(fold) == F.col("model"), 1).otherwise(0)).drop(fold)
-    if test is not None:
-        theirs = test.select(*[F.col(c) if c in test.columns else F.lit(None).alias(c) for c in keep])
-        parts = parts.unionByName(theirs.withColumn("model", F.explode(F.array(*[F.lit(int(k)) for k in folds]))).withColumn("part", F.lit(2)))
-    features = [*columns, *[f"{c}__ts" for c in categories]]
     if categories:
-        parts = parts.withColumn("_learn", F.col("part") == 0)
-        parts = written(ordered_statistics(parts, id_col, label, categories, "_learn", ["model"], seed=seed).drop("_learn"), "boosted")
-    parts = parts.select(id_col, label, "model", "part", *features)
+        rows, test = fold_statistics(rows, test, id_col, label, categories, fold, folds, seed=seed)
+        rows, test = written(rows, "boosted"), test if test is None else written(test, "boosted")
+    models = [F.struct(F.lit(int(m)).alias("model"), *[F.col(f"_t{c}_{k}").alias(f"{name}__ts") for c, name in enumerate(categories)]) for k, m in enumerate(folds)]
+    features = [*columns, *[f"{c}__ts" for c in categories]]
+    each = lambda df, *more: df.select(id_col, *more, *columns, F.explode(F.array(*models)).alias("_m"))
+    parts = each(rows, label, fold).select(id_col, label, "_m.model", F.when(F.col(fold) == F.col("_m.model"), 1).otherwise(0).alias("part"), *columns, *[f"_m.{c}__ts" for c in categories])
+    if test is not None:
+        theirs = test.select("*", *[F.lit(None).cast("double").alias(c) for c in columns if c not in test.columns])
+        parts = parts.unionByName(each(theirs).select(id_col, F.lit(None).alias(label), "_m.model", F.lit(2).alias("part"), *columns, *[f"_m.{c}__ts" for c in categories]))
     fitted = fit_many(parts, features, label, id_col, params=params, seed=seed)
     oof = predict(fitted, parts.where("part = 1"), [id_col])
     if test is None:
