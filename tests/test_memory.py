@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from sparkrank.operators import boosting, random_trees
+from sparkrank.operators import boosting, random_trees, stack
 
 
 @pytest.fixture
@@ -72,3 +72,10 @@ def test_a_task_counts_bounded_rows_at_once(monkeypatch):
     for k in (0, 1):
         own = [(np.frombuffer(r["score"]), np.frombuffer(r["p"], np.int64)) for r in sent if r["step"] == k]
         assert sum((s * p).sum() for s, p in own) == pytest.approx((steps[k] * y).sum())
+
+
+def test_the_meta_model_writes_its_rows_once(spark, groups):
+    found = groups(boosting)
+    df = spark.createDataFrame([(i, i * 7 % 3 % 2, i % 4, (i * 31 % 97) / 97, (i * 7919 % 101) / 101) for i in range(200)], "id long, y int, fold int, a double, b double")
+    scores, _ = stack.nonlinear_meta(df, "id", ["a", "b"], [], "y", params={"rounds": 2, "depth": 2, "every": 2, "patience": None})
+    assert scores.count() == 200 and "boosted" not in found  # the design is written, and no copy for each model
